@@ -6,6 +6,7 @@ import importlib
 
 _MODULES = [
     "vitrine.plans.catalog_queries",
+    "vitrine.plans.scalar_queries",
 ]
 
 
