@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from vitrine.functions.classify import has_any
 
+
+def _at(arr, i: int):
+    """1-based array access that yields null when out of range (ANSI-safe)."""
+    return F.try_element_at(arr, F.lit(i))
+
+
 # ---- Fixed values that must equal the reference's for right results. ----
 MEANINGFUL_TERMS = ["pants", "knit", "zipper", "jacket", "shirt", "coat", "dress", "skirt", "jeans", "short",
                     "sweater", "top", "boot", "shoe", "sneaker", "hat", "cap", "bag", "belt", "wallet", "scarf",
@@ -27,7 +33,7 @@ MIN_SRC_LEN = 30
 
 def file_name(url: Column) -> Column:
     """Text after the last ``/`` and before the first ``?``."""
-    return F.split(F.element_at(F.split(url, "/"), -1), r"\?").getItem(0)
+    return F.split(_at(F.split(url, "/"), -1), r"\?").getItem(0)
 
 
 def desired_image(url: Column) -> Column:

@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
+def _at(arr, i: int):
+    """1-based array access that yields null when out of range (ANSI-safe)."""
+    return F.try_element_at(arr, F.lit(i))
+
+
 # Fixed values that must equal the reference's for right results.
 PRODUCT_PATH = "/products/"
 GIFT_CARD_TOKENS = ("giftcard", "gift-card", "card")   # bare-substring parity mode
@@ -63,7 +69,7 @@ def url_path(url: Column) -> Column:
 def product_handle(url: Column, json_handle: Column | None = None) -> Column:
     """JSON handle, else ``/products/([^/?#]+)``, else last path segment."""
     from_path = F.regexp_extract(url, r"/products/([^/?#]+)", 1)
-    last = F.regexp_extract(F.element_at(F.split(url, "/"), -1), r"^([^?]*)", 1)
+    last = F.regexp_extract(_at(F.split(url, "/"), -1), r"^([^?]*)", 1)
     parts = [F.nullif(from_path, F.lit("")), last]
     if json_handle is not None:
         parts.insert(0, F.nullif(json_handle, F.lit("")))

@@ -7,6 +7,7 @@ import importlib
 _MODULES = [
     "vitrine.plans.catalog_queries",
     "vitrine.plans.scalar_queries",
+    "vitrine.plans.page_queries",
 ]
 
 
