@@ -8,6 +8,7 @@ _MODULES = [
     "vitrine.plans.catalog_queries",
     "vitrine.plans.scalar_queries",
     "vitrine.plans.page_queries",
+    "vitrine.plans.search_queries",
 ]
 
 
