@@ -9,6 +9,7 @@ _MODULES = [
     "vitrine.plans.scalar_queries",
     "vitrine.plans.page_queries",
     "vitrine.plans.search_queries",
+    "vitrine.plans.stream_queries",
 ]
 
 
