@@ -290,3 +290,49 @@ def listing_cards(pages: DataFrame, selectors: dict) -> DataFrame:
         "page_id", F.col("c_idx").alias("card_idx"), url.alias("product_url"),
         F.coalesce(F.nullif(external_id(url), F.lit("")), _at(F.split(url, "/"), -1)).alias("external_id"),
         "title", "price", absolutize(F.col("img"), F.col("url")).alias("image_url"))
+
+
+# ---- Fixed values that must equal the reference's for right results. ----
+LINK_FALLBACK_LIMIT = 50
+LINK_MIN_TITLE = 10
+SIZE_TOKENS = r"\b(XS|S|M|L|XL|XXL|\d+)\b"
+PARENT_PRICE = r"(\d+,\d+)\s*EUR"
+# ---- end of fixed values ----
+
+
+def link_records(pages: DataFrame, selectors: dict, mode: str = "substring",
+                 limit: int = LINK_FALLBACK_LIMIT) -> DataFrame:
+    """Link-only records for pages without containers: product links minus
+    gift cards, first of each href, the first ``limit`` per page in document
+    order (L4); title from the link text, price and image from the parent."""
+    from vitrine.functions.urls import gift_card
+    from vitrine.operators.topk import top_n_per_group
+
+    els = elements(pages)
+    href = _attr("href")
+    link_sel = selectors.get("product_url", "a[href*='/products/']")
+    links = els.where(matches(link_sel) & F.coalesce(href.contains("/products/"), F.lit(False))
+                      & ~gift_card(href, mode))
+    firsts = (links.groupBy("page_id", "url", href.alias("href"))
+              .agg(F.min(F.struct("idx", "text", "parent_idx")).alias("m"))
+              .select("page_id", "url", "href", "m.idx", "m.text", "m.parent_idx"))
+    top = top_n_per_group(firsts, ["page_id"], [F.col("idx")], limit, "link_rank")
+    parent_ids = top.select("page_id", F.col("parent_idx").alias("idx")).distinct()
+    parents = els.join(parent_ids, ["page_id", "idx"], "left_semi").select(
+        "page_id", F.col("idx").alias("parent_idx"), F.col("raw_text").alias("parent_text"))
+    imgs = (els.where(F.col("tag") == "img")
+            .select("page_id", "idx", F.coalesce(F.nullif(_attr("src"), F.lit("")), _attr("data-src")).alias("src"),
+                    F.explode(F.col("ancestors.idx")).alias("parent_idx"))
+            .join(parent_ids.withColumnRenamed("idx", "parent_idx"), ["page_id", "parent_idx"], "left_semi")
+            .groupBy("page_id", "parent_idx").agg(F.min(F.struct("idx", "src"))["src"].alias("img")))
+    j = top.join(parents, ["page_id", "parent_idx"], "left").join(imgs, ["page_id", "parent_idx"], "left")
+    raw_title = F.substring_index(F.substring_index(F.col("text"), " EUR", 1), " +", 1)
+    title = F.trim(F.regexp_replace(raw_title, SIZE_TOKENS, ""))
+    price = F.regexp_extract(F.coalesce(F.col("parent_text"), F.lit("")), PARENT_PRICE, 1)
+    url = absolutize(F.col("href"), F.col("url"))
+    return j.select(
+        "page_id", F.col("idx").alias("card_idx"), url.alias("product_url"),
+        F.coalesce(F.nullif(external_id(url), F.lit("")), _at(F.split(url, "/"), -1)).alias("external_id"),
+        F.when((F.length("text") > LINK_MIN_TITLE) & (title != ""), title).alias("title"),
+        F.when(price != "", F.concat(price, F.lit(" EUR"))).alias("price"),
+        absolutize(F.col("img"), F.col("url")).alias("image_url"))

@@ -29,13 +29,15 @@ def is_stale(last_seen_run: Column, current_run: Column | int) -> Column:
     return (cur - F.coalesce(last_seen_run, F.lit(0))) >= STALE_AFTER_RUNS
 
 
-def merge_catalog(stored: DataFrame, incoming: DataFrame, run: int, run_ts: str | None = None) -> DataFrame:
+def merge_catalog(stored: DataFrame, incoming: DataFrame, run: int, run_ts: str | None = None,
+                  expire: bool = True) -> DataFrame:
     """C6 + C4 + C5 + C7.
 
     ``stored``: catalog schema B rows. ``incoming``: formatted rows, one per id,
     with ``reject_reason``. Actions: ``insert`` (new id), ``update`` (changed
     fields), ``touch`` (unchanged, only ``last_seen_run`` moves: Q1), ``keep``
-    (not seen, or failed this run, not stale), ``delete`` (not seen and stale).
+    (not seen, or failed this run, not stale), ``delete`` (not seen and stale;
+    only when ``expire``, i.e. for a full run, never for a partial batch).
     """
     ts = F.to_timestamp(F.lit(run_ts)) if run_ts else F.current_timestamp()
     s_cols = [c for c in CATALOG_COLUMNS if c in stored.columns]
@@ -68,7 +70,7 @@ def merge_catalog(stored: DataFrame, incoming: DataFrame, run: int, run_ts: str
     action = (F.when(seen & ~exists, F.lit("insert"))
               .when(seen & ~same, F.lit("update"))
               .when(seen, F.lit("touch"))
-              .when(exists & is_stale(sc("last_seen_run"), run), F.lit("delete"))
+              .when(F.lit(expire) & exists & is_stale(sc("last_seen_run"), run), F.lit("delete"))
               .when(exists, F.lit("keep")))
     j = j.withColumn("action", action).where(F.col("action").isNotNull())
     take_new = F.col("action").isin("insert", "update")

@@ -153,10 +153,17 @@ SELECT p_partkey AS page_id, {_U} AS product_url, CAST(p_partkey AS VARCHAR) AS
 FROM part""",
     "product_page_p1": f"""
 SELECT p_partkey AS page_id, {_SLUG} AS handle,
-  CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN 'All Products' ELSE 'Collection' END AS title,
-  CASE WHEN p_partkey % 6 = 0 THEN {_P} || 'EUR' ELSE '' END AS price,
-  '' AS image_url, '' AS additional_images, '' AS gender, p_type AS category, '' AS description,
-  CAST(NULL AS VARCHAR) AS size
+  CASE WHEN p_partkey % 5 = 4 THEN p_name WHEN p_partkey % 3 = 0 THEN p_name
+       WHEN p_partkey % 3 = 1 THEN 'All Products' ELSE 'Collection' END AS title,
+  CASE WHEN p_partkey % 6 = 0 THEN {_P} || 'EUR'
+       WHEN p_partkey % 5 = 4 THEN CAST(CAST(round(p_retailprice * 100) AS BIGINT) / 100 AS DECIMAL(18,2)) || 'EUR'
+       ELSE '' END AS price,
+  CASE WHEN p_partkey % 5 = 4 THEN 'https:' || substr({_IMG}, 7) || '_1.jpg' ELSE '' END AS image_url,
+  CASE WHEN p_partkey % 5 = 4 THEN 'https:' || substr({_IMG}, 7) || '_2.jpg' ELSE '' END AS additional_images,
+  CASE WHEN p_partkey % 5 = 4 THEN 'women' ELSE '' END AS gender,
+  CASE WHEN p_partkey % 5 = 4 AND lower(p_type) = 'standard' THEN 'Woman ' || p_type ELSE p_type END AS category,
+  '' AS description,
+  CASE WHEN p_partkey % 5 = 4 THEN CAST(p_size AS VARCHAR) END AS size
 FROM part""",
     "listing_links": f"""
 SELECT DISTINCT product_url FROM (

@@ -10,6 +10,7 @@ _MODULES = [
     "vitrine.plans.page_queries",
     "vitrine.plans.search_queries",
     "vitrine.plans.stream_queries",
+    "vitrine.plans.job_queries",
 ]
 
 

@@ -3,7 +3,8 @@
 
 ``% 6`` picks the price slot (class, data attribute, script, meta, JSON-LD
 object, JSON-LD list), ``% 3`` the title slot, ``% 8`` the garment word, ``% 5``
-and ``% 4`` the gender hints, ``% 7`` a sale price.
+and ``% 4`` the gender hints, ``% 7`` a sale price; ``% 5 = 4`` pages carry the
+embedded product-state script of the first pipeline.
 """
 
 from __future__ import annotations
@@ -51,6 +52,15 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(_lit('<script type="application/ld+json">{"@type": "Product", "offers": [{"price" : "'), price,
                  _lit('"}]}</script>')),
     ])
+    cents = F.round(F.col("p_retailprice") * 100).cast("bigint").cast("string")
+    state = F.when(k % 5 == 4, F.concat(
+        _lit('<script>window.sizeChartsRelentless = window.sizeChartsRelentless || {}; '
+             'sizeChartsRelentless.product = {"title": "'), n, _lit('", "handle": "'), slug,
+        _lit('", "price": '), cents, _lit(', "type": "Woman '), t, _lit('", "vendor": "Shop", "images": ["'),
+        img, _lit('_1.jpg", "'), img, _lit('_2.jpg"], "variants": [{"title": "'), F.col("p_size").cast("string"),
+        _lit('", "price": '), cents, _lit(', "sku": "SKU-'), k.cast("string"),
+        _lit('", "available": true}, {"title": "Default Title", "price": '), cents,
+        _lit(', "sku": "SKU-'), k.cast("string"), _lit('-D", "available": false}]};</script>'))).otherwise(_lit(""))
     og = F.when(k % 3 == 2, F.concat(_lit('<meta property="og:title" content="'), n, _lit('">'))).otherwise(_lit(""))
     title_html = _case(k, 3, [
         F.concat(_lit('<h1 class="product-title">'), n, _lit("</h1>")),
@@ -63,7 +73,7 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(_lit(""))
     html = F.concat(
         _lit("<html><head><title>"), n, _lit(" | Shop</title>"),
-        _lit('<meta name="description" content="'), meta_desc, _lit('">'), og, head_price,
+        _lit('<meta name="description" content="'), meta_desc, _lit('">'), og, head_price, state,
         _lit('</head><body><nav class="breadcrumb"><a href="/">Home</a> <a href="/collections/'), F.lower(t),
         _lit('">'), t, _lit("</a></nav><main><div class=\"product-single\">"), title_html, body_price, sale_html,
         _lit('<div class="product-gallery"><img src="'), img, _lit('_1.jpg" alt="'), n, _lit('"><img src="'), img,
