@@ -1,8 +1,10 @@
 """Gender and category rules (E12-E17, Q10, Q11) as Column expressions.
 
 Two match modes: ``substring`` keeps the reference's bare ``in`` tests (so
-``men`` hits ``garment``); ``word`` (default) needs a non-letter/digit on both
-sides. Women terms are always tested before men terms (Q10).
+``men`` hits ``garment``); ``word`` matches whole tokens: the term's
+letter/digit tokens must appear consecutively in the text's tokens. Women
+terms are always tested before men terms (Q10). Each text is prepared once
+(lower-cased, or tokenised) and every term test is then an ``instr``.
 """
 
 from __future__ import annotations
@@ -60,51 +62,101 @@ URL_MEN = ["/man", "/men"]
 UNISEX = "unisex"
 # ---- end of fixed values ----
 
-_EDGE = r"[^\p{L}\p{N}]"
+_SPLIT = r"[^\p{L}\p{N}]+"
 
 
-def _escape(term: str) -> str:
+def word_form(text: Column) -> Column:
+    """Lower-cased text as its letter/digit tokens joined by single blanks,
+    with a blank at each end (the string form of ``word`` mode)."""
+    toks = F.filter(F.split(F.lower(text), _SPLIT), lambda t: t != "")
+    return F.concat(F.lit(" "), F.array_join(toks, " "), F.lit(" "))
+
+
+def word_key(term: str) -> str:
+    """A term as blank-joined tokens: ``'t-shirt'`` -> ``'t shirt'``."""
+    import regex
+    return " ".join(t for t in regex.split(_SPLIT, term.lower()) if t)
+
+
+def _vocab_grams(text: Column, vocab: list[str]) -> Column:
+    """The distinct vocabulary terms present as consecutive tokens: one pass
+    over the text's uni/bi-grams with a hash-set membership test."""
+    keys = sorted({word_key(t) for t in vocab})
+    width = max(len(k.split(" ")) for k in keys)
+    toks = F.filter(F.split(F.lower(text), _SPLIT), lambda t: t != "")
+    grams = toks
+    for k in range(2, width + 1):
+        parts = [F.slice(toks, i, 1 << 30) for i in range(1, k + 1)]
+        kg = F.transform(F.arrays_zip(*parts), lambda z: F.concat_ws(" ", *[z[str(i)] for i in range(k)]))
+        grams = F.concat(grams, kg)
+    return F.array_distinct(F.filter(grams, lambda g: g.isin(keys)))
+
+
+def _minimal(terms: list[str]) -> list[str]:
+    """Drop terms that contain another term of the same list: for an OR of
+    substring tests they can never decide the result."""
     out = []
-    for ch in term:
-        out.append("\\" + ch if ch in r"\.^$|?*+()[]{}" else ch)
-    return "".join(out)
+    for t in terms:
+        if not any(o != t and o in t for o in terms):
+            out.append(t)
+    return out
 
 
-def word_pattern(terms: list[str]) -> str:
-    """Regex that finds any term with a non-letter/digit (or edge) on each side."""
-    alts = "|".join(_escape(t.strip()) for t in terms)
-    return f"(^|{_EDGE})({alts})({_EDGE}|$)"
+def prepare(text: Column, mode: str, vocab: list[str] | None = None) -> Column:
+    """The form ``hits`` expects: the lower-cased text (substring mode), or
+    the vocabulary terms found as whole tokens (word mode)."""
+    if mode == "substring":
+        return F.lower(text)
+    return _vocab_grams(text, vocab or [])
 
 
-def has_any(text: Column, terms: list[str], mode: str = "word") -> Column:
-    """True when lower-cased ``text`` holds any term (null text -> False)."""
-    t = F.lower(text)
+def hits(prepared: Column, terms: list[str], mode: str) -> Column:
+    """Any term in an already prepared text (null -> False)."""
     if mode == "substring":
         hit = F.lit(False)
-        for term in terms:
-            hit = hit | (F.instr(t, term) > 0)
+        for term in _minimal(terms):
+            hit = hit | prepared.contains(term)
         return F.coalesce(hit, F.lit(False))
-    return F.coalesce(t.rlike(word_pattern(terms)), F.lit(False))
+    keys = sorted({word_key(t) for t in terms})
+    return F.coalesce(F.arrays_overlap(prepared, F.array(*[F.lit(k) for k in keys])), F.lit(False))
+
+
+def has_any(text: Column, terms: list[str], mode: str = "word") -> Column:
+    """True when ``text`` holds any term (null text -> False)."""
+    return hits(prepare(text, mode, terms), terms, mode)
+
+
+def vocabulary(*groups) -> list[str]:
+    """All terms of the given term lists / (name, terms) tables."""
+    out = []
+    for g in groups:
+        for item in g:
+            out.extend(item[1] if isinstance(item, tuple) else [item])
+    return out
 
 
-def keyword_category(title: Column, description: Column | None = None, mode: str = "substring") -> Column:
-    """First category whose keyword occurs in ``title + ' ' + description``."""
+def keyword_category(title: Column, description: Column | None = None, mode: str = "substring",
+                     prepared: Column | None = None) -> Column:
+    """First category whose keyword occurs in ``title + ' ' + description``.
+    ``prepared`` may carry ``prepare(text, mode)`` computed once upstream."""
     parts = [F.nullif(title, F.lit(""))]
     if description is not None:
         parts.append(F.nullif(description, F.lit("")))
-    text = F.lower(F.concat_ws(" ", *parts))
+    text = F.concat_ws(" ", *parts)
+    p = prepared if prepared is not None else prepare(text, mode, vocabulary(CATEGORY_KEYWORDS))
     out = None
     for cat, kws in CATEGORY_KEYWORDS:
-        cond = has_any(text, kws, mode)
+        cond = hits(p, kws, mode)
         out = F.when(cond, F.lit(cat)) if out is None else out.when(cond, F.lit(cat))
     return F.when(F.trim(text) != "", out)
 
 
-def coarse_category(text: Column, mode: str = "substring") -> Column:
+def coarse_category(text: Column, mode: str = "substring", prepared: Column | None = None) -> Column:
     """E15 on one text source: accessory, footwear or clothing, else null."""
+    p = prepared if prepared is not None else prepare(text, mode, vocabulary(COARSE_TERMS))
     out = None
     for cat, terms in COARSE_TERMS:
-        cond = has_any(text, terms, mode)
+        cond = hits(p, terms, mode)
         out = F.when(cond, F.lit(cat)) if out is None else out.when(cond, F.lit(cat))
     return out
 
@@ -118,10 +170,11 @@ def coarse_category_from_path(page_url: Column) -> Column:
     return out
 
 
-def gender_generic(text: Column, mode: str = "substring") -> Column:
+def gender_generic(text: Column, mode: str = "substring", prepared: Column | None = None) -> Column:
     """URL / breadcrumb / title / selector test: women terms, then men terms."""
-    return (F.when(has_any(text, WOMEN_TERMS, mode), F.lit("women"))
-            .when(has_any(text, MEN_TERMS, mode), F.lit("men")))
+    p = prepared if prepared is not None else prepare(text, mode, WOMEN_TERMS + MEN_TERMS)
+    return (F.when(hits(p, WOMEN_TERMS, mode), F.lit("women"))
+            .when(hits(p, MEN_TERMS, mode), F.lit("men")))
 
 
 def gender_meta(text: Column, mode: str = "substring") -> Column:
@@ -131,18 +184,21 @@ def gender_meta(text: Column, mode: str = "substring") -> Column:
             .when(has_any(text, META_MEN, m), F.lit("men")))
 
 
-def gender_description(text: Column, mode: str = "substring") -> Column:
+def gender_description(text: Column, mode: str = "substring", prepared: Column | None = None) -> Column:
     """Description test: ``unisex`` -> null, then women's / men's forms."""
-    return (F.when(has_any(text, [UNISEX], mode), F.lit(None).cast("string"))
-            .when(has_any(text, DESC_WOMEN, mode), F.lit("women"))
-            .when(has_any(text, DESC_MEN, mode), F.lit("men")))
+    p = prepared if prepared is not None else prepare(text, mode, [UNISEX] + DESC_WOMEN + DESC_MEN)
+    return (F.when(hits(p, [UNISEX], mode), F.lit(None).cast("string"))
+            .when(hits(p, DESC_WOMEN, mode), F.lit("women"))
+            .when(hits(p, DESC_MEN, mode), F.lit("men")))
 
 
-def gender_from_type(product_type: Column, url: Column, mode: str = "substring") -> Column:
+def gender_from_type(product_type: Column, url: Column, mode: str = "substring",
+                     prepared: Column | None = None) -> Column:
     """Product type vocabulary, then URL path; emits men/women."""
     u = F.lower(url)
-    return (F.when(has_any(product_type, TYPE_WOMEN, mode), F.lit("women"))
-            .when(has_any(product_type, TYPE_MEN, mode), F.lit("men"))
+    p = prepared if prepared is not None else prepare(product_type, mode, TYPE_WOMEN + TYPE_MEN)
+    return (F.when(hits(p, TYPE_WOMEN, mode), F.lit("women"))
+            .when(hits(p, TYPE_MEN, mode), F.lit("men"))
             .when(has_any(u, URL_WOMEN, "substring"), F.lit("women"))
             .when(has_any(u, URL_MEN, "substring"), F.lit("men")))
 

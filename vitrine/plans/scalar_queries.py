@@ -14,33 +14,47 @@ from vitrine.sources.fixtures import catalog_new, with_fixtures
 from vitrine.sources.tables import read_table
 
 
+# Every term the document queries test, for the one-pass token lookup.
+_DOC_VOCAB = C.vocabulary(C.CATEGORY_KEYWORDS, C.COARSE_TERMS, C.WOMEN_TERMS, C.MEN_TERMS, C.DESC_WOMEN,
+                          C.DESC_MEN, [C.UNISEX], C.TYPE_WOMEN, C.TYPE_MEN)
+
+
+def _docs(spark, sf_dir, *extra):
+    """Documents with each text prepared once per mode: lower-cased for
+    substring tests, and the vocabulary terms found as whole tokens."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", *extra)
+    return d.select("*", F.lower("text").alias("_lower"),
+                    C.prepare(F.col("text"), "word", _DOC_VOCAB).alias("_words"))
+
+
 def q_doc_keyword_category(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = _docs(spark, sf_dir)
+    t = F.col("text")
     return d.select("doc_id",
-                    C.keyword_category(F.col("text"), None, "substring").alias("cat_substring"),
-                    C.keyword_category(F.col("text"), None, "word").alias("cat_word"))
+                    C.keyword_category(t, None, "substring", F.col("_lower")).alias("cat_substring"),
+                    C.keyword_category(t, None, "word", F.col("_words")).alias("cat_word"))
 
 
 def q_doc_gender(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    t = F.col("text")
+    d = _docs(spark, sf_dir, "source")
+    t, lo, wo = F.col("text"), F.col("_lower"), F.col("_words")
     return d.select(
         "doc_id",
-        C.gender_generic(t, "substring").alias("g_generic_sub"),
-        C.gender_generic(t, "word").alias("g_generic_word"),
+        C.gender_generic(t, "substring", lo).alias("g_generic_sub"),
+        C.gender_generic(t, "word", wo).alias("g_generic_word"),
         C.gender_meta(t).alias("g_meta"),
-        C.gender_description(t, "substring").alias("g_desc_sub"),
-        C.gender_description(t, "word").alias("g_desc_word"),
-        C.gender_from_type(t, F.col("source"), "substring").alias("g_type_sub"),
-        C.gender_from_type(t, F.col("source"), "word").alias("g_type_word"),
+        C.gender_description(t, "substring", lo).alias("g_desc_sub"),
+        C.gender_description(t, "word", wo).alias("g_desc_word"),
+        C.gender_from_type(t, F.col("source"), "substring", lo).alias("g_type_sub"),
+        C.gender_from_type(t, F.col("source"), "word", wo).alias("g_type_word"),
     )
 
 
 def q_doc_coarse_category(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = _docs(spark, sf_dir)
     return d.select("doc_id",
-                    C.coarse_category(F.col("text"), "substring").alias("coarse_sub"),
-                    C.coarse_category(F.col("text"), "word").alias("coarse_word"))
+                    C.coarse_category(F.col("text"), "substring", F.col("_lower")).alias("coarse_sub"),
+                    C.coarse_category(F.col("text"), "word", F.col("_words")).alias("coarse_word"))
 
 
 def q_part_type_category(spark, sf_dir):
@@ -105,8 +119,10 @@ def _has_any(text: str, terms: list[str], mode: str) -> str:
     if mode == "substring":
         lits = [x.replace("'", "''") for x in terms]
         return "coalesce((" + " OR ".join(f"contains({t}, '{x}')" for x in lits) + "), false)"
-    pat = C.word_pattern(terms).replace("'", "''")
-    return f"coalesce(regexp_matches({t}, '{pat}'), false)"
+    words = (f"(' ' || array_to_string(list_filter(regexp_split_to_array({t}, '[^\\p{{L}}\\p{{N}}]+'), "
+             f"lambda x: x <> ''), ' ') || ' ')")
+    keys = [(" " + C.word_key(x) + " ").replace("'", "''") for x in terms]
+    return "coalesce((" + " OR ".join(f"contains({words}, '{k}')" for k in keys) + "), false)"
 
 
 def _first(pairs: list[tuple[str, str]]) -> str:
