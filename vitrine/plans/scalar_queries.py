@@ -11,7 +11,7 @@ from vitrine.functions.urls import (absolutize, external_id, fix_protocol, gift_
                                     product_link, quick_view, row_id, slug_title)
 from vitrine.plans import sqlparts as S
 from vitrine.sources.fixtures import catalog_new, with_fixtures
-from vitrine.sources.tables import read_table
+from vitrine.sources.tables import read_table, spread
 
 
 # Every term the document queries test, for the one-pass token lookup.
@@ -22,7 +22,7 @@ _DOC_VOCAB = C.vocabulary(C.CATEGORY_KEYWORDS, C.COARSE_TERMS, C.WOMEN_TERMS, C.
 def _docs(spark, sf_dir, *extra):
     """Documents with each text prepared once per mode: lower-cased for
     substring tests, and the vocabulary terms found as whole tokens."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", *extra)
+    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", *extra), "doc_id")
     return d.select("*", F.lower("text").alias("_lower"),
                     C.prepare(F.col("text"), "word", _DOC_VOCAB).alias("_words"))
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.sources.tables import read_table
+from vitrine.sources.tables import read_table, spread
 
 SHOP = "https://shop.example.com"
 GARMENTS = ["hoodie", "sneakers", "knit sweater", "t-shirt", "pants", "jacket", "dress", "cap"]
@@ -31,7 +31,9 @@ def _case(key: Column, mod: int, options: list[Column]) -> Column:
 
 
 def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size", "p_retailprice")
+    # the rendered pages are ~50x the part rows: spread the small input first
+    p = spread(read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size",
+                                                        "p_retailprice"), "p_partkey")
     k, n, t = F.col("p_partkey"), F.col("p_name"), F.col("p_type")
     price = F.col("p_retailprice").cast("decimal(18,2)").cast("string")
     sale = (F.col("p_retailprice") - 10).cast("decimal(18,2)").cast("string")

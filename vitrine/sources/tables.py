@@ -25,6 +25,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give CPU-heavy per-row work (HTML parsing, whole-text scans) at least
+    one task per core: when the scan yields fewer partitions than the default
+    parallelism, hash-partition by ``key``. A large table already has many
+    splits and is returned unchanged (no shuffle of the big input)."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target, key)
+    return df
+
+
 def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages arrive already fetched as ``(page_id, url, html)``."""
-    return read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return spread(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"), "page_id")
