@@ -23,7 +23,9 @@ def embed_column(df: DataFrame, input_col: str, output_col: str, embed_fn: Calla
     ``input_col``; rows whose ``flag_col`` is false skip the model (null)."""
     import pandas as pd
 
-    out_schema = df.schema.add(output_col, "array<float>")
+    from pyspark.sql import types as T
+
+    out_schema = T.StructType(list(df.schema.fields) + [T.StructField(output_col, T.ArrayType(T.FloatType()))])
     names = df.columns
 
     def run(batches):

@@ -29,7 +29,7 @@ QUERIES = {
 _WALK = with_fixtures("page_chain") + """,
 edges AS (SELECT DISTINCT url, next_url FROM page_chain WHERE next_url IS NOT NULL AND next_url <> url),
 heads AS (SELECT DISTINCT url FROM page_chain
-          WHERE url NOT IN (SELECT next_url FROM page_chain WHERE next_url IS NOT NULL)),
+          WHERE url NOT IN (SELECT next_url FROM page_chain WHERE next_url IS NOT NULL AND next_url <> url)),
 walk AS (SELECT start, url, min(depth) AS depth FROM (
   WITH RECURSIVE w(start, url, depth) AS (
     SELECT url, url, 0 FROM heads

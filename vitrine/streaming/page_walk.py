@@ -19,8 +19,10 @@ CHECKPOINT_EVERY = 4
 
 
 def chain_heads(chain: DataFrame) -> DataFrame:
-    """Pages nobody points at: the starts of the walks."""
-    targets = chain.where(F.col("next_url").isNotNull()).select(F.col("next_url").alias("url")).distinct()
+    """Pages no other page points at: the starts of the walks (a self-link
+    means "no next page", so it does not make a page a target)."""
+    targets = (chain.where(F.col("next_url").isNotNull() & (F.col("next_url") != F.col("url")))
+               .select(F.col("next_url").alias("url")).distinct())
     return chain.select("url").distinct().join(targets, "url", "left_anti")
 
 
