@@ -77,7 +77,7 @@ def czk_to_eur(text: Column) -> Column:
     """``'1 234,50 CZK'`` -> amount * 0.042 as ``'51.85EUR'``; null if absent."""
     raw = F.regexp_extract(text, CZK_PATTERN, 1)
     num = F.regexp_replace(F.regexp_replace(raw, r"[\s.]", ""), ",", ".")
-    amount = num.try_cast("decimal(18,2)") * F.lit(CZK_TO_EUR).cast("decimal(6,3)")
+    amount = num.try_cast("decimal(28,10)") * F.lit(CZK_TO_EUR).cast("decimal(4,3)")
     return F.when(num != "", money_text(F.round(amount, 2)))
 
 

@@ -212,7 +212,11 @@ def product_records_p1(pages: DataFrame) -> DataFrame:
     gallery = F.array_distinct(F.filter(F.transform("gallery", fix_protocol),
                                         lambda s: s.isNotNull() & (s != "") & ~F.coalesce(s == main_img, F.lit(False))))
     extra = F.when(F.size(jimages) > 1, F.slice(jimages, 2, 1 << 20)).otherwise(gallery)
-    return g.select(
+    # Variants flattened, minor units -> EUR text
+    flat = F.transform(variants, lambda v: F.struct(
+        v["title"].alias("title"), minor_units_eur(v["price"]).alias("price_eur"), v["sku"].alias("sku"),
+        v["available"].alias("available")))
+    rec = g.select(
         "page_id", F.col("url").alias("product_url"),
         product_handle(F.col("url"), jget("$.handle")).alias("handle"),
         F.coalesce(jtitle, F.col("h1_product"), F.col("h1"), F.lit("")).alias("title"),
@@ -225,7 +229,18 @@ def product_records_p1(pages: DataFrame) -> DataFrame:
         F.coalesce(F.when(jtype.isNotNull(), C.category_from_type(jtype)),
                    F.array_join(crumbs, " , ")).alias("category"),
         F.when(F.size(sizes) > 0, F.array_join(sizes, ", ")).alias("size"),
+        sizes.alias("sizes"),
+        F.when(js.isNotNull(), F.coalesce(jtype, F.lit(""))).alias("product_type"),
+        F.when(js.isNotNull(), F.coalesce(F.nullif(jget("$.vendor"), F.lit("")), F.lit(""))).alias("vendor"),
+        F.when(js.isNotNull(), F.coalesce(jget("$.tags", "array<string>"), F.array().cast("array<string>")))
+        .alias("tags"),
+        F.when(F.size(variants) > 0, flat).alias("variants"),
     )
+    # Metadata JSON of the record (nested values kept as JSON)
+    meta = F.to_json(F.struct(
+        "title", "description", "price", "category", "gender", "sizes",
+        F.array().cast("array<string>").alias("colors"), "product_type", "vendor", "tags", "variants"))
+    return rec.withColumn("metadata", meta).drop("sizes", "product_type", "vendor")
 
 
 def product_links(pages: DataFrame) -> DataFrame:
@@ -336,3 +351,95 @@ def link_records(pages: DataFrame, selectors: dict, mode: str = "substring",
         F.when((F.length("text") > LINK_MIN_TITLE) & (title != ""), title).alias("title"),
         F.when(price != "", F.concat(price, F.lit(" EUR"))).alias("price"),
         absolutize(F.col("img"), F.col("url")).alias("image_url"))
+
+
+# ---- Fixed values that must equal the reference's for right results. ----
+DYN_CONTAINER = ".product-block__inner"
+DYN_TITLE = "h1, .product-title, .title"
+DYN_PRICE = ".price, .product-price"
+DYN_SALE = ".sale-price, .price--sale, [data-sale-price], .compare-at-price"
+DYN_DESC = '.product-description, .description, [class*="description"]'
+DYN_GENDER = ".gender, .category, .collection-title, h1"
+TITLE_MEN = ["men's", "man's", "male", "for men", "men only"]
+TITLE_WOMEN = ["women's", "woman's", "female", "for women", "women only"]
+PATH_WOMEN = ["/collections/women", "/women"]
+PATH_MEN = ["/collections/men", "/men"]
+# ---- end of fixed values ----
+
+
+def listing_cards_dynamic(pages: DataFrame, selectors: dict, mode: str = "substring") -> DataFrame:
+    """E4 with E13 (gender) and E15 (coarse category) chains, F5 image filter
+    and F10 (cards without a usable image are dropped). Works on saved
+    snapshots of dynamically loaded listing pages."""
+    from vitrine.functions.images import desired_image
+    from vitrine.operators.selectors import _compound
+
+    els = elements(pages)
+    cont_sel = selectors.get("products", DYN_CONTAINER)
+    link_sel = selectors.get("product_url", "a[href*='/products/']")
+    title_sel = selectors.get("title", DYN_TITLE)
+    price_sel = selectors.get("price", DYN_PRICE)
+    sale_sel = selectors.get("sale", DYN_SALE)
+    img_sel = selectors.get("image_url", "img")
+    gender_sel = selectors.get("gender", DYN_GENDER)
+
+    def anc_pred(a):
+        out = F.lit(False)
+        for member in cont_sel.split(","):
+            out = out | _compound(member.strip(), a["tag"], a["elem_id"], a["classes"], None)
+        return out
+
+    # page context: one row per page
+    ctx_keep = (matches("title") | matches('meta[name="description"]') | matches(BREADCRUMBS) | matches(gender_sel))
+    ctx = els.where(ctx_keep).groupBy("page_id").agg(
+        first("title", F.col("raw_text")).alias("page_title"),
+        first_where(matches('meta[name="description"]'), _attr("content")).alias("meta_desc"),
+        all_in_order(BREADCRUMBS, F.col("raw_text")).alias("crumbs"),
+        first(gender_sel, F.col("raw_text")).alias("gender_text"))
+    # cards: elements below a container, grouped by that container
+    cont = _at(F.filter(F.col("ancestors"), anc_pred), -1)["idx"]
+    kids = els.withColumn("c_idx", cont).where(F.col("c_idx").isNotNull())
+    src = F.coalesce(F.nullif(_attr("src"), F.lit("")), _attr("data-src"))
+    keep = matches(link_sel) | matches(title_sel) | matches(price_sel) | matches(sale_sel) | matches(img_sel) \
+        | matches(DYN_DESC)
+    cards = kids.where(keep).groupBy("page_id", "url", "c_idx").agg(
+        first(link_sel, _attr("href")).alias("href"),
+        first(title_sel, F.col("raw_text")).alias("title_raw"),
+        first(price_sel, F.col("raw_text")).alias("price_raw"),
+        first(sale_sel, F.col("raw_text")).alias("sale_raw"),
+        all_where(matches(img_sel) & src.isNotNull(), src).alias("srcs"),
+        first(DYN_DESC, F.col("raw_text")).alias("desc"))
+    j = cards.join(ctx, "page_id", "left")
+    url = absolutize(F.col("href"), F.col("url"))
+    title = F.nullif(strip_blanks(F.col("title_raw")), F.lit(""))
+    price = F.nullif(strip_blanks(F.col("price_raw")), F.lit(""))
+    sale = F.nullif(strip_blanks(F.col("sale_raw")), F.lit(""))
+    imgs = F.array_distinct(F.filter(F.transform("srcs", lambda s: absolutize(s, F.col("url"))), desired_image))
+    crumb_g = _at(F.filter(F.transform("crumbs", lambda c: C.gender_generic(c, mode)), lambda x: x.isNotNull()), 1)
+    crumb_c = _at(F.filter(F.transform("crumbs", lambda c: C.coarse_category(c, mode)), lambda x: x.isNotNull()), 1)
+    low_title = F.lower(F.coalesce(F.col("title_raw"), F.lit("")))
+    low_desc = F.lower(F.coalesce(F.col("desc"), F.lit("")))
+    page_path = F.lower(F.col("url"))
+    gender = F.coalesce(
+        C.gender_generic(url, mode), C.gender_generic(F.col("page_title"), mode), C.gender_meta(F.col("meta_desc")),
+        crumb_g, C.gender_generic(F.col("gender_text"), mode),
+        F.when(C.has_any(low_title, TITLE_WOMEN, "substring"), F.lit("women"))
+         .when(C.has_any(low_title, TITLE_MEN, "substring"), F.lit("men")),
+        F.when(C.has_any(low_desc, C.DESC_WOMEN, "substring"), F.lit("women"))
+         .when(C.has_any(low_desc, C.DESC_MEN, "substring"), F.lit("men")),
+        F.when(C.has_any(page_path, PATH_WOMEN, "substring"), F.lit("women"))
+         .when(C.has_any(page_path, PATH_MEN, "substring"), F.lit("men")))
+    category = F.coalesce(
+        C.coarse_category(url, mode), C.coarse_category(F.col("page_title"), mode),
+        C.coarse_category(F.col("meta_desc"), mode), crumb_c, C.coarse_category(F.col("gender_text"), mode),
+        C.coarse_category(F.col("title_raw"), mode), C.coarse_category(F.col("desc"), mode),
+        C.coarse_category_from_path(F.col("url")), C.keyword_category(title), F.lit("other"))
+    out = j.where(F.coalesce(F.col("href"), F.lit("")) != "").select(
+        "page_id", F.col("c_idx").alias("card_idx"), url.alias("product_url"),
+        _at(F.split(url, "/"), -1).alias("external_id"),
+        title.alias("title"), price.alias("price"),
+        F.when(sale.isNotNull() & ~F.coalesce(sale == price, F.lit(False)), sale).alias("sale"),
+        _at(imgs, 1).alias("image_url"),
+        F.when(F.size(imgs) > 1, F.array_join(F.slice(imgs, 2, 1 << 20), ",")).alias("additional_images"),
+        gender.alias("gender"), category.alias("category"))
+    return out.where(F.col("image_url").isNotNull())      # F10

@@ -15,6 +15,7 @@ from vitrine.operators.selectors import first
 from vitrine.plans import sqlparts as S
 from vitrine.plans.scalar_queries import _kw_cat
 from vitrine.sources.page_fixtures import GARMENTS, LISTING_SIZE, listing_pages, product_pages
+from vitrine.sources.fixtures import with_fixtures
 from vitrine.sources.tables import read_pages
 
 # Site spec used for the rendered shop (selectors as in the shipped site file).
@@ -96,7 +97,61 @@ def _esc(t: str) -> str:
     return "".join("\\" + ch if ch in r"\.^$|?*+()[]{}" else ch for ch in t)
 
 
+DYNAMIC_SELECTORS = {"products": ".product-card", "product_url": "a[href*='/products/']", "title": "a",
+                     "price": ".price", "sale": ".sale-price", "image_url": "img"}
+
+
+def q_listing_dynamic(spark, sf_dir):
+    """E4 + E13 + E15 + F5 + F10 over listing snapshots."""
+    from vitrine.operators.extract import listing_cards_dynamic
+
+    r = listing_cards_dynamic(listing_pages(spark, sf_dir), DYNAMIC_SELECTORS)
+    return r.select("page_id", "product_url", "external_id", "title", "price", "sale", "image_url",
+                    "additional_images", "gender", "category")
+
+
+def q_p1_variants(spark, sf_dir):
+    """Variants of the embedded product state, one row each."""
+    r = product_records_p1(product_pages(spark, sf_dir)).where(F.col("variants").isNotNull())
+    v = r.select("page_id", F.explode("variants").alias("v"))
+    return v.select("page_id", F.col("v.title").alias("variant"), F.col("v.price_eur").alias("price_eur"),
+                    F.col("v.sku").alias("sku"), F.col("v.available").alias("available"))
+
+
+def q_link_fallback(spark, sf_dir):
+    """Pages without containers fall back to link-only records."""
+    from vitrine.plans.jobs import listing_page_records
+
+    sel = dict(SITE_SELECTORS, products=".product-item")
+    r = listing_page_records(listing_pages(spark, sf_dir), sel)
+    return r.select("page_id", "product_url", "external_id", "title", "price", "image_url")
+
+
+def q_new_links(spark, sf_dir):
+    """O2: product links on the listing pages that the stored catalog lacks."""
+    from vitrine.sources.fixtures import catalog_old
+
+    known = catalog_old(spark, sf_dir).select("product_url")
+    return product_links(listing_pages(spark, sf_dir)).join(known, "product_url", "left_anti")
+
+
+def q_page_sites(spark, sf_dir):
+    """Every page (raw, listing, product) joined to its site spec by host."""
+    from vitrine.sources.sites import DEFAULT_SPEC_PATH, pages_with_site, sites_frame
+
+    allp = (read_pages(spark, sf_dir).select("page_id", "url")
+            .unionByName(listing_pages(spark, sf_dir).select("page_id", "url"))
+            .unionByName(product_pages(spark, sf_dir).select("page_id", "url")))
+    j = pages_with_site(allp, sites_frame(spark, DEFAULT_SPEC_PATH))
+    return j.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
+
+
 QUERIES = {
+    "listing_dynamic": q_listing_dynamic,
+    "p1_variants": q_p1_variants,
+    "link_fallback": q_link_fallback,
+    "new_links": q_new_links,
+    "page_sites": q_page_sites,
     "product_page_p2": q_product_page_p2,
     "product_page_p1": q_product_page_p1,
     "listing_links": q_listing_links,
@@ -121,6 +176,14 @@ _DESC_G = ("CASE p_partkey % 4 WHEN 0 THEN 'for men''s wear' WHEN 1 THEN 'for wo
 _DESC = f"p_name || ' ' || {_GARMENT} || ' in ' || p_type || ', ' || {_DESC_G}"
 
 
+def _first_gender() -> str:
+    from vitrine.plans.scalar_queries import _gender_generic as g, _has_any
+    from vitrine.operators.extract import TITLE_MEN, TITLE_WOMEN
+    title = (f"CASE WHEN {_has_any('p_name', TITLE_WOMEN, 'substring')} THEN 'women' "
+             f"WHEN {_has_any('p_name', TITLE_MEN, 'substring')} THEN 'men' END")
+    return f"coalesce({g(_U, 'substring')}, {title})"
+
+
 def _entities(e: str) -> str:
     return (f"replace(replace(replace(replace({e}, '&quot;', '\"'), '&middot;', chr(183)), '&copy;', chr(169)), "
             f"'&amp;', '&')")
@@ -138,7 +201,64 @@ def _gender_generic(t: str, mode: str) -> str:
 _TITLE_SQL = _entities("regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1)")
 _H1_SQL = _entities("regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)")
 
+_LINKS = f"""
+SELECT DISTINCT product_url FROM (
+  SELECT CASE p_partkey % 4 WHEN 0 THEN {_U} WHEN 1 THEN {_U} || '?variant=1' WHEN 2 THEN {_U} || '/quick-view'
+              ELSE {_U} END AS product_url FROM part
+  UNION ALL
+  SELECT 'https://shop.example.com/products/gift-card-' || CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey % 4 = 3)"""
+_IMG_URL = f"{_IMG} || '_1.jpg'"
+
+
+def _coarse_sql(t: str) -> str:
+    from vitrine.functions import classify as C
+    from vitrine.plans.scalar_queries import _first, _has_any
+    return _first([(_has_any(t, terms, "substring"), c) for c, terms in C.COARSE_TERMS])
+
+
+def _desired_sql(u: str) -> str:
+    from vitrine.plans.scalar_queries import _desired
+    return _desired(u)
+
+
+def _link_title(t: str) -> str:
+    cut = f"string_split(string_split({t}, ' EUR')[1], ' +')[1]"
+    cleaned = f"trim(regexp_replace({cut}, '\\b(XS|S|M|L|XL|XXL|\\d+)\\b', '', 'g'))"
+    return f"CASE WHEN length({t}) > 10 AND {cleaned} <> '' THEN {cleaned} END"
+
+
 ORACLES = {
+    "listing_dynamic": f"""
+SELECT p_partkey // {LISTING_SIZE} AS page_id, {_U} AS product_url, {_SLUG} AS external_id, p_name AS title,
+  replace({_P}, '.', ',') || ' EUR' AS price,
+  CASE WHEN p_partkey % 8 = 0 THEN replace({_SALE}, '.', ',') || ' EUR' END AS sale,
+  {_IMG_URL} AS image_url, CAST(NULL AS VARCHAR) AS additional_images,
+  {_first_gender()} AS gender,
+  coalesce({_coarse_sql(_U)}, {_coarse_sql('p_name')}, {_kw_cat('p_name', 'substring')}, 'other') AS category
+FROM part WHERE p_partkey % 4 = 0 AND {_desired_sql(_IMG_URL)}""",
+    "p1_variants": f"""
+SELECT p_partkey AS page_id, v.variant, v.price_eur, v.sku, v.available FROM part,
+  (SELECT unnest([
+     {{'variant': CAST(p_size AS VARCHAR), 'price_eur': CAST(CAST(CAST(round(p_retailprice * 100) AS BIGINT) / 100
+        AS DECIMAL(18,2)) AS VARCHAR) || 'EUR', 'sku': 'SKU-' || CAST(p_partkey AS VARCHAR), 'available': true}},
+     {{'variant': 'Default Title', 'price_eur': CAST(CAST(CAST(round(p_retailprice * 100) AS BIGINT) / 100
+        AS DECIMAL(18,2)) AS VARCHAR) || 'EUR', 'sku': 'SKU-' || CAST(p_partkey AS VARCHAR) || '-D',
+      'available': false}}]) AS v)
+WHERE p_partkey % 5 = 4""",
+    "link_fallback": f"""
+SELECT p_partkey // {LISTING_SIZE} AS page_id,
+  CASE p_partkey % 4 WHEN 1 THEN {_U} || '?variant=1' WHEN 2 THEN {_U} || '/quick-view' ELSE {_U} END AS product_url,
+  CAST(p_partkey AS VARCHAR) AS external_id,
+  CASE WHEN p_partkey % 4 = 2 THEN NULL ELSE {_link_title('p_name')} END AS title,
+  CASE WHEN p_partkey % 4 = 0 THEN replace({_P}, '.', ',') || ' EUR' END AS price,
+  CASE WHEN p_partkey % 4 = 0 THEN {_IMG_URL} END AS image_url
+FROM part""",
+    "new_links": f"""{with_fixtures("catalog_old")}, links AS ({_LINKS})
+SELECT product_url FROM links EXCEPT SELECT product_url FROM catalog_old""",
+    "page_sites": f"""
+SELECT CAST(NULL AS VARCHAR) AS site, count(*) AS pages FROM pages
+UNION ALL
+SELECT 'shop' AS site, (SELECT count(DISTINCT p_partkey // {LISTING_SIZE}) FROM part) + count(*) AS pages FROM part""",
     "product_page_p2": f"""
 SELECT p_partkey AS page_id, {_U} AS product_url, CAST(p_partkey AS VARCHAR) AS external_id, p_name AS title,
   CASE p_partkey % 6 WHEN 0 THEN {_P} || ' EUR' WHEN 2 THEN {_P} || ' EUR' ELSE {_P} END AS price,
@@ -177,7 +297,7 @@ SELECT p_partkey // {LISTING_SIZE} AS page_id,
   CAST(p_partkey AS VARCHAR) AS external_id,
   CASE WHEN p_partkey % 4 = 0 THEN p_name ELSE 'Quick view' END AS title,
   CASE WHEN p_partkey % 4 = 0 THEN replace({_P}, '.', ',') || ' EUR' END AS price,
-  CAST(NULL AS VARCHAR) AS image_url
+  CASE WHEN p_partkey % 4 = 0 THEN {_IMG} || '_1.jpg' END AS image_url
 FROM part WHERE p_partkey % 4 IN (0, 2)""",
     "next_page": f"""
 SELECT page_no AS page_id, 'https://shop.example.com/collections/all?page=' || CAST(page_no AS VARCHAR) AS url,

@@ -100,7 +100,30 @@ def q_link_predicates(spark, sf_dir):
                         quick_view(F.col("href")).alias("quick_view"))
 
 
+def q_price_conversions(spark, sf_dir):
+    """X2-X4 over every part's price text: CZK to EUR, EUR text, minor units."""
+    from vitrine.functions.price import czk_to_eur, eur_text, minor_units_eur
+    from vitrine.sources.fixtures import price_texts
+
+    p = price_texts(spark, sf_dir).join(read_table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"),
+                                        "p_partkey")
+    units = F.round(F.col("p_retailprice") * 100).cast("bigint")
+    return p.select("p_partkey", czk_to_eur(F.col("s")).alias("czk_eur"), eur_text(F.col("s")).alias("eur"),
+                    minor_units_eur(units).alias("minor_eur"))
+
+
+def q_tags(spark, sf_dir):
+    """Comma text to a tag array (trimmed, empties dropped)."""
+    from vitrine.functions.text import tags_array
+
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand", "p_name")
+    t = F.concat(F.lit(" "), F.col("p_type"), F.lit(", "), F.col("p_brand"), F.lit(" ,, "), F.col("p_name"))
+    return p.select("p_partkey", F.array_join(tags_array(t), "|").alias("tags"))
+
+
 QUERIES = {
+    "price_conversions": q_price_conversions,
+    "tags": q_tags,
     "doc_keyword_category": q_doc_keyword_category,
     "doc_gender": q_doc_gender,
     "doc_coarse_category": q_doc_coarse_category,
@@ -179,7 +202,26 @@ def _desired(u: str) -> str:
 
 _GIFT_WORD = "gift-?card|(^|[^a-z])card([^a-z]|$)"
 
+_CZK_RAW = "regexp_extract(s, '([\\d\\s.,]+)\\s*CZK', 1)"
+_CZK_NUM = f"replace(regexp_replace({_CZK_RAW}, '[\\s.]', '', 'g'), ',', '.')"
+_EUR_RAW = "regexp_extract(s, '(\\d+(?:[.,]\\d+)?)\\s*EUR', 1)"
+
 ORACLES = {
+    "price_conversions": with_fixtures("price_texts") + f"""
+SELECT t.p_partkey,
+  CASE WHEN {_CZK_NUM} <> '' THEN CAST(CAST(round(TRY_CAST({_CZK_NUM} AS DECIMAL(28,10)) * 0.042, 2)
+       AS DECIMAL(18,2)) AS VARCHAR) || 'EUR' END AS czk_eur,
+  CASE WHEN {_EUR_RAW} <> '' THEN CAST(TRY_CAST(replace({_EUR_RAW}, ',', '.') AS DECIMAL(18,2)) AS VARCHAR) || 'EUR'
+       END AS eur,
+  CASE WHEN round(p.p_retailprice * 100) <> 0
+       THEN CAST(CAST(CAST(round(p.p_retailprice * 100) AS BIGINT) / 100 AS DECIMAL(18,2)) AS VARCHAR) || 'EUR'
+       END AS minor_eur
+FROM price_texts t JOIN part p ON t.p_partkey = p.p_partkey""",
+    "tags": f"""
+SELECT p_partkey, array_to_string(list_filter(list_transform(
+    string_split(' ' || p_type || ', ' || p_brand || ' ,, ' || p_name, ','),
+    lambda x: {S.strip_blanks('x')}), lambda x: x <> ''), '|') AS tags
+FROM part""",
     "doc_keyword_category": f"""
 SELECT doc_id, {_kw_cat('text', 'substring')} AS cat_substring, {_kw_cat('text', 'word')} AS cat_word FROM documents""",
     "doc_gender": f"""

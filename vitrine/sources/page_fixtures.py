@@ -91,14 +91,20 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Category pages of ``LISTING_SIZE`` products each, with a next pointer."""
-    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
+    p = spread(read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice"), "p_partkey")
     k, n = F.col("p_partkey"), F.col("p_name")
     page_no = (k / LISTING_SIZE).cast("bigint")
     slug = F.concat(F.regexp_replace(n, " ", "-"), _lit("-"), k.cast("string"))
     price = F.regexp_replace(F.col("p_retailprice").cast("decimal(18,2)").cast("string"), r"\.", ",")
+    sale = F.regexp_replace((F.col("p_retailprice") - 10).cast("decimal(18,2)").cast("string"), r"\.", ",")
+    img = F.concat(_lit("//cdn.example.com/files/"), F.regexp_replace(F.initcap(n), " ", "_"), _lit("_"),
+                   k.cast("string"), _lit("_1.jpg"))
+    sale_html = F.when(k % 8 == 0, F.concat(_lit('<span class="sale-price">'), sale, _lit(" EUR</span>"))) \
+        .otherwise(_lit(""))
     card = _case(k, 4, [
         F.concat(_lit('<div class="product-card"><a href="/products/'), slug, _lit('">'), n,
-                 _lit('</a><span class="price">'), price, _lit(" EUR</span></div>")),
+                 _lit('</a><span class="price">'), price, _lit(" EUR</span>"), sale_html, _lit('<img src="'), img,
+                 _lit('" alt="'), n, _lit('"></div>')),
         F.concat(_lit('<li class="grid__item"><a href="' + SHOP + '/products/'), slug, _lit('?variant=1">'), n,
                  _lit("</a></li>")),
         F.concat(_lit('<div class="product-card"><a href="/products/'), slug, _lit('/quick-view">Quick view</a></div>'
