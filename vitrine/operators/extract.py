@@ -20,7 +20,7 @@ from vitrine.functions.price import html_price, minor_units_eur, strip_blanks
 from vitrine.functions.urls import absolutize, external_id, fix_protocol, product_handle, slug_title
 from vitrine.functions.text import strip_tags
 from vitrine.operators.elements import elements
-from vitrine.operators.selectors import all_in_order, all_where, first, first_where, matches
+from vitrine.operators.selectors import all_in_order, all_where, apply_rules, first, first_where, matches
 
 
 def _at(arr, i: int):
@@ -112,32 +112,27 @@ def product_records_p2(pages: DataFrame, selectors: dict | None = None, brand: s
         "img": matches(P2_IMAGES) & norm_src.isNotNull() & img_ok,
         "img_fb": matches(P2_IMAGES_FALLBACK) & norm_src.isNotNull() & img_ok,
     }
-    named = (P2_TITLE + P2_PRICE + P2_SALE + [sizes_sel, gender_sel, P2_DESCRIPTION, P2_GENDER_DESC, BREADCRUMBS,
-                                               "title"])
-    keep = F.lit(False)
-    for p in list(preds.values()) + [matches(s) for s in named]:
-        keep = keep | p
-    aggs = (
-        [first(s, F.col("text")).alias(f"t{i}") for i, s in enumerate(P2_TITLE)]
-        + [first(s, F.col("text")).alias(f"p{i}") for i, s in enumerate(P2_PRICE)]
-        + [first(s, F.col("text")).alias(f"s{i}") for i, s in enumerate(P2_SALE)]
+    rules = (
+        [(f"t{i}", matches(sel), F.col("text"), "first") for i, sel in enumerate(P2_TITLE)]
+        + [(f"p{i}", matches(sel), F.col("text"), "first") for i, sel in enumerate(P2_PRICE)]
+        + [(f"s{i}", matches(sel), F.col("text"), "first") for i, sel in enumerate(P2_SALE)]
         + [
-            first_where(preds["og"], _attr("content")).alias("og_title"),
-            first_where(preds["script_price"], script_price).alias("script_price"),
-            first_where(preds["data_price"], _attr("data-price")).alias("data_price"),
-            first_where(preds["meta_price"], _attr("content")).alias("meta_price"),
-            first_where(preds["jsonld"] & _jsonld_price().isNotNull(), _jsonld_price()).alias("jsonld_price"),
-            all_where(preds["img"], norm_src).alias("imgs"),
-            all_where(preds["img_fb"], norm_src).alias("imgs_fb"),
-            all_in_order(sizes_sel, F.col("text")).alias("sizes"),
-            first_where(preds["meta_desc"], _attr("content")).alias("meta_desc"),
-            all_in_order(BREADCRUMBS, F.col("raw_text")).alias("crumbs"),
-            first("title", F.col("raw_text")).alias("page_title"),
-            first(gender_sel, F.col("raw_text")).alias("gender_text"),
-            first(P2_GENDER_DESC, F.col("raw_text")).alias("gender_desc"),
-            first(P2_DESCRIPTION, F.col("text_sp")).alias("description"),
+            ("og_title", preds["og"], _attr("content"), "first"),
+            ("script_price", preds["script_price"], script_price, "first"),
+            ("data_price", preds["data_price"], _attr("data-price"), "first"),
+            ("meta_price", preds["meta_price"], _attr("content"), "first"),
+            ("jsonld_price", preds["jsonld"] & _jsonld_price().isNotNull(), _jsonld_price(), "first"),
+            ("imgs", preds["img"], norm_src, "all"),
+            ("imgs_fb", preds["img_fb"], norm_src, "all"),
+            ("sizes", matches(sizes_sel), F.col("text"), "all"),
+            ("meta_desc", preds["meta_desc"], _attr("content"), "first"),
+            ("crumbs", matches(BREADCRUMBS), F.col("raw_text"), "all"),
+            ("page_title", matches("title"), F.col("raw_text"), "first"),
+            ("gender_text", matches(gender_sel), F.col("raw_text"), "first"),
+            ("gender_desc", matches(P2_GENDER_DESC), F.col("raw_text"), "first"),
+            ("description", matches(P2_DESCRIPTION), F.col("text_sp"), "first"),
         ])
-    g = els.where(keep).groupBy("page_id", "url").agg(*aggs)
+    g = apply_rules(els, ["page_id", "url"], rules)
     title = F.coalesce(
         _chain([F.col(f"t{i}") for i in range(len(P2_TITLE))], lambda t: _title_ok(t, brand)),
         F.nullif(strip_blanks(F.col("og_title")), F.lit("")),

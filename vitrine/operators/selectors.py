@@ -121,3 +121,27 @@ def all_where(pred: Column, value: Column) -> Column:
     return F.transform(
         F.array_sort(F.collect_list(F.when(pred, F.struct(F.col("idx").alias("i"), value.alias("v"))))),
         lambda s: s["v"])
+
+
+def apply_rules(els, keys: list[str], rules: list[tuple]):
+    """Evaluate every rule once per element, then aggregate per ``keys``.
+
+    ``rules``: ``(name, predicate, value, kind)`` with kind ``first`` (value of
+    the first matching element in document order) or ``all`` (values of every
+    match, in order). Each rule is projected as ``when(pred, struct(idx,
+    value))`` so predicates run once in generated code; elements no rule hits
+    are dropped before the aggregate, which then only keeps minima / lists.
+    """
+    cols = [F.when(pred, F.struct(F.col("idx").alias("i"), value.alias("v"))).alias(name)
+            for name, pred, value, _ in rules]
+    proj = els.select(*keys, *cols)
+    hit = F.lit(False)
+    for name, *_ in rules:
+        hit = hit | F.col(name).isNotNull()
+    aggs = []
+    for name, _, _, kind in rules:
+        if kind == "first":
+            aggs.append(F.min(name)["v"].alias(name))
+        else:
+            aggs.append(F.transform(F.array_sort(F.collect_list(name)), lambda s: s["v"]).alias(name))
+    return proj.where(hit).groupBy(*keys).agg(*aggs)

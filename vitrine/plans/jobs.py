@@ -19,6 +19,7 @@ from vitrine.operators.extract import listing_cards, product_records_p1, product
 from vitrine.operators.merge import merge_catalog, next_version
 from vitrine.operators.records import format_products, with_site_constants
 from vitrine.sources.catalog import CatalogTable
+from vitrine.session import checkpoint_dir
 from vitrine.sources.sites import load_spec, sites_frame
 
 # Fixed values of the first pipeline (source, brand, constants).
@@ -49,6 +50,7 @@ def catalog_run(spark: SparkSession, pages: DataFrame, table: CatalogTable, run:
     Returns ``(merged, summary)``. ``max_products`` is the test-mode limit
     (L3), applied to URLs before the costly extraction.
     """
+    checkpoint_dir(spark)
     if max_products is not None:
         pages = pages.orderBy("url").limit(max_products)
     recs = product_records_p1(pages).withColumns({
@@ -59,7 +61,8 @@ def catalog_run(spark: SparkSession, pages: DataFrame, table: CatalogTable, run:
     inc = keep_first(fmt, ["id"], ["product_url"])
     stored = table.read_base(run)
     mine = stored.where(F.col("source") == source)
-    cls = classify(inc, mine)
+    # computed once: the merge, the write and the counters all read it
+    cls = classify(inc, mine).checkpoint()
     cols = {c: F.col(c) for c in cls.columns}
     cls = cls.withColumn("search_text", labelled_search_text(cols))
     embedded = _embed(cls, image_fn, text_fn, dim)

@@ -16,12 +16,13 @@ from vitrine.operators.dedupe import keep_first
 from vitrine.operators.extract import product_records_p2
 from vitrine.operators.records import format_products
 from vitrine.sources.catalog import CatalogTable, upsert
+from vitrine.sources.tables import spread
 
 PAGE_SCHEMA = "page_id bigint, url string, html string"
 
 
 def batch_records(pages: DataFrame, selectors: dict, source: str, brand: str) -> DataFrame:
-    recs = product_records_p2(pages, selectors, brand=brand).withColumns({
+    recs = product_records_p2(spread(pages, "page_id"), selectors, brand=brand).withColumns({
         "source": F.lit(source), "brand": F.lit(brand), "second_hand": F.lit(False)})
     return keep_first(format_products(recs), ["id"], ["product_url"])
 

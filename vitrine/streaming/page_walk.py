@@ -33,7 +33,7 @@ def walk(chain: DataFrame, starts: DataFrame, max_pages: int | None = None) -> D
     spark = chain.sparkSession
     checkpoint_dir(spark)
     edges = (chain.where(F.col("next_url").isNotNull() & (F.col("next_url") != F.col("url")))
-             .select("url", "next_url").distinct())
+             .select("url", "next_url").distinct().checkpoint())     # read once, joined every round
     frontier = starts.select(F.col("url").alias("start"), "url", F.lit(0).alias("depth"))
     visited = frontier
     depth = 0
