@@ -89,3 +89,16 @@ def test_versioned_table_replay_and_delete(spark, scratch):
     removed = delete_products(t, keys, 3)
     assert removed == n_src
     assert t.read().where(F.col("source") == src).count() == 0
+
+
+def test_run_rewrites_only_touched_sources(spark, scratch):
+    t = CatalogTable(spark, f"{scratch}/catalog")
+    inc = incoming(spark, SF_SMALL).where(F.col("reject_reason").isNull())
+    upsert(t, inc, 1, "2024-06-01 00:00:00")
+    before = t.snapshot()
+    one = sorted(before)[0]
+    upsert(t, inc.where(F.col("source") == one), 2, "2024-06-02 00:00:00", expire=False)
+    after = t.snapshot()
+    assert after[one] == 2
+    assert {s: v for s, v in after.items() if s != one} == {s: v for s, v in before.items() if s != one}
+    assert t.read().count() == inc.count()

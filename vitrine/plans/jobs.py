@@ -59,16 +59,14 @@ def catalog_run(spark: SparkSession, pages: DataFrame, table: CatalogTable, run:
     })
     fmt = format_products(recs)
     inc = keep_first(fmt, ["id"], ["product_url"])
-    stored = table.read_base(run)
-    mine = stored.where(F.col("source") == source)
+    mine = table.read_base(run, [source])          # only this source's folder is read
     # computed once: the merge, the write and the counters all read it
     cls = classify(inc, mine).checkpoint()
     cols = {c: F.col(c) for c in cls.columns}
     cls = cls.withColumn("search_text", labelled_search_text(cols))
     embedded = _embed(cls, image_fn, text_fn, dim)
     merged = merge_catalog(mine, embedded.drop("search_text"), run, run_ts).cache()
-    others = stored.where(F.col("source") != source)
-    table.commit(next_version(merged).unionByName(others, allowMissingColumns=True), run)
+    table.commit(next_version(merged), run, [source])    # other sources keep their folders
     summary = run_summary(cls, run, merged.where(F.col("action") == "delete"))
     return merged, summary
 

@@ -1,17 +1,20 @@
-"""The catalog as a versioned parquet table.
-
-Plain parquet refuses MERGE and DELETE, so every run writes a whole new
-version folder ``v=<n>`` under the table root, partitioned by ``source``;
-readers take the highest version that carries Spark's ``_SUCCESS`` marker, so
-a half-written version is never read. Versions are named by run (or stream
-batch) number and written with overwrite, so a replayed run or micro-batch
-lands on the same folder (idempotent). The root must be a shared folder on a
-cluster (see ``vitrine.session.checkpoint_dir``).
+"""The catalog as a versioned parquet table, versioned per source.
+
+Plain parquet refuses MERGE and DELETE. Versions are therefore folders, kept
+per source: ``<root>/source=<s>/v=<n>/``. A run (or a stream micro-batch)
+merges and rewrites only the sources it touches; every other source keeps
+its current folder, so the cost of a run follows the data it changes, not the
+size of the catalog. A version folder counts only once its ``_SUCCESS``
+marker exists, and a run numbered ``n`` always merges into the newest folders
+*below* ``n``: a replayed run or micro-batch rewrites the same folders with
+the same content. The root must be a shared folder on a cluster.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,99 +22,146 @@ from pyspark.sql import functions as F
 from vitrine.operators.records import CATALOG_SCHEMA, accepted, pad_columns
 
 _VERSION = re.compile(r"^v=(\d+)$")
-WRITE_SPREAD = 16
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
+_SOURCE = re.compile(r"^source=(.*)$")
+WRITE_SPREAD = 16          # writers per source: a source with a third of all rows is not one task
+MARK_OK = "_SUCCESS"
+MARK_EMPTY = "_EMPTY"      # a source whose rows were all removed
 
 
 class CatalogTable:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-
-    # ---------------------------------------------------------------- read
-    def versions(self) -> list[int]:
-        fs, root, jvm = _fs(self.spark, self.root)
-        if not fs.exists(root):
+        jvm = spark.sparkContext._jvm
+        self._Path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._Path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    # ------------------------------------------------------------ layout
+    def _list(self, path: str) -> list[str]:
+        p = self._Path(path)
+        if not self._fs.exists(p):
             return []
+        return [st.getPath().getName() for st in self._fs.listStatus(p) if st.isDirectory()]
+
+    def _exists(self, path: str) -> bool:
+        return self._fs.exists(self._Path(path))
+
+    def _touch(self, path: str) -> None:
+        self._fs.create(self._Path(path), True).close()
+
+    def _source_dir(self, source: str) -> str:
+        return f"{self.root}/source={quote(source, safe='')}"
+
+    def version_dir(self, source: str, version: int) -> str:
+        return f"{self._source_dir(source)}/v={version:06d}"
+
+    def _committed(self, source: str) -> list[int]:
         out = []
-        for st in fs.listStatus(root):
-            m = _VERSION.match(st.getPath().getName())
-            if m and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+        for name in self._list(self._source_dir(source)):
+            m = _VERSION.match(name)
+            if m and self._exists(f"{self._source_dir(source)}/{name}/{MARK_OK}"):
                 out.append(int(m.group(1)))
         return sorted(out)
 
+    def sources(self) -> list[str]:
+        return sorted(unquote(m.group(1)) for m in (_SOURCE.match(n) for n in self._list(self.root)) if m)
+
+    def versions(self) -> list[int]:
+        """Every committed version number over all sources."""
+        return sorted({v for s in self.sources() for v in self._committed(s)})
+
     def current_version(self) -> int | None:
         v = self.versions()
         return v[-1] if v else None
 
-    def base_for(self, version: int) -> int | None:
-        """The newest committed version below ``version``: the base a run (or a
-        replay of it) merges into, never the folder it overwrites."""
-        older = [v for v in self.versions() if v < version]
-        return older[-1] if older else None
-
-    def read_base(self, version: int) -> DataFrame:
-        base = self.base_for(version)
-        return self.read(base) if base is not None else self.spark.createDataFrame([], CATALOG_SCHEMA)
-
-    def path(self, version: int) -> str:
-        return f"{self.root}/v={version:06d}"
+    def snapshot(self, below: int | None = None, sources: list[str] | None = None) -> dict[str, int]:
+        """Per source, the newest committed version (``< below`` when given)."""
+        out = {}
+        for s in sources if sources is not None else self.sources():
+            vs = [v for v in self._committed(s) if below is None or v < below]
+            if vs:
+                out[s] = vs[-1]
+        return out
+
+    # -------------------------------------------------------------- read
+    def _read(self, snap: dict[str, int]) -> DataFrame:
+        paths = [self.version_dir(s, v) for s, v in sorted(snap.items())
+                 if not self._exists(f"{self.version_dir(s, v)}/{MARK_EMPTY}")]
+        if not paths:
+            return self.spark.createDataFrame([], CATALOG_SCHEMA)
+        return self.spark.read.schema(CATALOG_SCHEMA).parquet(*paths)
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The table at ``version`` (default: latest); empty with the schema if none."""
-        v = self.current_version() if version is None else version
-        if v is None:
-            return self.spark.createDataFrame([], CATALOG_SCHEMA)
-        return self.spark.read.schema(CATALOG_SCHEMA).parquet(self.path(v))
+        """The whole table as of ``version`` (default: latest)."""
+        return self._read(self.snapshot(None if version is None else version + 1))
+
+    def read_base(self, version: int, sources: list[str] | None = None) -> DataFrame:
+        """What run ``version`` merges into: the newest folders below it."""
+        return self._read(self.snapshot(version, sources))
 
     def scan_source(self, source: str, version: int | None = None) -> DataFrame:
-        """S3: one source's rows with a non-empty ``product_url``, one per url.
-        The ``source`` filter prunes partitions at the scan."""
-        df = self.read(version).where((F.col("source") == source)
-                                      & (F.coalesce(F.col("product_url"), F.lit("")) != ""))
+        """S3: one source's rows with a non-empty url, one per url. Only that
+        source's folder is read (pruning by layout)."""
         from vitrine.operators.dedupe import keep_last
+
+        snap = self.snapshot(None if version is None else version + 1, [source])
+        df = self._read(snap).where(F.coalesce(F.col("product_url"), F.lit("")) != "")
         return keep_last(df, ["product_url"], ["updated_at", "id"])
 
-    # --------------------------------------------------------------- write
-    def commit(self, rows: DataFrame, version: int) -> int:
-        """Write ``rows`` (catalog schema) as version ``version``."""
+    # ------------------------------------------------------------- write
+    def commit(self, rows: DataFrame, version: int, sources: list[str]) -> int:
+        """Write ``rows`` as version ``version`` of each of ``sources``
+        (a source left without rows gets an empty marker version)."""
         out = pad_columns(rows).select(*[F.col(f.name).cast(f.dataType) for f in CATALOG_SCHEMA.fields])
-        # Spread each source over WRITE_SPREAD tasks: a source holding a third
-        # of all rows must not land in one writer.
+        stage = f"{self.root}/_staging/v={version:06d}-{uuid.uuid4().hex[:8]}"
         spread = F.pmod(F.xxhash64("id"), F.lit(WRITE_SPREAD))
-        (out.repartition("source", spread).write.mode("overwrite").partitionBy("source")
-         .parquet(self.path(version)))
+        (out.withColumn("_src", F.col("source")).repartition("_src", spread)
+         .write.mode("overwrite").partitionBy("_src").parquet(stage))
+        staged = {unquote(n[len("_src="):]): f"{stage}/{n}" for n in self._list(stage) if n.startswith("_src=")}
+        for s in sources:
+            target = self.version_dir(s, version)
+            if self._exists(target):                  # replay: same folder, same content
+                self._fs.delete(self._Path(target), True)
+            self._fs.mkdirs(self._Path(self._source_dir(s)))
+            if s in staged:
+                self._fs.rename(self._Path(staged[s]), self._Path(target))
+            else:
+                self._fs.mkdirs(self._Path(target))
+                self._touch(f"{target}/{MARK_EMPTY}")
+            self._touch(f"{target}/{MARK_OK}")
+        self._fs.delete(self._Path(stage), True)
         return version
 
 
+def touched_sources(rows: DataFrame) -> list[str]:
+    """Distinct sources of a run's rows: one per configured shop, tiny."""
+    return sorted(r[0] for r in rows.select("source").where(F.col("source").isNotNull()).distinct().collect())
+
+
 def upsert(table: CatalogTable, incoming: DataFrame, run: int, run_ts: str | None = None,
            expire: bool = True) -> DataFrame:
-    """Merge formatted incoming rows into the latest version and
-    commit version ``run``. Returns the merged frame with its ``action``."""
+    """Merge formatted rows into the sources they touch and commit
+    version ``run`` of those sources only. Returns the merged rows with action."""
     from vitrine.operators.dedupe import keep_last
     from vitrine.operators.merge import merge_catalog, next_version
 
     one_per_id = keep_last(incoming, ["id"], ["reject_reason"]) if "id" in incoming.columns else incoming
-    merged = merge_catalog(table.read_base(run), one_per_id, run, run_ts, expire)
-    table.commit(next_version(merged), run)
+    srcs = touched_sources(one_per_id)
+    merged = merge_catalog(table.read_base(run, srcs), one_per_id, run, run_ts, expire)
+    table.commit(next_version(merged), run, srcs)
     return merged
 
 
 def delete_products(table: CatalogTable, keys: DataFrame, version: int) -> int:
-    """Remove rows by ``(source, product_url)`` into a new version; returns
-    the number of rows removed."""
+    """Remove rows by ``(source, product_url)``; only the sources named in
+    ``keys`` get a new version. Returns the number of rows removed."""
     from vitrine.operators.merge import delete_keys
 
-    cur = table.read_base(version)
+    srcs = touched_sources(keys)
+    cur = table.read_base(version, srcs)
     before = cur.count()
-    kept = delete_keys(cur, keys)
-    table.commit(kept, version)
-    return before - table.read(version).count()
+    table.commit(delete_keys(cur, keys), version, srcs)
+    return before - table._read(table.snapshot(version + 1, srcs)).count()
 
 
 def write_dead_letter(rows: DataFrame, root: str, run: int) -> None:
