@@ -318,7 +318,7 @@ SELECT CAST(count(*) FILTER (WHERE status = 'new') AS BIGINT) AS new_count,
 FROM cls""",
     "limit_per_category": _w("catalog_new") + f""", {_FMT}
 SELECT category, product_url, rank FROM (
-  SELECT category, product_url, row_number() OVER (PARTITION BY category ORDER BY product_url) AS rank
+  SELECT category, product_url, CAST(row_number() OVER (PARTITION BY category ORDER BY product_url) AS INTEGER) AS rank
   FROM fmt WHERE ord = 1) WHERE rank <= {PER_CATEGORY}""",
     "test_mode_limit": _w("catalog_new") + f""", {_FMT}, {_INC}
 SELECT product_url FROM inc ORDER BY product_url LIMIT {TEST_MODE_LIMIT}""",

@@ -313,11 +313,12 @@ SELECT DISTINCT CASE WHEN starts_with(href, '//') THEN 'https:' || href
   WHEN starts_with(href, '/') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1) || href
   ELSE href END AS link
 FROM (SELECT url, replace(unnest(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1)), '&amp;', '&') AS href FROM pages)""",
-    "page_profile": "SELECT page_id, len(regexp_extract_all(html, 'href=\"[^\"]*/products/[^\"]*\"')) AS n_product_links, "
-    + ", ".join(f"len(regexp_extract_all(regexp_replace(html, '<[^>]*>', ' ', 'g'), '{p}')) AS n_price_{i}"
-                for i, p in enumerate(PROFILE_PRICE)) + ", "
-    + ", ".join(f"len(regexp_extract_all(regexp_replace(html, '<[^>]*>', ' ', 'g'), '{_esc(t)}')) AS n_text_{i}"
-                for i, t in enumerate(PROFILE_TEXT)) + " FROM pages",
+    "page_profile": "SELECT page_id, CAST(len(regexp_extract_all(html, 'href=\"[^\"]*/products/[^\"]*\"')) "
+    "AS INTEGER) AS n_product_links, "
+    + ", ".join(f"CAST(len(regexp_extract_all(regexp_replace(html, '<[^>]*>', ' ', 'g'), '{p}')) AS INTEGER) "
+                f"AS n_price_{i}" for i, p in enumerate(PROFILE_PRICE)) + ", "
+    + ", ".join(f"CAST(len(regexp_extract_all(regexp_replace(html, '<[^>]*>', ' ', 'g'), '{_esc(t)}')) AS INTEGER) "
+                f"AS n_text_{i}" for i, t in enumerate(PROFILE_TEXT)) + " FROM pages",
     "page_gender": "SELECT page_id, " + ", ".join(
         f"coalesce({_gender_generic('url', m)}, {_gender_generic(_TITLE_SQL, m)}, {_gender_generic(_H1_SQL, m)})"
         f" AS gender_{m}" for m in ("substring", "word"))

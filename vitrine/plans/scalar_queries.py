@@ -262,6 +262,6 @@ SELECT page_id, pos, href,
   {_has_any('href', ['giftcard', 'gift-card', 'card'], 'substring')} AS gift_sub,
   coalesce(regexp_matches(lower(href), '{_GIFT_WORD}'), false) AS gift_word,
   coalesce(contains(lower(href), 'quick-view'), false) AS quick_view
-FROM (SELECT page_id, unnest(links) AS href, generate_subscripts(links, 1) - 1 AS pos
+FROM (SELECT page_id, unnest(links) AS href, CAST(generate_subscripts(links, 1) - 1 AS INTEGER) AS pos
       FROM (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1) AS links FROM pages))""",
 }

@@ -86,17 +86,17 @@ scored AS (
       / (sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])))
          * sqrt(list_dot_product(c.centroid, c.centroid))) AS cos
   FROM embeddings e JOIN cent c ON e.label = c.label WHERE len(e.embedding) = 64)
-SELECT label, vec_id, CAST(round(cos, 6) AS DECIMAL(10,4)) AS score, rank FROM (
+SELECT label, vec_id, CAST(round(cos, 6) AS DECIMAL(10,4)) AS score, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(cos, 6) DESC, vec_id) AS rank FROM scored)
 WHERE rank <= {TOP_K}""",
     "token_search": f"""
-SELECT doc_id, count(*) AS score, sum(n) AS occurrences FROM (
+SELECT doc_id, count(*) AS score, CAST(sum(n) AS BIGINT) AS occurrences FROM (
   SELECT doc_id, t, count(*) AS n FROM (
     SELECT doc_id, unnest(regexp_split_to_array(lower(text), '{_TOK}')) AS t FROM documents)
   WHERE t IN ({_TERMS}) GROUP BY doc_id, t)
 GROUP BY doc_id ORDER BY score DESC, occurrences DESC, doc_id LIMIT 20""",
     "token_df": f"""
-SELECT token, count(*) AS df, sum(tf) AS cf FROM (
+SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (
   SELECT doc_id, t AS token, count(*) AS tf FROM (
     SELECT doc_id, unnest(regexp_split_to_array(lower(text), '{_TOK}')) AS t FROM documents)
   WHERE t <> '' GROUP BY doc_id, t)
