@@ -139,3 +139,11 @@ def _arrow_schema():
 def elements(pages: DataFrame) -> DataFrame:
     """``pages(page_id, url, html)`` -> element rows (see ``ELEMENT_SCHEMA``)."""
     return pages.select("page_id", "url", "html").mapInArrow(_element_batches, ELEMENT_SCHEMA)
+
+
+def elements_once(pages: DataFrame) -> DataFrame:
+    """Element rows for plans that read them more than once: persisted
+    (memory, spilling to disk) so the Python step runs once per page."""
+    from pyspark import StorageLevel
+
+    return elements(pages).persist(StorageLevel.MEMORY_AND_DISK)

@@ -268,13 +268,13 @@ def next_pages(pages: DataFrame) -> DataFrame:
     return g.select("page_id", "url", F.nullif(nxt, F.lit("")).alias("next_url"))
 
 
-def listing_cards(pages: DataFrame, selectors: dict) -> DataFrame:
+def listing_cards(pages: DataFrame, selectors: dict, els: DataFrame | None = None) -> DataFrame:
     """E2 (and E4 without a browser): one record per listing container with
     url, external id, title, price and image. Each element finds its nearest
     container in its own ancestor list, so no join is needed."""
     from vitrine.operators.selectors import _compound
 
-    els = elements(pages)
+    els = elements(pages) if els is None else els
     cont_sel = selectors.get("products", ".product-item")
     link_sel = selectors.get("product_url", "a")
     title_sel = selectors.get("title", ".title, h3")
@@ -310,15 +310,17 @@ PARENT_PRICE = r"(\d+,\d+)\s*EUR"
 # ---- end of fixed values ----
 
 
-def link_records(pages: DataFrame, selectors: dict, mode: str = "substring",
-                 limit: int = LINK_FALLBACK_LIMIT) -> DataFrame:
+def link_records(pages: DataFrame | None, selectors: dict, mode: str = "substring",
+                 limit: int = LINK_FALLBACK_LIMIT, els: DataFrame | None = None) -> DataFrame:
     """Link-only records for pages without containers: product links minus
     gift cards, first of each href, the first ``limit`` per page in document
     order (L4); title from the link text, price and image from the parent."""
     from vitrine.functions.urls import gift_card
+    from vitrine.operators.elements import elements_once
     from vitrine.operators.topk import top_n_per_group
 
-    els = elements(pages)
+    # links, their parents and the parents' images all come from one element pass
+    els = elements_once(pages) if els is None else els
     href = _attr("href")
     link_sel = selectors.get("product_url", "a[href*='/products/']")
     links = els.where(matches(link_sel) & F.coalesce(href.contains("/products/"), F.lit(False))
@@ -367,9 +369,10 @@ def listing_cards_dynamic(pages: DataFrame, selectors: dict, mode: str = "substr
     and F10 (cards without a usable image are dropped). Works on saved
     snapshots of dynamically loaded listing pages."""
     from vitrine.functions.images import desired_image
+    from vitrine.operators.elements import elements_once
     from vitrine.operators.selectors import _compound
 
-    els = elements(pages)
+    els = elements_once(pages)      # read twice: page context and cards
     cont_sel = selectors.get("products", DYN_CONTAINER)
     link_sel = selectors.get("product_url", "a[href*='/products/']")
     title_sel = selectors.get("title", DYN_TITLE)

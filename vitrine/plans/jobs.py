@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from vitrine.functions.text import labelled_search_text, plain_search_text
 from vitrine.operators.changes import classify, run_summary
 from vitrine.operators.dedupe import keep_first
+from vitrine.operators.elements import elements_once
 from vitrine.operators.embed import embed_column, hashed_text_embedding
 from vitrine.operators.extract import listing_cards, product_records_p1, product_records_p2
 from vitrine.operators.merge import merge_catalog, next_version
-from vitrine.operators.records import format_products, with_site_constants
+from vitrine.operators.records import format_products
 from vitrine.sources.catalog import CatalogTable
 from vitrine.session import checkpoint_dir
-from vitrine.sources.sites import load_spec, sites_frame
+from vitrine.sources.sites import load_spec
 
 # Fixed values of the first pipeline (source, brand, constants).
 P1_SOURCE = "scraper-shop"
@@ -76,14 +77,14 @@ def site_records(spark: SparkSession, listing_pages: DataFrame, product_pages: D
     the listed products only (semi join before the costly extraction), J2
     merge with detail priority, F13 site constants, E27 search text."""
     spec = load_spec(spec)
-    sites = sites_frame(spark, spec)
     parts = []
     for name, s in spec.items():   # one entry per configured site (config, not data)
         sel = s.get("selectors") or {}
         host = s.get("base_url", "").split("://", 1)[-1].split("/", 1)[0].lower()
         lp = listing_pages.where(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1))
                                  == host)
-        cards = listing_cards(lp, sel).withColumn("site", F.lit(name))
+        # cards feed both the detail semi-join and the J2 join: one element pass
+        cards = listing_cards(lp, sel, els=elements_once(lp)).withColumn("site", F.lit(name))
         wanted = cards.select(F.col("product_url").alias("url")).distinct()
         pp = product_pages.join(wanted, "url", "left_semi")
         det = product_records_p2(pp, sel, brand=s.get("brand") or "").drop("page_id")
@@ -94,6 +95,10 @@ def site_records(spark: SparkSession, listing_pages: DataFrame, product_pages: D
         has_detail = F.col("title").isNotNull() | F.col("price").isNotNull()
         merged = j.select(
             "site", "product_url",
+            # this site's constants, straight from its spec row
+            F.lit(s.get("source")).alias("source"), F.lit(s.get("merchant_name")).alias("merchant_name"),
+            F.lit(s.get("brand")).alias("brand"), F.lit(bool(s.get("second_hand", False))).alias("second_hand"),
+            F.lit(s.get("country", "eu")).alias("country"),
             F.coalesce("external_id", "l_external_id").alias("external_id"),
             F.coalesce("title", "l_title").alias("title"),
             F.coalesce("price", "l_price").alias("price"),
@@ -104,7 +109,6 @@ def site_records(spark: SparkSession, listing_pages: DataFrame, product_pages: D
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    out = with_site_constants(out, sites)
     cols = {c: F.col(c) for c in out.columns}
     return out.withColumn("info_text", plain_search_text(cols))
 
@@ -120,10 +124,13 @@ def site_run(spark: SparkSession, listing_pages: DataFrame, product_pages: DataF
 
 
 def listing_page_records(pages: DataFrame, selectors: dict) -> DataFrame:
-    """Cards when a page has containers; else link-only records."""
+    """Cards when a page has containers; else link-only records.
+    The element job runs once; both paths read its (persisted) rows."""
+    from vitrine.operators.elements import elements_once
     from vitrine.operators.extract import link_records
 
-    cards = listing_cards(pages, selectors)
+    els = elements_once(pages)
+    cards = listing_cards(pages, selectors, els=els)
     with_cards = cards.select("page_id").distinct()
-    rest = pages.join(with_cards, "page_id", "left_anti")
-    return cards.unionByName(link_records(rest, selectors), allowMissingColumns=True)
+    rest = els.join(with_cards, "page_id", "left_anti")
+    return cards.unionByName(link_records(None, selectors, els=rest), allowMissingColumns=True)
