@@ -88,8 +88,24 @@ def _ancestor_test(sel: str):
     return test
 
 
+_CACHE: dict = {}
+
+
 def matches(selector: str) -> Column:
-    """Predicate: the element matches any member of the comma list."""
+    """Predicate: the element matches any member of the comma list.
+
+    Built Columns are memoised per SparkContext: a selector is compiled once
+    and reused by every plan (each Column call is a round trip to the JVM)."""
+    from pyspark import SparkContext
+
+    key = (id(SparkContext._active_spark_context), selector)
+    hit = _CACHE.get(key)
+    if hit is None:
+        hit = _CACHE[key] = _matches(selector)
+    return hit
+
+
+def _matches(selector: str) -> Column:
     out = F.lit(False)
     for member in _split_top(selector, ","):
         steps = _split_top(member, " ")

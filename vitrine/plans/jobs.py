@@ -120,7 +120,8 @@ def site_run(spark: SparkSession, listing_pages: DataFrame, product_pages: DataF
 
     recs = site_records(spark, listing_pages, product_pages, spec)
     fmt = format_products(recs)
-    return upsert(table, keep_first(fmt, ["id"], ["product_url"]), run, run_ts)
+    sources = [s.get("source") for s in load_spec(spec).values() if s.get("source")]
+    return upsert(table, keep_first(fmt, ["id"], ["product_url"]), run, run_ts, sources=sources)
 
 
 def listing_page_records(pages: DataFrame, selectors: dict) -> DataFrame:

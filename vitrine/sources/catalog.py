@@ -139,14 +139,24 @@ def touched_sources(rows: DataFrame) -> list[str]:
 
 
 def upsert(table: CatalogTable, incoming: DataFrame, run: int, run_ts: str | None = None,
-           expire: bool = True) -> DataFrame:
+           expire: bool = True, sources: list[str] | None = None) -> DataFrame:
     """Merge formatted rows into the sources they touch and commit
-    version ``run`` of those sources only. Returns the merged rows with action."""
+    version ``run`` of those sources only. Returns the merged rows with action.
+
+    ``sources``: the sources this run covers, when the caller knows them (a
+    site spec does); otherwise they are read from the persisted rows, so the
+    upstream extraction still runs once."""
+    from pyspark import StorageLevel
+
     from vitrine.operators.dedupe import keep_last
     from vitrine.operators.merge import merge_catalog, next_version
 
     one_per_id = keep_last(incoming, ["id"], ["reject_reason"]) if "id" in incoming.columns else incoming
-    srcs = touched_sources(one_per_id)
+    if sources is None:
+        one_per_id = one_per_id.persist(StorageLevel.MEMORY_AND_DISK)
+        srcs = touched_sources(one_per_id)
+    else:
+        srcs = sorted(sources)
     merged = merge_catalog(table.read_base(run, srcs), one_per_id, run, run_ts, expire)
     table.commit(next_version(merged), run, srcs)
     return merged

@@ -35,7 +35,8 @@ def stream_pages_into_catalog(spark: SparkSession, pages_dir: str, table: Catalo
               .parquet(pages_dir))
 
     def merge_batch(df: DataFrame, batch_id: int) -> None:
-        upsert(table, batch_records(df, selectors, source, brand), batch_id + 1, run_ts, expire=False)
+        upsert(table, batch_records(df, selectors, source, brand), batch_id + 1, run_ts, expire=False,
+               sources=[source])
 
     q = (stream.writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
