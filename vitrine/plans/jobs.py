@@ -20,7 +20,7 @@ from vitrine.operators.extract import listing_cards, product_records_p1, product
 from vitrine.operators.merge import merge_catalog, next_version
 from vitrine.operators.records import format_products
 from vitrine.sources.catalog import CatalogTable
-from vitrine.session import checkpoint_dir
+from vitrine.session import checkpoint_dir, materialize
 from vitrine.sources.sites import load_spec
 
 # Fixed values of the first pipeline (source, brand, constants).
@@ -62,7 +62,7 @@ def catalog_run(spark: SparkSession, pages: DataFrame, table: CatalogTable, run:
     inc = keep_first(fmt, ["id"], ["product_url"])
     mine = table.read_base(run, [source])          # only this source's folder is read
     # computed once: the merge, the write and the counters all read it
-    cls = classify(inc, mine).checkpoint()
+    cls = materialize(classify(inc, mine), "classified")
     cols = {c: F.col(c) for c in cls.columns}
     cls = cls.withColumn("search_text", labelled_search_text(cols))
     embedded = _embed(cls, image_fn, text_fn, dim)

@@ -57,3 +57,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(conf_dir)
     return conf_dir
+
+
+def materialize(df, name: str = "stage"):
+    """Cut lineage by writing ``df`` once as parquet under the shared
+    checkpoint folder and reading it back. Unlike ``checkpoint()`` on an
+    uncached frame, the plan runs once; the files survive executor loss."""
+    import uuid
+
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,8 +4,9 @@ A frontier loop over DataFrames: each round joins the frontier to the
 pointer table on ``url`` and drops (start, url) pairs already visited with a
 ``left_anti`` join, so cycles end without a depth bound (Q15) and a self-link
 stops the walk. The driver only counts the new frontier each round; the
-number of rounds is the longest chain, not the data size. Lineage is cut with
-``checkpoint()`` in the shared folder every few rounds.
+number of rounds is the longest chain, not the data size. Lineage is cut every
+few rounds by writing the frontier and visited set to the shared checkpoint
+folder (``vitrine.session.materialize``).
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.session import checkpoint_dir
+from vitrine.session import checkpoint_dir, materialize
 
 CHECKPOINT_EVERY = 4
 
@@ -32,8 +33,8 @@ def walk(chain: DataFrame, starts: DataFrame, max_pages: int | None = None) -> D
     reference's argument (None = until no new page)."""
     spark = chain.sparkSession
     checkpoint_dir(spark)
-    edges = (chain.where(F.col("next_url").isNotNull() & (F.col("next_url") != F.col("url")))
-             .select("url", "next_url").distinct().checkpoint())     # read once, joined every round
+    edges = materialize(chain.where(F.col("next_url").isNotNull() & (F.col("next_url") != F.col("url")))
+                        .select("url", "next_url").distinct(), "walk-edges")   # joined every round
     frontier = starts.select(F.col("url").alias("start"), "url", F.lit(0).alias("depth"))
     visited = frontier
     depth = 0
@@ -46,8 +47,8 @@ def walk(chain: DataFrame, starts: DataFrame, max_pages: int | None = None) -> D
                 .join(visited.select("start", "url"), ["start", "url"], "left_anti")
                 .distinct())
         if depth % CHECKPOINT_EVERY == 0:
-            step = step.checkpoint()
-            visited = visited.checkpoint()
+            step = materialize(step, "walk-step")
+            visited = materialize(visited, "walk-visited")
         else:
             step = step.cache()
         if step.isEmpty():
