@@ -102,3 +102,22 @@ def test_run_rewrites_only_touched_sources(spark, scratch):
     assert after[one] == 2
     assert {s: v for s, v in after.items() if s != one} == {s: v for s, v in before.items() if s != one}
     assert t.read().count() == inc.count()
+
+
+def test_dead_letter_and_run_log(spark, scratch):
+    from vitrine.operators.changes import run_summary
+    from vitrine.sources.catalog import append_run_log, write_dead_letter
+
+    fmt = format_products(spark.createDataFrame(
+        [("s", "u1", "i", None), ("s", "u2", "i", "t")],
+        "source string, product_url string, image_url string, title string"))
+    write_dead_letter(fmt, f"{scratch}/dead", 7)
+    dead = spark.read.json(f"{scratch}/dead/run=000007").collect()
+    assert [(r.product_url, r.reject_reason) for r in dead] == [("u1", "no_title")]
+    inc = incoming(spark, SF_SMALL)
+    summary = run_summary(classify(inc, stored(spark, SF_SMALL)), 7)
+    append_run_log(summary, f"{scratch}/runlog")
+    append_run_log(summary, f"{scratch}/runlog")
+    log = spark.read.parquet(f"{scratch}/runlog").collect()
+    assert len(log) == 2 and log[0].run == 7
+    assert sum(log[0][c] for c in ("new_count", "updated_count", "unchanged_count", "failed_count")) == inc.count()

@@ -282,7 +282,7 @@ SELECT p_partkey AS page_id, {_SLUG} AS handle,
   CASE WHEN p_partkey % 5 = 4 THEN 'https:' || substr({_IMG}, 7) || '_2.jpg' ELSE '' END AS additional_images,
   CASE WHEN p_partkey % 5 = 4 THEN 'women' ELSE '' END AS gender,
   CASE WHEN p_partkey % 5 = 4 AND lower(p_type) = 'standard' THEN 'Woman ' || p_type ELSE p_type END AS category,
-  '' AS description,
+  CASE WHEN p_partkey % 5 = 4 THEN p_name || ' made to last' ELSE '' END AS description,
   CASE WHEN p_partkey % 5 = 4 THEN CAST(p_size AS VARCHAR) END AS size
 FROM part""",
     "listing_links": f"""

@@ -58,7 +58,8 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = F.when(k % 5 == 4, F.concat(
         _lit('<script>window.sizeChartsRelentless = window.sizeChartsRelentless || {}; '
              'sizeChartsRelentless.product = {"title": "'), n, _lit('", "handle": "'), slug,
-        _lit('", "price": '), cents, _lit(', "type": "Woman '), t, _lit('", "vendor": "Shop", "images": ["'),
+        _lit('", "description": "<p>'), n, _lit(' <b>made to last</b></p>", "price": '), cents,
+        _lit(', "type": "Woman '), t, _lit('", "vendor": "Shop", "images": ["'),
         img, _lit('_1.jpg", "'), img, _lit('_2.jpg"], "variants": [{"title": "'), F.col("p_size").cast("string"),
         _lit('", "price": '), cents, _lit(', "sku": "SKU-'), k.cast("string"),
         _lit('", "available": true}, {"title": "Default Title", "price": '), cents,
