@@ -90,7 +90,9 @@ def probe_lists(model, queries: DataFrame, query_vec: str, n_probe: int) -> Data
     parameter, not by the data size), so they enter the plan as a literal.
     """
     centers = [list(map(float, c)) for c in model.clusterCenters()]
-    lit_centers = F.array(*[F.array(*[F.lit(x) for x in c]) for c in centers])
+    # one SQL literal (one JVM call) instead of n_lists x dim Column literals
+    lit_centers = F.expr("array(" + ", ".join(
+        "array(" + ", ".join(f"CAST({x!r} AS DOUBLE)" for x in c) + ")" for c in centers) + ")")
     q = unit(F.col(query_vec))
     dists = F.transform(lit_centers, lambda c, i: F.struct(
         F.aggregate(F.zip_with(c, q, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v)
