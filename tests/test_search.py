@@ -83,6 +83,18 @@ def test_embedding_stage_only_flagged_rows(spark):
     assert ok["a"] == [1.0, 0.0, 0.0]
 
 
+def test_model_built_once_per_task(spark):
+    df = spark.range(0, 50, numPartitions=2).selectExpr("cast(id as string) as u", "true as flag")
+
+    def factory():
+        import os
+        token = float(os.getpid() % 1000)          # stands for an expensive model load
+        return lambda items: [[token, 1.0] for _ in items]
+
+    out = embed_column(df, "u", "v", None, 2, "flag", model_factory=factory).collect()
+    assert len(out) == 50 and all(r.v is not None and r.v[1] == 1.0 for r in out)
+
+
 def test_hashed_text_embedding_dim(spark):
     df = spark.createDataFrame([(1, "red knit sweater"), (2, "  ")], "id int, t string")
     out = {r.id: r.v for r in hashed_text_embedding(df, "t", "v", 16).collect()}

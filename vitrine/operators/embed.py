@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from vitrine.operators.search import tokens, valid_dim
 
 
-def embed_column(df: DataFrame, input_col: str, output_col: str, embed_fn: Callable, dim: int,
-                 flag_col: str | None = None) -> DataFrame:
+def embed_column(df: DataFrame, input_col: str, output_col: str, embed_fn: Callable | None, dim: int,
+                 flag_col: str | None = None, model_factory: Callable[[], Callable] | None = None) -> DataFrame:
     """V1: add ``output_col`` (array<float>) computed by ``embed_fn`` over
-    ``input_col``; rows whose ``flag_col`` is false skip the model (null)."""
+    ``input_col``; rows whose ``flag_col`` is false skip the model (null).
+    With ``model_factory`` the model is built once per task (first batch) and
+    reused for the task's remaining batches."""
     import pandas as pd
 
     from pyspark.sql import types as T
@@ -29,7 +31,10 @@ def embed_column(df: DataFrame, input_col: str, output_col: str, embed_fn: Calla
     names = df.columns
 
     def run(batches):
+        fn = embed_fn
         for pdf in batches:
+            if fn is None:
+                fn = model_factory()
             todo = pdf[input_col].notna() & (pdf[input_col].astype(str).str.strip() != "")
             if flag_col is not None:
                 todo &= pdf[flag_col].fillna(False).astype(bool)
@@ -37,7 +42,7 @@ def embed_column(df: DataFrame, input_col: str, output_col: str, embed_fn: Calla
             idx = [i for i, t in enumerate(todo.tolist()) if t]
             if idx:
                 try:
-                    got = embed_fn([pdf[input_col].iloc[i] for i in idx])
+                    got = fn([pdf[input_col].iloc[i] for i in idx])
                 except Exception:  # noqa: BLE001 - a failing batch leaves nulls
                     got = [None] * len(idx)
                 for i, v in zip(idx, got):

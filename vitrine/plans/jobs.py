@@ -110,7 +110,8 @@ def site_records(spark: SparkSession, listing_pages: DataFrame, product_pages: D
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     cols = {c: F.col(c) for c in out.columns}
-    return out.withColumn("info_text", plain_search_text(cols))
+    meta = F.create_map(F.lit("merchant_name"), F.col("merchant_name"), F.lit("country"), F.col("country"))
+    return out.withColumn("info_text", plain_search_text(cols, meta))
 
 
 def site_run(spark: SparkSession, listing_pages: DataFrame, product_pages: DataFrame, spec,

@@ -11,7 +11,7 @@ from vitrine.functions.urls import absolutize
 from vitrine.operators.elements import elements
 from vitrine.operators.extract import (listing_cards, next_pages, product_links, product_records_p1,
                                        product_records_p2)
-from vitrine.operators.selectors import first
+from vitrine.operators.selectors import first, matches
 from vitrine.plans import sqlparts as S
 from vitrine.plans.scalar_queries import _kw_cat
 from vitrine.sources.page_fixtures import GARMENTS, LISTING_SIZE, listing_pages, product_pages
@@ -29,7 +29,10 @@ SITE_SELECTORS = {
     "gender": ".gender, .category, .collection-title, h1, .collection-title",
 }
 BRAND = "Shop"
-# Fixed value: patterns the page profile counts (price shapes and shop texts).
+# What the page profile counts (candidate containers, price
+# shapes and shop texts).
+PROFILE_CONTAINERS = [".product-item", ".grid-item", ".product", ".item", '[class*="product"]',
+                      '[class*="item"]', "article", ".card", '[class*="card"]']
 PROFILE_PRICE = [r"\d+,\d+\s*EUR", r"\d+\.\d+\s*EUR", r"\d+,\d+", r"\d+\.\d+"]
 PROFILE_TEXT = ["EUR", "new in", "NEW ", "+1"]
 
@@ -83,6 +86,14 @@ def q_page_profile(spark, sf_dir):
     return pg.select("page_id", *cols)
 
 
+def q_page_containers(spark, sf_dir):
+    """Per page, elements matching each candidate container selector."""
+    els = elements(read_pages(spark, sf_dir))
+    return els.groupBy("page_id").agg(*[
+        F.sum(matches(sel).cast("int")).cast("bigint").alias(f"n_container_{i}")
+        for i, sel in enumerate(PROFILE_CONTAINERS)])
+
+
 def q_page_gender(spark, sf_dir):
     """E12 pieces on raw pages: gender from URL, title and h1 in both match modes."""
     els = elements(read_pages(spark, sf_dir))
@@ -160,6 +171,7 @@ QUERIES = {
     "page_titles": q_page_titles,
     "page_links": q_page_links,
     "page_profile": q_page_profile,
+    "page_containers": q_page_containers,
     "page_gender": q_page_gender,
 }
 
@@ -184,6 +196,17 @@ def _first_gender() -> str:
     return f"coalesce({g(_U, 'substring')}, {title})"
 
 
+def _container_sql(sel: str) -> str:
+    """DuckDB test on one start tag ``t`` for a one-step selector: tag name,
+    class token (``.x``) or class substring (``[class*="x"]``)."""
+    cls = "coalesce(regexp_extract(t, 'class=\"([^\"]*)\"', 1), '')"
+    if sel.startswith("."):
+        return f"list_contains(string_split_regex({cls}, '\\s+'), '{sel[1:]}')"
+    if sel.startswith("[class*="):
+        return f"contains({cls}, '{sel.split(chr(34))[1]}')"
+    return f"regexp_matches(t, '^<{sel}[\\s>/]')"
+
+
 def _entities(e: str) -> str:
     return (f"replace(replace(replace(replace({e}, '&quot;', '\"'), '&middot;', chr(183)), '&copy;', chr(169)), "
             f"'&amp;', '&')")
@@ -319,6 +342,10 @@ FROM (SELECT url, replace(unnest(regexp_extract_all(html, '<a\\s[^>]*href="([^"]
                 f"AS n_price_{i}" for i, p in enumerate(PROFILE_PRICE)) + ", "
     + ", ".join(f"CAST(len(regexp_extract_all(regexp_replace(html, '<[^>]*>', ' ', 'g'), '{_esc(t)}')) AS INTEGER) "
                 f"AS n_text_{i}" for i, t in enumerate(PROFILE_TEXT)) + " FROM pages",
+    "page_containers": "SELECT page_id, " + ", ".join(
+        f"CAST(len(list_filter(tags, lambda t: {_container_sql(sel)})) AS BIGINT) AS n_container_{i}"
+        for i, sel in enumerate(PROFILE_CONTAINERS))
+    + " FROM (SELECT page_id, regexp_extract_all(html, '<[a-zA-Z][^>]*>') AS tags FROM pages)",
     "page_gender": "SELECT page_id, " + ", ".join(
         f"coalesce({_gender_generic('url', m)}, {_gender_generic(_TITLE_SQL, m)}, {_gender_generic(_H1_SQL, m)})"
         f" AS gender_{m}" for m in ("substring", "word"))
