@@ -139,7 +139,7 @@ def product_records_p2(pages: DataFrame, selectors: dict | None = None, brand: s
         slug_title(F.col("url")))
     price = F.coalesce(
         _chain([F.col(f"p{i}") for i in range(len(P2_PRICE))], _price_ok),
-        F.col("script_price"), F.col("data_price"),
+        F.col("script_price"), F.nullif(F.col("data_price"), F.lit("")),
         F.nullif(F.col("meta_price"), F.lit("")), F.col("jsonld_price"))
     sale = F.coalesce(*[F.when(F.coalesce(F.col(f"s{i}").rlike(r"\d")
                                           & ~F.coalesce(F.col(f"s{i}") == price, F.lit(False)), F.lit(False)),

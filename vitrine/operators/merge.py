@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.operators.changes import CHANGE_FIELDS, _as_text
+from vitrine.operators.changes import CHANGE_FIELDS
 from vitrine.operators.records import CATALOG_COLUMNS
 from vitrine.functions.price import normalize_price
 from vitrine.functions.text import same_text

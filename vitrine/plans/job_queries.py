@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from vitrine.plans import sqlparts as S
-from vitrine.plans.jobs import P1_SOURCE, catalog_run, site_records
-from vitrine.plans.page_queries import _IMG, _P, _SLUG, _U
+from vitrine.plans.jobs import catalog_run, site_records
+from vitrine.plans.page_queries import _IMG, _P, _U
 from vitrine.session import checkpoint_dir
 from vitrine.sources.catalog import CatalogTable
 from vitrine.sources.page_fixtures import listing_pages, product_pages
