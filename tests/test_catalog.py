@@ -121,3 +121,17 @@ def test_dead_letter_and_run_log(spark, scratch):
     log = spark.read.parquet(f"{scratch}/runlog").collect()
     assert len(log) == 2 and log[0].run == 7
     assert sum(log[0][c] for c in ("new_count", "updated_count", "unchanged_count", "failed_count")) == inc.count()
+
+
+def test_absent_fields_keep_stored_values(spark):
+    """Q4: an update without a description keeps the stored one; sale clears."""
+    stored_rows = format_products(spark.createDataFrame(
+        [("s", "u1", "i1", "T", "old desc", "10 EUR", "9 EUR")],
+        "source string, product_url string, image_url string, title string, description string, "
+        "price string, sale string")).drop("reject_reason")
+    new_rows = format_products(spark.createDataFrame(
+        [("s", "u1", "i2", "T", None, "11 EUR", None)],
+        "source string, product_url string, image_url string, title string, description string, "
+        "price string, sale string"))
+    r = merge_catalog(stored_rows, new_rows, 2, "2024-06-01 00:00:00").first()
+    assert r.action == "update" and r.description == "old desc" and r.sale is None and r.price == "11EUR"

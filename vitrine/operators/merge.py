@@ -21,6 +21,11 @@ from vitrine.functions.text import same_text
 STALE_AFTER_RUNS = 2
 
 ACTIONS = ["insert", "update", "touch", "keep", "delete"]
+# Q4 per-column policy: on an update these keep the stored value when this
+# run has none; every other column (price, sale, image_url, title, ...) takes
+# the new value, so an ended sale clears.
+KEEP_IF_ABSENT = {"affiliate_url", "brand", "description", "category", "gender", "country", "tags", "other",
+                  "metadata", "size", "additional_images"}
 
 
 def is_stale(last_seen_run: Column, current_run: Column | int) -> Column:
@@ -88,6 +93,8 @@ def merge_catalog(stored: DataFrame, incoming: DataFrame, run: int, run_ts: str
             v = F.when(take_new & ~image_same, ic(c)).otherwise(F.coalesce(sc(c), ic(c)))
         elif c == "info_embedding":
             v = F.when(take_new, F.coalesce(ic(c), sc(c))).otherwise(sc(c))
+        elif c in KEEP_IF_ABSENT:
+            v = F.when(take_new, F.coalesce(ic(c), sc(c))).otherwise(sc(c))
         else:
             v = F.when(take_new, ic(c)).otherwise(sc(c))
         out.append(v.cast(_type_of(c)).alias(c))
