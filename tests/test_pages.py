@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
-from vitrine.operators.elements import elements, parse_elements
+from vitrine.operators.elements import element_text, elements, parse_page
 from vitrine.operators.extract import link_records, listing_cards, next_pages, product_records_p2
-from vitrine.operators.selectors import first, matches
+from vitrine.operators.selectors import RAW, TEXT, TEXT_SP, apply_rules, matches
 from vitrine.plans.jobs import listing_page_records
 from vitrine.plans.page_queries import SITE_SELECTORS
 
@@ -19,27 +19,36 @@ HTML = ("<html><head><title> T &amp; co </title><script>var t=\"</p>\";</script>
 
 
 def test_parse_elements_text_and_repair():
-    els = {e[3]: e for e in parse_elements(HTML)}
-    assert els["title"][7] == "T & co"                        # entities decoded, text stripped
-    assert els["h1"][7] == "RedCoat"                          # strip=True joins nodes without blanks
-    assert els["h1"][8] == "Red Coat"
-    assert els["script"][9] == 'var t="</p>";'                # script body kept whole
-    assert "var t" not in els["head"][7]                      # and not part of the parent's text
+    elems, nodes = parse_page(HTML)
+    els = {e[3]: e for e in elems}
+
+    def txt(tag, sep=""):
+        e = els[tag]
+        return element_text(nodes, e[7], e[8], tag, sep)
+
+    assert txt("title") == "T & co"                           # entities decoded, text stripped
+    assert txt("h1") == "RedCoat"                             # strip=True joins nodes without blanks
+    assert txt("h1", " ") == "Red Coat"
+    assert els["script"][11] == 'var t="</p>";'               # script body kept whole
+    assert "var t" not in txt("head")                          # and not part of the parent's text
     img = els["img"]
-    assert [a[1] for a in img[10]][-2:] == ["main", "div"]
+    assert [a[1] for a in img[12]][-2:] == ["main", "div"]
 
 
 def test_selector_predicates(spark):
     pages = spark.createDataFrame([(1, "https://shop.example.com/products/red-coat-1", HTML)],
                                   "page_id bigint, url string, html string")
     els = elements(pages)
-    r = els.groupBy("page_id").agg(
-        first("h1.product-title", F.col("text_sp")).alias("t"),
-        first("nav.breadcrumb a[href^='/c']", F.col("text")).alias("crumb"),
-        first("main [class*='product'] img", F.col("attrs")["src"]).alias("img"),
-        first("span:not(.price), .price", F.col("text")).alias("p"),
-        F.sum(matches("a, img").cast("int")).alias("n")).first()
-    assert (r.t, r.crumb, r.img, r.p, r.n) == ("Red Coat", "Women", "//cdn.x/files/red_coat_1.jpg", "139,00 EUR", 3)
+    r = apply_rules(els, ["page_id"], [
+        ("t", matches("h1.product-title"), TEXT_SP, "first"),
+        ("crumb", matches("nav.breadcrumb a[href^='/c']"), TEXT, "first"),
+        ("img", matches("main [class*='product'] img"), F.col("attrs")["src"], "first"),
+        ("p", matches("span:not(.price), .price"), TEXT, "first"),
+        ("raw", matches("title"), RAW, "first"),
+        ("links", matches("a, img"), F.col("tag"), "all")]).first()
+    assert (r.t, r.crumb, r.img, r.p, len(r.links)) == ("Red Coat", "Women", "//cdn.x/files/red_coat_1.jpg",
+                                                        "139,00 EUR", 3)
+    assert r.raw == " T & co "
 
 
 def test_product_record_p2(spark):

@@ -5,6 +5,13 @@ library HTML tokenizer over each page of an Arrow batch and emits element rows.
 Everything after it (selectors, rule chains, choosing the first match) is
 Column code. A page's elements are produced in the task that read the page, so
 the per-page aggregation downstream combines map-side before any shuffle.
+
+Text is shipped once per page: the page's text nodes (raw and stripped) ride
+on the page's first element row (``nodes``); every element carries only the
+range ``[t0, t1)`` of nodes inside it (and its parent's range), and rules
+resolve the text of the elements they keep (``text_of``) after aggregating.
+Script and style bodies are also kept on their own rows (``raw_text``) since
+rules test them directly.
 """
 
 from __future__ import annotations
@@ -15,8 +22,9 @@ from pyspark.sql import DataFrame
 
 ELEMENT_SCHEMA = (
     "page_id bigint, url string, idx int, parent_idx int, depth int, tag string, elem_id string, "
-    "classes array<string>, attrs map<string,string>, text string, text_sp string, raw_text string, "
-    "ancestors array<struct<idx:int,tag:string,elem_id:string,classes:array<string>>>"
+    "classes array<string>, attrs map<string,string>, t0 int, t1 int, p_t0 int, p_t1 int, raw_text string, "
+    "ancestors array<struct<idx:int,tag:string,elem_id:string,classes:array<string>>>, "
+    "nodes array<struct<raw:string,strip:string,skip:boolean>>"
 )
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source",
@@ -72,8 +80,10 @@ class _Collector(HTMLParser):
             self.elems[self.stack.pop()][7] = len(self.texts)
 
 
-def parse_elements(html: str):
-    """Yield ``(idx, parent, depth, tag, id, classes, attrs, text, text_sp, raw_text, ancestors)``."""
+def parse_page(html: str):
+    """``(elements, nodes)``: elements as ``(idx, parent, depth, tag, id,
+    classes, attrs, t0, t1, p_t0, p_t1, raw_text, ancestors)``; nodes as
+    ``(raw, stripped, inside_script_or_style)``."""
     c = _Collector()
     try:
         c.feed(html or "")
@@ -81,16 +91,24 @@ def parse_elements(html: str):
     except Exception:  # noqa: BLE001 - a broken page yields what was parsed
         while c.stack:
             c.elems[c.stack.pop()][7] = len(c.texts)
+    elems = []
     for idx, (tag, eid, classes, attrs, parent, depth, t0, t1, anc) in enumerate(c.elems):
         t1 = t0 if t1 is None else t1
-        if tag in RAW:
-            nodes = [t for t, _ in c.texts[t0:t1]]
+        if parent >= 0:
+            pt0, pt1 = c.elems[parent][6], c.elems[parent][7]
+            pt1 = pt0 if pt1 is None else pt1
         else:
-            nodes = [t for t, raw in c.texts[t0:t1] if not raw]
-        stripped = [s.strip() for s in nodes]
-        stripped = [s for s in stripped if s]
-        yield (idx, parent, depth, tag, eid, classes, attrs, "".join(stripped), " ".join(stripped),
-               "".join(nodes), anc)
+            pt0 = pt1 = None
+        raw = "".join(t for t, _ in c.texts[t0:t1]) if tag in RAW else None
+        elems.append((idx, parent, depth, tag, eid, classes, attrs, t0, t1, pt0, pt1, raw, anc))
+    nodes = [(t, t.strip(), inside) for t, inside in c.texts]
+    return elems, nodes
+
+
+def element_text(nodes, t0: int, t1: int, tag: str, sep: str = "") -> str:
+    """Python twin of ``text_of`` (used by tests): stripped nodes joined."""
+    keep = [n for n in nodes[t0:t1] if tag in RAW or not n[2]]
+    return sep.join(n[1] for n in keep if n[1])
 
 
 def _element_batches(batches):
@@ -103,7 +121,8 @@ def _element_batches(batches):
         urls = batch.column("url").to_pylist()
         htmls = batch.column("html").to_pylist()
         for pid, url, html in zip(ids, urls, htmls):
-            for (idx, parent, depth, tag, eid, classes, attrs, text, text_sp, raw, anc) in parse_elements(html):
+            elems, nodes = parse_page(html)
+            for k, (idx, parent, depth, tag, eid, classes, attrs, t0, t1, pt0, pt1, raw, anc) in enumerate(elems):
                 cols["page_id"].append(pid)
                 cols["url"].append(url)
                 cols["idx"].append(idx)
@@ -113,10 +132,13 @@ def _element_batches(batches):
                 cols["elem_id"].append(eid)
                 cols["classes"].append(classes)
                 cols["attrs"].append(list(attrs.items()))
-                cols["text"].append(text)
-                cols["text_sp"].append(text_sp)
+                cols["t0"].append(t0)
+                cols["t1"].append(t1)
+                cols["p_t0"].append(pt0)
+                cols["p_t1"].append(pt1)
                 cols["raw_text"].append(raw)
                 cols["ancestors"].append([{"idx": a[0], "tag": a[1], "elem_id": a[2], "classes": a[3]} for a in anc])
+                cols["nodes"].append([{"raw": r, "strip": st, "skip": sk} for r, st, sk in nodes] if k == 0 else None)
             if len(cols["idx"]) >= 8192:
                 yield pa.RecordBatch.from_pydict(cols, schema=schema)
                 cols = {f.name: [] for f in schema}
@@ -126,13 +148,15 @@ def _element_batches(batches):
 
 def _arrow_schema():
     import pyarrow as pa
-    anc = pa.struct([("idx", pa.int32()), ("tag", pa.string()), ("elem_id", pa.string()), ("classes", pa.list_(pa.string()))])
+    anc = pa.struct([("idx", pa.int32()), ("tag", pa.string()), ("elem_id", pa.string()),
+                     ("classes", pa.list_(pa.string()))])
+    node = pa.struct([("raw", pa.string()), ("strip", pa.string()), ("skip", pa.bool_())])
     return pa.schema([
         ("page_id", pa.int64()), ("url", pa.string()), ("idx", pa.int32()), ("parent_idx", pa.int32()),
         ("depth", pa.int32()), ("tag", pa.string()), ("elem_id", pa.string()),
         ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())),
-        ("text", pa.string()), ("text_sp", pa.string()), ("raw_text", pa.string()),
-        ("ancestors", pa.list_(anc)),
+        ("t0", pa.int32()), ("t1", pa.int32()), ("p_t0", pa.int32()), ("p_t1", pa.int32()),
+        ("raw_text", pa.string()), ("ancestors", pa.list_(anc)), ("nodes", pa.list_(node)),
     ])
 
 

@@ -20,7 +20,7 @@ from vitrine.functions.price import html_price, minor_units_eur, strip_blanks
 from vitrine.functions.urls import absolutize, external_id, fix_protocol, product_handle, slug_title
 from vitrine.functions.text import strip_tags
 from vitrine.operators.elements import elements
-from vitrine.operators.selectors import all_in_order, all_where, apply_rules, first, first_where, matches
+from vitrine.operators.selectors import RAW, TEXT, TEXT_SP, apply_rules, matches, page_nodes, text_of
 
 
 def _at(arr, i: int):
@@ -113,9 +113,9 @@ def product_records_p2(pages: DataFrame, selectors: dict | None = None, brand: s
         "img_fb": matches(P2_IMAGES_FALLBACK) & norm_src.isNotNull() & img_ok,
     }
     rules = (
-        [(f"t{i}", matches(sel), F.col("text"), "first") for i, sel in enumerate(P2_TITLE)]
-        + [(f"p{i}", matches(sel), F.col("text"), "first") for i, sel in enumerate(P2_PRICE)]
-        + [(f"s{i}", matches(sel), F.col("text"), "first") for i, sel in enumerate(P2_SALE)]
+        [(f"t{i}", matches(sel), TEXT, "first") for i, sel in enumerate(P2_TITLE)]
+        + [(f"p{i}", matches(sel), TEXT, "first") for i, sel in enumerate(P2_PRICE)]
+        + [(f"s{i}", matches(sel), TEXT, "first") for i, sel in enumerate(P2_SALE)]
         + [
             ("og_title", preds["og"], _attr("content"), "first"),
             ("script_price", preds["script_price"], script_price, "first"),
@@ -124,13 +124,13 @@ def product_records_p2(pages: DataFrame, selectors: dict | None = None, brand: s
             ("jsonld_price", preds["jsonld"] & _jsonld_price().isNotNull(), _jsonld_price(), "first"),
             ("imgs", preds["img"], norm_src, "all"),
             ("imgs_fb", preds["img_fb"], norm_src, "all"),
-            ("sizes", matches(sizes_sel), F.col("text"), "all"),
+            ("sizes", matches(sizes_sel), TEXT, "all"),
             ("meta_desc", preds["meta_desc"], _attr("content"), "first"),
-            ("crumbs", matches(BREADCRUMBS), F.col("raw_text"), "all"),
-            ("page_title", matches("title"), F.col("raw_text"), "first"),
-            ("gender_text", matches(gender_sel), F.col("raw_text"), "first"),
-            ("gender_desc", matches(P2_GENDER_DESC), F.col("raw_text"), "first"),
-            ("description", matches(P2_DESCRIPTION), F.col("text_sp"), "first"),
+            ("crumbs", matches(BREADCRUMBS), RAW, "all"),
+            ("page_title", matches("title"), RAW, "first"),
+            ("gender_text", matches(gender_sel), RAW, "first"),
+            ("gender_desc", matches(P2_GENDER_DESC), RAW, "first"),
+            ("description", matches(P2_DESCRIPTION), TEXT_SP, "first"),
         ])
     g = apply_rules(els, ["page_id", "url"], rules)
     title = F.coalesce(
@@ -174,18 +174,16 @@ def product_records_p1(pages: DataFrame) -> DataFrame:
     els = elements(pages)
     state_pred = (F.col("tag") == "script") & F.col("raw_text").contains(P1_STATE_MARK)
     state_txt = F.regexp_extract(F.col("raw_text"), P1_STATE, 1)
-    keep = (state_pred | matches("h1") | matches(P1_PRICE) | matches(P1_IMAGE) | matches(P1_GALLERY)
-            | matches(P1_BREADCRUMB) | matches("div.product__description"))
-    g = els.where(keep).groupBy("page_id", "url").agg(
-        first_where(state_pred & (state_txt != ""), state_txt).alias("state"),
-        first("h1.product__title", F.col("text")).alias("h1_product"),
-        first("h1", F.col("text")).alias("h1"),
-        first("div.product__description", F.col("text")).alias("desc_html"),
-        first(P1_PRICE, F.col("text")).alias("price_text"),
-        first(P1_IMAGE, _attr("src")).alias("img_html"),
-        all_in_order(P1_GALLERY, _attr("src")).alias("gallery"),
-        all_in_order(P1_BREADCRUMB, F.col("text")).alias("crumbs"),
-    )
+    g = apply_rules(els, ["page_id", "url"], [
+        ("state", state_pred & (state_txt != ""), state_txt, "first"),
+        ("h1_product", matches("h1.product__title"), TEXT, "first"),
+        ("h1", matches("h1"), TEXT, "first"),
+        ("desc_html", matches("div.product__description"), TEXT, "first"),
+        ("price_text", matches(P1_PRICE), TEXT, "first"),
+        ("img_html", matches(P1_IMAGE), _attr("src"), "first"),
+        ("gallery", matches(P1_GALLERY), _attr("src"), "all"),
+        ("crumbs", matches(P1_BREADCRUMB), TEXT, "all"),
+    ])
     js = F.try_parse_json(F.col("state"))
     jget = lambda path, t="string": F.try_variant_get(js, path, t)
     jtitle, jtype = F.nullif(jget("$.title"), F.lit("")), F.nullif(jget("$.type"), F.lit(""))
@@ -256,12 +254,11 @@ def next_pages(pages: DataFrame) -> DataFrame:
     """E5: next-page pointer: load-more button id, then class, then rel=next."""
     els = elements(pages)
     root = F.regexp_extract(F.col("url"), r"^(https?://[^/?#]+)", 1)
-    keep = matches(NEXT_RULES[0]) | matches(NEXT_RULES[1]) | matches(NEXT_RULES[2])
-    g = els.where(keep).groupBy("page_id", "url").agg(
-        first(NEXT_RULES[0], _attr("data-next-url")).alias("b1"),
-        first(NEXT_RULES[1], _attr("data-next-url")).alias("b2"),
-        first(NEXT_RULES[2], F.coalesce(_attr("href"), F.lit(""))).alias("a"),
-    )
+    g = apply_rules(els, ["page_id", "url"], [
+        ("b1", matches(NEXT_RULES[0]), _attr("data-next-url"), "first"),
+        ("b2", matches(NEXT_RULES[1]), _attr("data-next-url"), "first"),
+        ("a", matches(NEXT_RULES[2]), F.coalesce(_attr("href"), F.lit("")), "first"),
+    ])
     nxt = F.coalesce(F.when(F.coalesce(F.col("b1"), F.lit("")) != "", F.concat(root, F.col("b1"))),
                      F.when(F.coalesce(F.col("b2"), F.lit("")) != "", F.concat(root, F.col("b2"))),
                      F.col("a"))
@@ -274,7 +271,9 @@ def listing_cards(pages: DataFrame, selectors: dict, els: DataFrame | None = Non
     container in its own ancestor list, so no join is needed."""
     from vitrine.operators.selectors import _compound
 
-    els = elements(pages) if els is None else els
+    from vitrine.operators.elements import elements_once
+
+    els = elements_once(pages) if els is None else els     # cards and page text read it
     cont_sel = selectors.get("products", ".product-item")
     link_sel = selectors.get("product_url", "a")
     title_sel = selectors.get("title", ".title, h3")
@@ -289,12 +288,12 @@ def listing_cards(pages: DataFrame, selectors: dict, els: DataFrame | None = Non
 
     cont = _at(F.filter(F.col("ancestors"), anc_pred), -1)["idx"]
     kids = els.withColumn("c_idx", cont).where(F.col("c_idx").isNotNull())
-    keep = matches(link_sel) | matches(title_sel) | matches(price_sel) | matches(img_sel)
-    g = kids.where(keep).groupBy("page_id", "url", "c_idx").agg(
-        first(link_sel, _attr("href")).alias("href"),
-        first(title_sel, F.col("text")).alias("title"),
-        first(price_sel, F.col("text")).alias("price"),
-        first(img_sel, F.coalesce(F.nullif(_attr("src"), F.lit("")), _attr("data-src"))).alias("img"))
+    g = apply_rules(kids, ["page_id", "url", "c_idx"], [
+        ("href", matches(link_sel), _attr("href"), "first"),
+        ("title", matches(title_sel), TEXT, "first"),
+        ("price", matches(price_sel), TEXT, "first"),
+        ("img", matches(img_sel), F.coalesce(F.nullif(_attr("src"), F.lit("")), _attr("data-src")), "first"),
+    ], nodes_from=els)
     url = absolutize(F.col("href"), F.col("url"))
     return g.where(F.coalesce(F.col("href"), F.lit("")) != "").select(
         "page_id", F.col("c_idx").alias("card_idx"), url.alias("product_url"),
@@ -314,36 +313,45 @@ def link_records(pages: DataFrame | None, selectors: dict, mode: str = "substrin
                  limit: int = LINK_FALLBACK_LIMIT, els: DataFrame | None = None) -> DataFrame:
     """Link-only records for pages without containers: product links minus
     gift cards, first of each href, the first ``limit`` per page in document
-    order (L4); title from the link text, price and image from the parent."""
+    order (L4); title from the link text, price and image from the parent.
+    One aggregate per page (links, images, the page text), no joins."""
     from vitrine.functions.urls import gift_card
-    from vitrine.operators.elements import elements_once
-    from vitrine.operators.topk import top_n_per_group
 
-    # links, their parents and the parents' images all come from one element pass
-    els = elements_once(pages) if els is None else els
+    els = elements(pages) if els is None else els
     href = _attr("href")
     link_sel = selectors.get("product_url", "a[href*='/products/']")
-    links = els.where(matches(link_sel) & F.coalesce(href.contains("/products/"), F.lit(False))
-                      & ~gift_card(href, mode))
-    firsts = (links.groupBy("page_id", "url", href.alias("href"))
-              .agg(F.min(F.struct("idx", "text", "parent_idx")).alias("m"))
-              .select("page_id", "url", "href", "m.idx", "m.text", "m.parent_idx"))
-    top = top_n_per_group(firsts, ["page_id"], [F.col("idx")], limit, "link_rank")
-    parent_ids = top.select("page_id", F.col("parent_idx").alias("idx")).distinct()
-    parents = els.join(parent_ids, ["page_id", "idx"], "left_semi").select(
-        "page_id", F.col("idx").alias("parent_idx"), F.col("raw_text").alias("parent_text"))
-    imgs = (els.where(F.col("tag") == "img")
-            .select("page_id", "idx", F.coalesce(F.nullif(_attr("src"), F.lit("")), _attr("data-src")).alias("src"),
-                    F.explode(F.col("ancestors.idx")).alias("parent_idx"))
-            .join(parent_ids.withColumnRenamed("idx", "parent_idx"), ["page_id", "parent_idx"], "left_semi")
-            .groupBy("page_id", "parent_idx").agg(F.min(F.struct("idx", "src"))["src"].alias("img")))
-    j = top.join(parents, ["page_id", "parent_idx"], "left").join(imgs, ["page_id", "parent_idx"], "left")
+    is_link = (matches(link_sel) & F.coalesce(href.contains("/products/"), F.lit(False)) & ~gift_card(href, mode))
+    src = F.coalesce(F.nullif(_attr("src"), F.lit("")), _attr("data-src"))
+    link = F.struct(F.col("idx").alias("i"), href.alias("href"), F.col("t0"), F.col("t1"),
+                    F.col("parent_idx"), F.col("p_t0"), F.col("p_t1"))
+    img = F.struct(F.col("idx").alias("i"), src.alias("src"), F.col("ancestors.idx").alias("anc"))
+    is_img = (F.col("tag") == "img") & src.isNotNull()
+    keep = is_link | is_img | F.col("nodes").isNotNull()
+    g = els.where(keep).groupBy("page_id", "url").agg(
+        F.array_sort(F.collect_list(F.when(is_link, link))).alias("links"),
+        F.array_sort(F.collect_list(F.when(is_img, img))).alias("imgs"),
+        F.first("nodes", ignorenulls=True).alias("_nodes"))
+    # first occurrence of each href, then the first `limit` in document order
+    firsts = F.filter(F.col("links"), lambda l, k: ~F.exists(F.slice(F.col("links"), 1, k),
+                                                             lambda o: o["href"] == l["href"]))
+    top = F.slice(firsts, 1, limit)
+    nodes = F.col("_nodes")
+
+    def record(l):
+        text = text_of(nodes, F.struct(l["t0"].alias("t0"), l["t1"].alias("t1"), F.lit(False).alias("own_raw")), TEXT)
+        parent = text_of(nodes, F.struct(l["p_t0"].alias("t0"), l["p_t1"].alias("t1"),
+                                         F.lit(False).alias("own_raw")), RAW)
+        pimg = _at(F.filter(F.col("imgs"), lambda im: F.array_contains(im["anc"], l["parent_idx"])), 1)["src"]
+        return F.struct(l["i"].alias("card_idx"), l["href"].alias("href"), text.alias("text"),
+                        F.coalesce(parent, F.lit("")).alias("parent_text"), pimg.alias("img"))
+
+    rows = g.select("page_id", "url", F.explode(F.transform(top, record)).alias("r")).select("page_id", "url", "r.*")
     raw_title = F.substring_index(F.substring_index(F.col("text"), " EUR", 1), " +", 1)
     title = F.trim(F.regexp_replace(raw_title, SIZE_TOKENS, ""))
-    price = F.regexp_extract(F.coalesce(F.col("parent_text"), F.lit("")), PARENT_PRICE, 1)
+    price = F.regexp_extract(F.col("parent_text"), PARENT_PRICE, 1)
     url = absolutize(F.col("href"), F.col("url"))
-    return j.select(
-        "page_id", F.col("idx").alias("card_idx"), url.alias("product_url"),
+    return rows.select(
+        "page_id", "card_idx", url.alias("product_url"),
         F.coalesce(F.nullif(external_id(url), F.lit("")), _at(F.split(url, "/"), -1)).alias("external_id"),
         F.when((F.length("text") > LINK_MIN_TITLE) & (title != ""), title).alias("title"),
         F.when(price != "", F.concat(price, F.lit(" EUR"))).alias("price"),
@@ -388,25 +396,22 @@ def listing_cards_dynamic(pages: DataFrame, selectors: dict, mode: str = "substr
         return out
 
     # page context: one row per page
-    ctx_keep = (matches("title") | matches('meta[name="description"]') | matches(BREADCRUMBS) | matches(gender_sel))
-    ctx = els.where(ctx_keep).groupBy("page_id").agg(
-        first("title", F.col("raw_text")).alias("page_title"),
-        first_where(matches('meta[name="description"]'), _attr("content")).alias("meta_desc"),
-        all_in_order(BREADCRUMBS, F.col("raw_text")).alias("crumbs"),
-        first(gender_sel, F.col("raw_text")).alias("gender_text"))
+    ctx = apply_rules(els, ["page_id"], [
+        ("page_title", matches("title"), RAW, "first"),
+        ("meta_desc", matches('meta[name="description"]'), _attr("content"), "first"),
+        ("crumbs", matches(BREADCRUMBS), RAW, "all"),
+        ("gender_text", matches(gender_sel), RAW, "first")])
     # cards: elements below a container, grouped by that container
     cont = _at(F.filter(F.col("ancestors"), anc_pred), -1)["idx"]
     kids = els.withColumn("c_idx", cont).where(F.col("c_idx").isNotNull())
     src = F.coalesce(F.nullif(_attr("src"), F.lit("")), _attr("data-src"))
-    keep = matches(link_sel) | matches(title_sel) | matches(price_sel) | matches(sale_sel) | matches(img_sel) \
-        | matches(DYN_DESC)
-    cards = kids.where(keep).groupBy("page_id", "url", "c_idx").agg(
-        first(link_sel, _attr("href")).alias("href"),
-        first(title_sel, F.col("raw_text")).alias("title_raw"),
-        first(price_sel, F.col("raw_text")).alias("price_raw"),
-        first(sale_sel, F.col("raw_text")).alias("sale_raw"),
-        all_where(matches(img_sel) & src.isNotNull(), src).alias("srcs"),
-        first(DYN_DESC, F.col("raw_text")).alias("desc"))
+    cards = apply_rules(kids, ["page_id", "url", "c_idx"], [
+        ("href", matches(link_sel), _attr("href"), "first"),
+        ("title_raw", matches(title_sel), RAW, "first"),
+        ("price_raw", matches(price_sel), RAW, "first"),
+        ("sale_raw", matches(sale_sel), RAW, "first"),
+        ("srcs", matches(img_sel) & src.isNotNull(), src, "all"),
+        ("desc", matches(DYN_DESC), RAW, "first")], nodes_from=els)
     j = cards.join(ctx, "page_id", "left")
     url = absolutize(F.col("href"), F.col("url"))
     title = F.nullif(strip_blanks(F.col("title_raw")), F.lit(""))

@@ -119,39 +119,66 @@ def _matches(selector: str) -> Column:
     return out
 
 
-def first(selector: str, value: Column) -> Column:
-    """Aggregate: ``value`` of the first element (document order) matching."""
-    return F.min(F.when(matches(selector), F.struct(F.col("idx").alias("i"), value.alias("v"))))["v"]
+# Text kinds a rule may ask for; resolved from the page's text nodes.
+TEXT = "text"          # stripped text nodes joined without blanks (get_text(strip=True))
+TEXT_SP = "text_sp"    # stripped text nodes joined with a blank
+RAW = "raw_text"       # text nodes as they are (get_text())
+_TEXT_KINDS = {TEXT: "", TEXT_SP: " ", RAW: None}
+_RAW_TAGS = ["script", "style"]
 
 
-def first_where(pred: Column, value: Column) -> Column:
-    return F.min(F.when(pred, F.struct(F.col("idx").alias("i"), value.alias("v"))))["v"]
+def text_of(nodes: Column, ref: Column, kind: str) -> Column:
+    """Text of an element from the page's ``nodes`` and the element's
+    ``ref = struct(t0, t1, own_raw)``; nodes inside script/style count only
+    for a script/style element itself."""
+    part = F.filter(F.slice(nodes, ref["t0"] + 1, ref["t1"] - ref["t0"]), lambda n: ref["own_raw"] | ~n["skip"])
+    sep = _TEXT_KINDS[kind]
+    if sep is None:
+        return F.array_join(F.transform(part, lambda n: n["raw"]), "")
+    return F.array_join(F.filter(F.transform(part, lambda n: n["strip"]), lambda t: t != ""), sep)
 
 
-def all_in_order(selector: str, value: Column) -> Column:
-    """Aggregate: values of every matching element, in document order."""
-    return all_where(matches(selector), value)
+def _text_ref() -> Column:
+    return F.struct(F.col("t0").alias("t0"), F.col("t1").alias("t1"),
+                    F.col("tag").isin(*_RAW_TAGS).alias("own_raw"))
 
 
-def all_where(pred: Column, value: Column) -> Column:
-    return F.transform(
-        F.array_sort(F.collect_list(F.when(pred, F.struct(F.col("idx").alias("i"), value.alias("v"))))),
-        lambda s: s["v"])
+def _resolver(kind: str):
+    def resolve(ref):
+        return text_of(F.col("_nodes"), ref, kind)
+    return resolve
 
 
-def apply_rules(els, keys: list[str], rules: list[tuple]):
+def page_nodes(els):
+    """``(page_id, _nodes)``: each page's single copy of its text nodes."""
+    return els.where(F.col("nodes").isNotNull()).select("page_id", F.col("nodes").alias("_nodes"))
+
+
+def apply_rules(els, keys: list[str], rules: list[tuple], nodes_from=None):
     """Evaluate every rule once per element, then aggregate per ``keys``.
 
     ``rules``: ``(name, predicate, value, kind)`` with kind ``first`` (value of
     the first matching element in document order) or ``all`` (values of every
-    match, in order). Each rule is projected as ``when(pred, struct(idx,
-    value))`` so predicates run once in generated code; elements no rule hits
-    are dropped before the aggregate, which then only keeps minima / lists.
+    match, in order). ``value`` is a Column, or one of the text kinds
+    ``TEXT`` / ``TEXT_SP`` / ``RAW``: those are carried as node ranges and
+    resolved after the aggregate from the page's single copy of its text.
+    Each rule is projected as ``when(pred, struct(idx, value))`` so predicates
+    run once in generated code; elements no rule hits are dropped (except the
+    row carrying the page's nodes), and the aggregate keeps only minima/lists.
+
+    When ``keys`` are finer than the page (e.g. one listing card), pass the
+    page's element rows as ``nodes_from``: the nodes are then joined back by
+    ``page_id`` (one row per page) before the text is resolved.
     """
-    cols = [F.when(pred, F.struct(F.col("idx").alias("i"), value.alias("v"))).alias(name)
+    def val(v):
+        return _text_ref() if isinstance(v, str) else v
+
+    cols = [F.when(pred, F.struct(F.col("idx").alias("i"), val(value).alias("v"))).alias(name)
             for name, pred, value, _ in rules]
-    proj = els.select(*keys, *cols)
-    hit = F.lit(False)
+    texty = any(isinstance(v, str) for _, _, v, _ in rules)
+    inline = texty and nodes_from is None
+    proj = els.select(*keys, *cols, *(["nodes"] if inline else []))
+    hit = F.col("nodes").isNotNull() if inline else F.lit(False)
     for name, *_ in rules:
         hit = hit | F.col(name).isNotNull()
     aggs = []
@@ -160,4 +187,19 @@ def apply_rules(els, keys: list[str], rules: list[tuple]):
             aggs.append(F.min(name)["v"].alias(name))
         else:
             aggs.append(F.transform(F.array_sort(F.collect_list(name)), lambda s: s["v"]).alias(name))
-    return proj.where(hit).groupBy(*keys).agg(*aggs)
+    if inline:
+        aggs.append(F.first("nodes", ignorenulls=True).alias("_nodes"))
+    g = proj.where(hit).groupBy(*keys).agg(*aggs)
+    if not texty:
+        return g
+    if not inline:
+        g = g.join(page_nodes(nodes_from), "page_id", "left")
+    out = []
+    for name, _, value, kind in rules:
+        if not isinstance(value, str):
+            out.append(F.col(name))
+        elif kind == "first":
+            out.append(F.when(F.col(name).isNotNull(), text_of(F.col("_nodes"), F.col(name), value)).alias(name))
+        else:
+            out.append(F.transform(F.col(name), _resolver(value)).alias(name))
+    return g.select(*keys, *out)

@@ -11,7 +11,7 @@ from vitrine.functions.urls import absolutize
 from vitrine.operators.elements import elements
 from vitrine.operators.extract import (listing_cards, next_pages, product_links, product_records_p1,
                                        product_records_p2)
-from vitrine.operators.selectors import first, matches
+from vitrine.operators.selectors import RAW, TEXT, apply_rules, matches
 from vitrine.plans import sqlparts as S
 from vitrine.plans.scalar_queries import _kw_cat
 from vitrine.sources.page_fixtures import GARMENTS, LISTING_SIZE, listing_pages, product_pages
@@ -66,8 +66,8 @@ def q_next_page(spark, sf_dir):
 def q_page_titles(spark, sf_dir):
     """E6 on raw pages: first ``h1`` text and the ``title`` text, per page."""
     els = elements(read_pages(spark, sf_dir))
-    return (els.where(F.col("tag").isin("h1", "title")).groupBy("page_id")
-            .agg(first("h1", F.col("text")).alias("h1"), first("title", F.col("text")).alias("title")))
+    return apply_rules(els, ["page_id"], [("h1", matches("h1"), TEXT, "first"),
+                                          ("title", matches("title"), TEXT, "first")])
 
 
 def q_page_links(spark, sf_dir):
@@ -97,8 +97,8 @@ def q_page_containers(spark, sf_dir):
 def q_page_gender(spark, sf_dir):
     """E12 pieces on raw pages: gender from URL, title and h1 in both match modes."""
     els = elements(read_pages(spark, sf_dir))
-    g = els.where(F.col("tag").isin("h1", "title")).groupBy("page_id", "url").agg(
-        first("title", F.col("raw_text")).alias("t"), first("h1", F.col("raw_text")).alias("h"))
+    g = apply_rules(els, ["page_id", "url"], [("t", matches("title"), RAW, "first"),
+                                              ("h", matches("h1"), RAW, "first")])
     chain = lambda m: F.coalesce(C.gender_generic(F.col("url"), m), C.gender_generic(F.col("t"), m),
                                  C.gender_generic(F.col("h"), m))
     return g.select("page_id", chain("substring").alias("gender_substring"), chain("word").alias("gender_word"))
