@@ -91,14 +91,28 @@ def _img_src() -> Column:
                       F.nullif(_attr("data-lazy-src"), F.lit("")))
 
 
+_P2_CACHE: dict = {}
+
+
 def product_records_p2(pages: DataFrame, selectors: dict | None = None, brand: str = "",
                        mode: str = "substring") -> DataFrame:
     """Product pages -> detail records (title, price, sale, images, sizes,
     gender, description, category, external id)."""
+    from pyspark import SparkContext
+
     selectors = selectors or {}
+    key = (id(SparkContext._active_spark_context), tuple(sorted(selectors.items())), brand, mode)
+    if key not in _P2_CACHE:
+        # the rule Columns depend only on the spec: built once per spec and reused
+        _P2_CACHE[key] = _p2_columns(selectors, brand, mode)
+    rules, out_cols, category = _P2_CACHE[key]
+    g = apply_rules(elements(pages), ["page_id", "url"], rules, cache_key=("p2",) + key[1:])
+    return g.select(*out_cols).withColumn("category", category)
+
+
+def _p2_columns(selectors: dict, brand: str, mode: str):
     sizes_sel = selectors.get("sizes", DEFAULT_SIZES)
     gender_sel = selectors.get("gender", DEFAULT_GENDER)
-    els = elements(pages)
     script_price = F.regexp_extract(F.col("raw_text"), SCRIPT_PRICE, 1)
     norm_src = absolutize(_img_src(), F.col("url"))
     img_ok = product_image(norm_src, _attr("alt"), F.array_join(F.col("classes"), " "), brand)
@@ -132,7 +146,6 @@ def product_records_p2(pages: DataFrame, selectors: dict | None = None, brand: s
             ("gender_desc", matches(P2_GENDER_DESC), RAW, "first"),
             ("description", matches(P2_DESCRIPTION), TEXT_SP, "first"),
         ])
-    g = apply_rules(els, ["page_id", "url"], rules)
     title = F.coalesce(
         _chain([F.col(f"t{i}") for i in range(len(P2_TITLE))], lambda t: _title_ok(t, brand)),
         F.nullif(strip_blanks(F.col("og_title")), F.lit("")),
@@ -156,7 +169,7 @@ def product_records_p2(pages: DataFrame, selectors: dict | None = None, brand: s
         C.gender_generic(F.col("page_title"), mode),
         C.gender_generic(F.col("gender_text"), mode),
         C.gender_description(F.col("gender_desc"), mode))
-    out = g.select(
+    out_cols = [
         "page_id", F.col("url").alias("product_url"),
         external_id(F.col("url")).alias("external_id"),
         title.alias("title"), price.alias("price"), sale.alias("sale"),
@@ -165,8 +178,10 @@ def product_records_p2(pages: DataFrame, selectors: dict | None = None, brand: s
         F.when(F.size(sizes) > 0, F.array_join(sizes, ", ")).alias("size"),
         gender.alias("gender"),
         F.nullif(F.col("description"), F.lit("")).alias("description"),
-    )
-    return out.withColumn("category", C.keyword_category(F.col("title"), F.col("description")))
+    ]
+    return rules, out_cols, C.keyword_category(F.col("title"), F.col("description"))
+
+
 
 
 def product_records_p1(pages: DataFrame) -> DataFrame:

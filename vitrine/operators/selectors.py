@@ -154,7 +154,10 @@ def page_nodes(els):
     return els.where(F.col("nodes").isNotNull()).select("page_id", F.col("nodes").alias("_nodes"))
 
 
-def apply_rules(els, keys: list[str], rules: list[tuple], nodes_from=None):
+_RULES_CACHE: dict = {}
+
+
+def apply_rules(els, keys: list[str], rules: list[tuple], nodes_from=None, cache_key=None):
     """Evaluate every rule once per element, then aggregate per ``keys``.
 
     ``rules``: ``(name, predicate, value, kind)`` with kind ``first`` (value of
@@ -169,15 +172,37 @@ def apply_rules(els, keys: list[str], rules: list[tuple], nodes_from=None):
     When ``keys`` are finer than the page (e.g. one listing card), pass the
     page's element rows as ``nodes_from``: the nodes are then joined back by
     ``page_id`` (one row per page) before the text is resolved.
+
+    ``cache_key``: rules built once per spec can pass a key so the projected,
+    aggregate and resolving Columns are also built only once.
     """
+    ck = None
+    if cache_key is not None:
+        from pyspark import SparkContext
+        ck = (id(SparkContext._active_spark_context), cache_key, tuple(keys), nodes_from is None)
+    parts = _RULES_CACHE.get(ck) if ck is not None else None
+    if parts is None:
+        parts = _rule_columns(rules, nodes_from is None)
+        if ck is not None:
+            _RULES_CACHE[ck] = parts
+    cols, hit, aggs, out, texty, inline = parts
+    proj = els.select(*keys, *cols, *(["nodes"] if inline else []))
+    g = proj.where(hit).groupBy(*keys).agg(*aggs)
+    if not texty:
+        return g
+    if not inline:
+        g = g.join(page_nodes(nodes_from), "page_id", "left")
+    return g.select(*keys, *out)
+
+
+def _rule_columns(rules: list[tuple], nodes_inline: bool):
     def val(v):
         return _text_ref() if isinstance(v, str) else v
 
     cols = [F.when(pred, F.struct(F.col("idx").alias("i"), val(value).alias("v"))).alias(name)
             for name, pred, value, _ in rules]
     texty = any(isinstance(v, str) for _, _, v, _ in rules)
-    inline = texty and nodes_from is None
-    proj = els.select(*keys, *cols, *(["nodes"] if inline else []))
+    inline = texty and nodes_inline
     hit = F.col("nodes").isNotNull() if inline else F.lit(False)
     for name, *_ in rules:
         hit = hit | F.col(name).isNotNull()
@@ -189,11 +214,6 @@ def apply_rules(els, keys: list[str], rules: list[tuple], nodes_from=None):
             aggs.append(F.transform(F.array_sort(F.collect_list(name)), lambda s: s["v"]).alias(name))
     if inline:
         aggs.append(F.first("nodes", ignorenulls=True).alias("_nodes"))
-    g = proj.where(hit).groupBy(*keys).agg(*aggs)
-    if not texty:
-        return g
-    if not inline:
-        g = g.join(page_nodes(nodes_from), "page_id", "left")
     out = []
     for name, _, value, kind in rules:
         if not isinstance(value, str):
@@ -202,4 +222,4 @@ def apply_rules(els, keys: list[str], rules: list[tuple], nodes_from=None):
             out.append(F.when(F.col(name).isNotNull(), text_of(F.col("_nodes"), F.col(name), value)).alias(name))
         else:
             out.append(F.transform(F.col(name), _resolver(value)).alias(name))
-    return g.select(*keys, *out)
+    return cols, hit, aggs, out, texty, inline
