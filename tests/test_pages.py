@@ -85,3 +85,18 @@ def test_link_fallback(spark):
     assert r.image_url == "https://shop.example.com/i/red_knit.jpg" and r.external_id == "12"
     both = listing_page_records(pages, {"products": ".product-card", "product_url": "a[href*='/products/']"})
     assert both.count() == 1
+
+
+def test_pages_join_their_site_spec(spark):
+    from vitrine.operators.records import with_site_constants
+    from vitrine.sources.sites import DEFAULT_SPEC_PATH, categories_frame, pages_with_site, sites_frame
+
+    sites = sites_frame(spark, DEFAULT_SPEC_PATH)
+    assert [r.category_url for r in categories_frame(sites).collect()] == [
+        "https://shop.example.com/collections/all?page=0"]
+    pages = spark.createDataFrame([(1, "https://SHOP.example.com/products/a-1"), (2, "https://other.example/x")],
+                                  "page_id bigint, url string")
+    rows = {r.page_id: r for r in with_site_constants(pages_with_site(pages, sites), sites).collect()}
+    assert rows[1].site == "shop" and rows[1].source == "shop-example" and rows[1].country == "eu"
+    assert rows[2].site is None and rows[2].source is None and rows[2].country == "eu"
+    assert rows[1].second_hand is False
