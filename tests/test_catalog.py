@@ -135,3 +135,21 @@ def test_absent_fields_keep_stored_values(spark):
         "price string, sale string"))
     r = merge_catalog(stored_rows, new_rows, 2, "2024-06-01 00:00:00").first()
     assert r.action == "update" and r.description == "old desc" and r.sale is None and r.price == "11EUR"
+
+
+def test_catalog_run_test_mode_and_second_run(spark, scratch):
+    """W1 with the test-mode limit (L3), then a second full run: the first
+    run's rows are unchanged or updated, never new again."""
+    from vitrine.plans.jobs import P1_SOURCE, catalog_run
+    from vitrine.sources.page_fixtures import product_pages
+
+    t = CatalogTable(spark, f"{scratch}/catalog")
+    pages = product_pages(spark, SF_SMALL)
+    _, s1 = catalog_run(spark, pages, t, 1, "2024-06-01 00:00:00", max_products=3, dim=8)
+    r1 = s1.first()
+    assert r1.new_count + r1.failed_count == 3
+    _, s2 = catalog_run(spark, pages, t, 2, "2024-06-02 00:00:00", dim=8)
+    r2 = s2.first()
+    assert r2.new_count + r2.updated_count + r2.unchanged_count + r2.failed_count == pages.count()
+    assert r2.unchanged_count + r2.updated_count == r1.new_count
+    assert t.snapshot() == {P1_SOURCE: 2}
