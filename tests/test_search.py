@@ -101,3 +101,17 @@ def test_hashed_text_embedding_dim(spark):
     assert len(out[1]) == 16 and abs(sum(x * x for x in out[1]) - 1) < 1e-5 and out[2] is None
     bad = spark.createDataFrame([([1.0, 2.0],)], "e array<float>").select(valid_dim(F.col("e"), 3)).first()[0]
     assert bad is None
+
+
+def test_embed_flagged_keeps_unflagged_rows_away_from_the_model(spark):
+    from vitrine.operators.embed import embed_flagged
+
+    df = spark.createDataFrame([("a", True), ("b", False), ("c", None)], "u string, flag boolean")
+
+    def model(items):
+        assert "b" not in items and "c" not in items
+        return [[1.0] for _ in items]
+
+    out = embed_flagged(df, "flag", "v", lambda d: embed_column(d, "u", "v", model, 1))
+    got = {r.u: r.v for r in out.collect()}
+    assert got == {"a": [1.0], "b": None, "c": None}

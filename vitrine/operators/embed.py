@@ -66,3 +66,13 @@ def hashed_text_embedding(df: DataFrame, text_col: str, output_col: str, dim: in
     vec = vector_to_array(F.col("_unit"), "float32")
     blank = F.coalesce(F.trim(F.col(text_col)), F.lit("")) == ""
     return nz.withColumn(output_col, F.when(~blank, valid_dim(vec, dim))).drop("_tokens", "_tf", "_unit")
+
+
+def embed_flagged(df: DataFrame, flag_col: str, output_col: str, stage) -> DataFrame:
+    """Run ``stage(rows) -> rows + output_col`` only on rows whose flag is
+    true; the other rows get a null vector. Unchanged products never reach
+    the model (C3); the two branches are unioned back."""
+    flag = F.coalesce(F.col(flag_col), F.lit(False))
+    todo = stage(df.where(flag))
+    rest = df.where(~flag).withColumn(output_col, F.lit(None).cast("array<float>"))
+    return todo.unionByName(rest.select(*todo.columns))

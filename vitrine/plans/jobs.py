@@ -15,7 +15,7 @@ from vitrine.functions.text import labelled_search_text, plain_search_text
 from vitrine.operators.changes import classify, run_summary
 from vitrine.operators.dedupe import keep_first
 from vitrine.operators.elements import elements_once
-from vitrine.operators.embed import embed_column, hashed_text_embedding
+from vitrine.operators.embed import embed_column, embed_flagged, hashed_text_embedding
 from vitrine.operators.extract import listing_cards, product_records_p1, product_records_p2
 from vitrine.operators.merge import merge_catalog, next_version
 from vitrine.operators.records import format_products
@@ -30,16 +30,20 @@ P1_BRAND = "Shop"
 
 def _embed(rows: DataFrame, image_fn: Callable | None, text_fn: Callable | None, dim: int,
            text_col: str = "search_text") -> DataFrame:
-    """V1 + V2 on flagged rows only (C3): others keep null, the merge keeps
-    the stored vectors for them."""
+    """V1 + V2 on flagged rows only (C3): the plan splits into embed / keep
+    branches, so unchanged rows never reach a model; the merge keeps the
+    stored vectors for them."""
+    rows = rows.drop("image_embedding", "info_embedding")
     if image_fn is not None:
-        rows = embed_column(rows, "image_url", "image_embedding", image_fn, dim, "embed_image")
+        rows = embed_flagged(rows, "embed_image", "image_embedding",
+                             lambda d: embed_column(d, "image_url", "image_embedding", image_fn, dim))
+    else:
+        rows = rows.withColumn("image_embedding", F.lit(None).cast("array<float>"))
     if text_fn is not None:
-        rows = embed_column(rows, text_col, "info_embedding", text_fn, dim, "embed_text")
+        stage = lambda d: embed_column(d, text_col, "info_embedding", text_fn, dim)
     else:
-        rows = hashed_text_embedding(rows, text_col, "_hashed", dim).withColumn(
-            "info_embedding", F.when(F.col("embed_text"), F.col("_hashed"))).drop("_hashed")
-    return rows
+        stage = lambda d: hashed_text_embedding(d, text_col, "info_embedding", dim)
+    return embed_flagged(rows, "embed_text", "info_embedding", stage)
 
 
 def catalog_run(spark: SparkSession, pages: DataFrame, table: CatalogTable, run: int, run_ts: str | None = None,
