@@ -153,3 +153,17 @@ def test_catalog_run_test_mode_and_second_run(spark, scratch):
     assert r2.new_count + r2.updated_count + r2.unchanged_count + r2.failed_count == pages.count()
     assert r2.unchanged_count + r2.updated_count == r1.new_count
     assert t.snapshot() == {P1_SOURCE: 2}
+
+
+def test_site_run_commits_the_site_source(spark, scratch):
+    from vitrine.plans.jobs import site_run
+    from vitrine.sources.page_fixtures import listing_pages, product_pages
+    from vitrine.sources.sites import DEFAULT_SPEC_PATH
+
+    t = CatalogTable(spark, f"{scratch}/catalog")
+    site_run(spark, listing_pages(spark, SF_SMALL), product_pages(spark, SF_SMALL), DEFAULT_SPEC_PATH, t, 1,
+             "2024-06-01 00:00:00")
+    assert t.snapshot() == {"shop-example": 1}
+    rows = t.read()
+    assert rows.count() == rows.select("id").distinct().count() > 0
+    assert rows.where(F.col("metadata").isNull()).count() == 0        # merchant/country default (Q3)

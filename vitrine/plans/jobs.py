@@ -76,7 +76,8 @@ def catalog_run(spark: SparkSession, pages: DataFrame, table: CatalogTable, run:
     return merged, summary
 
 
-def site_records(spark: SparkSession, listing_pages: DataFrame, product_pages: DataFrame, spec) -> DataFrame:
+def site_records(spark: SparkSession, listing_pages: DataFrame, product_pages: DataFrame, spec,
+                 persisted: list | None = None) -> DataFrame:
     """W2 up to the sink: listing cards of every site (O4 union), details of
     the listed products only (semi join before the costly extraction), J2
     merge with detail priority, F13 site constants, E27 search text."""
@@ -88,7 +89,10 @@ def site_records(spark: SparkSession, listing_pages: DataFrame, product_pages: D
         lp = listing_pages.where(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1))
                                  == host)
         # cards feed both the detail semi-join and the J2 join: one element pass
-        cards = listing_cards(lp, sel, els=elements_once(lp)).withColumn("site", F.lit(name))
+        lp_els = elements_once(lp)
+        if persisted is not None:
+            persisted.append(lp_els)
+        cards = listing_cards(lp, sel, els=lp_els).withColumn("site", F.lit(name))
         wanted = cards.select(F.col("product_url").alias("url")).distinct()
         pp = product_pages.join(wanted, "url", "left_semi")
         det = product_records_p2(pp, sel, brand=s.get("brand") or "").drop("page_id")
@@ -123,10 +127,14 @@ def site_run(spark: SparkSession, listing_pages: DataFrame, product_pages: DataF
     """W2 with the sink (S4): formatted, deduplicated, merged into version ``run``."""
     from vitrine.sources.catalog import upsert
 
-    recs = site_records(spark, listing_pages, product_pages, spec)
+    persisted: list = []
+    recs = site_records(spark, listing_pages, product_pages, spec, persisted)
     fmt = format_products(recs)
     sources = [s.get("source") for s in load_spec(spec).values() if s.get("source")]
-    return upsert(table, keep_first(fmt, ["id"], ["product_url"]), run, run_ts, sources=sources)
+    merged = upsert(table, keep_first(fmt, ["id"], ["product_url"]), run, run_ts, sources=sources)
+    for df in persisted:          # the version is committed: release the element rows
+        df.unpersist()
+    return merged
 
 
 def listing_page_records(pages: DataFrame, selectors: dict) -> DataFrame:
