@@ -39,3 +39,11 @@ def test_walk_stops_on_cycles_and_self_links(spark):
     assert got == [("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("s", "s", 0), ("x", "x", 0), ("x", "y", 1)]
     capped = sorted((r.start, r.url) for r in walk(chain, starts, max_pages=2).collect())
     assert ("a", "c") not in capped and ("a", "b") in capped
+
+
+def test_walk_with_several_pointers_per_page(spark):
+    chain = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "a")],
+                                  "url string, next_url string")
+    starts = spark.createDataFrame([("a",)], "url string")
+    got = sorted((r.url, r.depth) for r in walk(chain, starts).collect())
+    assert got == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]

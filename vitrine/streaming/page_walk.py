@@ -1,9 +1,10 @@
-"""Follow next-page pointers from each start page (``scrape_category``).
+"""Follow next-page pointers from each start page.
 
 A frontier loop over DataFrames: each round joins the frontier to the
-pointer table on ``url`` and drops (start, url) pairs already visited with a
-``left_anti`` join, so cycles end without a depth bound (Q15) and a self-link
-stops the walk. The driver only counts the new frontier each round; the
+pointer table on ``url``. Cycles end without a depth bound (Q15) and a
+self-link stops the walk: with one pointer per page a tortoise pointer
+detects the cycle (no visited set is carried); otherwise a ``left_anti`` join
+drops (start, url) pairs already visited. The driver only counts the new frontier each round; the
 number of rounds is the longest chain, not the data size. Lineage is cut every
 few rounds by writing the frontier and visited set to the shared checkpoint
 folder (``vitrine.session.materialize``).
@@ -30,11 +31,54 @@ def chain_heads(chain: DataFrame) -> DataFrame:
 def walk(chain: DataFrame, starts: DataFrame, max_pages: int | None = None) -> DataFrame:
     """``(start, url, depth)`` for every page reached from each start; depth 0
     is the start itself; ``max_pages`` bounds the pages per walk like the
-    reference's argument (None = until no new page)."""
+    reference's argument (None = until no new page).
+
+    Next-page pointers are single-valued, so the pointer table is normally a
+    function url -> next_url: then each walk is a path and needs no visited
+    set (``_walk_path``). A table with several pointers per page falls back to
+    the breadth-first walk with an anti-join on visited pages."""
     spark = chain.sparkSession
     checkpoint_dir(spark)
     edges = materialize(chain.where(F.col("next_url").isNotNull() & (F.col("next_url") != F.col("url")))
                         .select("url", "next_url").distinct(), "walk-edges")   # joined every round
+    functional = edges.groupBy("url").count().where(F.col("count") > 1).isEmpty()
+    if functional:
+        return _walk_path(edges, starts, max_pages)
+    return _walk_bfs(edges, starts, max_pages)
+
+
+def _walk_path(edges: DataFrame, starts: DataFrame, max_pages: int | None) -> DataFrame:
+    """Follow one pointer per round. A cycle is found without a visited set: a
+    second pointer (the tortoise) advances every other round, and a walk stops
+    when its head meets it; the few cycle pages emitted twice before that are
+    removed by the final ``min(depth)`` per (start, url)."""
+    step_edges = edges.select(F.col("url"), F.col("next_url"))
+    tort_edges = edges.select(F.col("url").alias("tort"), F.col("next_url").alias("tort_next"))
+    front = starts.select(F.col("url").alias("start"), "url", F.lit(0).alias("depth"), F.col("url").alias("tort"))
+    parts = [front.select("start", "url", "depth")]
+    depth = 0
+    while True:
+        depth += 1
+        if max_pages is not None and depth >= max_pages:
+            break
+        nxt = front.join(step_edges, "url").select("start", F.col("next_url").alias("url"),
+                                                   F.lit(depth).alias("depth"), "tort")
+        if depth % 2 == 0:
+            nxt = nxt.join(tort_edges, "tort").select("start", "url", "depth", F.col("tort_next").alias("tort"))
+        nxt = nxt.where(F.col("url") != F.col("tort"))           # head met the tortoise: cycle closed
+        nxt = materialize(nxt, "walk-front") if depth % CHECKPOINT_EVERY == 0 else nxt.cache()
+        if nxt.isEmpty():
+            break
+        parts.append(nxt.select("start", "url", "depth"))
+        front = nxt
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("start", "url").agg(F.min("depth").alias("depth"))
+
+
+def _walk_bfs(edges: DataFrame, starts: DataFrame, max_pages: int | None) -> DataFrame:
+    """Breadth-first walk for pointer tables with several pointers per page."""
     frontier = starts.select(F.col("url").alias("start"), "url", F.lit(0).alias("depth"))
     visited = frontier
     depth = 0
