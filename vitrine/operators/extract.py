@@ -184,12 +184,25 @@ def _p2_columns(selectors: dict, brand: str, mode: str):
 
 
 
+_P1_CACHE: dict = {}
+
+
 def product_records_p1(pages: DataFrame) -> DataFrame:
     """The first pipeline's page rules (embedded product state JSON first)."""
-    els = elements(pages)
+    from pyspark import SparkContext
+
+    key = id(SparkContext._active_spark_context)
+    if key not in _P1_CACHE:
+        _P1_CACHE[key] = _p1_columns()        # fixed rules: Columns built once
+    rules, rec_cols, meta = _P1_CACHE[key]
+    g = apply_rules(elements(pages), ["page_id", "url"], rules, cache_key=("p1",))
+    return g.select(*rec_cols).withColumn("metadata", meta).drop("sizes", "product_type", "vendor")
+
+
+def _p1_columns():
     state_pred = (F.col("tag") == "script") & F.col("raw_text").contains(P1_STATE_MARK)
     state_txt = F.regexp_extract(F.col("raw_text"), P1_STATE, 1)
-    g = apply_rules(els, ["page_id", "url"], [
+    rules = [
         ("state", state_pred & (state_txt != ""), state_txt, "first"),
         ("h1_product", matches("h1.product__title"), TEXT, "first"),
         ("h1", matches("h1"), TEXT, "first"),
@@ -198,7 +211,7 @@ def product_records_p1(pages: DataFrame) -> DataFrame:
         ("img_html", matches(P1_IMAGE), _attr("src"), "first"),
         ("gallery", matches(P1_GALLERY), _attr("src"), "all"),
         ("crumbs", matches(P1_BREADCRUMB), TEXT, "all"),
-    ])
+    ]
     js = F.try_parse_json(F.col("state"))
     jget = lambda path, t="string": F.try_variant_get(js, path, t)
     jtitle, jtype = F.nullif(jget("$.title"), F.lit("")), F.nullif(jget("$.type"), F.lit(""))
@@ -224,7 +237,7 @@ def product_records_p1(pages: DataFrame) -> DataFrame:
     flat = F.transform(variants, lambda v: F.struct(
         v["title"].alias("title"), minor_units_eur(v["price"]).alias("price_eur"), v["sku"].alias("sku"),
         v["available"].alias("available")))
-    rec = g.select(
+    rec_cols = [
         "page_id", F.col("url").alias("product_url"),
         product_handle(F.col("url"), jget("$.handle")).alias("handle"),
         F.coalesce(jtitle, F.col("h1_product"), F.col("h1"), F.lit("")).alias("title"),
@@ -243,12 +256,12 @@ def product_records_p1(pages: DataFrame) -> DataFrame:
         F.when(js.isNotNull(), F.coalesce(jget("$.tags", "array<string>"), F.array().cast("array<string>")))
         .alias("tags"),
         F.when(F.size(variants) > 0, flat).alias("variants"),
-    )
+    ]
     # Metadata JSON of the record (nested values kept as JSON)
     meta = F.to_json(F.struct(
         "title", "description", "price", "category", "gender", "sizes",
         F.array().cast("array<string>").alias("colors"), "product_type", "vendor", "tags", "variants"))
-    return rec.withColumn("metadata", meta).drop("sizes", "product_type", "vendor")
+    return rules, rec_cols, meta
 
 
 def product_links(pages: DataFrame) -> DataFrame:
