@@ -115,3 +115,21 @@ def test_embed_flagged_keeps_unflagged_rows_away_from_the_model(spark):
     out = embed_flagged(df, "flag", "v", lambda d: embed_column(d, "u", "v", model, 1))
     got = {r.u: r.v for r in out.collect()}
     assert got == {"a": [1.0], "b": None, "c": None}
+
+
+def test_probe_paths_agree(spark):
+    """The literal probe and the in-task NumPy probe pick the same lists."""
+    import vitrine.operators.search as S
+    from vitrine.plans.search_queries import DIM, _vectors
+
+    v = _vectors(spark, SF_ORACLE)
+    model = S.train_ivf(v, "embedding", 10)
+    cents = S.group_centroids(v, "label", "embedding", DIM)
+    lit = sorted((r.label, r.probe) for r in S.probe_lists(model, cents, "centroid", 3).collect())
+    old = S.MAX_LITERAL_CENTRES
+    try:
+        S.MAX_LITERAL_CENTRES = 0
+        tasks = sorted((r.label, r.probe) for r in S.probe_lists(model, cents, "centroid", 3).collect())
+    finally:
+        S.MAX_LITERAL_CENTRES = old
+    assert lit == tasks

@@ -138,7 +138,9 @@ def with_site_constants(df: DataFrame, sites: DataFrame) -> DataFrame:
         F.col("site"), F.col("source").alias("_s_source"), F.col("merchant_name").alias("_s_merchant"),
         F.col("brand").alias("_s_brand"), F.col("second_hand").alias("_s_second_hand"),
         F.col("country").alias("_s_country"))
-    j = df.join(F.broadcast(s), "site", "left")
+    from vitrine.sources.sites import bounded_broadcast
+
+    j = df.join(bounded_broadcast(s), "site", "left")
     cols = {
         "source": F.coalesce(_present(j, "source"), F.col("_s_source")),
         "merchant_name": F.coalesce(_present(j, "merchant_name"), F.col("_s_merchant")),

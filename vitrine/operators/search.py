@@ -83,13 +83,22 @@ def assign_lists(model, items: DataFrame, vec: str) -> DataFrame:
     return model.transform(with_f).drop("features")
 
 
+# Largest n_lists x dim written into a plan as a literal; bigger indexes probe
+# with NumPy inside the tasks instead.
+MAX_LITERAL_CENTRES = 50_000
+
+
 def probe_lists(model, queries: DataFrame, query_vec: str, n_probe: int) -> DataFrame:
     """The ``n_probe`` lists whose centres are nearest each query.
 
     The centres are model state (``n_lists`` x dim, fixed by the index
-    parameter, not by the data size), so they enter the plan as a literal.
+    parameter, not by the data size). A small index enters the plan as one
+    literal; a large one is scored with NumPy in ``mapInPandas`` (the centres
+    travel with the task closure, which Spark broadcasts when it is large).
     """
     centers = [list(map(float, c)) for c in model.clusterCenters()]
+    if len(centers) * len(centers[0]) > MAX_LITERAL_CENTRES:
+        return _probe_in_tasks(centers, queries, query_vec, n_probe)
     # one SQL literal (one JVM call) instead of n_lists x dim Column literals
     lit_centers = F.expr("array(" + ", ".join(
         "array(" + ", ".join(f"CAST({x!r} AS DOUBLE)" for x in c) + ")" for c in centers) + ")")
@@ -101,6 +110,29 @@ def probe_lists(model, queries: DataFrame, query_vec: str, n_probe: int) -> Data
     return queries.withColumn("probe", F.explode(F.transform(nearest, lambda s: s["list_id"])))
 
 
+def _probe_in_tasks(centers, queries: DataFrame, query_vec: str, n_probe: int) -> DataFrame:
+    import numpy as np
+    from pyspark.sql import types as T
+
+    c = np.asarray(centers, dtype=np.float64)
+    schema = T.StructType(list(queries.schema.fields) + [T.StructField("probe", T.IntegerType())])
+
+    def run(batches):
+        import pandas as pd
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            q = np.stack(pdf[query_vec].map(lambda v: np.asarray(v, dtype=np.float64)))
+            q = q / np.linalg.norm(q, axis=1, keepdims=True)
+            d = ((q[:, None, :] - c[None, :, :]) ** 2).sum(axis=2)
+            order = np.lexsort((np.broadcast_to(np.arange(len(c)), d.shape), d), axis=1)[:, :n_probe]
+            rows = pdf.loc[pdf.index.repeat(order.shape[1])].copy()
+            rows["probe"] = order.reshape(-1).astype("int32")
+            yield rows.reset_index(drop=True)
+
+    return queries.mapInPandas(run, schema)
+
+
 def ivf_top_k(model, items_with_lists: DataFrame, queries: DataFrame, key: str, item_id: str, vec: str,
               query_vec: str, k: int, n_probe: int) -> DataFrame:
     """V5: the same query as ``top_k_by_key`` restricted to the probed lists;

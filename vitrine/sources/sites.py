@@ -49,10 +49,19 @@ def categories_frame(sites: DataFrame) -> DataFrame:
         "site", F.col("c.url").alias("category_url"), F.col("c.name").alias("category_name"))
 
 
+# A spec with more sites than this is joined like any table (Spark decides).
+MAX_BROADCAST_SITES = 10_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_SITES) -> DataFrame:
+    """Broadcast a config-sized frame only after checking its size."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def pages_with_site(pages: DataFrame, sites: DataFrame) -> DataFrame:
-    """Attach each page to its site spec by host (broadcast: one row per site)."""
+    """Attach each page to its site spec by host (one row per site)."""
     host = F.lower(F.regexp_extract(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1))
-    return pages.withColumn("host", host).join(F.broadcast(sites.select("site", "host")), "host", "left")
+    return pages.withColumn("host", host).join(bounded_broadcast(sites.select("site", "host")), "host", "left")
 
 
 DEFAULT_SPEC_PATH = os.path.join(os.path.dirname(__file__), "sites.yaml")
