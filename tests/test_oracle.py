@@ -14,7 +14,7 @@ ORACLES = entry.oracle_sql()
 
 # Queries without a SQL twin (iterative or model-based): checked by rows here
 # and against brute force in test_search.py.
-ROWS_ONLY = {"ivf_topk", "text_embedding"}
+ROWS_ONLY = {"ivf_topk"}
 
 
 def test_every_query_has_an_oracle_or_is_rows_only():

@@ -56,10 +56,12 @@ def q_token_df(spark, sf_dir):
 
 
 def q_text_embedding(spark, sf_dir):
-    """V2 stage with the hashed stand-in; rows-only check (no SQL twin)."""
+    """V2 stage with the hashed stand-in: a ``DIM``-wide unit vector for every
+    non-blank text, null for blank ones (V3 length check applied)."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     e = hashed_text_embedding(d, "text", "info_embedding", DIM)
-    return e.select("doc_id", F.size("info_embedding").alias("dim"))
+    v = F.col("info_embedding")
+    return e.select("doc_id", F.when(v.isNotNull(), F.size(v)).alias("dim"))
 
 
 QUERIES = {
@@ -79,6 +81,8 @@ _TOK = "[^\\p{L}\\p{N}]+"
 _TERMS = ", ".join(f"'{t}'" for t in sorted(set(SEARCH_QUERY.split())))
 
 ORACLES = {
+    "text_embedding": f"""
+SELECT doc_id, CASE WHEN coalesce(trim(text), '') <> '' THEN CAST({DIM} AS INTEGER) END AS dim FROM documents""",
     "label_topk_cosine": f"""WITH {_CENT},
 scored AS (
   SELECT e.label, e.vec_id,
