@@ -100,3 +100,15 @@ def test_pages_join_their_site_spec(spark):
     assert rows[1].site == "shop" and rows[1].source == "shop-example" and rows[1].country == "eu"
     assert rows[2].site is None and rows[2].source is None and rows[2].country == "eu"
     assert rows[1].second_hand is False
+
+
+def test_implied_end_tags():
+    elems, nodes = parse_page("<body><p><b>a<br><p>b</p><ul><li>x<li>y</ul><table><tr><td>1<td>2</table></body>")
+    by_tag = {}
+    for e in elems:
+        by_tag.setdefault(e[3], []).append(e)
+    ps = by_tag["p"]
+    assert [element_text(nodes, e[7], e[8], "p") for e in ps] == ["a", "b"]
+    assert ps[0][1] == ps[1][1]                                   # siblings, not nested
+    assert [element_text(nodes, e[7], e[8], "li") for e in by_tag["li"]] == ["x", "y"]
+    assert [element_text(nodes, e[7], e[8], "td") for e in by_tag["td"]] == ["1", "2"]

@@ -30,6 +30,16 @@ ELEMENT_SCHEMA = (
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source",
         "track", "wbr"}
 RAW = {"script", "style"}
+# HTML's implied end tags (tree-building rules of the HTML standard), so that
+# e.g. "<p>a<p>b" gives two sibling paragraphs as browsers and lxml build it.
+CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption",
+            "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav",
+            "ol", "p", "pre", "section", "table", "ul"}
+IMPLIED = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
+           "option": ({"option"}, {"select", "datalist", "optgroup"}),
+           "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}),
+           "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+SCOPE = {"table", "td", "th", "button", "html", "template", "caption", "marquee", "object", "applet"}
 
 
 class _Collector(HTMLParser):
@@ -52,7 +62,31 @@ class _Collector(HTMLParser):
         self.elems.append([tag, d.get("id"), classes, d, parent, len(self.stack), len(self.texts), None, anc])
         return len(self.elems) - 1
 
+    def _close_to(self, pos):
+        while len(self.stack) > pos:
+            self.elems[self.stack.pop()][7] = len(self.texts)
+
+    def _implied_end(self, tag):
+        if tag in CLOSES_P:
+            for pos in range(len(self.stack) - 1, -1, -1):
+                t = self.elems[self.stack[pos]][0]
+                if t == "p":
+                    self._close_to(pos)
+                    break
+                if t in SCOPE:
+                    break
+        if tag in IMPLIED:
+            closes, stops = IMPLIED[tag]
+            for pos in range(len(self.stack) - 1, -1, -1):
+                t = self.elems[self.stack[pos]][0]
+                if t in closes:
+                    self._close_to(pos)
+                    break
+                if t in stops or t in SCOPE:
+                    break
+
     def handle_starttag(self, tag, attrs):
+        self._implied_end(tag)
         i = self._open(tag, attrs)
         if tag in VOID:
             self.elems[i][7] = len(self.texts)
@@ -60,14 +94,14 @@ class _Collector(HTMLParser):
             self.stack.append(i)
 
     def handle_startendtag(self, tag, attrs):
+        self._implied_end(tag)
         i = self._open(tag, attrs)
         self.elems[i][7] = len(self.texts)
 
     def handle_endtag(self, tag):
         for pos in range(len(self.stack) - 1, -1, -1):
             if self.elems[self.stack[pos]][0] == tag:
-                while len(self.stack) > pos:
-                    self.elems[self.stack.pop()][7] = len(self.texts)
+                self._close_to(pos)
                 return
 
     def handle_data(self, data):
