@@ -112,3 +112,12 @@ def test_implied_end_tags():
     assert ps[0][1] == ps[1][1]                                   # siblings, not nested
     assert [element_text(nodes, e[7], e[8], "li") for e in by_tag["li"]] == ["x", "y"]
     assert [element_text(nodes, e[7], e[8], "td") for e in by_tag["td"]] == ["1", "2"]
+
+
+def test_page_without_elements_still_yields_a_record(spark):
+    pages = spark.createDataFrame([(9, "https://shop.example.com/products/blue-coat-9", ""),
+                                   (10, "https://shop.example.com/products/red-hat-10", "just text")],
+                                  "page_id bigint, url string, html string")
+    rows = {r.page_id: r for r in product_records_p2(pages, SITE_SELECTORS, brand="Shop").collect()}
+    assert rows[9].title == "Blue Coat 9" and rows[9].price is None       # title from the URL slug
+    assert rows[10].title == "Red Hat 10" and rows[10].external_id == "10"

@@ -156,6 +156,10 @@ def _element_batches(batches):
         htmls = batch.column("html").to_pylist()
         for pid, url, html in zip(ids, urls, htmls):
             elems, nodes = parse_page(html)
+            if not elems:
+                # keep the page: a placeholder row (no selector matches it)
+                # carries its text, so per-page results still have a row
+                elems = [(0, -1, 0, "#document", None, [], {}, 0, len(nodes), None, None, None, [])]
             for k, (idx, parent, depth, tag, eid, classes, attrs, t0, t1, pt0, pt1, raw, anc) in enumerate(elems):
                 cols["page_id"].append(pid)
                 cols["url"].append(url)
