@@ -154,3 +154,9 @@ def test_tags_and_compare(spark):
     assert _one(spark, [("a, b,,c ",)], "t string", tags_array(F.col("t"))) == [["a", "b", "c"]]
     rows = [(None, ""), ("x", "x"), ("x", None)]
     assert _one(spark, rows, "a string, b string", same_text(F.col("a"), F.col("b"))) == [True, True, False]
+
+
+def test_title_gender_ignores_female_male(spark):
+    rows = [("female fit",), ("Women's shop",), ("male",)]
+    assert _one(spark, rows, "t string", C.gender_title(F.col("t"))) == [None, "women", None]
+    assert _one(spark, rows, "t string", C.gender_generic(F.col("t"))) == ["women", "women", "men"]

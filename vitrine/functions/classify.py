@@ -50,6 +50,8 @@ COARSE_PATHS = [
 ]
 WOMEN_TERMS = ["women", "woman", "female"]
 MEN_TERMS = ["men", "man", "male"]
+TITLE_WOMEN = ["women", "woman"]          # page <title> and product-page gender element
+TITLE_MEN = ["men", "man"]
 META_WOMEN = ["(woman)", "(female)", "woman wearing"]
 META_MEN = ["(man)", "(male)", "man wearing"]
 DESC_WOMEN = ["women's", "woman's", "female"]
@@ -177,6 +179,13 @@ def gender_generic(text: Column, mode: str = "substring", prepared: Column | Non
             .when(hits(p, MEN_TERMS, mode), F.lit("men")))
 
 
+def gender_title(text: Column, mode: str = "substring", prepared: Column | None = None) -> Column:
+    """Page-title test: women / woman, then men / man (no female / male)."""
+    p = prepared if prepared is not None else prepare(text, mode, TITLE_WOMEN + TITLE_MEN)
+    return (F.when(hits(p, TITLE_WOMEN, mode), F.lit("women"))
+            .when(hits(p, TITLE_MEN, mode), F.lit("men")))
+
+
 def gender_meta(text: Column, mode: str = "substring") -> Column:
     """Meta-description test: ``(woman)``, ``woman wearing`` ... then the men forms."""
     m = "substring"  # the terms carry their own delimiters
@@ -206,7 +215,8 @@ def gender_from_type(product_type: Column, url: Column, mode: str = "substring",
 def gender_chain(sources: list[tuple[str, Column]], mode: str = "substring") -> Column:
     """First source that yields a gender; each source names its test
     (``generic``, ``meta`` or ``description``)."""
-    tests = {"generic": gender_generic, "meta": gender_meta, "description": gender_description}
+    tests = {"generic": gender_generic, "title": gender_title, "meta": gender_meta,
+             "description": gender_description}
     return F.coalesce(*[tests[kind](col, mode) for kind, col in sources])
 
 

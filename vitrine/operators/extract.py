@@ -166,8 +166,8 @@ def _p2_columns(selectors: dict, brand: str, mode: str):
         C.gender_generic(F.col("url"), mode),
         C.gender_meta(F.col("meta_desc")),
         crumb_gender,
-        C.gender_generic(F.col("page_title"), mode),
-        C.gender_generic(F.col("gender_text"), mode),
+        C.gender_title(F.col("page_title"), mode),
+        C.gender_title(F.col("gender_text"), mode),
         C.gender_description(F.col("gender_desc"), mode))
     out_cols = [
         "page_id", F.col("url").alias("product_url"),
@@ -452,7 +452,7 @@ def listing_cards_dynamic(pages: DataFrame, selectors: dict, mode: str = "substr
     low_desc = F.lower(F.coalesce(F.col("desc"), F.lit("")))
     page_path = F.lower(F.col("url"))
     gender = F.coalesce(
-        C.gender_generic(url, mode), C.gender_generic(F.col("page_title"), mode), C.gender_meta(F.col("meta_desc")),
+        C.gender_generic(url, mode), C.gender_title(F.col("page_title"), mode), C.gender_meta(F.col("meta_desc")),
         crumb_g, C.gender_generic(F.col("gender_text"), mode),
         F.when(C.has_any(low_title, TITLE_WOMEN, "substring"), F.lit("women"))
          .when(C.has_any(low_title, TITLE_MEN, "substring"), F.lit("men")),

@@ -99,8 +99,8 @@ def q_page_gender(spark, sf_dir):
     els = elements(read_pages(spark, sf_dir))
     g = apply_rules(els, ["page_id", "url"], [("t", matches("title"), RAW, "first"),
                                               ("h", matches("h1"), RAW, "first")])
-    chain = lambda m: F.coalesce(C.gender_generic(F.col("url"), m), C.gender_generic(F.col("t"), m),
-                                 C.gender_generic(F.col("h"), m))
+    chain = lambda m: F.coalesce(C.gender_generic(F.col("url"), m), C.gender_title(F.col("t"), m),
+                                 C.gender_title(F.col("h"), m))
     return g.select("page_id", chain("substring").alias("gender_substring"), chain("word").alias("gender_word"))
 
 
@@ -221,6 +221,12 @@ def _gender_generic(t: str, mode: str) -> str:
     return g(t, mode)
 
 
+def _gender_title(t: str, mode: str) -> str:
+    from vitrine.functions import classify as C
+    from vitrine.plans.scalar_queries import _first, _has_any
+    return _first([(_has_any(t, C.TITLE_WOMEN, mode), "women"), (_has_any(t, C.TITLE_MEN, mode), "men")])
+
+
 _TITLE_SQL = _entities("regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1)")
 _H1_SQL = _entities("regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)")
 
@@ -347,7 +353,7 @@ FROM (SELECT url, replace(unnest(regexp_extract_all(html, '<a\\s[^>]*href="([^"]
         for i, sel in enumerate(PROFILE_CONTAINERS))
     + " FROM (SELECT page_id, regexp_extract_all(html, '<[a-zA-Z][^>]*>') AS tags FROM pages)",
     "page_gender": "SELECT page_id, " + ", ".join(
-        f"coalesce({_gender_generic('url', m)}, {_gender_generic(_TITLE_SQL, m)}, {_gender_generic(_H1_SQL, m)})"
+        f"coalesce({_gender_generic('url', m)}, {_gender_title(_TITLE_SQL, m)}, {_gender_title(_H1_SQL, m)})"
         f" AS gender_{m}" for m in ("substring", "word"))
     + " FROM pages",
 }
