@@ -13,7 +13,7 @@ from vitrine.sources.tables import read_table
 DIM = 64
 TOP_K = 10
 IVF_LISTS = 100
-IVF_PROBES = 8
+IVF_PROBES = 10                 # the usual sqrt(lists) probes
 SEARCH_QUERY = "rein nicht dans thinnt erreha"
 TOKEN_REPORT = 50
 
