@@ -167,3 +167,14 @@ def test_site_run_commits_the_site_source(spark, scratch):
     rows = t.read()
     assert rows.count() == rows.select("id").distinct().count() > 0
     assert rows.where(F.col("metadata").isNull()).count() == 0        # merchant/country default (Q3)
+
+
+def test_site_records_limit_per_category(spark):
+    from vitrine.plans.jobs import site_records
+    from vitrine.sources.page_fixtures import listing_pages, product_pages
+    from vitrine.sources.sites import DEFAULT_SPEC_PATH
+
+    recs = site_records(spark, listing_pages(spark, SF_SMALL), product_pages(spark, SF_SMALL), DEFAULT_SPEC_PATH,
+                        limit=3).collect()
+    assert len(recs) == 3
+    assert [r.external_id for r in sorted(recs, key=lambda r: int(r.external_id))] == ["0", "2", "4"]

@@ -17,7 +17,9 @@ from vitrine.operators.dedupe import keep_first
 from vitrine.operators.elements import elements_once
 from vitrine.operators.embed import embed_column, embed_flagged, hashed_text_embedding
 from vitrine.operators.extract import listing_cards, product_records_p1, product_records_p2
+from vitrine.functions.urls import url_path
 from vitrine.operators.merge import merge_catalog, next_version
+from vitrine.operators.topk import top_n_per_group
 from vitrine.operators.records import format_products
 from vitrine.sources.catalog import CatalogTable
 from vitrine.session import checkpoint_dir, materialize
@@ -77,7 +79,7 @@ def catalog_run(spark: SparkSession, pages: DataFrame, table: CatalogTable, run:
 
 
 def site_records(spark: SparkSession, listing_pages: DataFrame, product_pages: DataFrame, spec,
-                 persisted: list | None = None) -> DataFrame:
+                 persisted: list | None = None, limit: int | None = None) -> DataFrame:
     """W2 up to the sink: listing cards of every site (O4 union), details of
     the listed products only (semi join before the costly extraction), J2
     merge with detail priority, F13 site constants, E27 search text."""
@@ -93,6 +95,12 @@ def site_records(spark: SparkSession, listing_pages: DataFrame, product_pages: D
         if persisted is not None:
             persisted.append(lp_els)
         cards = listing_cards(lp, sel, els=lp_els).withColumn("site", F.lit(name))
+        if limit is not None:
+            # L2: the first `limit` listings of each category (its listing
+            # pages share the URL path), in page and document order
+            cat = lp.select("page_id", url_path(F.col("url")).alias("category"))
+            cards = top_n_per_group(cards.join(cat, "page_id"), ["category"],
+                                    [F.col("page_id"), F.col("card_idx")], limit, "_rank").drop("_rank", "category")
         wanted = cards.select(F.col("product_url").alias("url")).distinct()
         pp = product_pages.join(wanted, "url", "left_semi")
         det = product_records_p2(pp, sel, brand=s.get("brand") or "").drop("page_id")
@@ -123,12 +131,12 @@ def site_records(spark: SparkSession, listing_pages: DataFrame, product_pages: D
 
 
 def site_run(spark: SparkSession, listing_pages: DataFrame, product_pages: DataFrame, spec,
-             table: CatalogTable, run: int, run_ts: str | None = None) -> DataFrame:
+             table: CatalogTable, run: int, run_ts: str | None = None, limit: int | None = None) -> DataFrame:
     """W2 with the sink (S4): formatted, deduplicated, merged into version ``run``."""
     from vitrine.sources.catalog import upsert
 
     persisted: list = []
-    recs = site_records(spark, listing_pages, product_pages, spec, persisted)
+    recs = site_records(spark, listing_pages, product_pages, spec, persisted, limit)
     fmt = format_products(recs)
     sources = [s.get("source") for s in load_spec(spec).values() if s.get("source")]
     merged = upsert(table, keep_first(fmt, ["id"], ["product_url"]), run, run_ts, sources=sources)
