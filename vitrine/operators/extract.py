@@ -98,10 +98,10 @@ def product_records_p2(pages: DataFrame, selectors: dict | None = None, brand: s
                        mode: str = "substring") -> DataFrame:
     """Product pages -> detail records (title, price, sale, images, sizes,
     gender, description, category, external id)."""
-    from pyspark import SparkContext
+    from vitrine.operators.selectors import context_key
 
     selectors = selectors or {}
-    key = (id(SparkContext._active_spark_context), tuple(sorted(selectors.items())), brand, mode)
+    key = (context_key(), tuple(sorted(selectors.items())), brand, mode)
     if key not in _P2_CACHE:
         # the rule Columns depend only on the spec: built once per spec and reused
         _P2_CACHE[key] = _p2_columns(selectors, brand, mode)
@@ -189,9 +189,9 @@ _P1_CACHE: dict = {}
 
 def product_records_p1(pages: DataFrame) -> DataFrame:
     """The first pipeline's page rules (embedded product state JSON first)."""
-    from pyspark import SparkContext
+    from vitrine.operators.selectors import context_key
 
-    key = id(SparkContext._active_spark_context)
+    key = context_key()
     if key not in _P1_CACHE:
         _P1_CACHE[key] = _p1_columns()        # fixed rules: Columns built once
     rules, rec_cols, meta = _P1_CACHE[key]

@@ -91,14 +91,21 @@ def _ancestor_test(sel: str):
 _CACHE: dict = {}
 
 
+def context_key() -> tuple:
+    """Identity of the running SparkContext for Column memo caches (Columns
+    hold references into that context's JVM)."""
+    from pyspark import SparkContext
+
+    sc = SparkContext._active_spark_context
+    return (sc.applicationId, sc.startTime) if sc is not None else (None, None)
+
+
 def matches(selector: str) -> Column:
     """Predicate: the element matches any member of the comma list.
 
     Built Columns are memoised per SparkContext: a selector is compiled once
     and reused by every plan (each Column call is a round trip to the JVM)."""
-    from pyspark import SparkContext
-
-    key = (id(SparkContext._active_spark_context), selector)
+    key = (context_key(), selector)
     hit = _CACHE.get(key)
     if hit is None:
         hit = _CACHE[key] = _matches(selector)
@@ -178,8 +185,7 @@ def apply_rules(els, keys: list[str], rules: list[tuple], nodes_from=None, cache
     """
     ck = None
     if cache_key is not None:
-        from pyspark import SparkContext
-        ck = (id(SparkContext._active_spark_context), cache_key, tuple(keys), nodes_from is None)
+        ck = (context_key(), cache_key, tuple(keys), nodes_from is None)
     parts = _RULES_CACHE.get(ck) if ck is not None else None
     if parts is None:
         parts = _rule_columns(rules, nodes_from is None)
