@@ -140,6 +140,14 @@ def q_site_success(spark, sf_dir):
         (F.sum(ok.cast("int")) > 0).alias("success"))
 
 
+def q_all_sites_success(spark, sf_dir):
+    """A10: the run succeeds only if every site produced an accepted row."""
+    per_site = q_site_success(spark, sf_dir)
+    return per_site.agg(F.bool_and("success").alias("all_success"),
+                        F.count(F.lit(1)).alias("sites"),
+                        F.sum(F.col("success").cast("int")).cast("bigint").alias("sites_ok"))
+
+
 def q_run_summary(spark, sf_dir):
     cat = stored(spark, sf_dir)
     inc = incoming(spark, sf_dir)
@@ -191,6 +199,7 @@ QUERIES = {
     "uniqueness_external_id": q_uniqueness_external_id,
     "product_count": q_product_count,
     "site_success": q_site_success,
+    "all_sites_success": q_all_sites_success,
     "run_summary": q_run_summary,
     "limit_per_category": q_limit_per_category,
     "test_mode_limit": q_test_mode_limit,
@@ -308,6 +317,10 @@ SELECT source, CAST(sum(CASE WHEN reject_reason IS NULL THEN 1 ELSE 0 END) AS BI
        CAST(sum(CASE WHEN reject_reason IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS n_rejected,
        sum(CASE WHEN reject_reason IS NULL THEN 1 ELSE 0 END) > 0 AS success
 FROM fmt GROUP BY source""",
+    "all_sites_success": _w("catalog_new") + f""", {_FMT}, per_site AS (
+  SELECT source, sum(CASE WHEN reject_reason IS NULL THEN 1 ELSE 0 END) > 0 AS success FROM fmt GROUP BY source)
+SELECT bool_and(success) AS all_success, count(*) AS sites,
+       CAST(sum(CASE WHEN success THEN 1 ELSE 0 END) AS BIGINT) AS sites_ok FROM per_site""",
     "run_summary": _w("catalog_old", "catalog_new") + f""", {_FMT}, {_INC}, {_OLD}, {_CLS}, {_SEEN}, {_STALE}
 SELECT CAST(count(*) FILTER (WHERE status = 'new') AS BIGINT) AS new_count,
        CAST(count(*) FILTER (WHERE status = 'updated') AS BIGINT) AS updated_count,
