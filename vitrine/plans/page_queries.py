@@ -129,6 +129,11 @@ def q_p1_variants(spark, sf_dir):
                     F.col("v.sku").alias("sku"), F.col("v.available").alias("available"))
 
 
+def q_p1_metadata(spark, sf_dir):
+    """The record's metadata JSON (state JSON fields when present)."""
+    return product_records_p1(product_pages(spark, sf_dir)).select("page_id", "metadata")
+
+
 def q_link_fallback(spark, sf_dir):
     """Pages without containers fall back to link-only records."""
     from vitrine.plans.jobs import listing_page_records
@@ -160,6 +165,7 @@ def q_page_sites(spark, sf_dir):
 QUERIES = {
     "listing_dynamic": q_listing_dynamic,
     "p1_variants": q_p1_variants,
+    "p1_metadata": q_p1_metadata,
     "link_fallback": q_link_fallback,
     "new_links": q_new_links,
     "page_sites": q_page_sites,
@@ -274,6 +280,31 @@ SELECT p_partkey AS page_id, v.variant, v.price_eur, v.sku, v.available FROM par
         AS DECIMAL(18,2)) AS VARCHAR) || 'EUR', 'sku': 'SKU-' || CAST(p_partkey AS VARCHAR) || '-D',
       'available': false}}]) AS v)
 WHERE p_partkey % 5 = 4""",
+    "p1_metadata": f"""
+SELECT page_id, CAST(CASE WHEN has_state THEN
+    json_object('title', title, 'description', description, 'price', price, 'category', category,
+                'gender', gender, 'sizes', [CAST(p_size AS VARCHAR)], 'colors', CAST([] AS VARCHAR[]),
+                'product_type', 'Woman ' || p_type, 'vendor', 'Shop', 'tags', CAST([] AS VARCHAR[]),
+                'variants', [{{'title': CAST(p_size AS VARCHAR), 'price_eur': minor, 'sku': 'SKU-' || CAST(page_id AS VARCHAR),
+                               'available': true}},
+                             {{'title': 'Default Title', 'price_eur': minor,
+                               'sku': 'SKU-' || CAST(page_id AS VARCHAR) || '-D', 'available': false}}])
+  ELSE json_object('title', title, 'description', description, 'price', price, 'category', category,
+                   'gender', gender, 'sizes', CAST([] AS VARCHAR[]), 'colors', CAST([] AS VARCHAR[])) END AS VARCHAR)
+  AS metadata
+FROM (
+  SELECT p_partkey AS page_id, p_size, p_type, p_partkey % 5 = 4 AS has_state,
+    CASE WHEN p_partkey % 5 = 4 THEN p_name WHEN p_partkey % 3 = 0 THEN p_name
+         WHEN p_partkey % 3 = 1 THEN 'All Products' ELSE 'Collection' END AS title,
+    CASE WHEN p_partkey % 5 = 4 THEN p_name || ' made to last' ELSE '' END AS description,
+    CAST(CAST(CAST(round(p_retailprice * 100) AS BIGINT) / 100 AS DECIMAL(18,2)) AS VARCHAR) || 'EUR' AS minor,
+    CASE WHEN p_partkey % 6 = 0 THEN {_P} || 'EUR'
+         WHEN p_partkey % 5 = 4 THEN CAST(CAST(CAST(round(p_retailprice * 100) AS BIGINT) / 100 AS DECIMAL(18,2))
+                                          AS VARCHAR) || 'EUR'
+         ELSE '' END AS price,
+    CASE WHEN p_partkey % 5 = 4 AND lower(p_type) = 'standard' THEN 'Woman ' || p_type ELSE p_type END AS category,
+    CASE WHEN p_partkey % 5 = 4 THEN 'women' ELSE '' END AS gender
+  FROM part)""",
     "link_fallback": f"""
 SELECT p_partkey // {LISTING_SIZE} AS page_id,
   CASE p_partkey % 4 WHEN 1 THEN {_U} || '?variant=1' WHEN 2 THEN {_U} || '/quick-view' ELSE {_U} END AS product_url,
