@@ -74,7 +74,10 @@ def catalog_run(spark: SparkSession, pages: DataFrame, table: CatalogTable, run:
     embedded = _embed(cls, image_fn, text_fn, dim)
     merged = merge_catalog(mine, embedded.drop("search_text"), run, run_ts).cache()
     table.commit(next_version(merged), run, [source])    # other sources keep their folders
+    # the counters are one row: computed now, so the cached merge can be released
     summary = run_summary(cls, run, merged.where(F.col("action") == "delete"))
+    summary = spark.createDataFrame(summary.collect(), summary.schema)
+    merged.unpersist()
     return merged, summary
 
 
