@@ -178,3 +178,29 @@ def test_site_records_limit_per_category(spark):
                         limit=3).collect()
     assert len(recs) == 3
     assert [r.external_id for r in sorted(recs, key=lambda r: int(r.external_id))] == ["0", "2", "4"]
+
+
+def test_site_records_two_sites_one_parse(spark):
+    from vitrine.plans.jobs import site_records
+
+    spec = {
+        "a": {"source": "src-a", "base_url": "https://a.example", "brand": "Acme", "country": "es",
+              "selectors": {"products": ".card", "product_url": "a", "title": "a", "price": ".p"}},
+        "b": {"source": "src-b", "base_url": "https://b.example", "brand": "Bolt",
+              "selectors": {"products": ".tile", "product_url": "a.go", "title": ".name", "price": ".cost"}},
+    }
+    listing = spark.createDataFrame([
+        (1, "https://a.example/collections/x", "<div class='card'><a href='/products/aa-1'>Alpha one</a>"
+                                               "<span class='p'>10,00 EUR</span></div>"),
+        (2, "https://b.example/c/y", "<div class='tile'><span class='name'>Beta two</span>"
+                                     "<a class='go' href='/products/bb-2'>go</a><b class='cost'>20 USD</b></div>"),
+    ], "page_id bigint, url string, html string")
+    product = spark.createDataFrame([(11, "https://a.example/products/aa-1",
+                                      "<h1 class='product-title'>Alpha One Detail</h1>")],
+                                    "page_id bigint, url string, html string")
+    rows = {r.site: r for r in site_records(spark, listing, product, spec).collect()}
+    assert rows["a"].source == "src-a" and rows["a"].country == "es" and rows["a"].has_detail
+    assert rows["a"].title == "Alpha One Detail" and rows["a"].price == "10,00 EUR"
+    assert rows["b"].source == "src-b" and rows["b"].country == "eu" and not rows["b"].has_detail
+    assert rows["b"].title == "Beta two" and rows["b"].price == "20 USD"
+    assert rows["b"].product_url == "https://b.example/products/bb-2"

@@ -94,8 +94,8 @@ def _img_src() -> Column:
 _P2_CACHE: dict = {}
 
 
-def product_records_p2(pages: DataFrame, selectors: dict | None = None, brand: str = "",
-                       mode: str = "substring") -> DataFrame:
+def product_records_p2(pages: DataFrame | None, selectors: dict | None = None, brand: str = "",
+                       mode: str = "substring", els: DataFrame | None = None) -> DataFrame:
     """Product pages -> detail records (title, price, sale, images, sizes,
     gender, description, category, external id)."""
     from vitrine.operators.selectors import context_key
@@ -106,7 +106,8 @@ def product_records_p2(pages: DataFrame, selectors: dict | None = None, brand: s
         # the rule Columns depend only on the spec: built once per spec and reused
         _P2_CACHE[key] = _p2_columns(selectors, brand, mode)
     rules, out_cols, category = _P2_CACHE[key]
-    g = apply_rules(elements(pages), ["page_id", "url"], rules, cache_key=("p2",) + key[1:])
+    els = elements(pages) if els is None else els
+    g = apply_rules(els, ["page_id", "url"], rules, cache_key=("p2",) + key[1:])
     return g.select(*out_cols).withColumn("category", category)
 
 
@@ -324,7 +325,7 @@ def listing_cards(pages: DataFrame, selectors: dict, els: DataFrame | None = Non
     ], nodes_from=els)
     url = absolutize(F.col("href"), F.col("url"))
     return g.where(F.coalesce(F.col("href"), F.lit("")) != "").select(
-        "page_id", F.col("c_idx").alias("card_idx"), url.alias("product_url"),
+        "page_id", F.col("url").alias("page_url"), F.col("c_idx").alias("card_idx"), url.alias("product_url"),
         F.coalesce(F.nullif(external_id(url), F.lit("")), _at(F.split(url, "/"), -1)).alias("external_id"),
         "title", "price", absolutize(F.col("img"), F.col("url")).alias("image_url"))
 

@@ -81,53 +81,81 @@ def catalog_run(spark: SparkSession, pages: DataFrame, table: CatalogTable, run:
     return merged, summary
 
 
+def _host(url: "Column"):
+    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1))
+
+
+def _per_site(site_col, values: dict):
+    """A constant per configured site (CASE over the spec; its size is the
+    number of configured sites)."""
+    out = None
+    for name, v in values.items():
+        out = F.when(site_col == name, F.lit(v)) if out is None else out.when(site_col == name, F.lit(v))
+    return out
+
+
 def site_records(spark: SparkSession, listing_pages: DataFrame, product_pages: DataFrame, spec,
                  persisted: list | None = None, limit: int | None = None) -> DataFrame:
     """W2 up to the sink: listing cards of every site (O4 union), details of
     the listed products only (semi join before the costly extraction), J2
-    merge with detail priority, F13 site constants, E27 search text."""
+    merge with detail priority, F13 site constants, E27 search text.
+
+    Listing pages and the listed product pages are each parsed once for all
+    sites; every site's selector rules then run on its own element rows
+    (selected by host), so adding sites adds rule branches, not scans."""
     spec = load_spec(spec)
-    parts = []
-    for name, s in spec.items():   # one entry per configured site (config, not data)
+    hosts = {name: s.get("base_url", "").split("://", 1)[-1].split("/", 1)[0].lower() for name, s in spec.items()}
+    keep = persisted if persisted is not None else []
+
+    lp_els = elements_once(listing_pages.where(_host(F.col("url")).isin(*hosts.values())))
+    keep.append(lp_els)
+    card_parts = []
+    for name, s in spec.items():   # one rule branch per configured site (config, not data)
         sel = s.get("selectors") or {}
-        host = s.get("base_url", "").split("://", 1)[-1].split("/", 1)[0].lower()
-        lp = listing_pages.where(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1))
-                                 == host)
-        # cards feed both the detail semi-join and the J2 join: one element pass
-        lp_els = elements_once(lp)
-        if persisted is not None:
-            persisted.append(lp_els)
-        cards = listing_cards(lp, sel, els=lp_els).withColumn("site", F.lit(name))
+        cards = listing_cards(None, sel, els=lp_els.where(_host(F.col("url")) == hosts[name]))
+        cards = cards.withColumn("site", F.lit(name))
         if limit is not None:
             # L2: the first `limit` listings of each category (its listing
             # pages share the URL path), in page and document order
-            cat = lp.select("page_id", url_path(F.col("url")).alias("category"))
-            cards = top_n_per_group(cards.join(cat, "page_id"), ["category"],
+            cards = top_n_per_group(cards.withColumn("category", url_path(F.col("page_url"))), ["site", "category"],
                                     [F.col("page_id"), F.col("card_idx")], limit, "_rank").drop("_rank", "category")
-        wanted = cards.select(F.col("product_url").alias("url")).distinct()
-        pp = product_pages.join(wanted, "url", "left_semi")
-        det = product_records_p2(pp, sel, brand=s.get("brand") or "").drop("page_id")
-        listing = cards.select("site", "product_url", F.col("external_id").alias("l_external_id"),
-                               F.col("title").alias("l_title"), F.col("price").alias("l_price"),
-                               F.col("image_url").alias("l_image_url"))
-        j = listing.join(det, "product_url", "left")
-        has_detail = F.col("title").isNotNull() | F.col("price").isNotNull()
-        merged = j.select(
-            "site", "product_url",
-            # this site's constants, straight from its spec row
-            F.lit(s.get("source")).alias("source"), F.lit(s.get("merchant_name")).alias("merchant_name"),
-            F.lit(s.get("brand")).alias("brand"), F.lit(bool(s.get("second_hand", False))).alias("second_hand"),
-            F.lit(s.get("country", "eu")).alias("country"),
-            F.coalesce("external_id", "l_external_id").alias("external_id"),
-            F.coalesce("title", "l_title").alias("title"),
-            F.coalesce("price", "l_price").alias("price"),
-            F.coalesce("image_url", "l_image_url").alias("image_url"),
-            "sale", "additional_images", "size", "gender", "description", "category",
-            has_detail.alias("has_detail"))
-        parts.append(merged)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
+        card_parts.append(cards)
+    cards = card_parts[0]
+    for c in card_parts[1:]:
+        cards = cards.unionByName(c)
+
+    wanted = cards.select(F.col("product_url").alias("url")).distinct()
+    pp_els = elements_once(product_pages.join(wanted, "url", "left_semi"))
+    keep.append(pp_els)
+    det_parts = []
+    for name, s in spec.items():
+        det = product_records_p2(None, s.get("selectors") or {}, brand=s.get("brand") or "",
+                                 els=pp_els.where(_host(F.col("url")) == hosts[name]))
+        det_parts.append(det.drop("page_id").withColumn("site", F.lit(name)))
+    det = det_parts[0]
+    for d in det_parts[1:]:
+        det = det.unionByName(d)
+
+    listing = cards.select("site", "product_url", F.col("external_id").alias("l_external_id"),
+                           F.col("title").alias("l_title"), F.col("price").alias("l_price"),
+                           F.col("image_url").alias("l_image_url"))
+    j = listing.join(det, ["site", "product_url"], "left")
+    has_detail = F.col("title").isNotNull() | F.col("price").isNotNull()
+    site = F.col("site")
+    out = j.select(
+        "site", "product_url",
+        # each site's constants from its spec
+        _per_site(site, {n: s.get("source") for n, s in spec.items()}).alias("source"),
+        _per_site(site, {n: s.get("merchant_name") for n, s in spec.items()}).alias("merchant_name"),
+        _per_site(site, {n: s.get("brand") for n, s in spec.items()}).alias("brand"),
+        _per_site(site, {n: bool(s.get("second_hand", False)) for n, s in spec.items()}).alias("second_hand"),
+        _per_site(site, {n: s.get("country", "eu") for n, s in spec.items()}).alias("country"),
+        F.coalesce("external_id", "l_external_id").alias("external_id"),
+        F.coalesce("title", "l_title").alias("title"),
+        F.coalesce("price", "l_price").alias("price"),
+        F.coalesce("image_url", "l_image_url").alias("image_url"),
+        "sale", "additional_images", "size", "gender", "description", "category",
+        has_detail.alias("has_detail"))
     cols = {c: F.col(c) for c in out.columns}
     meta = F.create_map(F.lit("merchant_name"), F.col("merchant_name"), F.lit("country"), F.col("country"))
     return out.withColumn("info_text", plain_search_text(cols, meta))
