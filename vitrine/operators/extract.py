@@ -20,7 +20,7 @@ from vitrine.functions.price import html_price, minor_units_eur, strip_blanks
 from vitrine.functions.urls import absolutize, external_id, fix_protocol, product_handle, slug_title
 from vitrine.functions.text import strip_tags
 from vitrine.operators.elements import elements
-from vitrine.operators.selectors import RAW, TEXT, TEXT_SP, apply_rules, matches, page_nodes, text_of
+from vitrine.operators.selectors import RAW, TEXT, TEXT_SP, apply_rules, matches, text_of
 
 
 def _at(arr, i: int):
