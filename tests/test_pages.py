@@ -121,3 +121,12 @@ def test_page_without_elements_still_yields_a_record(spark):
     rows = {r.page_id: r for r in product_records_p2(pages, SITE_SELECTORS, brand="Shop").collect()}
     assert rows[9].title == "Blue Coat 9" and rows[9].price is None       # title from the URL slug
     assert rows[10].title == "Red Hat 10" and rows[10].external_id == "10"
+
+
+def test_descendant_steps_keep_their_order(spark):
+    html = ("<html><body><div class='product'><main><p><img src='/a.jpg'></p></main></div>"
+            "<main><div class='product'><img src='/b.jpg'></div></main></body></html>")
+    pages = spark.createDataFrame([(1, "https://x.example/", html)], "page_id bigint, url string, html string")
+    r = apply_rules(elements(pages), ["page_id"], [
+        ("imgs", matches("main [class*='product'] img"), F.col("attrs")["src"], "all")]).first()
+    assert r.imgs == ["/b.jpg"]                 # /a.jpg has the product block above main, not below

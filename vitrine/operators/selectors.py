@@ -100,6 +100,18 @@ def context_key() -> tuple:
     return (sc.applicationId, sc.startTime) if sc is not None else (None, None)
 
 
+def _ancestor_pos(sel: str):
+    def pos(a, i):
+        return F.when(_compound(sel, a["tag"], a["elem_id"], a["classes"], None), i)
+    return pos
+
+
+def _after(prev: Column):
+    def test(i):
+        return i > prev
+    return test
+
+
 def matches(selector: str) -> Column:
     """Predicate: the element matches any member of the comma list.
 
@@ -118,10 +130,17 @@ def _matches(selector: str) -> Column:
         steps = _split_top(member, " ")
         last = steps[-1]
         pred = _compound(last, F.col("tag"), F.col("elem_id"), F.col("classes"), F.col("attrs"))
-        for anc_sel in steps[:-1]:
-            # every ancestor step must hold for some ancestor (order not enforced
-            # beyond "above the element", enough for the two-level specs used)
-            pred = pred & F.exists(F.col("ancestors"), _ancestor_test(anc_sel))
+        if len(steps) == 2:
+            pred = pred & F.exists(F.col("ancestors"), _ancestor_test(steps[0]))
+        elif len(steps) > 2:
+            # the ancestor steps must match ancestors in top-down order: take
+            # the highest match of each step below the previous step's match
+            pos = F.lit(-1)
+            for anc_sel in steps[:-1]:
+                hits = F.filter(F.transform(F.col("ancestors"), _ancestor_pos(anc_sel)),
+                                lambda i: i.isNotNull())
+                pos = F.array_min(F.filter(hits, _after(pos)))
+            pred = pred & pos.isNotNull()
         out = out | pred
     return out
 
