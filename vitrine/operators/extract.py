@@ -297,12 +297,11 @@ def next_pages(pages: DataFrame) -> DataFrame:
 def listing_cards(pages: DataFrame, selectors: dict, els: DataFrame | None = None) -> DataFrame:
     """E2 (and E4 without a browser): one record per listing container with
     url, external id, title, price and image. Each element finds its nearest
-    container in its own ancestor list, so no join is needed."""
-    from vitrine.operators.selectors import _compound
-
-    from vitrine.operators.elements import elements_once
+    container in its own ancestor list; all cards of a page come out of one
+    per-page aggregate (no join, no second pass over the elements)."""
+    from vitrine.operators.selectors import _compound, apply_grouped_rules
 
-    els = elements_once(pages) if els is None else els     # cards and page text read it
+    els = elements(pages) if els is None else els
     cont_sel = selectors.get("products", ".product-item")
     link_sel = selectors.get("product_url", "a")
     title_sel = selectors.get("title", ".title, h3")
@@ -316,13 +315,12 @@ def listing_cards(pages: DataFrame, selectors: dict, els: DataFrame | None = Non
         return out
 
     cont = _at(F.filter(F.col("ancestors"), anc_pred), -1)["idx"]
-    kids = els.withColumn("c_idx", cont).where(F.col("c_idx").isNotNull())
-    g = apply_rules(kids, ["page_id", "url", "c_idx"], [
+    g = apply_grouped_rules(els, ["page_id", "url"], cont, [
         ("href", matches(link_sel), _attr("href"), "first"),
         ("title", matches(title_sel), TEXT, "first"),
         ("price", matches(price_sel), TEXT, "first"),
         ("img", matches(img_sel), F.coalesce(F.nullif(_attr("src"), F.lit("")), _attr("data-src")), "first"),
-    ], nodes_from=els)
+    ], group_name="c_idx")
     url = absolutize(F.col("href"), F.col("url"))
     return g.where(F.coalesce(F.col("href"), F.lit("")) != "").select(
         "page_id", F.col("url").alias("page_url"), F.col("c_idx").alias("card_idx"), url.alias("product_url"),

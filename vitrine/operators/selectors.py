@@ -248,3 +248,58 @@ def _rule_columns(rules: list[tuple], nodes_inline: bool):
         else:
             out.append(F.transform(F.col(name), _resolver(value)).alias(name))
     return cols, hit, aggs, out, texty, inline
+
+
+def _in_group(grp: Column):
+    def test(h):
+        return h["g"] == grp
+    return test
+
+
+def _hit_value(h):
+    return h["v"]
+
+
+def apply_grouped_rules(els, keys: list[str], group: Column, rules: list[tuple], group_name: str = "grp"):
+    """Like ``apply_rules`` for groups below the page (e.g. listing cards):
+    still ONE aggregate per page. Every rule collects its hits tagged with the
+    element's group (``group``, null = no group); afterwards each group takes
+    its first / all hits from those small per-page arrays and the result is
+    exploded to one row per group. Text kinds are resolved from the page's
+    single copy of its text; no join and no second pass over the elements."""
+    def val(v):
+        return _text_ref() if isinstance(v, str) else v
+
+    cols = [F.when(pred & group.isNotNull(),
+                   F.struct(group.alias("g"), F.col("idx").alias("i"), val(value).alias("v"))).alias(name)
+            for name, pred, value, _ in rules]
+    proj = els.select(*keys, *cols, "nodes")
+    hit = F.col("nodes").isNotNull()
+    for name, *_ in rules:
+        hit = hit | F.col(name).isNotNull()
+    aggs = [F.collect_list(name).alias(name) for name, *_ in rules]
+    aggs.append(F.first("nodes", ignorenulls=True).alias("_nodes"))
+    g = proj.where(hit).groupBy(*keys).agg(*aggs)
+    groups = F.array_sort(F.array_distinct(F.flatten(F.array(
+        *[F.transform(F.col(name), lambda h: h["g"]) for name, *_ in rules]))))
+
+    def card(grp):
+        fields = [grp.alias(group_name)]
+        for name, _, value, kind in rules:
+            mine = F.array_sort(F.filter(F.col(name), _in_group(grp)))
+            if kind == "first":
+                ref = _at_first(mine)["v"]
+                v = (F.when(ref.isNotNull(), text_of(F.col("_nodes"), ref, value))
+                     if isinstance(value, str) else ref)
+            else:
+                vals = F.transform(mine, _hit_value)
+                v = F.transform(vals, _resolver(value)) if isinstance(value, str) else vals
+            fields.append(v.alias(name))
+        return F.struct(*fields)
+
+    return (g.select(*keys, F.explode(F.transform(groups, card)).alias("_r"))
+            .select(*keys, "_r.*"))
+
+
+def _at_first(arr: Column) -> Column:
+    return F.try_element_at(arr, F.lit(1))
