@@ -404,10 +404,9 @@ def listing_cards_dynamic(pages: DataFrame, selectors: dict, mode: str = "substr
     and F10 (cards without a usable image are dropped). Works on saved
     snapshots of dynamically loaded listing pages."""
     from vitrine.functions.images import desired_image
-    from vitrine.operators.elements import elements_once
-    from vitrine.operators.selectors import _compound
+    from vitrine.operators.selectors import _compound, apply_grouped_rules
 
-    els = elements_once(pages)      # read twice: page context and cards
+    els = elements(pages)
     cont_sel = selectors.get("products", DYN_CONTAINER)
     link_sel = selectors.get("product_url", "a[href*='/products/']")
     title_sel = selectors.get("title", DYN_TITLE)
@@ -422,24 +421,21 @@ def listing_cards_dynamic(pages: DataFrame, selectors: dict, mode: str = "substr
             out = out | _compound(member.strip(), a["tag"], a["elem_id"], a["classes"], None)
         return out
 
-    # page context: one row per page
-    ctx = apply_rules(els, ["page_id"], [
-        ("page_title", matches("title"), RAW, "first"),
-        ("meta_desc", matches('meta[name="description"]'), _attr("content"), "first"),
-        ("crumbs", matches(BREADCRUMBS), RAW, "all"),
-        ("gender_text", matches(gender_sel), RAW, "first")])
-    # cards: elements below a container, grouped by that container
-    cont = _at(F.filter(F.col("ancestors"), anc_pred), -1)["idx"]
-    kids = els.withColumn("c_idx", cont).where(F.col("c_idx").isNotNull())
     src = F.coalesce(F.nullif(_attr("src"), F.lit("")), _attr("data-src"))
-    cards = apply_rules(kids, ["page_id", "url", "c_idx"], [
+    cont = _at(F.filter(F.col("ancestors"), anc_pred), -1)["idx"]
+    # cards and the page context (title, meta, breadcrumbs, gender element)
+    # come out of one aggregate per page
+    j = apply_grouped_rules(els, ["page_id", "url"], cont, [
         ("href", matches(link_sel), _attr("href"), "first"),
         ("title_raw", matches(title_sel), RAW, "first"),
         ("price_raw", matches(price_sel), RAW, "first"),
         ("sale_raw", matches(sale_sel), RAW, "first"),
         ("srcs", matches(img_sel) & src.isNotNull(), src, "all"),
-        ("desc", matches(DYN_DESC), RAW, "first")], nodes_from=els)
-    j = cards.join(ctx, "page_id", "left")
+        ("desc", matches(DYN_DESC), RAW, "first")], group_name="c_idx", page_rules=[
+        ("page_title", matches("title"), RAW, "first"),
+        ("meta_desc", matches('meta[name="description"]'), _attr("content"), "first"),
+        ("crumbs", matches(BREADCRUMBS), RAW, "all"),
+        ("gender_text", matches(gender_sel), RAW, "first")])
     url = absolutize(F.col("href"), F.col("url"))
     title = F.nullif(strip_blanks(F.col("title_raw")), F.lit(""))
     price = F.nullif(strip_blanks(F.col("price_raw")), F.lit(""))

@@ -260,26 +260,44 @@ def _hit_value(h):
     return h["v"]
 
 
-def apply_grouped_rules(els, keys: list[str], group: Column, rules: list[tuple], group_name: str = "grp"):
+def apply_grouped_rules(els, keys: list[str], group: Column, rules: list[tuple], group_name: str = "grp",
+                        page_rules: list[tuple] = ()):
     """Like ``apply_rules`` for groups below the page (e.g. listing cards):
     still ONE aggregate per page. Every rule collects its hits tagged with the
     element's group (``group``, null = no group); afterwards each group takes
     its first / all hits from those small per-page arrays and the result is
     exploded to one row per group. Text kinds are resolved from the page's
-    single copy of its text; no join and no second pass over the elements."""
+    single copy of its text; no join and no second pass over the elements.
+    ``page_rules`` are ordinary page-level rules (as in ``apply_rules``)
+    evaluated in the same aggregate and repeated on every group's row."""
     def val(v):
         return _text_ref() if isinstance(v, str) else v
 
     cols = [F.when(pred & group.isNotNull(),
                    F.struct(group.alias("g"), F.col("idx").alias("i"), val(value).alias("v"))).alias(name)
             for name, pred, value, _ in rules]
-    proj = els.select(*keys, *cols, "nodes")
+    pcols = [F.when(pred, F.struct(F.col("idx").alias("i"), val(value).alias("v"))).alias(name)
+             for name, pred, value, _ in page_rules]
+    proj = els.select(*keys, *cols, *pcols, "nodes")
     hit = F.col("nodes").isNotNull()
-    for name, *_ in rules:
+    for name, *_ in list(rules) + list(page_rules):
         hit = hit | F.col(name).isNotNull()
     aggs = [F.collect_list(name).alias(name) for name, *_ in rules]
+    for name, _, _, kind in page_rules:
+        aggs.append(F.min(name)["v"].alias(name) if kind == "first"
+                    else F.transform(F.array_sort(F.collect_list(name)), _hit_value).alias(name))
     aggs.append(F.first("nodes", ignorenulls=True).alias("_nodes"))
     g = proj.where(hit).groupBy(*keys).agg(*aggs)
+    page_out = []
+    for name, _, value, kind in page_rules:
+        if not isinstance(value, str):
+            page_out.append(F.col(name))
+        elif kind == "first":
+            page_out.append(F.when(F.col(name).isNotNull(), text_of(F.col("_nodes"), F.col(name), value)).alias(name))
+        else:
+            page_out.append(F.transform(F.col(name), _resolver(value)).alias(name))
+    if page_out:
+        g = g.select(*keys, *[F.col(n) for n, *_ in rules], *page_out, "_nodes")
     groups = F.array_sort(F.array_distinct(F.flatten(F.array(
         *[F.transform(F.col(name), lambda h: h["g"]) for name, *_ in rules]))))
 
@@ -297,8 +315,9 @@ def apply_grouped_rules(els, keys: list[str], group: Column, rules: list[tuple],
             fields.append(v.alias(name))
         return F.struct(*fields)
 
-    return (g.select(*keys, F.explode(F.transform(groups, card)).alias("_r"))
-            .select(*keys, "_r.*"))
+    page_names = [n for n, *_ in page_rules]
+    return (g.select(*keys, *page_names, F.explode(F.transform(groups, card)).alias("_r"))
+            .select(*keys, *page_names, "_r.*"))
 
 
 def _at_first(arr: Column) -> Column:
