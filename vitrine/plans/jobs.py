@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from vitrine.functions.text import labelled_search_text, plain_search_text
 from vitrine.operators.changes import classify, run_summary
 from vitrine.operators.dedupe import keep_first
-from vitrine.operators.elements import elements_once
+from vitrine.operators.elements import elements, elements_once
 from vitrine.operators.embed import embed_column, embed_flagged, hashed_text_embedding
 from vitrine.operators.extract import listing_cards, product_records_p1, product_records_p2
 from vitrine.functions.urls import url_path
@@ -107,7 +107,9 @@ def site_records(spark: SparkSession, listing_pages: DataFrame, product_pages: D
     hosts = {name: s.get("base_url", "").split("://", 1)[-1].split("/", 1)[0].lower() for name, s in spec.items()}
     keep = persisted if persisted is not None else []
 
-    lp_els = elements_once(listing_pages.where(_host(F.col("url")).isin(*hosts.values())))
+    # persisted only when several site branches read the same element rows
+    parse = elements_once if len(spec) > 1 else elements
+    lp_els = parse(listing_pages.where(_host(F.col("url")).isin(*hosts.values())))
     keep.append(lp_els)
     card_parts = []
     for name, s in spec.items():   # one rule branch per configured site (config, not data)
@@ -125,7 +127,7 @@ def site_records(spark: SparkSession, listing_pages: DataFrame, product_pages: D
         cards = cards.unionByName(c)
 
     wanted = cards.select(F.col("product_url").alias("url")).distinct()
-    pp_els = elements_once(product_pages.join(wanted, "url", "left_semi"))
+    pp_els = parse(product_pages.join(wanted, "url", "left_semi"))
     keep.append(pp_els)
     det_parts = []
     for name, s in spec.items():
@@ -179,7 +181,7 @@ def site_run(spark: SparkSession, listing_pages: DataFrame, product_pages: DataF
 def listing_page_records(pages: DataFrame, selectors: dict) -> DataFrame:
     """Cards when a page has containers; else link-only records.
     The element job runs once; both paths read its (persisted) rows."""
-    from vitrine.operators.elements import elements_once
+    from vitrine.operators.elements import elements, elements_once
     from vitrine.operators.extract import link_records
 
     els = elements_once(pages)
