@@ -294,19 +294,9 @@ def next_pages(pages: DataFrame) -> DataFrame:
     return g.select("page_id", "url", F.nullif(nxt, F.lit("")).alias("next_url"))
 
 
-def listing_cards(pages: DataFrame, selectors: dict, els: DataFrame | None = None) -> DataFrame:
-    """E2 (and E4 without a browser): one record per listing container with
-    url, external id, title, price and image. Each element finds its nearest
-    container in its own ancestor list; all cards of a page come out of one
-    per-page aggregate (no join, no second pass over the elements)."""
-    from vitrine.operators.selectors import _compound, apply_grouped_rules
-
-    els = elements(pages) if els is None else els
-    cont_sel = selectors.get("products", ".product-item")
-    link_sel = selectors.get("product_url", "a")
-    title_sel = selectors.get("title", ".title, h3")
-    price_sel = selectors.get("price", ".price")
-    img_sel = selectors.get("image_url", "img")
+def _container_of(cont_sel: str) -> Column:
+    """Index of the element's nearest ancestor matching the container selector."""
+    from vitrine.operators.selectors import _compound
 
     def anc_pred(a):
         out = F.lit(False)
@@ -314,13 +304,23 @@ def listing_cards(pages: DataFrame, selectors: dict, els: DataFrame | None = Non
             out = out | _compound(member.strip(), a["tag"], a["elem_id"], a["classes"], None)
         return out
 
-    cont = _at(F.filter(F.col("ancestors"), anc_pred), -1)["idx"]
-    g = apply_grouped_rules(els, ["page_id", "url"], cont, [
+    return _at(F.filter(F.col("ancestors"), anc_pred), -1)["idx"]
+
+
+def _card_rules(selectors: dict) -> list[tuple]:
+    link_sel = selectors.get("product_url", "a")
+    title_sel = selectors.get("title", ".title, h3")
+    price_sel = selectors.get("price", ".price")
+    img_sel = selectors.get("image_url", "img")
+    return [
         ("href", matches(link_sel), _attr("href"), "first"),
         ("title", matches(title_sel), TEXT, "first"),
         ("price", matches(price_sel), TEXT, "first"),
         ("img", matches(img_sel), F.coalesce(F.nullif(_attr("src"), F.lit("")), _attr("data-src")), "first"),
-    ], group_name="c_idx")
+    ]
+
+
+def _card_rows(g: DataFrame) -> DataFrame:
     url = absolutize(F.col("href"), F.col("url"))
     return g.where(F.coalesce(F.col("href"), F.lit("")) != "").select(
         "page_id", F.col("url").alias("page_url"), F.col("c_idx").alias("card_idx"), url.alias("product_url"),
@@ -328,6 +328,19 @@ def listing_cards(pages: DataFrame, selectors: dict, els: DataFrame | None = Non
         "title", "price", absolutize(F.col("img"), F.col("url")).alias("image_url"))
 
 
+def listing_cards(pages: DataFrame, selectors: dict, els: DataFrame | None = None) -> DataFrame:
+    """E2 (and E4 without a browser): one record per listing container with
+    url, external id, title, price and image. Each element finds its nearest
+    container in its own ancestor list; all cards of a page come out of one
+    per-page aggregate (no join, no second pass over the elements)."""
+    from vitrine.operators.selectors import apply_grouped_rules
+
+    els = elements(pages) if els is None else els
+    cont = _container_of(selectors.get("products", ".product-item"))
+    g = apply_grouped_rules(els, ["page_id", "url"], cont, _card_rules(selectors), group_name="c_idx")
+    return _card_rows(g)
+
+
 # ---- Fixed values that must equal the reference's for right results. ----
 LINK_FALLBACK_LIMIT = 50
 LINK_MIN_TITLE = 10
@@ -336,15 +349,11 @@ PARENT_PRICE = r"(\d+,\d+)\s*EUR"
 # ---- end of fixed values ----
 
 
-def link_records(pages: DataFrame | None, selectors: dict, mode: str = "substring",
-                 limit: int = LINK_FALLBACK_LIMIT, els: DataFrame | None = None) -> DataFrame:
-    """Link-only records for pages without containers: product links minus
-    gift cards, first of each href, the first ``limit`` per page in document
-    order (L4); title from the link text, price and image from the parent.
-    One aggregate per page (links, images, the page text), no joins."""
+def _link_page_rules(selectors: dict, mode: str) -> list[tuple]:
+    """Page-level rules for E3: product links (minus gift cards) with their
+    text and parent ranges, and images with their ancestor indexes."""
     from vitrine.functions.urls import gift_card
 
-    els = elements(pages) if els is None else els
     href = _attr("href")
     link_sel = selectors.get("product_url", "a[href*='/products/']")
     is_link = (matches(link_sel) & F.coalesce(href.contains("/products/"), F.lit(False)) & ~gift_card(href, mode))
@@ -352,13 +361,13 @@ def link_records(pages: DataFrame | None, selectors: dict, mode: str = "substrin
     link = F.struct(F.col("idx").alias("i"), href.alias("href"), F.col("t0"), F.col("t1"),
                     F.col("parent_idx"), F.col("p_t0"), F.col("p_t1"))
     img = F.struct(F.col("idx").alias("i"), src.alias("src"), F.col("ancestors.idx").alias("anc"))
-    is_img = (F.col("tag") == "img") & src.isNotNull()
-    keep = is_link | is_img | F.col("nodes").isNotNull()
-    g = els.where(keep).groupBy("page_id", "url").agg(
-        F.array_sort(F.collect_list(F.when(is_link, link))).alias("links"),
-        F.array_sort(F.collect_list(F.when(is_img, img))).alias("imgs"),
-        F.first("nodes", ignorenulls=True).alias("_nodes"))
-    # first occurrence of each href, then the first `limit` in document order
+    return [("links", is_link, link, "all"), ("imgs", (F.col("tag") == "img") & src.isNotNull(), img, "all")]
+
+
+def _link_rows(g: DataFrame, limit: int) -> DataFrame:
+    """E3 records from per-page ``links``, ``imgs`` and ``_nodes``: first of
+    each href, the first ``limit`` in document order (L4), title from the
+    link text, price and image from the parent."""
     firsts = F.filter(F.col("links"), lambda l, k: ~F.exists(F.slice(F.col("links"), 1, k),
                                                              lambda o: o["href"] == l["href"]))
     top = F.slice(firsts, 1, limit)
@@ -385,6 +394,34 @@ def link_records(pages: DataFrame | None, selectors: dict, mode: str = "substrin
         absolutize(F.col("img"), F.col("url")).alias("image_url"))
 
 
+def link_records(pages: DataFrame | None, selectors: dict, mode: str = "substring",
+                 limit: int = LINK_FALLBACK_LIMIT, els: DataFrame | None = None) -> DataFrame:
+    """Link-only records (one aggregate per page: links, images, the page
+    text; no joins)."""
+    els = elements(pages) if els is None else els
+    g = apply_rules(els, ["page_id", "url"], _link_page_rules(selectors, mode), with_nodes=True)
+    return _link_rows(g, limit)
+
+
+def listing_page_records(pages: DataFrame, selectors: dict, mode: str = "substring",
+                         limit: int = LINK_FALLBACK_LIMIT) -> DataFrame:
+    """Cards when a page has containers, else link-only records.
+    One element pass and one aggregate per page; the one-row-per-page result
+    is persisted and read by both branches."""
+    from pyspark import StorageLevel
+
+    from vitrine.operators.selectors import aggregate_grouped_rules, explode_groups
+
+    cont_sel = selectors.get("products", ".product-item")
+    page_rules = [("containers", matches(cont_sel), F.col("idx"), "all")] + _link_page_rules(selectors, mode)
+    agg = aggregate_grouped_rules(elements(pages), ["page_id", "url"], _container_of(cont_sel),
+                                  _card_rules(selectors), "c_idx", page_rules).persist(StorageLevel.MEMORY_AND_DISK)
+    has_cards = F.size("containers") > 0
+    cards = _card_rows(explode_groups(agg.where(has_cards), ["page_id", "url"]))
+    links = _link_rows(agg.where(~has_cards), limit)
+    return cards.unionByName(links, allowMissingColumns=True)
+
+
 # ---- Fixed values that must equal the reference's for right results. ----
 DYN_CONTAINER = ".product-block__inner"
 DYN_TITLE = "h1, .product-title, .title"

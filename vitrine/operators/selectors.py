@@ -183,7 +183,7 @@ def page_nodes(els):
 _RULES_CACHE: dict = {}
 
 
-def apply_rules(els, keys: list[str], rules: list[tuple], nodes_from=None, cache_key=None):
+def apply_rules(els, keys: list[str], rules: list[tuple], nodes_from=None, cache_key=None, with_nodes=False):
     """Evaluate every rule once per element, then aggregate per ``keys``.
 
     ``rules``: ``(name, predicate, value, kind)`` with kind ``first`` (value of
@@ -200,7 +200,8 @@ def apply_rules(els, keys: list[str], rules: list[tuple], nodes_from=None, cache
     ``page_id`` (one row per page) before the text is resolved.
 
     ``cache_key``: rules built once per spec can pass a key so the projected,
-    aggregate and resolving Columns are also built only once.
+    aggregate and resolving Columns are also built only once. ``with_nodes``
+    keeps the page's text nodes as ``_nodes`` in the result.
     """
     ck = None
     if cache_key is not None:
@@ -211,13 +212,17 @@ def apply_rules(els, keys: list[str], rules: list[tuple], nodes_from=None, cache
         if ck is not None:
             _RULES_CACHE[ck] = parts
     cols, hit, aggs, out, texty, inline = parts
+    if with_nodes and not inline:
+        hit = hit | F.col("nodes").isNotNull()
+        aggs = aggs + [F.first("nodes", ignorenulls=True).alias("_nodes")]
+        inline = True
     proj = els.select(*keys, *cols, *(["nodes"] if inline else []))
     g = proj.where(hit).groupBy(*keys).agg(*aggs)
     if not texty:
         return g
     if not inline:
         g = g.join(page_nodes(nodes_from), "page_id", "left")
-    return g.select(*keys, *out)
+    return g.select(*keys, *out, *(["_nodes"] if with_nodes else []))
 
 
 def _rule_columns(rules: list[tuple], nodes_inline: bool):
@@ -260,16 +265,17 @@ def _hit_value(h):
     return h["v"]
 
 
-def apply_grouped_rules(els, keys: list[str], group: Column, rules: list[tuple], group_name: str = "grp",
-                        page_rules: list[tuple] = ()):
-    """Like ``apply_rules`` for groups below the page (e.g. listing cards):
-    still ONE aggregate per page. Every rule collects its hits tagged with the
-    element's group (``group``, null = no group); afterwards each group takes
-    its first / all hits from those small per-page arrays and the result is
-    exploded to one row per group. Text kinds are resolved from the page's
-    single copy of its text; no join and no second pass over the elements.
-    ``page_rules`` are ordinary page-level rules (as in ``apply_rules``)
-    evaluated in the same aggregate and repeated on every group's row."""
+def aggregate_grouped_rules(els, keys: list[str], group: Column, rules: list[tuple], group_name: str = "grp",
+                            page_rules: list[tuple] = ()):
+    """One aggregate per page for rules on groups below the page (e.g.
+    listing cards). Returns one row per page with ``_groups`` (array of one
+    struct per group: the group key and its rule values), the page-level
+    ``page_rules`` values and the page's text nodes ``_nodes``.
+
+    Every rule collects its hits tagged with the element's group (``group``,
+    null = no group); each group then takes its first / all hits from those
+    small per-page arrays. Text kinds are resolved from the page's single copy
+    of its text; no join and no second pass over the elements."""
     def val(v):
         return _text_ref() if isinstance(v, str) else v
 
@@ -288,6 +294,7 @@ def apply_grouped_rules(els, keys: list[str], group: Column, rules: list[tuple],
                     else F.transform(F.array_sort(F.collect_list(name)), _hit_value).alias(name))
     aggs.append(F.first("nodes", ignorenulls=True).alias("_nodes"))
     g = proj.where(hit).groupBy(*keys).agg(*aggs)
+
     page_out = []
     for name, _, value, kind in page_rules:
         if not isinstance(value, str):
@@ -296,12 +303,10 @@ def apply_grouped_rules(els, keys: list[str], group: Column, rules: list[tuple],
             page_out.append(F.when(F.col(name).isNotNull(), text_of(F.col("_nodes"), F.col(name), value)).alias(name))
         else:
             page_out.append(F.transform(F.col(name), _resolver(value)).alias(name))
-    if page_out:
-        g = g.select(*keys, *[F.col(n) for n, *_ in rules], *page_out, "_nodes")
     groups = F.array_sort(F.array_distinct(F.flatten(F.array(
         *[F.transform(F.col(name), lambda h: h["g"]) for name, *_ in rules]))))
 
-    def card(grp):
+    def one(grp):
         fields = [grp.alias(group_name)]
         for name, _, value, kind in rules:
             mine = F.array_sort(F.filter(F.col(name), _in_group(grp)))
@@ -315,10 +320,22 @@ def apply_grouped_rules(els, keys: list[str], group: Column, rules: list[tuple],
             fields.append(v.alias(name))
         return F.struct(*fields)
 
-    page_names = [n for n, *_ in page_rules]
-    return (g.select(*keys, *page_names, F.explode(F.transform(groups, card)).alias("_r"))
+    return g.select(*keys, *page_out, F.transform(groups, one).alias("_groups"), "_nodes")
+
+
+def explode_groups(agg, keys: list[str], page_names: list[str] = ()):
+    """One row per group from ``aggregate_grouped_rules`` output."""
+    return (agg.select(*keys, *page_names, F.explode("_groups").alias("_r"))
             .select(*keys, *page_names, "_r.*"))
 
 
+def apply_grouped_rules(els, keys: list[str], group: Column, rules: list[tuple], group_name: str = "grp",
+                        page_rules: list[tuple] = ()):
+    """``aggregate_grouped_rules`` exploded to one row per group; page-level
+    values are repeated on every group's row."""
+    agg = aggregate_grouped_rules(els, keys, group, rules, group_name, page_rules)
+    return explode_groups(agg, keys, [n for n, *_ in page_rules])
+
+
 def _at_first(arr: Column) -> Column:
     return F.try_element_at(arr, F.lit(1))

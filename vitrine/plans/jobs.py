@@ -179,13 +179,7 @@ def site_run(spark: SparkSession, listing_pages: DataFrame, product_pages: DataF
 
 
 def listing_page_records(pages: DataFrame, selectors: dict) -> DataFrame:
-    """Cards when a page has containers; else link-only records.
-    The element job runs once; both paths read its (persisted) rows."""
-    from vitrine.operators.elements import elements, elements_once
-    from vitrine.operators.extract import link_records
-
-    els = elements_once(pages)
-    cards = listing_cards(pages, selectors, els=els)
-    with_cards = cards.select("page_id").distinct()
-    rest = els.join(with_cards, "page_id", "left_anti")
-    return cards.unionByName(link_records(None, selectors, els=rest), allowMissingColumns=True)
+    """Cards when a page has containers; else link-only records."""
+    from vitrine.operators.extract import listing_page_records as records
+
+    return records(pages, selectors)
