@@ -204,3 +204,12 @@ def test_site_records_two_sites_one_parse(spark):
     assert rows["b"].source == "src-b" and rows["b"].country == "eu" and not rows["b"].has_detail
     assert rows["b"].title == "Beta two" and rows["b"].price == "20 USD"
     assert rows["b"].product_url == "https://b.example/products/bb-2"
+
+
+def test_delete_keys_ignore_null_parts(spark):
+    from vitrine.operators.merge import delete_keys, deleted_count
+
+    cat = spark.createDataFrame([("s", "u1"), ("s", "u2"), ("t", "u1")], "source string, product_url string")
+    keys = spark.createDataFrame([("s", "u1"), (None, "u2"), ("t", None)], "source string, product_url string")
+    assert sorted(tuple(r) for r in delete_keys(cat, keys).collect()) == [("s", "u2"), ("t", "u1")]
+    assert deleted_count(cat, keys).first().deleted == 1

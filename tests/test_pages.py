@@ -130,3 +130,31 @@ def test_descendant_steps_keep_their_order(spark):
     r = apply_rules(elements(pages), ["page_id"], [
         ("imgs", matches("main [class*='product'] img"), F.col("attrs")["src"], "all")]).first()
     assert r.imgs == ["/b.jpg"]                 # /a.jpg has the product block above main, not below
+
+
+def test_selector_grammar(spark):
+    html = ("<div id='main' class='a b'><a href='/x.jpg' data-k=''>1</a><a href='https://cdn/y.png'>2</a>"
+            "<span class='price sale'>3</span><span class='price'>4</span></div>")
+    pages = spark.createDataFrame([(1, "https://x.example/", html)], "page_id bigint, url string, html string")
+    tag = F.col("tag")
+    r = apply_rules(elements(pages), ["page_id"], [
+        ("by_id", matches("#main"), tag, "first"),
+        ("two_classes", matches("div.a.b"), tag, "first"),
+        ("ends", matches("a[href$='.png']"), TEXT, "first"),
+        ("starts", matches("a[href^='/']"), TEXT, "first"),
+        ("present", matches("a[data-k]"), TEXT, "first"),
+        ("equals", matches("a[href='https://cdn/y.png']"), TEXT, "first"),
+        ("not_sale", matches(".price:not(.sale)"), TEXT, "first"),
+        # a comma list takes the first match in document order, not the first member
+        ("comma", matches(".price:not(.sale), .sale"), TEXT, "first"),
+        ("under_id", matches("#main span"), TEXT, "all")]).first()
+    assert (r.by_id, r.two_classes) == ("div", "div")
+    assert (r.ends, r.starts, r.present, r.equals) == ("2", "1", "1", "2")
+    assert (r.not_sale, r.comma, r.under_id) == ("4", "3", ["3", "4"])
+
+
+def test_unsupported_selector_is_rejected():
+    import pytest
+
+    with pytest.raises(ValueError):
+        matches("div > a")
