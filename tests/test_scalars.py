@@ -160,3 +160,22 @@ def test_title_gender_ignores_female_male(spark):
     rows = [("female fit",), ("Women's shop",), ("male",)]
     assert _one(spark, rows, "t string", C.gender_title(F.col("t"))) == [None, "women", None]
     assert _one(spark, rows, "t string", C.gender_generic(F.col("t"))) == ["women", "women", "men"]
+
+
+def test_word_mode_bigrams_and_paths(spark):
+    rows = [("Long-Sleeve top",), ("longsleeves",), ("tee shirt",), ("",)]
+    got = _one(spark, rows, "t string", C.keyword_category(F.col("t"), None, "word"))
+    assert got == ["longsleeves", "longsleeves", "t-shirts", None]     # word "tee" comes before "shirt"
+    paths = [("https://x/collections/bags/new",), ("https://x/sneakers",), ("https://x/all",)]
+    assert _one(spark, paths, "u string", C.coarse_category_from_path(F.col("u"))) == ["accessory", "footwear", None]
+
+
+def test_price_pairs_and_suspect(spark):
+    from decimal import Decimal
+
+    from vitrine.functions.price import price_pairs, price_suspect
+
+    r = spark.createDataFrame([("20USD,450.50CZK", "1.234,50 EUR")], "p string, s string").select(
+        price_pairs(F.col("p")).alias("pairs"), price_suspect(F.col("s")).alias("q")).first()
+    assert [(x.amount, x.currency) for x in r.pairs] == [(Decimal("20.00"), "USD"), (Decimal("450.50"), "CZK")]
+    assert r.q is True
