@@ -213,3 +213,16 @@ def test_delete_keys_ignore_null_parts(spark):
     keys = spark.createDataFrame([("s", "u1"), (None, "u2"), ("t", None)], "source string, product_url string")
     assert sorted(tuple(r) for r in delete_keys(cat, keys).collect()) == [("s", "u2"), ("t", "u1")]
     assert deleted_count(cat, keys).first().deleted == 1
+
+
+def test_read_older_versions_and_scan_source(spark, scratch):
+    t = CatalogTable(spark, f"{scratch}/catalog")
+    inc = incoming(spark, SF_SMALL).where(F.col("reject_reason").isNull())
+    one = sorted(r.source for r in inc.select("source").distinct().collect())[0]
+    upsert(t, inc.where(F.col("source") == one), 1, "2024-06-01 00:00:00")
+    upsert(t, inc, 2, "2024-06-02 00:00:00")
+    assert t.read(1).count() == inc.where(F.col("source") == one).count()
+    assert t.read(2).count() == t.read().count() == inc.count()
+    scan = t.scan_source(one)
+    assert scan.count() == scan.select("product_url").distinct().count() == inc.where(F.col("source") == one).count()
+    assert scan.where(F.col("source") != one).count() == 0
