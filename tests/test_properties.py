@@ -52,3 +52,20 @@ def test_normalize_price_matches_model(spark, batch):
     for i, s in enumerate(batch):
         assert got[i][0] == model(s), s
         assert got[i][1] == got[i][0], s          # idempotent
+
+
+rows_strategy = st.lists(st.tuples(st.sampled_from(["hot", "hot", "hot", "a", "b"]), st.integers(0, 5),
+                                   st.text(alphabet="xyz", min_size=1, max_size=3)), min_size=1, max_size=60)
+
+
+@settings(max_examples=4, deadline=None)
+@given(rows_strategy)
+def test_keep_first_last_match_python(spark, rows):
+    from vitrine.operators.dedupe import keep_first, keep_last
+
+    df = spark.createDataFrame(rows, "k string, ord int, v string")
+    first = {r.k: (r.ord, r.v) for r in keep_first(df, ["k"], ["ord"]).collect()}
+    last = {r.k: (r.ord, r.v) for r in keep_last(df, ["k"], ["ord"]).collect()}
+    for k in {r[0] for r in rows}:
+        mine = sorted((o, v) for kk, o, v in rows if kk == k)     # order, then the row itself
+        assert first[k] == mine[0] and last[k] == mine[-1]
