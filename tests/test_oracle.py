@@ -8,8 +8,9 @@ import pytest
 import __spark_entry__ as entry
 from tests.conftest import SF_ORACLE
 from tools.check_oracle import _digest
+from vitrine.plans import registry
 
-ORACLES = entry.oracle_sql()
+ORACLES = registry.oracle_sql()
 
 
 # Queries without a SQL twin (iterative or model-based): checked by rows here
@@ -18,7 +19,8 @@ ROWS_ONLY = {"ivf_topk"}
 
 
 def test_every_query_has_an_oracle_or_is_rows_only():
-    qs = entry.queries()
+    qs = registry.queries()
+    assert set(qs) <= set(entry.queries())
     assert set(ORACLES) <= set(qs)
     assert set(qs) - set(ORACLES) == ROWS_ONLY
 
@@ -31,7 +33,7 @@ def test_entry_smoke(spark):
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, duck, name):
-    df = entry.queries()[name](spark, SF_ORACLE)
+    df = registry.queries()[name](spark, SF_ORACLE)
     rows = [tuple(r) for r in df.collect()]
     cur = duck.execute(ORACLES[name])
     ocols = [d[0] for d in cur.description]

@@ -7,6 +7,7 @@ fills in settings that are unset, so cluster configuration always wins.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -45,13 +46,18 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and written intermediate tables.
 
-    Read from ``spark.checkpoint.dir``; only when the session has none (local
-    tests) a fresh scratch folder is made and registered.
+    Read from ``spark.checkpoint.dir``; only when the session has none and
+    runs on a local master (tests) a fresh scratch folder is made and
+    registered. A cluster without the setting is an error: a machine-local
+    folder there would be invisible to the other executors.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
         conf_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        master = spark.sparkContext.master or ""
+        if not re.match(r"local(\[[^-]*\])?$", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share (master is {master!r})")
         conf_dir = tempfile.mkdtemp(prefix="vitrine-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     if spark.sparkContext.getCheckpointDir() is None:
