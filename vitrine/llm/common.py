@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.session import checkpoint_dir
+
 # ASCII white space of the contracts: space, tab, LF, VT, FF, CR.
 WS = " \t\n\x0b\x0c\r"
 
@@ -25,6 +28,11 @@ def keyed_text(df: DataFrame, id_col: str, text_col: str, *, empty_for_null: boo
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder name under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to at most ``rows`` rows, so what a step holds of a
     batch's results at one time stays small whatever the batch size is."""

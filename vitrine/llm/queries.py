@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import bpe_tree, exact_dedup, packing
-from vitrine.llm.common import read_table
+from vitrine.llm import bpe_tree, exact_dedup, packing, token_files
+from vitrine.llm.common import read_table, scratch_path
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_path(spark, "token-files")
+    token_files.write_token_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), out)
+    return token_files.read_token_files(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = bpe_tree.encode_documents(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -45,6 +51,7 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_token_files": op7_token_files,
     "op10_bpe_tree": op10_bpe_tree,
 }
 
