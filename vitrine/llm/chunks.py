@@ -3,7 +3,9 @@
 A tokenizer whose first step is a splitting pattern encodes every match of the
 pattern by itself. A chunk is a run of whole matches, so the ids of a text are
 the ids of its chunks one after the other. Chunks recur (they are words), so
-their packed ids are kept in a bounded memo per worker.
+their packed ids are kept in a bounded memo per worker. All patterns used here
+match letters apart from punctuation, so a word's final stop or comma is a
+match of its own.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
-MEMO_LIMIT = 300_000
+MEMO_LIMIT = 500_000
 MEMO_CHUNK = 64  # longer chunks are encoded each time and not kept
 
 _DOUBLE_SPACE = re.compile(r"\s\s|[\x01\x1c-\x1f\x85]")
@@ -43,11 +45,15 @@ class ChunkMemo(dict):
         """Packed ids of each text, given as its chunks."""
         if len(self) > MEMO_LIMIT:
             self.clear()
-        unseen = {c for chunks in texts for c in chunks if c not in self and len(c) <= MEMO_CHUNK}
-        if unseen:
-            todo = list(unseen)
+        unseen = [c for c in set().union(*texts).difference(self) if len(c) <= MEMO_CHUNK]
+        # a full stop or comma after a letter is a match of its own
+        ended = [c for c in unseen if c[-1:] in (".", ",") and c[-2:-1].isalpha()]
+        todo = list({*unseen, *(c[:-1] for c in ended), *(".", ",")}.difference(self, ended))
+        if todo:
             for chunk, ids in zip(todo, self.encode_many(todo), strict=True):
                 self[chunk] = pack(ids)
+        for chunk in ended:
+            self[chunk] = self[chunk[:-1]] + self[chunk[-1]]
         return [b"".join(map(self.__getitem__, chunks)) for chunks in texts]
 
 

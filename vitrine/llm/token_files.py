@@ -163,7 +163,7 @@ def memo_for(path: str):
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
         def encode_many(words: list[str]) -> list[list[int]]:
-            return [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)]
+            return [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
         _MEMOS[path] = ChunkMemo(encode_many), tokenizer
     return _MEMOS[path]
