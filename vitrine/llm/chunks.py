@@ -11,50 +11,69 @@ match of its own.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterable
 
-import numpy as np
-
 MEMO_LIMIT = 500_000
-MEMO_CHUNK = 64  # longer chunks are encoded each time and not kept
+MEMO_CHUNK = 64  # longer chunks are not kept
 
-_DOUBLE_SPACE = re.compile(r"\s\s|[\x01\x1c-\x1f\x85]")
+# white space other than space and line feed, and the mark used below
+_ODD = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"] + ["\x01"]
+_RUNS = ["  ", " \n", "\n ", "\n\n"]
 _ODD_SPACE = re.compile(r"[\x1c-\x1f\x85]")
 
 
 def pack(ids: Iterable[int]) -> bytes:
     """Little-endian unsigned 32-bit ids."""
-    return np.fromiter(ids, dtype="<u4").tobytes()
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+def byte_letters() -> dict[int, str]:
+    """Translation of bytes (as Latin-1 text) to the letters that byte-level
+    vocabularies are written in: printable bytes stand for themselves, the
+    others take the code points from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
 
+_LETTERS = byte_letters()
 
-class ChunkMemo(dict):
+
+def as_letters(word: str) -> str:
+    return word.encode("utf-8").decode("latin-1").translate(_LETTERS)
+
+
+class ChunkMemo:
     """chunk -> packed ids. ``encode_many`` turns a list of unseen chunks into
     a list of id lists. The memo is emptied at ``MEMO_LIMIT`` entries."""
 
     def __init__(self, encode_many: Callable[[list[str]], list[list[int]]]):
-        super().__init__()
         self.encode_many = encode_many
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = pack(self.encode_many([chunk])[0])
-        if len(chunk) <= MEMO_CHUNK:
-            self[chunk] = ids
-        return ids
+        self.ids: dict[str, bytes] = {}
 
     def encode(self, texts: list[list[str]]) -> list[bytes]:
         """Packed ids of each text, given as its chunks."""
-        if len(self) > MEMO_LIMIT:
-            self.clear()
-        unseen = [c for c in set().union(*texts).difference(self) if len(c) <= MEMO_CHUNK]
+        if len(self.ids) > MEMO_LIMIT:
+            self.ids.clear()
+        memo = self.ids
+        unseen = set().union(*texts).difference(memo)
         # a full stop or comma after a letter is a match of its own
         ended = [c for c in unseen if c[-1:] in (".", ",") and c[-2:-1].isalpha()]
-        todo = list({*unseen, *(c[:-1] for c in ended), *(".", ",")}.difference(self, ended))
+        todo = list(unseen.union((c[:-1] for c in ended), (".", ",")).difference(ended).difference(memo))
         if todo:
-            for chunk, ids in zip(todo, self.encode_many(todo), strict=True):
-                self[chunk] = pack(ids)
+            memo.update(zip(todo, map(pack, self.encode_many(todo)), strict=True))
         for chunk in ended:
-            self[chunk] = self[chunk[:-1]] + self[chunk[-1]]
-        return [b"".join(map(self.__getitem__, chunks)) for chunks in texts]
+            memo[chunk] = memo[chunk[:-1]] + memo[chunk[-1]]
+        out = [b"".join(map(memo.__getitem__, chunks)) for chunks in texts]
+        for chunk in unseen:
+            if len(chunk) > MEMO_CHUNK:
+                del memo[chunk]
+        return out
 
 
 def space_chunks(text: str, findall: Callable[[str], list[str]]) -> list[str]:
@@ -67,7 +86,7 @@ def space_chunks(text: str, findall: Callable[[str], list[str]]) -> list[str]:
     """
     if not text:
         return []
-    if text[0].isspace() or text[-1].isspace() or _DOUBLE_SPACE.search(text):
+    if text[0].isspace() or text[-1].isspace() or any(x in text for x in _RUNS) or any(x in text for x in _ODD):
         return findall(text)
     return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vitrine.llm.chunks import ChunkMemo, pack, space_chunks
+from vitrine.llm.chunks import ChunkMemo, as_letters, pack, space_chunks
 from vitrine.llm.common import keyed_text, shuffle_partitions, slices
 from vitrine.session import materialize
 
@@ -47,8 +47,14 @@ def memo_for(path: str):
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         findall = regex.compile(SPLIT).findall
 
+        tokenize = tokenizer.model.tokenize
+
         def encode_many(chunks: list[str]) -> list[list[int]]:
-            return [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+            # a word with or without its space is one match: straight to the model
+            word = [(c[1:] if c[:1] == " " else c).isalpha() for c in chunks]
+            rest = iter(tokenizer.encode_batch_fast([c for c, w in zip(chunks, word, strict=True) if not w],
+                                                    add_special_tokens=False))
+            return [[t.id for t in tokenize(as_letters(c))] if w else next(rest).ids for c, w in zip(chunks, word, strict=True)]
 
         _MEMOS[path] = ChunkMemo(encode_many), lambda text: [c for c in space_chunks(text, findall) if c]
     return _MEMOS[path]

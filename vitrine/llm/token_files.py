@@ -21,6 +21,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vitrine.llm.chunks import ChunkMemo, pack, word_chunks
+from vitrine.llm.chunks import ChunkMemo, as_letters, pack, word_chunks
 from vitrine.llm.common import keyed_text, shuffle_partitions, slices
 
 MAGIC = b"S8B1"
@@ -162,8 +163,20 @@ def memo_for(path: str):
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
+        tokenize = tokenizer.model.tokenize
+
+        def plain(word: str) -> str | None:
+            """The normalised word, if it surely is one match (no final sigma,
+            where Python's lower case depends on the neighbours)."""
+            low = word.lower()
+            return low if low.isalpha() and (low.isascii() or "\u03a3" not in word and is_normalized("NFC", low)
+                                             and is_normalized("NFC", word)) else None
+
         def encode_many(words: list[str]) -> list[list[int]]:
-            return [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            low = [plain(w) for w in words]
+            rest = iter(tokenizer.encode_batch_fast([w for w, x in zip(words, low, strict=True) if x is None],
+                                                    add_special_tokens=False))
+            return [next(rest).ids if x is None else [t.id for t in tokenize(as_letters(x))] for x in low]
 
         _MEMOS[path] = ChunkMemo(encode_many), tokenizer
     return _MEMOS[path]
