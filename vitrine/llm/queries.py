@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import bpe_tree, exact_dedup, language, licenses, ngram_join, packing, quality, token_files
+from vitrine.llm import bpe_tree, exact_dedup, language, licenses, main_text, ngram_join, packing, quality, token_files
 from vitrine.llm.common import read_table, scratch_path
 
 
@@ -15,6 +15,10 @@ def op1_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(read_table(spark, sf_dir, "documents"))
 
 
+def op2_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read_table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_partenum_join": op1_partenum_join,
+    "op2_html_blocks": op2_html_blocks,
     "op3_language_id": op3_language_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_line_frequency": op5_line_frequency,
