@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import bpe_tree, exact_dedup, language, licenses, main_text, ngram_join, packing, quality, token_files
+from vitrine.llm import bpe_tree, exact_dedup, language, licenses, main_text, ngram_join, packing, quality, suffix_dedup, token_files
 from vitrine.llm.common import read_table, scratch_path
 
 
@@ -58,6 +58,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_lyndon_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.cut_repeats(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents"))
 
@@ -78,6 +83,7 @@ QUERIES = {
     "op5_line_frequency": op5_line_frequency,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_files": op7_token_files,
+    "op8_lyndon_groups": op8_lyndon_groups,
     "op9_diagonal_voting": op9_diagonal_voting,
     "op10_bpe_tree": op10_bpe_tree,
 }
