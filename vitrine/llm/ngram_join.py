@@ -306,3 +306,12 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     smallest = named.groupBy("class").agg(F.min("first").alias("component_id"))
     component = named.join(smallest, "class").select("set_key", "component_id")
     return sets.join(component, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``df``, all columns, that represent their group of linked
+    documents (smallest id). Rows without an id stay, they represent
+    themselves; rows that repeat an id stay together."""
+    found = components(df, id_col, text_col, n, percent)
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return df.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")

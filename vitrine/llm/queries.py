@@ -3,6 +3,7 @@ operators' own outputs, each over its whole table."""
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,8 +87,10 @@ QUERIES = {
     "op8_lyndon_groups": op8_lyndon_groups,
     "op9_diagonal_voting": op9_diagonal_voting,
     "op10_bpe_tree": op10_bpe_tree,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": OP4_SQL,
+    **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
 }
