@@ -226,3 +226,111 @@ def test_read_older_versions_and_scan_source(spark, scratch):
     scan = t.scan_source(one)
     assert scan.count() == scan.select("product_url").distinct().count() == inc.where(F.col("source") == one).count()
     assert scan.where(F.col("source") != one).count() == 0
+
+
+# ---- rows must not be lost: rejects, unnamed sources, retries, shared versions ----
+def _raw(rows):
+    return [dict(dict(source="a", product_url=None, image_url=None, title=None, price="10 EUR", category=None), **r) for r in rows]
+
+
+_RAW = "source string, product_url string, image_url string, title string, price string, category string"
+
+
+def _formatted(spark, rows):
+    from vitrine.operators.records import format_products
+    return format_products(spark.createDataFrame(_raw(rows), _RAW))
+
+
+def test_rejected_copy_does_not_replace_an_accepted_row(spark, scratch):
+    from vitrine.operators.dedupe import keep_first_accepted
+    from vitrine.sources.catalog import CatalogTable, upsert
+
+    rows = _formatted(spark, [
+        dict(product_url="https://s/p/1", title="one", image_url=None), dict(product_url="https://s/p/1", title="one", image_url="https://s/1.jpg"),
+        dict(product_url=None, title="x"), dict(product_url=None, title="y"), dict(source=None, product_url="https://s/p/2", title="z")])
+    kept = keep_first_accepted(rows, ["id"], ["product_url"])
+    assert kept.where("reject_reason is null").count() == 1 and kept.where("reject_reason is not null").count() == 4
+    table = CatalogTable(spark, scratch + "/t")
+    upsert(table, kept, 1, "2024-01-01 00:00:00")
+    assert [(r.title, r.image_url) for r in table.read().collect()] == [("one", "https://s/1.jpg")]
+
+
+def test_rows_of_unnamed_sources_are_stored_or_refused(spark, scratch):
+    import pytest
+
+    from vitrine.operators.records import accepted
+    from vitrine.sources.catalog import CatalogTable, upsert
+
+    rows = _formatted(spark, [dict(source=s, product_url=f"https://{s}/1", title="t", image_url="https://x/i.jpg") for s in ("a", "b")])
+    table = CatalogTable(spark, scratch + "/t")
+    upsert(table, rows, 1, "2024-01-01 00:00:00", sources=["a", "c"])
+    assert sorted(r.source for r in table.read().collect()) == ["a", "b"] and table.sources() == ["a", "b", "c"]
+    with pytest.raises(ValueError):
+        table.commit(accepted(rows), 2, ["a"])
+    assert table.versions() == [1]
+
+
+def test_page_seen_without_image_is_not_expired(spark, scratch):
+    from vitrine.sources.catalog import CatalogTable, upsert
+
+    table = CatalogTable(spark, scratch + "/t")
+    full = [dict(product_url=f"https://s/p/{k}", title=f"t{k}", image_url="https://s/i.jpg") for k in (1, 2)]
+    upsert(table, _formatted(spark, full), 1, "2024-01-01 00:00:00")
+    for run in (2, 3, 4):   # page 1 comes without its image, page 2 not at all
+        merged = upsert(table, _formatted(spark, [dict(product_url="https://s/p/1", title="t1")]), run, "2024-01-02 00:00:00")
+        assert {r.action for r in merged.collect()} <= {"keep", "delete"}
+    assert [(r.product_url, r.last_seen_run, r.image_url) for r in table.read().collect()] == [("https://s/p/1", 4, "https://s/i.jpg")]
+
+
+def test_absent_optional_field_is_no_endless_update(spark, scratch):
+    from vitrine.operators.changes import classify
+    from vitrine.sources.catalog import CatalogTable, upsert
+
+    table = CatalogTable(spark, scratch + "/t")
+    row = dict(product_url="https://s/p/1", title="t", image_url="https://s/i.jpg")
+    upsert(table, _formatted(spark, [dict(row, category="bags")]), 1, "2024-01-01 00:00:00")
+    for run in (2, 3):
+        rows = _formatted(spark, [row])
+        assert [r.status for r in classify(rows, table.read()).collect()] == ["unchanged"]
+        assert [r.action for r in upsert(table, rows, run, "2024-01-02 00:00:00").collect()] == ["touch"]
+    assert [r.category for r in table.read().collect()] == ["bags"]
+
+
+def test_missing_vectors_are_flagged_again(spark, scratch):
+    from vitrine.operators.changes import classify
+    from vitrine.sources.catalog import CatalogTable, upsert
+
+    table = CatalogTable(spark, scratch + "/t")
+    rows = _formatted(spark, [dict(product_url="https://s/p/1", title="t", image_url="https://s/i.jpg")])
+    upsert(table, rows, 1, "2024-01-01 00:00:00")
+    r = classify(rows, table.read(), retry_missing=True).collect()[0]
+    assert (r.status, r.embed_image, r.embed_text) == ("unchanged", True, True)
+    from pyspark.sql import functions as F
+    vec = F.array(F.lit(1.0).cast("float"))
+    upsert(table, rows.withColumn("image_embedding", vec).withColumn("info_embedding", vec), 2, "2024-01-02 00:00:00")
+    r = classify(rows, table.read(), retry_missing=True).collect()[0]
+    assert (r.status, r.embed_image, r.embed_text) == ("unchanged", False, False)
+
+
+def test_streams_do_not_share_versions(spark, scratch):
+    from vitrine.sources.catalog import CatalogTable, upsert
+
+    table = CatalogTable(spark, scratch + "/t")
+    def put(stream, batch, key):
+        v = table.reserve(stream, batch)
+        upsert(table, _formatted(spark, [dict(product_url=f"https://s/p/{key}", title=key, image_url="https://s/i.jpg")]), v,
+               "2024-01-01 00:00:00", expire=False)
+        return v
+    assert [put("one", 0, "u1"), put("one", 1, "u2"), put("two", 0, "fresh"), put("one", 1, "u2")] == [1, 2, 3, 2]
+    assert put("two", 1, "more") == 4 and table.next_free() == 5
+    assert sorted(r.title for r in table.read().collect()) == ["fresh", "more", "u1", "u2"]
+
+
+def test_brandless_site_keeps_its_images(spark):
+    from pyspark.sql import functions as F
+
+    from vitrine.functions.images import product_image
+    df = spark.createDataFrame([("https://cdn.example.com/some/long/path/red.jpg", "Red shoe")], "src string, alt string")
+    got = df.select(product_image(F.col("src"), F.col("alt"), F.lit(""), "").alias("a"),
+                    product_image(F.col("src"), F.col("alt"), F.lit(""), "Shoe").alias("b")).collect()[0]
+    assert got.a and not got.b

@@ -54,6 +54,6 @@ def product_image(src: Column, alt: Column, classes: Column, brand: str) -> Colu
     """the soft filter over an ``img`` element's src, alt and class text."""
     s = F.lower(src)
     bad = (has_any(s, SRC_SKIP, "substring")
-           | has_any(F.coalesce(alt, F.lit("")), ALT_SKIP + [brand.lower()], "substring")
+           | has_any(F.coalesce(alt, F.lit("")), ALT_SKIP + ([brand.lower()] if brand else []), "substring")
            | has_any(F.coalesce(classes, F.lit("")), CLASS_SKIP, "substring"))
     return F.coalesce(~bad & has_any(s, IMAGE_EXTS, "substring") & (F.length(src) >= MIN_SRC_LEN), F.lit(False))

@@ -16,6 +16,10 @@ from vitrine.functions.text import same_text
 # Fixed values that must equal the reference's for right results.
 CHANGE_FIELDS = ["title", "price", "sale", "image_url", "description", "category", "gender", "size",
                  "additional_images"]
+# On an update these keep the stored value when this run has none (Q4), so an
+# absent value is no change either; every other column takes the new value.
+KEEP_IF_ABSENT = {"affiliate_url", "brand", "description", "category", "gender", "country", "tags", "other",
+                  "metadata", "size", "additional_images"}
 STATUSES = ["new", "updated", "unchanged", "failed"]
 
 
@@ -28,13 +32,14 @@ def _as_text(df: DataFrame, name: str) -> Column:
     return c.cast("string")
 
 
-def classify(incoming: DataFrame, catalog: DataFrame) -> DataFrame:
+def classify(incoming: DataFrame, catalog: DataFrame, retry_missing: bool = False) -> DataFrame:
     """C1 + C2 + C3.
 
     ``incoming`` carries catalog schema B and ``reject_reason``; ``catalog`` is
     the stored table. Adds ``status``, ``reason``, ``changed_fields``,
     ``image_changed``, ``embed_image``, ``embed_text`` and the stored
-    ``old_*`` fields needed downstream.
+    ``old_*`` fields needed downstream. ``retry_missing`` also flags stored
+    rows whose vector is missing (its model failed in an earlier run).
     """
     old_cols = [c for c in CHANGE_FIELDS if c in catalog.columns]
     extra = [c for c in ("image_embedding", "info_embedding", "created_at", "last_seen_run")
@@ -46,8 +51,14 @@ def classify(incoming: DataFrame, catalog: DataFrame) -> DataFrame:
         *[F.col(c).alias(f"old_{c}") for c in extra],
     )
     j = incoming.join(old, F.col("id") == F.col("_old_id"), "left")
-    diffs = [F.when(~same_text(_as_text(incoming, c), F.col(f"old_{c}") if c in old_cols else F.lit(None)),
-                    F.lit(c)) for c in CHANGE_FIELDS]
+
+    def differs(c: str) -> Column:
+        new = _as_text(incoming, c)
+        changed = ~same_text(new, F.col(f"old_{c}") if c in old_cols else F.lit(None))
+        # the merge keeps the stored value of these when this run has none
+        return changed & new.isNotNull() if c in KEEP_IF_ABSENT else changed
+
+    diffs = [F.when(differs(c), F.lit(c)) for c in CHANGE_FIELDS]
     changed = F.filter(F.array(*diffs), lambda x: x.isNotNull())
     exists = F.col("_old_id").isNotNull()
     failed = F.col("reject_reason").isNotNull()
@@ -65,9 +76,16 @@ def classify(incoming: DataFrame, catalog: DataFrame) -> DataFrame:
         "image_changed": F.when(~failed, img_changed),
     })
     st = F.col("status")
+
+    def lost(c: str) -> Column:
+        if not retry_missing or c not in catalog.columns:
+            return F.lit(False)
+        return st.isin("updated", "unchanged") & F.col(f"old_{c}").isNull()
+
     return out.withColumns({
-        "embed_image": (st == "new") & F.col("image_url").isNotNull() | (st == "updated") & F.col("image_changed"),
-        "embed_text": st.isin("new", "updated"),
+        "embed_image": ((st == "new") | lost("image_embedding")) & F.col("image_url").isNotNull()
+        | (st == "updated") & F.col("image_changed"),
+        "embed_text": st.isin("new", "updated") | lost("info_embedding"),
     }).drop("_old_id")
 
 

@@ -25,6 +25,14 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return _pick(df, keys, order, F.min_by)
 
 
+def keep_first_accepted(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """A4 on formatted rows: the first *accepted* row per key, and every
+    rejected row beside it (F4 comes before A4, so a rejected copy can neither
+    replace an accepted row nor disappear)."""
+    accepted = df.where(F.col("reject_reason").isNull())
+    return keep_first(accepted, keys, order).select(*df.columns).unionByName(df.where(F.col("reject_reason").isNotNull()))
+
+
 def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """A5: last row per key by ``order``."""
     return _pick(df, keys, order, F.max_by)

@@ -342,7 +342,7 @@ def listing_cards(pages: DataFrame, selectors: dict, els: DataFrame | None = Non
 
 
 # ---- Fixed values that must equal the reference's for right results. ----
-LINK_FALLBACK_LIMIT = 50
+LINK_FALLBACK_LIMIT = 50   # L4: the caller passes it to get that feature
 LINK_MIN_TITLE = 10
 SIZE_TOKENS = r"\b(XS|S|M|L|XL|XXL|\d+)\b"
 PARENT_PRICE = r"(\d+,\d+)\s*EUR"
@@ -364,13 +364,13 @@ def _link_page_rules(selectors: dict, mode: str) -> list[tuple]:
     return [("links", is_link, link, "all"), ("imgs", (F.col("tag") == "img") & src.isNotNull(), img, "all")]
 
 
-def _link_rows(g: DataFrame, limit: int) -> DataFrame:
+def _link_rows(g: DataFrame, limit: int | None) -> DataFrame:
     """E3 records from per-page ``links``, ``imgs`` and ``_nodes``: first of
-    each href, the first ``limit`` in document order (L4), title from the
-    link text, price and image from the parent."""
+    each href (of these the first ``limit`` in document order when given: L4),
+    title from the link text, price and image from the parent."""
     firsts = F.filter(F.col("links"), lambda l, k: ~F.exists(F.slice(F.col("links"), 1, k),
                                                              lambda o: o["href"] == l["href"]))
-    top = F.slice(firsts, 1, limit)
+    top = firsts if limit is None else F.slice(firsts, 1, limit)
     nodes = F.col("_nodes")
 
     def record(l):
@@ -395,16 +395,16 @@ def _link_rows(g: DataFrame, limit: int) -> DataFrame:
 
 
 def link_records(pages: DataFrame | None, selectors: dict, mode: str = "substring",
-                 limit: int = LINK_FALLBACK_LIMIT, els: DataFrame | None = None) -> DataFrame:
+                 limit: int | None = None, els: DataFrame | None = None) -> DataFrame:
     """Link-only records (one aggregate per page: links, images, the page
-    text; no joins)."""
+    text; no joins); every link unless ``limit`` is given (L4)."""
     els = elements(pages) if els is None else els
     g = apply_rules(els, ["page_id", "url"], _link_page_rules(selectors, mode), with_nodes=True)
     return _link_rows(g, limit)
 
 
 def listing_page_records(pages: DataFrame, selectors: dict, mode: str = "substring",
-                         limit: int = LINK_FALLBACK_LIMIT) -> DataFrame:
+                         limit: int | None = None) -> DataFrame:
     """Cards when a page has containers, else link-only records.
     One element pass and one aggregate per page; the one-row-per-page result
     is persisted and read by both branches."""

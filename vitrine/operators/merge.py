@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.operators.changes import CHANGE_FIELDS
+from vitrine.operators.changes import CHANGE_FIELDS, KEEP_IF_ABSENT
 from vitrine.operators.records import CATALOG_COLUMNS
 from vitrine.functions.price import normalize_price
 from vitrine.functions.text import same_text
@@ -21,11 +21,6 @@ from vitrine.functions.text import same_text
 STALE_AFTER_RUNS = 2
 
 ACTIONS = ["insert", "update", "touch", "keep", "delete"]
-# Q4 per-column policy: on an update these keep the stored value when this
-# run has none; every other column (price, sale, image_url, title, ...) takes
-# the new value, so an ended sale clears.
-KEEP_IF_ABSENT = {"affiliate_url", "brand", "description", "category", "gender", "country", "tags", "other",
-                  "metadata", "size", "additional_images"}
 
 
 def is_stale(last_seen_run: Column, current_run: Column | int) -> Column:
@@ -38,8 +33,10 @@ def merge_catalog(stored: DataFrame, incoming: DataFrame, run: int, run_ts: str
                   expire: bool = True) -> DataFrame:
     """C6 + C4 + C5 + C7.
 
-    ``stored``: catalog schema B rows. ``incoming``: formatted rows, one per id,
-    with ``reject_reason``. Actions: ``insert`` (new id), ``update`` (changed
+    ``stored``: catalog schema B rows. ``incoming``: formatted rows with
+    ``reject_reason``; of several rows of an id an accepted one counts, rejected
+    rows without an id take no part. A rejected row with a title still marks
+    its product as seen (``last_seen_run`` moves, nothing else). Actions: ``insert`` (new id), ``update`` (changed
     fields), ``touch`` (unchanged, only ``last_seen_run`` moves: Q1), ``keep``
     (not seen, or failed this run, not stale), ``delete`` (not seen and stale;
     only when ``expire``, i.e. for a full run, never for a partial batch).
@@ -47,6 +44,7 @@ def merge_catalog(stored: DataFrame, incoming: DataFrame, run: int, run_ts: str
     ts = F.to_timestamp(F.lit(run_ts)) if run_ts else F.current_timestamp()
     s_cols = [c for c in CATALOG_COLUMNS if c in stored.columns]
     i_cols = [c for c in CATALOG_COLUMNS if c in incoming.columns]
+    incoming = _one_per_id(incoming)
     s = stored.select(*[F.col(c).alias(f"s_{c}") for c in s_cols])
     i = incoming.select(*[F.col(c).alias(f"i_{c}") for c in i_cols], F.col("reject_reason").alias("i_reject"))
     j = s.join(i, F.col("s_id") == F.col("i_id"), "full_outer")
@@ -68,14 +66,18 @@ def merge_catalog(stored: DataFrame, incoming: DataFrame, run: int, run_ts: str
         return normalize_price(col) if c in ("price", "sale") else col.cast("string")
 
     seen = F.col("i_id").isNotNull() & F.col("i_reject").isNull()
+    titled = F.coalesce(F.trim(ic("title").cast("string")), F.lit("")) != ""
+    sighted = F.col("i_id").isNotNull() & (F.col("i_reject").isNull() | titled)
     exists = F.col("s_id").isNotNull()
     same = F.lit(True)
     for c in CHANGE_FIELDS:
-        same = same & same_text(txt("s", c), txt("i", c))
+        # the merge keeps the stored value of these when this run has none
+        kept = txt("i", c).isNull() if c in KEEP_IF_ABSENT else F.lit(False)
+        same = same & (kept | same_text(txt("s", c), txt("i", c)))
     action = (F.when(seen & ~exists, F.lit("insert"))
               .when(seen & ~same, F.lit("update"))
               .when(seen, F.lit("touch"))
-              .when(F.lit(expire) & exists & is_stale(sc("last_seen_run"), run), F.lit("delete"))
+              .when(F.lit(expire) & exists & ~sighted & is_stale(sc("last_seen_run"), run), F.lit("delete"))
               .when(exists, F.lit("keep")))
     j = j.withColumn("action", action).where(F.col("action").isNotNull())
     take_new = F.col("action").isin("insert", "update")
@@ -83,7 +85,7 @@ def merge_catalog(stored: DataFrame, incoming: DataFrame, run: int, run_ts: str
     out = []
     for c in CATALOG_COLUMNS:
         if c == "last_seen_run":
-            v = F.when(seen, F.lit(run)).otherwise(sc(c))
+            v = F.when(sighted, F.lit(run)).otherwise(sc(c))
         elif c == "created_at":
             v = F.coalesce(sc(c), F.when(take_new, ts))
         elif c == "updated_at":
@@ -92,7 +94,8 @@ def merge_catalog(stored: DataFrame, incoming: DataFrame, run: int, run_ts: str
             # keep the stored vector unless the image changed
             v = F.when(take_new & ~image_same, ic(c)).otherwise(F.coalesce(sc(c), ic(c)))
         elif c == "info_embedding":
-            v = F.when(take_new, F.coalesce(ic(c), sc(c))).otherwise(sc(c))
+            # a vector that is missing so far may come with an unchanged row
+            v = F.when(take_new, F.coalesce(ic(c), sc(c))).otherwise(F.coalesce(sc(c), ic(c)))
         elif c in KEEP_IF_ABSENT:
             v = F.when(take_new, F.coalesce(ic(c), sc(c))).otherwise(sc(c))
         else:
@@ -101,6 +104,15 @@ def merge_catalog(stored: DataFrame, incoming: DataFrame, run: int, run_ts: str
     return j.select(*out, "action")
 
 
+def _one_per_id(incoming: DataFrame) -> DataFrame:
+    """One row per id, an accepted one where there is any."""
+    from vitrine.operators.dedupe import keep_first
+
+    flag = F.col("reject_reason").isNotNull().cast("int")
+    rows = incoming.where(F.col("id").isNotNull()).withColumn("_rejected", flag)
+    return keep_first(rows, ["id"], ["_rejected"]).select(*incoming.columns)
+
+
 def _type_of(c: str):
     from vitrine.operators.records import CATALOG_SCHEMA
     return CATALOG_SCHEMA[c].dataType

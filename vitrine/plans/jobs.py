@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions.text import labelled_search_text, plain_search_text
 from vitrine.operators.changes import classify, run_summary
-from vitrine.operators.dedupe import keep_first
+from vitrine.operators.dedupe import keep_first_accepted
 from vitrine.operators.elements import elements, elements_once
 from vitrine.operators.embed import embed_column, embed_flagged, hashed_text_embedding
 from vitrine.operators.extract import listing_cards, product_records_p1, product_records_p2
@@ -65,10 +65,10 @@ def catalog_run(spark: SparkSession, pages: DataFrame, table: CatalogTable, run:
         "sale": F.col("price"),
     })
     fmt = format_products(recs)
-    inc = keep_first(fmt, ["id"], ["product_url"])
+    inc = keep_first_accepted(fmt, ["id"], ["product_url"])
     mine = table.read_base(run, [source])          # only this source's folder is read
     # computed once: the merge, the write and the counters all read it
-    cls = materialize(classify(inc, mine), "classified")
+    cls = materialize(classify(inc, mine, retry_missing=True), "classified")
     cols = {c: F.col(c) for c in cls.columns}
     cls = cls.withColumn("search_text", labelled_search_text(cols))
     embedded = _embed(cls, image_fn, text_fn, dim)
@@ -172,7 +172,7 @@ def site_run(spark: SparkSession, listing_pages: DataFrame, product_pages: DataF
     recs = site_records(spark, listing_pages, product_pages, spec, persisted, limit)
     fmt = format_products(recs)
     sources = [s.get("source") for s in load_spec(spec).values() if s.get("source")]
-    merged = upsert(table, keep_first(fmt, ["id"], ["product_url"]), run, run_ts, sources=sources)
+    merged = upsert(table, keep_first_accepted(fmt, ["id"], ["product_url"]), run, run_ts, sources=sources)
     for df in persisted:          # the version is committed: release the element rows
         df.unpersist()
     return merged

@@ -23,8 +23,8 @@ from vitrine.operators.records import CATALOG_SCHEMA, accepted, pad_columns
 
 _VERSION = re.compile(r"^v=(\d+)$")
 _SOURCE = re.compile(r"^source=(.*)$")
-WRITE_SPREAD = 16          # writers per source: a source with a third of all rows is not one task
 MARK_OK = "_SUCCESS"
+RESERVED = "_batches"      # which version a stream's micro-batch writes
 MARK_EMPTY = "_EMPTY"      # a source whose rows were all removed
 
 
@@ -46,6 +46,11 @@ class CatalogTable:
     def _exists(self, path: str) -> bool:
         return self._fs.exists(self._Path(path))
 
+    @staticmethod
+    def _must(done: bool, what: str) -> None:
+        if not done:
+            raise OSError(f"catalog: could not {what}")
+
     def _touch(self, path: str) -> None:
         self._fs.create(self._Path(path), True).close()
 
@@ -83,6 +88,27 @@ class CatalogTable:
                 out[s] = vs[-1]
         return out
 
+    def next_free(self) -> int:
+        """A version number above every committed or reserved one."""
+        taken = self.versions()
+        reserved = f"{self.root}/{RESERVED}"
+        for stream in self._list(reserved):
+            for batch in self._list(f"{reserved}/{stream}"):
+                taken += [int(m.group(1)) for m in map(_VERSION.match, self._list(f"{reserved}/{stream}/{batch}")) if m]
+        return max(taken, default=0) + 1
+
+    def reserve(self, stream: str, batch: int) -> int:
+        """The version of a stream's batch: a new one at first, the same one
+        when the batch is replayed. ``stream`` names the stream's progress
+        (its checkpoint). One writer of a table at a time, as for commits."""
+        place = f"{self.root}/{RESERVED}/{quote(stream, safe='')}/{batch}"
+        found = [int(m.group(1)) for m in map(_VERSION.match, self._list(place)) if m]
+        if found:
+            return found[0]
+        version = self.next_free()
+        self._must(self._fs.mkdirs(self._Path(f"{place}/v={version:06d}")), f"reserve {place}")
+        return version
+
     # -------------------------------------------------------------- read
     def _read(self, snap: dict[str, int]) -> DataFrame:
         paths = [self.version_dir(s, v) for s, v in sorted(snap.items())
@@ -111,22 +137,29 @@ class CatalogTable:
     # ------------------------------------------------------------- write
     def commit(self, rows: DataFrame, version: int, sources: list[str]) -> int:
         """Write ``rows`` as version ``version`` of each of ``sources``
-        (a source left without rows gets an empty marker version)."""
+        (a source left without rows gets an empty marker version). Rows of any
+        other source, or of none, are an error: nothing is committed then."""
         out = pad_columns(rows).select(*[F.col(f.name).cast(f.dataType) for f in CATALOG_SCHEMA.fields])
         stage = f"{self.root}/_staging/v={version:06d}-{uuid.uuid4().hex[:8]}"
-        spread = F.pmod(F.xxhash64("id"), F.lit(WRITE_SPREAD))
+        # writers per source follow the session, so one large source is not a few tasks; AQE merges small ones
+        writers = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        spread = F.pmod(F.xxhash64("id"), F.lit(writers))
         (out.withColumn("_src", F.col("source")).repartition("_src", spread)
          .write.mode("overwrite").partitionBy("_src").parquet(stage))
         staged = {unquote(n[len("_src="):]): f"{stage}/{n}" for n in self._list(stage) if n.startswith("_src=")}
+        strange = sorted(set(staged) - set(sources))
+        if strange:
+            self._fs.delete(self._Path(stage), True)
+            raise ValueError(f"rows of sources that this commit does not name: {strange[:5]}")
         for s in sources:
             target = self.version_dir(s, version)
             if self._exists(target):                  # replay: same folder, same content
-                self._fs.delete(self._Path(target), True)
-            self._fs.mkdirs(self._Path(self._source_dir(s)))
+                self._must(self._fs.delete(self._Path(target), True), f"replace {target}")
+            self._must(self._fs.mkdirs(self._Path(self._source_dir(s))), f"make the folder of {s}")
             if s in staged:
-                self._fs.rename(self._Path(staged[s]), self._Path(target))
+                self._must(self._fs.rename(self._Path(staged[s]), self._Path(target)), f"move rows to {target}")
             else:
-                self._fs.mkdirs(self._Path(target))
+                self._must(self._fs.mkdirs(self._Path(target)), f"make {target}")
                 self._touch(f"{target}/{MARK_EMPTY}")
             self._touch(f"{target}/{MARK_OK}")
         self._fs.delete(self._Path(stage), True)
@@ -135,7 +168,7 @@ class CatalogTable:
 
 def touched_sources(rows: DataFrame) -> list[str]:
     """Distinct sources of a run's rows: one per configured shop, tiny."""
-    return sorted(r[0] for r in rows.select("source").where(F.col("source").isNotNull()).distinct().collect())
+    return sorted(r[0] for r in rows.select("source").where(F.trim("source") != "").distinct().collect())
 
 
 def upsert(table: CatalogTable, incoming: DataFrame, run: int, run_ts: str | None = None,
@@ -143,22 +176,18 @@ def upsert(table: CatalogTable, incoming: DataFrame, run: int, run_ts: str | Non
     """Merge formatted rows into the sources they touch and commit
     version ``run`` of those sources only. Returns the merged rows with action.
 
-    ``sources``: the sources this run covers, when the caller knows them (a
-    site spec does); otherwise they are read from the persisted rows, so the
-    upstream extraction still runs once."""
+    ``sources``: sources this run covers beside those of its rows (a site whose
+    rows are all missing still gets a version). Every accepted row is stored,
+    whether its source is listed or not; rejected rows never are."""
     from pyspark import StorageLevel
 
-    from vitrine.operators.dedupe import keep_last
     from vitrine.operators.merge import merge_catalog, next_version
 
-    one_per_id = keep_last(incoming, ["id"], ["reject_reason"]) if "id" in incoming.columns else incoming
-    if sources is None:
-        one_per_id = one_per_id.persist(StorageLevel.MEMORY_AND_DISK)
-        srcs = touched_sources(one_per_id)
-    else:
-        srcs = sorted(sources)
-    merged = merge_catalog(table.read_base(run, srcs), one_per_id, run, run_ts, expire)
+    rows = incoming.persist(StorageLevel.MEMORY_AND_DISK)   # read for its sources, then by the merge
+    srcs = sorted({*(sources or ()), *touched_sources(rows)})
+    merged = merge_catalog(table.read_base(run, srcs), rows, run, run_ts, expire)
     table.commit(next_version(merged), run, srcs)
+    rows.unpersist()
     return merged
 
 

@@ -1,10 +1,12 @@
 """Pages arriving as files are extracted and merged into the catalog in
 micro-batches (``readStream`` -> extract -> ``foreachBatch`` merge).
 
-Each micro-batch writes catalog version ``batch_id + 1`` with overwrite on
-top of the newest version below it, so a batch replayed after a failure
-rewrites the same folder with the same content (exactly-once result with an
-at-least-once sink). Staleness is not applied per batch.
+Each micro-batch takes the table's next free version and records it beside the
+table under (checkpoint, batch id). A batch replayed after a failure finds its
+number again and rewrites the same folders with the same content (exactly-once
+result with an at-least-once sink); another stream, a new checkpoint or a
+catalog run gets later numbers, so none hides another's rows. Staleness is not
+applied per batch.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.operators.dedupe import keep_first
+from vitrine.operators.dedupe import keep_first_accepted
 from vitrine.operators.extract import product_records_p2
 from vitrine.operators.records import format_products
 from vitrine.sources.catalog import CatalogTable, upsert
@@ -24,7 +26,7 @@ PAGE_SCHEMA = "page_id bigint, url string, html string"
 def batch_records(pages: DataFrame, selectors: dict, source: str, brand: str) -> DataFrame:
     recs = product_records_p2(spread(pages, "page_id"), selectors, brand=brand).withColumns({
         "source": F.lit(source), "brand": F.lit(brand), "second_hand": F.lit(False)})
-    return keep_first(format_products(recs), ["id"], ["product_url"])
+    return keep_first_accepted(format_products(recs), ["id"], ["product_url"])
 
 
 def stream_pages_into_catalog(spark: SparkSession, pages_dir: str, table: CatalogTable, checkpoint: str,
@@ -35,7 +37,8 @@ def stream_pages_into_catalog(spark: SparkSession, pages_dir: str, table: Catalo
               .parquet(pages_dir))
 
     def merge_batch(df: DataFrame, batch_id: int) -> None:
-        upsert(table, batch_records(df, selectors, source, brand), batch_id + 1, run_ts, expire=False,
+        version = table.reserve(checkpoint, batch_id)
+        upsert(table, batch_records(df, selectors, source, brand), version, run_ts, expire=False,
                sources=[source])
 
     q = (stream.writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint)
