@@ -29,8 +29,9 @@ def keep_first_accepted(df: DataFrame, keys: list[str], order: list[str]) -> Dat
     """A4 on formatted rows: the first *accepted* row per key, and every
     rejected row beside it (F4 comes before A4, so a rejected copy can neither
     replace an accepted row nor disappear)."""
-    accepted = df.where(F.col("reject_reason").isNull())
-    return keep_first(accepted, keys, order).select(*df.columns).unionByName(df.where(F.col("reject_reason").isNotNull()))
+    # one pass: every rejected row is a key of its own
+    own = F.when(F.col("reject_reason").isNull(), F.lit(-1)).otherwise(F.monotonically_increasing_id())
+    return keep_first(df.withColumn("_own", own), [*keys, "_own"], order).select(*df.columns)
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
