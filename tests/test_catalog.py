@@ -334,3 +334,21 @@ def test_brandless_site_keeps_its_images(spark):
     got = df.select(product_image(F.col("src"), F.col("alt"), F.lit(""), "").alias("a"),
                     product_image(F.col("src"), F.col("alt"), F.lit(""), "Shoe").alias("b")).collect()[0]
     assert got.a and not got.b
+
+
+def test_catalog_run_writes_rejects_and_log(spark, scratch):
+    from vitrine.plans.jobs import catalog_run
+    from vitrine.sources.catalog import CatalogTable
+    from vitrine.sources.page_fixtures import product_pages
+
+    pages = product_pages(spark, "/root/testdata/sf0.001")
+    table = CatalogTable(spark, scratch + "/t")
+    for run in (1, 2):
+        _, summary = catalog_run(spark, pages, table, run, "2024-01-01 00:00:00", dim=4, dead_letter=scratch + "/dead",
+                                 run_log=scratch + "/log")
+    last = summary.first()
+    assert (last.new_count, last.updated_count) == (0, 0) and last.unchanged_count > 0
+    dead = spark.read.json(f"{scratch}/dead/run=000002")
+    assert dead.count() == last.failed_count > 0 and dead.where("reject_reason is null").count() == 0
+    log = {r.run: r for r in spark.read.parquet(scratch + "/log").collect()}
+    assert log[1].new_count == last.unchanged_count and log[2].failed_count == last.failed_count

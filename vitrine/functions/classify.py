@@ -212,14 +212,6 @@ def gender_from_type(product_type: Column, url: Column, mode: str = "substring",
             .when(has_any(u, URL_MEN, "substring"), F.lit("men")))
 
 
-def gender_chain(sources: list[tuple[str, Column]], mode: str = "substring") -> Column:
-    """First source that yields a gender; each source names its test
-    (``generic``, ``meta`` or ``description``)."""
-    tests = {"generic": gender_generic, "title": gender_title, "meta": gender_meta,
-             "description": gender_description}
-    return F.coalesce(*[tests[kind](col, mode) for kind, col in sources])
-
-
 def category_from_type(product_type: Column) -> Column:
     """Drop the tokens man / woman / standard; the type itself if nothing is left."""
     toks = F.filter(F.split(F.trim(product_type), r"\s+"),

@@ -24,11 +24,6 @@ def same_text(a: Column, b: Column) -> Column:
     return F.coalesce(a.cast("string"), F.lit("")) == F.coalesce(b.cast("string"), F.lit(""))
 
 
-def join_texts(texts: Column, sep: str = "") -> Column:
-    """X11: trimmed non-empty text nodes joined (``''`` like strip=True, ``' '`` for descriptions)."""
-    return F.array_join(F.filter(F.transform(texts, strip_blanks), lambda t: t != ""), sep)
-
-
 def strip_tags(c: Column) -> Column:
     """Remove ``<...>`` tags, then trim."""
     return strip_blanks(F.regexp_replace(c, r"<[^>]+>", ""))

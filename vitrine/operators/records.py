@@ -126,11 +126,6 @@ def rejected(df: DataFrame) -> DataFrame:
     return df.where(F.col("reject_reason").isNotNull())
 
 
-def write_dead_letter(df: DataFrame, path: str) -> None:
-    """Rejected rows as JSON lines, one folder per run."""
-    rejected(df).write.mode("overwrite").json(path)
-
-
 def with_site_constants(df: DataFrame, sites: DataFrame) -> DataFrame:
     """source, merchant, brand, second_hand, country from the site spec,
     joined by site name; the spec is a small config table (broadcast)."""

@@ -21,7 +21,7 @@ from vitrine.functions.urls import url_path
 from vitrine.operators.merge import merge_catalog, next_version
 from vitrine.operators.topk import top_n_per_group
 from vitrine.operators.records import format_products
-from vitrine.sources.catalog import CatalogTable
+from vitrine.sources.catalog import CatalogTable, append_run_log, write_dead_letter
 from vitrine.session import checkpoint_dir, materialize
 from vitrine.sources.sites import load_spec
 
@@ -50,12 +50,15 @@ def _embed(rows: DataFrame, image_fn: Callable | None, text_fn: Callable | None,
 
 def catalog_run(spark: SparkSession, pages: DataFrame, table: CatalogTable, run: int, run_ts: str | None = None,
                 source: str = P1_SOURCE, brand: str = P1_BRAND, max_products: int | None = None,
-                image_fn: Callable | None = None, text_fn: Callable | None = None, dim: int = 768):
+                image_fn: Callable | None = None, text_fn: Callable | None = None, dim: int = 768,
+                dead_letter: str | None = None, run_log: str | None = None):
     """Product pages -> P1 records -> change status -> embeddings for the
     flagged rows -> merge (last seen, stale removal) -> version ``run``.
 
     Returns ``(merged, summary)``. ``max_products`` is the test-mode limit
-    (L3), applied to URLs before the costly extraction.
+    (L3), applied to URLs before the costly extraction. ``dead_letter`` and
+    ``run_log`` name folders for the run's rejected rows (S7) and its counters
+    (S8).
     """
     checkpoint_dir(spark)
     if max_products is not None:
@@ -78,6 +81,10 @@ def catalog_run(spark: SparkSession, pages: DataFrame, table: CatalogTable, run:
     summary = run_summary(cls, run, merged.where(F.col("action") == "delete"))
     summary = spark.createDataFrame(summary.collect(), summary.schema)
     merged.unpersist()
+    if dead_letter:
+        write_dead_letter(cls.select(*inc.columns), dead_letter, run)
+    if run_log:
+        append_run_log(summary, run_log)
     return merged, summary
 
 
