@@ -31,7 +31,6 @@ that share a signature thus ends in one class or is tested.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
@@ -42,14 +41,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import keyed_text, lower_az, slices
+from vitrine.llm.common import keyed_text, slices
 from vitrine.session import materialize
 
 BAND = 1.25  # largest size over smallest size of a band
 HUBS, GROWTH = 4, 8  # expected hubs of a signature in the first round, and their growth
 
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0xD1342543DE82EF95                    # odd, so its powers have inverses mod 2**64
+_BYTE = np.random.default_rng(4).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -58,15 +59,50 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+class _Powers:
+    """Powers of the base and of its inverse, grown to the longest text so far."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, 2 * len(self.up))
+            steps = [np.full(size, x, dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 2**64))]
+            for s in steps:
+                s[0] = 1
+            self.up, self.down = (np.cumprod(s, dtype=np.uint64) for s in steps)
+        return self.up, self.down
+
+
+_POWERS = _Powers()
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """Hash of every word (run of bytes other than ASCII white space), A-Z
+    taken as a-z."""
+    data = np.frombuffer(text.encode("utf-8").lower(), dtype=np.uint8)  # bytes.lower: A-Z only
+    space = np.empty(len(data) + 2, dtype=bool)
+    space[0] = space[-1] = True
+    space[1:-1] = _SPACE[data]
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    if not len(edge):
+        return np.zeros(0, dtype=np.uint64)
+    start, end = edge[::2], edge[1::2]
+    up, down = _POWERS.upto(len(data) + 1)
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[data] * up[:len(data)], dtype=np.uint64, out=total[1:])
+    return _mix((total[end] - total[start]) * down[start])
+
+
 def shingles(text: str | None, n: int = 4) -> np.ndarray:
     """Distinct hashes of the n-word shingles of (lower-cased) ``text``; of
     fewer words the whole sequence is one; without words there is none."""
-    words = _WORDS.findall(text or "")
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
-    take = min(n, len(words))
-    out = np.zeros(len(words) - take + 1, dtype=np.uint64)
+    h = word_hashes(text) if text else np.zeros(0, dtype=np.uint64)
+    if not len(h):
+        return h
+    take = min(n, len(h))
+    out = np.zeros(len(h) - take + 1, dtype=np.uint64)
     for j in range(take):
         out = _mix(out * _MIX + h[j:j + len(out)] + np.uint64(j + 1))
     return np.unique(out)
@@ -94,6 +130,11 @@ def band_plan(band: int, percent: int) -> tuple[int, int, int, int, int]:
     return lo, k // 2 + 1 + slack, 1, 2, slack
 
 
+@cache
+def _tags(band: int, n1: int) -> np.ndarray:
+    return _mix(np.arange(n1, dtype=np.uint64) + np.uint64(band * 1_000_003 + 17))
+
+
 def signatures(sh: np.ndarray, percent: int) -> np.ndarray:
     """Signatures of a shingle set (without repeats)."""
     size = len(sh)
@@ -103,23 +144,23 @@ def signatures(sh: np.ndarray, percent: int) -> np.ndarray:
     bands = [own]
     while 100 * size >= percent * band_plan(bands[-1] + 1, percent)[0]:
         bands.append(bands[-1] + 1)  # a partner in the next band is possible
-    element, place = _mix(sh + np.uint64(1)), _mix(sh ^ _MIX)
     out = []
     for band in bands:
         _, n1, k2, n2, slack = band_plan(band, percent)
         if not n1:
             continue
-        part = (place % np.uint64(n1 * n2)).astype(np.int64)
+        part = (sh % np.uint64(n1 * n2)).astype(np.int64)  # hashes are mixed already
         sums = np.zeros(n1 * n2, dtype=np.uint64)
-        np.add.at(sums, part, element)
+        np.add.at(sums, part, sh)
         sums = sums.reshape(n1, n2)
         filled = np.bincount(part, minlength=n1 * n2).reshape(n1, n2) > 0
-        tag = _mix(np.arange(n1, dtype=np.uint64) + np.uint64(band * 1_000_003 + 17))
+        tag = _tags(band, n1)
         sigs, full = [], []
         for number, subset in enumerate(combinations(range(n2), n2 - k2)):
             chosen = list(subset)
-            sigs.append(_mix(_mix(sums[:, chosen].sum(axis=1, dtype=np.uint64) + tag) + np.uint64((number + 1) * int(_MIX) % 2**64)))
-            full.append(filled[:, chosen].any(axis=1))
+            own = sums[:, chosen[0]] if len(chosen) == 1 else sums[:, chosen].sum(axis=1, dtype=np.uint64)
+            sigs.append(_mix((own ^ tag) + np.uint64((number + 1) * int(_MIX) % 2**64)))
+            full.append(filled[:, chosen[0]] if len(chosen) == 1 else filled[:, chosen].any(axis=1))
         sigs, full = np.array(sigs), np.array(full)
         leave_out = (~full.all(axis=0)).sum() <= slack
         out.append(sigs[full] if leave_out else sigs.ravel())
@@ -241,17 +282,15 @@ def classes(links: DataFrame) -> DataFrame:
     return label
 
 
-def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85,
-                 lower: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(sets, links): ``doc_id, n_shingles, set_key`` of every row, and verified
-    links ``a, b`` between set keys that connect exactly the sets which links
-    connect."""
+def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4,
+                 percent: int = 85) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sets, links, classes): ``doc_id, n_shingles, set_key`` of every row,
+    verified links ``a, b`` between set keys that connect exactly the sets which
+    links connect, and the class of every set that has a link."""
     rows = keyed_text(df, id_col, text_col)
-    if lower:
-        rows = rows.withColumn("text", lower_az(F.col("text")))
     rows = rows.withColumn("text_key", F.xxhash64("text"))
     sets = materialize(_sets(rows, n), "sets")
-    signed = _signed(rows, n, percent)
+    signed = materialize(_signed(rows, n, percent), "signed")
     live = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig")
     shared = materialize(signed.join(live, "sig").distinct(), "shared")
     # copies apart, signatures of one set remain: their hub is the set itself
@@ -269,23 +308,25 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     tested = materialize(members.filter("set_key <> hub").select(F.col("hub").alias("a"), F.col("set_key").alias("b")).distinct(), "pairs")
     links = materialize(_verified(tested, texts, n, percent), "verified")
-    rest, turn_now = members.select("sig", "set_key", "turn"), 0
+    rest, turn_now, label = members.select("sig", "set_key", "turn"), 0, classes(links)
     while True:
         # members of signatures that hold two classes or more, and still have hubs to come
-        label = classes(links).select(F.col("node").alias("set_key"), "class")
-        named = rest.join(label, "set_key", "left").withColumn("class", F.coalesce("class", "set_key"))
+        named = rest.join(label.select(F.col("node").alias("set_key"), "class"), "set_key", "left").withColumn("class", F.coalesce("class", "set_key"))
         mixed = named.groupBy("sig").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max("turn").alias("last")).filter(
             (F.col("lo") < F.col("hi")) & (F.col("last") >= turn_now)).select("sig")
         named = materialize(named.join(mixed, "sig"), "mixed")
         rest = named.select("sig", "set_key", "turn")
         if not named.take(1):
-            return sets, links
+            return sets, links, label
         hub = named.filter(F.col("turn") == turn_now).select("sig", F.col("set_key").alias("a"), F.col("class").alias("class_a"))
         other = named.filter(F.col("turn") >= turn_now).select("sig", F.col("set_key").alias("b"), F.col("class").alias("class_b"), "turn")
         pairs = (hub.join(other, "sig").filter("class_a <> class_b").filter((F.col("turn") > turn_now) | (F.col("a") < F.col("b")))
                  .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         fresh = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = materialize(links.unionByName(_verified(fresh, texts, n, percent)), "verified")
+        found = materialize(_verified(fresh, texts, n, percent), "verified")
+        if found.take(1):
+            links = materialize(links.unionByName(found), "verified")
+            label = classes(links)
         tested = materialize(tested.unionByName(fresh), "tested")
         turn_now += 1
 
@@ -298,8 +339,8 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     sets link, also those of repeated rows. A null id takes part in links but
     names no component; alone, its component is null. Empty table: no rows.
     """
-    sets, links = similar_sets(df, id_col, text_col, n, percent)
-    label = classes(links).select(F.col("node").alias("set_key"), "class")
+    sets, _, label = similar_sets(df, id_col, text_col, n, percent)
+    label = label.select(F.col("node").alias("set_key"), "class")
     # smallest id of each set, then of each class; both combine map-side
     first = sets.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first"))
     named = first.join(label, "set_key", "left").withColumn("class", F.coalesce("class", "set_key"))
