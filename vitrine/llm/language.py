@@ -11,8 +11,8 @@ Scores are calibrated on rows of the sample that training leaves out: one
 temperature, fitted by likelihood, and the lowest score at which predictions
 reach ``ACCEPT_ACCURACY`` there. Predictions below it are marked ``rejected``.
 
-Training bound: ``rows_per_language`` documents of each language, the first by
-a hash of their id; of each, the whole text and one short window become
+Training bound: ``rows_per_language`` documents of each language, drawn by
+hashes of their id; of each, the whole text and one short window become
 examples. What reaches the driver is at most two sparse rows of ``BUCKETS``
 counts for each of them.
 """
@@ -37,6 +37,7 @@ DIM = 16
 ROWS_PER_LANGUAGE = 800
 WINDOW = 160           # bytes of the short example
 ACCEPT_ACCURACY = 0.99
+MANY_LANGUAGES = 10_000  # rows (language, count) that may be broadcast; more are joined by shuffle
 
 _HAS_LETTER = regex.compile(r"\p{L}")
 # bytes: A-Z lowered, other ASCII that is no letter becomes the edge mark
@@ -94,15 +95,15 @@ def _dense(examples: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return x
 
 
-def train(examples: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 6, rate: float = 60.0, batch: int = 32,
+def train(examples: list[tuple[str, np.ndarray, np.ndarray, bool]], epochs: int = 6, rate: float = 60.0, batch: int = 32,
           seed: int = 11) -> Model:
-    """``examples``: (language, buckets, counts). Every fifth one calibrates."""
+    """``examples``: (language, buckets, counts, whether it only calibrates)."""
     languages = sorted({e[0] for e in examples})
     if not languages:
         return Model()
     rng = np.random.default_rng(seed)
-    held = [e for i, e in enumerate(examples) if i % 5 == 4]
-    rest = [e for i, e in enumerate(examples) if i % 5 != 4]
+    held = [e for e in examples if e[3]]
+    rest = [e for e in examples if not e[3]]
     index = {x: i for i, x in enumerate(languages)}
     table = (rng.standard_normal((BUCKETS, DIM)) * 0.1).astype(np.float32)
     layer = (rng.standard_normal((DIM, len(languages))) * 0.1).astype(np.float32)
@@ -113,7 +114,7 @@ def train(examples: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 6, r
         order = rng.permutation(len(rest))
         for at in range(0, len(order), batch):
             own = [rest[i] for i in order[at:at + batch]]
-            x = _dense([e[1:] for e in own])
+            x = _dense([e[1:3] for e in own])
             hidden = x @ table
             error = softmax(hidden @ layer + bias)
             error[np.arange(len(own)), [index[e[0]] for e in own]] -= 1
@@ -126,7 +127,7 @@ def train(examples: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 6, r
             step += 1
     model = Model(languages, (table @ layer).astype(np.float32), bias)
     if held:
-        logits = np.concatenate([_dense([e[1:]]) @ model.scores + bias for e in held])
+        logits = np.concatenate([_dense([e[1:3]]) @ model.scores + bias for e in held])
         truth = np.array([index[e[0]] for e in held])
         grid = np.exp(np.linspace(np.log(0.05), np.log(20), 60))
         loss = [-np.log(softmax(logits / t)[np.arange(len(held)), truth] + 1e-12).mean() for t in grid]
@@ -145,13 +146,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def training_examples(df: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> list[tuple[str, np.ndarray, np.ndarray]]:
+def training_examples(df: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> list[tuple[str, np.ndarray, np.ndarray, bool]]:
     """Examples of the bounded sample, from (doc_id, text, lang) rows. Rows
     without id, text or lang and held-out rows are no candidates."""
     fit = df.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull()
                     & ~held_out(F.col("doc_id")))
+    # about twice as many as needed by a hash of the id, so that the ranking below is small for any language
+    sizes = fit.groupBy("lang").agg(F.count(F.lit(1)).alias("_size"))
+    few = sizes.limit(MANY_LANGUAGES + 1).count() <= MANY_LANGUAGES
+    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(1 << 30)) / F.lit(1 << 30)
+    drawn = fit.select("doc_id", "lang").join(F.broadcast(sizes) if few else sizes, "lang").filter(
+        part * F.col("_size") < 2 * rows_per_language + 100)
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = fit.select("doc_id", "lang").withColumn("_n", first).filter(F.col("_n") <= rows_per_language)
+    chosen = drawn.select("doc_id", "lang").withColumn("_n", first).filter(F.col("_n") <= rows_per_language)
     # at most rows_per_language rows of each language
     rows = fit.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").select("doc_id", "lang", "text")
 
@@ -174,9 +181,10 @@ def training_examples(df: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE)
                     names=["doc_id", "k", "lang", "buckets", "counts"])
 
     found = rows.mapInArrow(featurise, "doc_id long, k int, lang string, buckets binary, counts binary").collect()
-    # order by a hash of the id, so that calibration rows are spread over all
-    found.sort(key=lambda r: (zlib.crc32(b"%d" % r.doc_id), r.doc_id, r.k))
-    return [(r.lang, np.frombuffer(r.buckets, "<u2").astype(np.int64), np.frombuffer(r.counts, "<u4")) for r in found]
+    found.sort(key=lambda r: (r.doc_id, r.k, r.lang, r.buckets))
+    # a fifth of the documents calibrates, with both examples of each
+    return [(r.lang, np.frombuffer(r.buckets, "<u2").astype(np.int64), np.frombuffer(r.counts, "<u4"),
+             zlib.crc32(b"fifth %d" % r.doc_id) % 5 == 0) for r in found]
 
 
 def predict(df: DataFrame, model: Model) -> DataFrame:
