@@ -95,5 +95,33 @@ def test_clean(spark):
     assert 13_000 not in rows and rows[11_003].text.count("\n") == 7 and rows[11_003].kept == 7
 
 
+@pytest.mark.parametrize("n_own", [3, 15])
+@pytest.mark.parametrize("n_pages", [25, 300])
+def test_pages_of_one_long_notice_are_depleted(spark, n_own, n_pages):
+    rows = []
+    for v in range(10):  # ten notices, so that some have the smallest window of their pages
+        notice = " ".join(f"notice{v}word{j}" for j in range(60))
+        for k in range(n_pages):
+            own = " ".join(f"own{v}p{k}w{j}" for j in range(n_own))
+            rows.append((v * 1000 + k, f"{notice}\n{own}", None, f"host{v}"))
+    out = Q.judge(docs(spark, rows)).collect()
+    assert not any(r.base_failed for r in out)
+    assert not any(r.kept or r.n_removed_words != 60 for r in out)
+
+
+def test_edited_copies_stay(spark):
+    """Near copies of one text, each with other words changed."""
+    words = [[f"text{k}word{j}" for j in range(n)] for k, n in enumerate((50, 51, 12, 40, 11, 42, 16))]
+    rows = []
+    for k in range(200):
+        copy = [list(line) for line in words]
+        for e in range(3):
+            line = copy[(k * 7 + e * 3) % 7]
+            line[(k * 13 + e * 5) % len(line)] = f"edit{k}e{e}"
+        rows.append((k, "\n".join(map(" ".join, copy)), None, "h"))
+    out = Q.judge(docs(spark, rows)).collect()
+    assert all(r.kept and not r.n_removed_words for r in out)
+
+
 def test_empty(spark):
     assert Q.judge(docs(spark, [])).count() == 0

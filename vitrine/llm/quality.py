@@ -6,10 +6,15 @@ limits is boilerplate and is removed, and a document that the removal depletes
 is rejected. What counts as distinct documents:
 
 * exact copies on a host count once (by a hash of the text);
-* near copies belong to one family, named by the smallest hash of the
-  document's 8-word windows. A line of which one family holds more than
-  ``MAX_FAMILY_SHARE`` of the documents is that text's own prose, not
-  boilerplate, so a widely copied clean document is not depleted by its copies.
+* near copies belong to one family. A line of whose documents more than
+  ``MAX_FAMILY_SHARE`` repeat a family that is counted already is that text's
+  own prose, not boilerplate, so a widely copied clean document is not depleted
+  by its copies. The family comes from a document's own lines, those below
+  ``min_docs``, so pages of one long notice and a few words are no family: it is
+  named by the smallest hash of their 8-word windows. A document with fewer
+  than ``WINDOW`` own words is told by its other shared lines; where it has
+  none, it is a family of its own, and where every line is shared, the windows
+  of the whole text name it.
 
 All counting is by aggregates with a map-side part, so a line, host or group of
 copies with a third of all rows is one row for each task before a shuffle. One
@@ -61,7 +66,8 @@ def windows(words: Column) -> Column:
 
 def base_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """``doc_id, host, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, text_key, family, lines array<struct<h, n>>``."""
+    n_repeat_words, text_key, family, lines array<struct<h, n, m>>``; ``m`` is
+    the smallest window hash of the line, of all its words if it is shorter."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{host_col}`").cast("string").alias("host"),
                      text.alias("text"))
@@ -73,7 +79,9 @@ def base_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         (F.char_length("text") - F.char_length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.sha2("text", 256).alias("text_key"), windows(F.col("words")).alias("w"),
-        F.transform("lines", lambda x: F.struct(line_hash(x).alias("h"), F.size(split_words(x)).alias("n"))).alias("lines"))
+        F.transform("lines", lambda x: F.struct(line_hash(x).alias("h"), split_words(x).alias("w"))).alias("lines"))
+    hashed = hashed.withColumn("lines", F.transform("lines", lambda x: F.struct(
+        x["h"].alias("h"), F.size(x["w"]).alias("n"), F.coalesce(F.array_min(windows(x["w"])), F.xxhash64(x["w"])).alias("m"))))
     # windows found twice: neighbours in hash order; only for texts that have any
     repeats = F.size(F.array_distinct("w")) < F.size("w")
     sorted_w = F.array_sort(F.transform("w", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
@@ -92,16 +100,37 @@ def base_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.coalesce(F.array_min("w"), F.xxhash64("text_key")).alias("family"), "lines")
 
 
+def line_families(stats: DataFrame, shared: DataFrame) -> DataFrame:
+    """``host, h, family``: one row per distinct document of a host and line of
+    ``shared`` that it holds. A document's copies are one row of sums for each
+    task, which are all multiples of the same document's."""
+    lines = stats.select("host", "t", "family", F.size("lines").alias("n_lines"), F.explode("lines").alias("l")).select(
+        "host", "t", "family", "n_lines", F.col("l.h").alias("h"), F.col("l.n").alias("n"), F.col("l.m").alias("m"))
+    marked = lines.join(shared.select("host", "h", F.lit(True).alias("is_shared")), ["host", "h"], "left")
+    own = F.col("is_shared").isNull()
+    docs = marked.groupBy("host", "t", "family", "n_lines").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.when(own, F.col("n"))).alias("own_words"), F.min(F.when(own, F.col("m"))).alias("own"),
+        F.collect_set(F.when(~own, F.struct("h", "n", "m"))).alias("held"))
+    few = F.col("own_words") * F.col("n_lines") < WINDOW * F.col("n_rows")
+    long = F.array_sort(F.array_distinct(F.transform(F.filter("held", lambda x: x["n"] >= WINDOW), lambda x: x["m"])))
+    each = docs.withColumn("long", F.slice(long, 1, 2)).withColumn("few", few).select(
+        "host", "t", "family", "own_words", "own", "few", "long", F.explode("held").alias("l"))
+    other = F.get(F.filter("long", lambda m: m != F.col("l.m")), F.lit(0))
+    return each.select("host", F.col("l.h").alias("h"), F.when(F.col("own_words").isNull(), F.col("family"))
+                       .when(~F.col("few"), F.col("own")).otherwise(F.coalesce(other, F.col("t"))).alias("family"))
+
+
 def boilerplate_lines(stats: DataFrame, min_docs: int = MIN_DOCS, min_host_share: float = MIN_HOST_SHARE,
                       max_family_share: float = MAX_FAMILY_SHARE) -> DataFrame:
     """``host, h, n_docs``: lines above the limits. Null hosts are one host."""
     host = F.coalesce("host", F.lit("")).alias("host")
     texts = stats.select(host, "text_key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    held = (stats.select(host, "text_key", "family", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-            .distinct())
-    by_family = held.groupBy("host", "h", "family").agg(F.count(F.lit(1)).alias("n"))
-    by_line = by_family.groupBy("host", "h").agg(F.sum("n").alias("n_docs"), F.max("n").alias("largest"))
-    found = by_line.filter((F.col("n_docs") >= min_docs) & (F.col("largest") <= max_family_share * F.col("n_docs")))
+    keyed = stats.select(host, F.xxhash64("text_key").alias("t"), "family", "lines")
+    held = keyed.select("host", "t", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h")).distinct()
+    shared = held.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") >= min_docs)
+    by_family = line_families(keyed, shared).groupBy("host", "h", "family").agg(F.count(F.lit(1)).alias("n"))
+    by_line = by_family.groupBy("host", "h").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("families"))
+    found = by_line.filter(F.col("n_docs") - F.col("families") <= max_family_share * F.col("n_docs"))
     return found.join(texts, "host").filter(F.col("n_docs") >= min_host_share * F.col("host_docs")).select("host", "h", "n_docs")
 
 
