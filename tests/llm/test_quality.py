@@ -123,5 +123,18 @@ def test_edited_copies_stay(spark):
     assert all(r.kept and not r.n_removed_words for r in out)
 
 
+def test_host_size_does_not_change_verdicts(spark):
+    notice = " ".join(f"notice{j}" for j in range(40))
+    rows = []
+    for host, n_clean in (("small", 200), ("large", 12_000)):
+        rows += [(k, " ".join(f"{host}{k}w{j}" for j in range(25)), None, host) for k in range(n_clean)]
+        rows += [(20_000 + k, notice + "\n" + " ".join(f"p{k}w{j}" for j in range(25)), None, host) for k in range(Q.MIN_DOCS)]
+        rows += [(30_000 + k, f"rare {notice}\n" + " ".join(f"r{k}w{j}" for j in range(25)), None, host) for k in range(Q.MIN_DOCS - 1)]
+    out = Q.judge(docs(spark, rows)).collect()
+    assert Counter((r.doc_id // 10_000, r.n_removed_words, r.kept) for r in out if r.doc_id >= 20_000) == {
+        (2, 40, False): 2 * Q.MIN_DOCS, (3, 0, True): 2 * (Q.MIN_DOCS - 1)}
+    assert all(r.kept for r in out if r.doc_id < 20_000)
+
+
 def test_empty(spark):
     assert Q.judge(docs(spark, [])).count() == 0

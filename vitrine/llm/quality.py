@@ -36,7 +36,7 @@ MAX_REPEAT_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
 
 MIN_DOCS = 20            # a line in fewer distinct documents of a host stays
-MIN_HOST_SHARE = 0.002   # and so does one in a smaller share of them
+MIN_HOST_SHARE = 0.0     # a share asked for on top would let a line pass as its host grows
 MAX_FAMILY_SHARE = 0.5
 MIN_LEFT_SHARE = 0.5     # of the words, and MIN_WORDS of them, must be left
 
@@ -122,16 +122,19 @@ def line_families(stats: DataFrame, shared: DataFrame) -> DataFrame:
 
 def boilerplate_lines(stats: DataFrame, min_docs: int = MIN_DOCS, min_host_share: float = MIN_HOST_SHARE,
                       max_family_share: float = MAX_FAMILY_SHARE) -> DataFrame:
-    """``host, h, n_docs``: lines above the limits. Null hosts are one host."""
+    """``host, h, n_docs``: lines above the limits. Null hosts are one host.
+    ``min_host_share`` is a further limit for callers that want one."""
     host = F.coalesce("host", F.lit("")).alias("host")
-    texts = stats.select(host, "text_key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     keyed = stats.select(host, F.xxhash64("text_key").alias("t"), "family", "lines")
     held = keyed.select("host", "t", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h")).distinct()
     shared = held.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") >= min_docs)
     by_family = line_families(keyed, shared).groupBy("host", "h", "family").agg(F.count(F.lit(1)).alias("n"))
     by_line = by_family.groupBy("host", "h").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("families"))
     found = by_line.filter(F.col("n_docs") - F.col("families") <= max_family_share * F.col("n_docs"))
-    return found.join(texts, "host").filter(F.col("n_docs") >= min_host_share * F.col("host_docs")).select("host", "h", "n_docs")
+    if min_host_share > 0:
+        texts = keyed.select("host", "t").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+        found = found.join(texts, "host").filter(F.col("n_docs") >= min_host_share * F.col("host_docs"))
+    return found.select("host", "h", "n_docs")
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
