@@ -57,6 +57,27 @@ def test_without_article_element():
     assert text(page) == f"A heading of words\n{long}\n{long}"
 
 
+def test_wrappers_are_no_asides():
+    one, two = " ".join(["alpha"] * 60), " ".join(["beta"] * 45)
+    menu, aside = '<ul class="menu"><li><a href=1>One</a></ul>', "<p>Other things that people wrote about here as well.</p>"
+    for names in ('class="content has-sidebar"', 'id="page" class="no-sidebar"', 'class="elementor-widget-container"',
+                  'class="widget"', 'class="search-container"'):
+        inner = f"<header class=entry-header><h1>The headline</h1></header><p>{one}</p><p>{two}</p>"
+        later = f'<div id="comments">{aside}</div><div class="sidebar">{aside}</div>'
+        assert text(f"{menu}<div {names}><article>{inner}</article>{later}</div>") == f"The headline\n{one}\n{two}", names
+        assert text(f"{menu}<div {names}><h1>The headline</h1><p>{one}</p><p>{two}</p>{later}</div>") == f"The headline\n{one}\n{two}", names
+    for header in ('<header class="entry-header">%s</header>', '<div class="post-header">%s</div>', '<header class="header">%s</header>'):
+        page = f"<article>{header % '<h1>The headline</h1>'}<p>{one}</p></article>"
+        assert text(page) == f"The headline\n{one}", header
+
+
+def test_named_parts_stay_asides():
+    one, long = " ".join(["alpha"] * 60), " ".join(["reply"] * 90)
+    for names in ('id="cookie-notice"', 'class="site-footer"', 'class="comment-list"', 'id=comments', 'class="related-posts"', 'class="x sidebar"'):
+        assert text(f"<article><p>{one}</p><div {names}><p>{long}</p></div></article>") == one, names
+        assert text(f"<article><p>{one}</p></article><div {names}><p>{long}</p></div>") == one, names
+
+
 def test_edges(spark):
     for page in (None, "", "   ", "<", "<p", "<!--", "<script>", "</p></div>", "<nav><a href=1>x</a></nav>"):
         assert text(page) == ""

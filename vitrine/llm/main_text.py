@@ -30,11 +30,15 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "d
 VOID = {"hr", "br", "img", "input", "meta", "link", "wbr", "col", "base", "area", "embed", "source", "track", "param"}
 CLOSED_BY_SAME = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
                   "th": {"td", "th"}}
+WHOLE = {"body", "html", "article", "main"}
 ASIDE = {"nav", "aside", "footer", "form", "dialog", "fieldset"}
-HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|side-?bar|widget|menu|nav\w*|breadcrumbs?|footer|masthead|site-header|header|cookies?"
-    r"|consent|gdpr|banner|notices?|alert|pop-?up|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related"
-    r"|recommend\w*|comments?|comment-\w+|discussion|repl(?:y|ies)|disqus|search|pagination|pager|toolbar|skip)(?=$|[\s_-])", re.I)
+# A class, id or role names an aside if the whole token does: every part is a
+# name of HINTS or a neutral word, so has-sidebar and entry-header do not.
+_NAME = (r"(?:ads?|advert\w*|sponsor\w*|promo\w*|side-?bar|widgets?|menus?|nav\w*|breadcrumbs?|footer|masthead|header|cookies?"
+         r"|consent|gdpr|banner|notices?|alert|pop-?up|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related"
+         r"|recommend\w*|comments?|discussion|repl(?:y|ies)|disqus|search|pagination|pager|toolbar|skip|comment[-_]\w+)")
+_NEUTRAL = r"(?:site|main|top|bottom|primary|secondary|bar|box|area|block|buttons?|container|wrapper|form|items?|links?|lists?|posts|section)"
+HINTS = re.compile(rf"(?:{_NEUTRAL}[_-]+)*{_NAME}(?:[_-]+(?:{_NAME}|{_NEUTRAL}))*", re.I)
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+>?)""")
 _HINTED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -56,20 +60,32 @@ class Block:
 
 
 def _is_aside(tag: str, attributes: str, in_article: bool) -> bool:
+    """By its tag, or because it is hidden."""
     if tag in ASIDE or tag == "header" and not in_article:
         return True
-    if len(attributes) < 4 or tag in ("body", "html", "article", "main"):
+    return len(attributes) >= 4 and tag not in WHOLE and _HIDDEN.search(attributes) is not None
+
+
+def _is_hinted(tag: str, attributes: str, in_article: bool) -> bool:
+    """By its names; a header inside an article is the article's own."""
+    if len(attributes) < 4 or tag in WHOLE:
         return False
-    if _HIDDEN.search(attributes):
-        return True
-    return any(HINTS.search(a or b or c) for a, b, c in _HINTED.findall(attributes))
+    return any(HINTS.fullmatch(token) and not (in_article and token.lower().endswith("header"))
+               for found in _HINTED.findall(attributes) for token in "".join(found).split())
 
 
 def blocks(page: str | None) -> list[Block]:
-    """Flat text blocks of a page in order; those without a word are left out."""
+    """Flat text blocks of a page in order; those without a word are left out.
+
+    A named element makes its blocks asides unless it is a wrapper: one that
+    stands outside article and main and holds most of the words in them, or most
+    of all words on a page without either.
+    """
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]  # tag, aside, article
+    stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]  # tag, aside, article, named element
+    named: list[tuple[int, bool]] = [(0, False)]  # next named element above, stands in an article; the first is none
+    within: list[int] = []  # named element of each block
     pieces: list[str] = []
     linked: list[str] = []
     links = 0
@@ -78,7 +94,8 @@ def blocks(page: str | None) -> list[Block]:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                tag, aside, article = stack[-1]
+                tag, aside, article, name = stack[-1]
+                within.append(name)
                 out.append(Block(text, text.count(" ") + 1, len(" ".join(linked).split()), aside, article,
                                  len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()))
             pieces.clear()
@@ -134,9 +151,26 @@ def blocks(page: str | None) -> list[Block]:
             else:
                 if stack[-1][0] == "p" or stack[-1][0] in CLOSED_BY_SAME.get(tag, ()):
                     stack.pop()
-                _, aside, article = stack[-1]
-                stack.append((tag, aside or _is_aside(tag, attributes, article), article or tag in ("article", "main")))
+                _, aside, article, name = stack[-1]
+                if _is_hinted(tag, attributes, article):
+                    named.append((name, article))
+                    name = len(named) - 1
+                stack.append((tag, aside or _is_aside(tag, attributes, article), article or tag in ("article", "main"), name))
     flush()
+    if len(named) > 1:
+        any_article = any(b.article for b in out)
+        held = [0] * len(named)
+        for b, name in zip(out, within, strict=True):
+            held[name] += b.words if b.article or not any_article else 0
+        total = sum(held)
+        for name in range(len(named) - 1, 0, -1):  # inner elements come after outer ones
+            held[named[name][0]] += held[name]
+        marks = [False] * len(named)
+        for name in range(1, len(named)):
+            above, in_article = named[name]
+            marks[name] = marks[above] or in_article or 2 * held[name] <= total
+        for b, name in zip(out, within, strict=True):
+            b.aside = b.aside or marks[name]
     return out
 
 
@@ -179,6 +213,9 @@ LABELLED = [
     # its headings
     (9, 0.0, 8, 0.0, 60, 0.0, 0, 1, 1, 1), (1, 0.0, 5, 1.0, 7, 0.0, 0, 1, 1, 1), (6, 0.0, 90, 0.0, 30, 0.0, 0, 1, 1, 1),
     (12, 0.0, 1, 1.0, 2, 0.0, 0, 1, 1, 1),
+    # in wrappers with names such as has-sidebar, or a header of the article's own
+    (8, 0.0, 0, 0.0, 4, 0.0, 0, 1, 1, 1), (4, 0.0, 8, 0.0, 60, 0.0, 0, 1, 0, 1), (65, 0.0, 4, 0.0, 50, 0.0, 0, 1, 0, 1),
+    (8, 0.0, 0, 0.0, 60, 0.0, 0, 0, 1, 1), (60, 0.0, 8, 0.0, 55, 0.0, 0, 0, 0, 1),
     # paragraphs and headings where the page has no article element
     (60, 0.0, 8, 0.0, 45, 0.0, 0, 0, 0, 1), (45, 0.05, 60, 0.0, 70, 0.0, 0, 0, 0, 1), (110, 0.0, 9, 0.0, 30, 0.0, 0, 0, 0, 1),
     (20, 0.1, 50, 0.0, 60, 0.0, 0, 0, 0, 1), (14, 0.0, 40, 0.0, 35, 0.0, 0, 0, 0, 1), (35, 0.0, 55, 0.0, 6, 0.5, 0, 0, 0, 1),
