@@ -52,6 +52,36 @@ def test_ivf_recall_grows_to_exact(spark):
     assert q_ivf_topk(spark, SF_ORACLE).count() > 0
 
 
+def _recall(spark, found):
+    pdf = spark.read.parquet(f"{SF_ORACLE}/embeddings.parquet").toPandas().sort_values("vec_id")
+    ids = pdf["vec_id"].to_numpy()
+    m = np.stack(pdf["embedding"].map(lambda v: np.asarray(v, dtype=np.float64)))
+    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    asked = ids % 20 == 0
+    order = np.argsort(-np.round(m[asked] @ m.T, 6), axis=1, kind="stable")[:, :10]
+    want = {(int(q), int(i)) for q, row in zip(ids[asked], ids[order], strict=True) for i in row}
+    assert len(want) == 10 * asked.sum() > 0
+    return len(want & found) / len(want)
+
+
+def test_registered_ivf_recall_over_all_rows(spark):
+    got = q_ivf_topk(spark, SF_ORACLE).collect()
+    assert {r.query_id % 20 for r in got} == {0} and max(r["rank"] for r in got) == 10
+    assert _recall(spark, {(r.query_id, r.vec_id) for r in got}) >= 0.9
+
+
+def test_ivf_search_in_small_blocks(spark, monkeypatch):
+    import vitrine.operators.search as S
+    from vitrine.plans.search_queries import _vectors
+
+    v = _vectors(spark, SF_ORACLE)
+    model = S.train_ivf(v, "embedding", 3)
+    items = S.assign_lists(model, v, "embedding")
+    monkeypatch.setattr(S, "BLOCK_ROWS", 7)
+    r = S.ivf_search(model, items, v.where("vec_id % 20 = 0"), "vec_id", "embedding", "vec_id", "embedding", 10, 3)
+    assert _recall(spark, {(x.query_id, x.item_id) for x in r.collect()}) == 1.0
+
+
 def test_token_search_brute_force(spark):
     docs = spark.read.parquet(f"{SF_ORACLE}/documents.parquet").select("doc_id", "text")
     q = "rein nicht dans"

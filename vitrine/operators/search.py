@@ -143,6 +143,57 @@ def ivf_top_k(model, items_with_lists: DataFrame, queries: DataFrame, key: str,
     return top_n_per_group(scored, [key], [F.col("score").desc(), F.col(item_id)], k)
 
 
+# Most items and most queries that one block of `ivf_search` compares.
+BLOCK_ROWS = 2_000
+
+
+def ivf_search(model, items_with_lists: DataFrame, queries: DataFrame, item_id: str, vec: str, query_id: str,
+               query_vec: str, k: int, n_probe: int) -> DataFrame:
+    """V5 over the whole table: ``query_id, item_id, score, rank``, for each query
+    vector the ``k`` items of its probed lists with the highest cosine (ties:
+    smaller item id). A list is cut into blocks of about ``BLOCK_ROWS`` items
+    and queries, so a list with most of the rows is no single task; vectors
+    without a direction (norm 0) have no score and are not found."""
+    def parts(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
+
+    probes = probe_lists(model, queries.select(F.col(query_id).alias("q_id"), F.col(query_vec).alias("q_vec")), "q_vec", n_probe)
+    probes = probes.withColumnRenamed("probe", "list_id")
+    items = items_with_lists.select("list_id", F.col(item_id).alias("i_id"), F.col(vec).alias("i_vec"))
+    # one row per list, a parameter of the index
+    cuts = F.broadcast(parts(items, "i_parts").join(parts(probes, "q_parts"), "list_id"))
+
+    def dealt(df: DataFrame, own: str, own_id: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(own_id), F.col(f"{own}_parts")).cast("int").alias(own)
+        return df.join(cuts, "list_id").select("list_id", mine, F.explode(F.sequence(F.lit(0), F.col(f"{other}_parts") - 1)).alias(other),
+                                               own_id, f"{own}_vec")
+
+    def best(held, asked):
+        import numpy as np
+        import pandas as pd
+
+        out = []
+        if len(held) and len(asked):
+            held = held.sort_values("i_id", kind="stable")
+            ids = held["i_id"].to_numpy()
+            x = np.stack(held["i_vec"].map(lambda v: np.asarray(v, dtype=np.float64)))
+            x_norm = np.linalg.norm(x, axis=1)
+            for at in range(0, len(asked), 256):
+                part = asked.iloc[at:at + 256]
+                q = np.stack(part["q_vec"].map(lambda v: np.asarray(v, dtype=np.float64)))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    scores = np.round(q @ x.T / (np.linalg.norm(q, axis=1)[:, None] * x_norm[None, :]), 6)
+                order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                out.append(pd.DataFrame({"query_id": np.repeat(part["q_id"].to_numpy(), order.shape[1]), "item_id": ids[order].ravel(),
+                                         "score": np.take_along_axis(scores, order, 1).ravel()}).dropna())
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "item_id": [], "score": []})
+
+    key = ["list_id", "i", "q"]
+    found = dealt(items, "i", "i_id", "q").groupBy(*key).cogroup(dealt(probes, "q", "q_id", "i").groupBy(*key)).applyInPandas(
+        best, "query_id long, item_id long, score double")
+    return top_n_per_group(found, ["query_id"], [F.col("score").desc(), F.col("item_id")], k)
+
+
 # ------------------------------------------------------------ tokens (V6)
 
 def tokens(text: Column) -> Column:
