@@ -71,3 +71,19 @@ def lower_az(text):
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+HOT_KEYS = 64  # a key is hot if it holds at least one 64th of the rows, so at most 64 keys are
+
+
+def join_hot(rows: DataFrame, mapping: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` joined to ``mapping``, which has one row for each of their keys
+    and the key's number of rows in ``count``. Rows of a hot key stay where they
+    are and meet a broadcast of at most ``HOT_KEYS`` mapping rows; only the others
+    are dealt by key. Both frames are read twice: pass written ones."""
+    total = rows.count()
+    hot, cold = mapping.filter(F.col(count) * HOT_KEYS >= total), mapping.filter(F.col(count) * HOT_KEYS < total)
+    hot, cold = hot.drop(count), cold.drop(count)
+    stay = rows.join(F.broadcast(hot), key)
+    dealt = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return stay.unionByName(dealt)
