@@ -31,27 +31,6 @@ def test_label_topk_matches_brute_force(spark):
     assert got == _exact(spark)
 
 
-def test_ivf_recall_grows_to_exact(spark):
-    """Probing every list is the exact answer; fewer probes trade recall."""
-    from vitrine.operators.search import assign_lists, group_centroids, ivf_top_k, train_ivf
-    from vitrine.plans.search_queries import DIM, _vectors
-
-    exact = _exact(spark)
-    v = _vectors(spark, SF_ORACLE)
-    model = train_ivf(v, "embedding", 20)
-    items = assign_lists(model, v, "embedding").cache()
-    cents = group_centroids(v, "label", "embedding", DIM)
-    recalls = []
-    for probes in (2, 8, 20):
-        got = {}
-        for r in ivf_top_k(model, items, cents, "label", "vec_id", "embedding", "centroid", 10, probes).collect():
-            got.setdefault(r.label, set()).add(r.vec_id)
-        hit = sum(len(set(e) & got.get(k, set())) for k, e in exact.items())
-        recalls.append(hit / sum(len(e) for e in exact.values()))
-    assert recalls[0] <= recalls[1] <= recalls[2] == 1.0
-    assert q_ivf_topk(spark, SF_ORACLE).count() > 0
-
-
 def _recall(spark, found):
     pdf = spark.read.parquet(f"{SF_ORACLE}/embeddings.parquet").toPandas().sort_values("vec_id")
     ids = pdf["vec_id"].to_numpy()
@@ -70,16 +49,122 @@ def test_registered_ivf_recall_over_all_rows(spark):
     assert _recall(spark, {(r.query_id, r.vec_id) for r in got}) >= 0.9
 
 
-def test_ivf_search_in_small_blocks(spark, monkeypatch):
-    import vitrine.operators.search as S
-    from vitrine.plans.search_queries import _vectors
+def _top(rows, queries, k):
+    """Brute force: {query: [item, ...]} by rounded cosine, then smaller id."""
+    m = np.array([v for _, v in rows], dtype=np.float64)
+    ids = np.array([i for i, _ in rows])
+    order = np.argsort(ids, kind="stable")
+    m, ids = m[order] / np.linalg.norm(m[order], axis=1, keepdims=True), ids[order]
+    out = {}
+    for q, v in queries:
+        score = np.round(m @ (np.asarray(v, dtype=np.float64) / np.linalg.norm(v)), 6)
+        out[q] = ids[np.argsort(-score, kind="stable")[:k]].tolist()
+    return out
+
+
+def _clustered(rng, n, dim=16, clusters=12):
+    centre = rng.normal(size=(clusters, dim)) * 4
+    return [(i, (centre[i % clusters] + rng.normal(size=dim) * 0.2).tolist()) for i in range(n)]
+
+
+def _found(rows):
+    out = {}
+    for r in rows.orderBy("query_id", "rank").collect():
+        out.setdefault(r.query_id, []).append(r.item_id)
+    return out
+
+
+def test_ivf_index_is_exact_and_skips_lists(spark, scratch, monkeypatch):
+    import vitrine.operators.ivf_index as I
+
+    rng = np.random.default_rng(4)
+    rows = _clustered(rng, 600)
+    bad = [(9_000, None), (9_001, [1.0] * 15), (9_002, [0.0] * 16), (9_003, [float("nan")] * 16), (9_004, [None] + [1.0] * 15)]
+    df = spark.createDataFrame(rows[:500] + bad, "id long, v array<double>")
+    index = I.IvfIndex.build(df, f"{scratch}/ivf", "id", "v", 16, n_lists=24)
+    centres = index.centres.copy()
+    index.append(spark.createDataFrame(rows[500:], "id long, v array<double>"), "id", "v")   # no refit
+    index = I.IvfIndex(spark, f"{scratch}/ivf")
+    assert (index.centres == centres).all() and index.lists().agg(F.sum("n")).first()[0] == 600
+    queries = rows[::20] + [(9_002, [0.0] * 16)]
+    asked = spark.createDataFrame(queries, "id long, v array<double>")
+    got, visits = index.search(asked, "id", "v", 7)
+    want = _top(rows, queries[:-1], 7)
+    assert _found(got) == want and 0 < visits["read"] < 0.5 * visits["all"]
+    monkeypatch.setattr(I, "BLOCK_ROWS", 9)                       # lists cut into many blocks
+    assert _found(index.search(asked, "id", "v", 7)[0]) == want
+    # far from the clusters, and more neighbours than any list holds
+    odd = [(i, rng.normal(size=16).tolist()) for i in range(5)]
+    assert _found(index.search(spark.createDataFrame(odd, "id long, v array<double>"), "id", "v", 300)[0]) == _top(rows, odd, 300)
+
+
+def test_ivf_reads_only_the_lists_it_visits(spark, scratch):
+    from vitrine.operators.ivf_index import IvfIndex
+
+    df = spark.createDataFrame(_clustered(np.random.default_rng(5), 200), "id long, v array<double>")
+    index = IvfIndex.build(df, f"{scratch}/ivf", "id", "v", 16, n_lists=12)
+    plan = index.items([1, 2])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [list_id" in plan
+
 
-    v = _vectors(spark, SF_ORACLE)
-    model = S.train_ivf(v, "embedding", 3)
-    items = S.assign_lists(model, v, "embedding")
-    monkeypatch.setattr(S, "BLOCK_ROWS", 7)
-    r = S.ivf_search(model, items, v.where("vec_id % 20 = 0"), "vec_id", "embedding", "vec_id", "embedding", 10, 3)
-    assert _recall(spark, {(x.query_id, x.item_id) for x in r.collect()}) == 1.0
+def test_ivf_ties_and_equal_vectors(spark, scratch):
+    from vitrine.operators.ivf_index import IvfIndex
+
+    rows = [(i, [1.0, 0.0]) for i in range(40)] + [(i, [0.0, float(i)]) for i in range(40, 60)]
+    index = IvfIndex.build(spark.createDataFrame(rows, "id long, v array<double>"), f"{scratch}/ivf", "id", "v", 2, n_lists=8)
+    queries = [(1, [5.0, 0.0]), (2, [0.0, 1.0])]
+    got, _ = index.search(spark.createDataFrame(queries, "id long, v array<double>"), "id", "v", 25)
+    assert _found(got) == _top(rows, queries, 25)
+
+
+def test_ivf_of_no_vectors(spark, scratch):
+    from vitrine.operators.ivf_index import IvfIndex
+
+    none = spark.createDataFrame([(1, None)], "id long, v array<double>")
+    index = IvfIndex.build(none, f"{scratch}/ivf", "id", "v", 4)
+    assert index.search(spark.createDataFrame([(1, [1.0] * 4)], "id long, v array<double>"), "id", "v", 3)[0].count() == 0
+
+
+def _token_rows(rng, n):
+    words = ["Common"] * 30 + ["fre-quent"] * 8 + [f"w{i}" for i in range(40)]
+    return [(i * 7, " ".join(rng.choice(words) for _ in range(rng.randint(0, 30)))) for i in range(n)]
+
+
+def test_token_store_equals_the_scan_and_skips_slabs(spark, scratch, monkeypatch):
+    import random
+
+    import vitrine.operators.token_store as T
+
+    rng = random.Random(2)
+    rows = _token_rows(rng, 6_000)
+    rows[17] = (17 * 7, "w1 w1 w1 w1 w2 w2 w2 w2 w3 w3 quent")
+    rows += [(100_001, None), (100_002, ""), (None, "w1 w2 w3"), (35, "w1 w1"), (-5, "w2 common"), (2**40, "É w3 É")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    store = T.TokenStore(spark, f"{scratch}/tokens", buckets=5)
+    store.append(df.where("id is null or id < 30000"), "id", "t")
+    store.append(df.where("id >= 30000"), "id", "t")
+    known = df.where("id is not null")
+    for query, k in (("w1 w2 w3 quent", 1), ("w1 W2, w3 quent", 9), ("common", 30), ("é missing", 5), ("w5 w6", 10_000), ("missing", 3), ("", 3)):
+        got, visits = store.search(query, k)
+        want = token_search(known, "id", "t", query, k)
+        assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()], query
+        if query == "w1 w2 w3 quent":
+            assert visits["read"] < visits["all"]
+    from vitrine.operators.search import token_index
+
+    index = token_index(known, "id", "t")
+    want = index.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    assert sorted(store.frequencies().collect()) == sorted(want.collect())
+    assert sorted(map(tuple, store.postings().collect())) == sorted((r.token, r.id, r.tf) for r in index.collect())
+
+
+def test_token_store_reads_only_the_terms_buckets(spark, scratch):
+    from vitrine.operators.token_store import TokenStore
+
+    store = TokenStore(spark, f"{scratch}/tokens", buckets=16)
+    store.append(spark.createDataFrame([(i, f"a{i} b") for i in range(100)], "id long, t string"), "id", "t")
+    plan = store.blocks(["b"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "bucket") and "EqualTo(token,b)" in plan or "In(token" in plan
 
 
 def test_token_search_brute_force(spark):
@@ -145,21 +230,3 @@ def test_embed_flagged_keeps_unflagged_rows_away_from_the_model(spark):
     out = embed_flagged(df, "flag", "v", lambda d: embed_column(d, "u", "v", model, 1))
     got = {r.u: r.v for r in out.collect()}
     assert got == {"a": [1.0], "b": None, "c": None}
-
-
-def test_probe_paths_agree(spark):
-    """The literal probe and the in-task NumPy probe pick the same lists."""
-    import vitrine.operators.search as S
-    from vitrine.plans.search_queries import DIM, _vectors
-
-    v = _vectors(spark, SF_ORACLE)
-    model = S.train_ivf(v, "embedding", 10)
-    cents = S.group_centroids(v, "label", "embedding", DIM)
-    lit = sorted((r.label, r.probe) for r in S.probe_lists(model, cents, "centroid", 3).collect())
-    old = S.MAX_LITERAL_CENTRES
-    try:
-        S.MAX_LITERAL_CENTRES = 0
-        tasks = sorted((r.label, r.probe) for r in S.probe_lists(model, cents, "centroid", 3).collect())
-    finally:
-        S.MAX_LITERAL_CENTRES = old
-    assert lit == tasks

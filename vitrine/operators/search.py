@@ -1,9 +1,10 @@
-"""Vector and token search.
+"""Vector and token search by full scans (V3, V4, V6); the stored indexes are in
+``ivf_index`` and ``token_store``.
 
 Cosine scores are Column expressions (``zip_with`` + ``aggregate``) inside
-codegen. Query sets are joined to items on an equi-key (a label, an IVF list),
-never by a cross join; top-k per query runs as ``row_number() <= k`` so Spark
-inserts a partial WindowGroupLimit below the shuffle.
+codegen. Query sets are joined to items on an equi-key (a label), never by a
+cross join; top-k per query runs as ``row_number() <= k`` so Spark inserts a
+partial WindowGroupLimit below the shuffle.
 """
 
 from __future__ import annotations
@@ -36,11 +37,6 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
-def unit(a: Column) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / n)
-
-
 def mean_vector(vec: Column, dim: int) -> Column:
     """Aggregate: element-wise mean of equal-length vectors (a sum per slot)."""
     return F.array(*[F.avg(vec[i].cast("double")) for i in range(dim)])
@@ -63,137 +59,6 @@ def top_k_by_key(items: DataFrame, queries: DataFrame, key: str, item_id: str, v
     return top_n_per_group(scored, [key], [F.col("score").desc(), F.col(item_id)], k)
 
 
-# ------------------------------------------------------------------ IVF (V5)
-
-def train_ivf(items: DataFrame, vec: str, n_lists: int, seed: int = 7, max_iter: int = 20):
-    """Fit ``n_lists`` IVF lists with Spark ML k-means on unit vectors (cosine)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    data = items.select(array_to_vector(unit(F.col(vec))).alias("features"))
-    km = KMeans(k=n_lists, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="list_id")
-    return km.fit(data)
-
-
-def assign_lists(model, items: DataFrame, vec: str) -> DataFrame:
-    """Each item's nearest list (a narrow map; the centres live in the model)."""
-    from pyspark.ml.functions import array_to_vector
-
-    with_f = items.withColumn("features", array_to_vector(unit(F.col(vec))))
-    return model.transform(with_f).drop("features")
-
-
-# Largest n_lists x dim written into a plan as a literal; bigger indexes probe
-# with NumPy inside the tasks instead.
-MAX_LITERAL_CENTRES = 50_000
-
-
-def probe_lists(model, queries: DataFrame, query_vec: str, n_probe: int) -> DataFrame:
-    """The ``n_probe`` lists whose centres are nearest each query.
-
-    The centres are model state (``n_lists`` x dim, fixed by the index
-    parameter, not by the data size). A small index enters the plan as one
-    literal; a large one is scored with NumPy in ``mapInPandas`` (the centres
-    travel with the task closure, which Spark broadcasts when it is large).
-    """
-    centers = [list(map(float, c)) for c in model.clusterCenters()]
-    if len(centers) * len(centers[0]) > MAX_LITERAL_CENTRES:
-        return _probe_in_tasks(centers, queries, query_vec, n_probe)
-    # one SQL literal (one JVM call) instead of n_lists x dim Column literals
-    lit_centers = F.expr("array(" + ", ".join(
-        "array(" + ", ".join(f"CAST({x!r} AS DOUBLE)" for x in c) + ")" for c in centers) + ")")
-    q = unit(F.col(query_vec))
-    dists = F.transform(lit_centers, lambda c, i: F.struct(
-        F.aggregate(F.zip_with(c, q, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v)
-        .alias("d"), i.alias("list_id")))
-    nearest = F.slice(F.array_sort(dists), 1, n_probe)
-    return queries.withColumn("probe", F.explode(F.transform(nearest, lambda s: s["list_id"])))
-
-
-def _probe_in_tasks(centers, queries: DataFrame, query_vec: str, n_probe: int) -> DataFrame:
-    import numpy as np
-    from pyspark.sql import types as T
-
-    c = np.asarray(centers, dtype=np.float64)
-    schema = T.StructType(list(queries.schema.fields) + [T.StructField("probe", T.IntegerType())])
-
-    def run(batches):
-        import pandas as pd
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            q = np.stack(pdf[query_vec].map(lambda v: np.asarray(v, dtype=np.float64)))
-            q = q / np.linalg.norm(q, axis=1, keepdims=True)
-            d = ((q[:, None, :] - c[None, :, :]) ** 2).sum(axis=2)
-            order = np.lexsort((np.broadcast_to(np.arange(len(c)), d.shape), d), axis=1)[:, :n_probe]
-            rows = pdf.loc[pdf.index.repeat(order.shape[1])].copy()
-            rows["probe"] = order.reshape(-1).astype("int32")
-            yield rows.reset_index(drop=True)
-
-    return queries.mapInPandas(run, schema)
-
-
-def ivf_top_k(model, items_with_lists: DataFrame, queries: DataFrame, key: str, item_id: str, vec: str,
-              query_vec: str, k: int, n_probe: int) -> DataFrame:
-    """V5: the same query as ``top_k_by_key`` restricted to the probed lists;
-    the join is on (key, list id)."""
-    probes = probe_lists(model, queries, query_vec, n_probe).withColumnRenamed("probe", "list_id")
-    j = items_with_lists.join(probes, [key, "list_id"])
-    scored = j.select(key, item_id, F.round(cosine(F.col(vec), F.col(query_vec)), 6).alias("score"))
-    return top_n_per_group(scored, [key], [F.col("score").desc(), F.col(item_id)], k)
-
-
-# Most items and most queries that one block of `ivf_search` compares.
-BLOCK_ROWS = 2_000
-
-
-def ivf_search(model, items_with_lists: DataFrame, queries: DataFrame, item_id: str, vec: str, query_id: str,
-               query_vec: str, k: int, n_probe: int) -> DataFrame:
-    """V5 over the whole table: ``query_id, item_id, score, rank``, for each query
-    vector the ``k`` items of its probed lists with the highest cosine (ties:
-    smaller item id). A list is cut into blocks of about ``BLOCK_ROWS`` items
-    and queries, so a list with most of the rows is no single task; vectors
-    without a direction (norm 0) have no score and are not found."""
-    def parts(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
-
-    probes = probe_lists(model, queries.select(F.col(query_id).alias("q_id"), F.col(query_vec).alias("q_vec")), "q_vec", n_probe)
-    probes = probes.withColumnRenamed("probe", "list_id")
-    items = items_with_lists.select("list_id", F.col(item_id).alias("i_id"), F.col(vec).alias("i_vec"))
-    # one row per list, a parameter of the index
-    cuts = F.broadcast(parts(items, "i_parts").join(parts(probes, "q_parts"), "list_id"))
-
-    def dealt(df: DataFrame, own: str, own_id: str, other: str) -> DataFrame:
-        mine = F.pmod(F.xxhash64(own_id), F.col(f"{own}_parts")).cast("int").alias(own)
-        return df.join(cuts, "list_id").select("list_id", mine, F.explode(F.sequence(F.lit(0), F.col(f"{other}_parts") - 1)).alias(other),
-                                               own_id, f"{own}_vec")
-
-    def best(held, asked):
-        import numpy as np
-        import pandas as pd
-
-        out = []
-        if len(held) and len(asked):
-            held = held.sort_values("i_id", kind="stable")
-            ids = held["i_id"].to_numpy()
-            x = np.stack(held["i_vec"].map(lambda v: np.asarray(v, dtype=np.float64)))
-            x_norm = np.linalg.norm(x, axis=1)
-            for at in range(0, len(asked), 256):
-                part = asked.iloc[at:at + 256]
-                q = np.stack(part["q_vec"].map(lambda v: np.asarray(v, dtype=np.float64)))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    scores = np.round(q @ x.T / (np.linalg.norm(q, axis=1)[:, None] * x_norm[None, :]), 6)
-                order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                out.append(pd.DataFrame({"query_id": np.repeat(part["q_id"].to_numpy(), order.shape[1]), "item_id": ids[order].ravel(),
-                                         "score": np.take_along_axis(scores, order, 1).ravel()}).dropna())
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-
-    key = ["list_id", "i", "q"]
-    found = dealt(items, "i", "i_id", "q").groupBy(*key).cogroup(dealt(probes, "q", "q_id", "i").groupBy(*key)).applyInPandas(
-        best, "query_id long, item_id long, score double")
-    return top_n_per_group(found, ["query_id"], [F.col("score").desc(), F.col("item_id")], k)
-
-
 # ------------------------------------------------------------ tokens (V6)
 
 def tokens(text: Column) -> Column:

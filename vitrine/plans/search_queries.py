@@ -1,23 +1,39 @@
-"""Registered search queries: cosine top-k, IVF, token search, text
-embedding stage, over whole ``embeddings`` and ``documents``."""
+"""Registered search queries: cosine top-k, stored IVF, stored token index,
+text embedding stage, over whole ``embeddings`` and ``documents``."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vitrine.operators.embed import hashed_text_embedding
-from vitrine.operators.search import (assign_lists, group_centroids, ivf_search, token_index, token_search,
-                                      top_k_by_key, train_ivf, valid_dim)
-from vitrine.sources.tables import read_table
+from vitrine.operators.ivf_index import IvfIndex
+from vitrine.operators.search import group_centroids, top_k_by_key, valid_dim
+from vitrine.operators.token_store import TokenStore
+from vitrine.session import checkpoint_dir
+from vitrine.sources.tables import read_table, table_stamp
 
 DIM = 64
 TOP_K = 10
 IVF_LISTS = 100
-IVF_PROBES = IVF_LISTS          # the vectors have no clusters: fewer probes lose neighbours
 QUERY_EVERY = 20                # vec_ids that are queries
 SEARCH_QUERY = "rein nicht dans thinnt erreha"
 TOKEN_REPORT = 50
 
+_built: dict[tuple, str] = {}   # (application, index, table stamp) -> folder of an index of this session
+
+
+def _stored(spark, sf_dir, table, name, build) -> str:
+    """The folder of an index over a table: built at first, read again by later
+    queries of the session as long as the table's files stay the same."""
+    key = (spark.sparkContext.applicationId, name, table_stamp(spark, sf_dir, table))
+    if key not in _built:
+        root = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        build(root)
+        _built[key] = root
+    return _built[key]
+
 
 def _vectors(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
@@ -33,25 +49,29 @@ def q_label_topk_cosine(spark, sf_dir):
 
 
 def q_ivf_topk(spark, sf_dir):
-    """V5: every ``QUERY_EVERY``th vector against all rows through IVF lists (k-means, probes)."""
+    """V5: every ``QUERY_EVERY``th vector against all rows through the stored index."""
     v = _vectors(spark, sf_dir)
-    model = train_ivf(v, "embedding", IVF_LISTS)
-    items = assign_lists(model, v, "embedding")
+    root = _stored(spark, sf_dir, "embeddings", "ivf-index",
+                   lambda at: IvfIndex.build(v, at, "vec_id", "embedding", DIM, IVF_LISTS))
     queries = v.where(F.col("vec_id") % QUERY_EVERY == 0)
-    r = ivf_search(model, items, queries, "vec_id", "embedding", "vec_id", "embedding", TOP_K, IVF_PROBES)
+    r, _ = IvfIndex(spark, root).search(queries, "vec_id", "embedding", TOP_K)
     return r.select("query_id", F.col("item_id").alias("vec_id"), F.col("score").cast("decimal(10,4)").alias("score"), "rank")
 
 
-def q_token_search(spark, sf_dir):
+def _token_store(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_search(d, "doc_id", "text", SEARCH_QUERY, 20)
+    return TokenStore(spark, _stored(spark, sf_dir, "documents", "token-store",
+                                     lambda at: TokenStore(spark, at).append(d, "doc_id", "text")))
+
+
+def q_token_search(spark, sf_dir):
+    """V6: top documents of a query, from the terms' posting blocks."""
+    return _token_store(spark, sf_dir).search(SEARCH_QUERY, 20)[0]
 
 
 def q_token_df(spark, sf_dir):
     """Inverted table report: the most widespread tokens (document frequency)."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    idx = token_index(d, "doc_id", "text")
-    df = idx.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    df = _token_store(spark, sf_dir).frequencies()
     return df.orderBy(F.col("df").desc(), F.col("cf").desc(), "token").limit(TOKEN_REPORT)
 
 
@@ -92,6 +112,16 @@ scored AS (
   FROM embeddings e JOIN cent c ON e.label = c.label WHERE len(e.embedding) = 64)
 SELECT label, vec_id, CAST(round(cos, 6) AS DECIMAL(10,4)) AS score, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(cos, 6) DESC, vec_id) AS rank FROM scored)
+WHERE rank <= {TOP_K}""",
+    "ivf_topk": f"""WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL)) = 0
+), u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE list_dot_product(e, e) > 0),
+scored AS (
+  SELECT q.vec_id AS query_id, i.vec_id, round(list_dot_product(q.e, i.e) / (q.norm * i.norm), 6) AS cos
+  FROM u q, u i WHERE q.vec_id % {QUERY_EVERY} = 0)
+SELECT query_id, vec_id, CAST(cos AS DECIMAL(10,4)) AS score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, vec_id) AS rank FROM scored)
 WHERE rank <= {TOP_K}""",
     "token_search": f"""
 SELECT doc_id, count(*) AS score, CAST(sum(n) AS BIGINT) AS occurrences FROM (

@@ -25,6 +25,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def table_stamp(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    """Name, size and time of every file of a table, as the file system lists
+    them; equal stamps mean an unchanged table."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, name))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(path)))
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give CPU-heavy per-row work (HTML parsing, whole-text scans) at least
     one task per core: when the scan yields fewer partitions than the default
