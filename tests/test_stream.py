@@ -7,7 +7,8 @@ from vitrine.sources.catalog import CatalogTable
 from vitrine.sources.page_fixtures import product_pages
 from vitrine.sources.sites import DEFAULT_SPEC_PATH, load_spec
 from vitrine.streaming.incremental import batch_records, stream_pages_into_catalog
-from vitrine.streaming.page_walk import chain_heads, walk
+from vitrine.streaming import page_walk
+from vitrine.streaming.page_walk import chain_heads, walk, walk_all, walk_starts
 
 
 def test_stream_equals_batch_and_replays(spark, scratch):
@@ -47,3 +48,51 @@ def test_walk_with_several_pointers_per_page(spark):
     starts = spark.createDataFrame([("a",)], "url string")
     got = sorted((r.url, r.depth) for r in walk(chain, starts).collect())
     assert got == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
+
+
+def _followed(chain, starts, max_pages=None):
+    nxt = {a: b for a, b in chain if b is not None and b != a}
+    out = []
+    for s in starts:
+        at, seen = s, {}
+        while at is not None and at not in seen and (max_pages is None or len(seen) < max_pages):
+            seen[at] = len(seen)
+            at = nxt.get(at)
+        out += [(s, u, d) for u, d in seen.items()]
+    return sorted(out)
+
+
+def _graph():
+    """Chains that merge, cycles with and without a way in, self-links, gaps."""
+    chain = [(f"c{i:02d}", f"c{i + 1:02d}") for i in range(20)] + [("m1", "c10"), ("m2", "m1"), ("end", None), ("self", "self"), ("gap", "nowhere")]
+    chain += [(f"p{i}", f"p{(i + 1) % 5}") for i in range(5)]                                    # pure cycle
+    chain += [("two1", "two2"), ("two2", "two1")]
+    chain += [(f"r{i:02d}", f"r{i + 1:02d}") for i in range(13)] + [("r13", "r06"), ("t1", "r09"), ("t2", "t1")]   # cycle r06..r13
+    return chain
+
+
+def test_walk_by_doubling_against_following(spark):
+    chain = _graph()
+    df = spark.createDataFrame(chain, "url string, next_url string")
+    heads = {r.url for r in walk_starts(df).collect()}
+    assert heads == {"c00", "m2", "end", "self", "gap", "r00", "t2", "p0", "two1"}
+    assert sorted(map(tuple, walk_all(df).select("start", "url", "depth").collect())) == _followed(chain, heads)
+    every = sorted({u for u, _ in chain} | {"nowhere"})
+    starts = spark.createDataFrame([(u,) for u in every], "url string")
+    for most in (None, 1, 2, 5, 9):
+        got = sorted(map(tuple, walk(df, starts, max_pages=most).select("start", "url", "depth").collect()))
+        assert got == _followed(chain, every, most), most
+
+
+def test_walk_rounds_are_logarithmic(spark, monkeypatch):
+    rounds = []
+    keep = page_walk.materialize
+    monkeypatch.setattr(page_walk, "materialize", lambda df, name: rounds.append(name) or keep(df, name))
+    chain = [(f"c{i:02d}", f"c{i + 1:02d}" if i < 47 else None) for i in range(48)]
+    got = walk_all(spark.createDataFrame(chain, "url string, next_url string"))
+    assert sorted(map(tuple, got.collect())) == _followed(chain, ["c00"])
+    assert rounds.count("walk-jumps") <= 7
+
+
+def test_walk_of_no_pages(spark):
+    assert walk_all(spark.createDataFrame([], "url string, next_url string")).count() == 0

@@ -2,16 +2,15 @@
 
 The index is a folder, written once and appended to:
 
-    centres/            list_id, centre            n_lists rows, fitted once
-    items/list_id=<l>/  item_id, vec, dist         every vector, in its nearest list
-    bounds/             list_id, n, radius         one row per list and batch
+    centres/            list_id, centre               n_lists rows, fitted once
+    items/part=<p>/     list_id, item_id, vec, dist   every vector, in its nearest list
+    bounds/             list_id, n, radius            one row per list and batch
 
 Vectors are compared by direction. ``dist`` is the distance of an item's unit
 vector to its list's centre and ``radius`` the largest of them, so for a query at
 distance d from a centre no item of the list is nearer than d - radius. A search
-visits each query's lists in the order of that bound: first a few, then a few
-more, then all the others whose bound is below the query's k-th best distance so
-far. A list beyond it cannot hold a better item, so the answer is exact at any
+visits each query's lists in the order of that bound: first a few, then all the
+others whose bound is below the query's k-th best distance among those. A list beyond it cannot hold a better item, so the answer is exact at any
 number of visited lists, and far lists are never read (their folders are left out
 by partition filters).
 
@@ -34,9 +33,10 @@ from vitrine.session import materialize
 
 SAMPLE_PER_LIST = 64      # vectors a list that the centres are fitted on
 FIT_ROUNDS = 8
+PARTS = 16                # folders that hold the lists
 BLOCK_ROWS = 2_000        # most items and most queries that one task compares at a time
 MAX_CENTRE_VALUES = 20_000_000  # n_lists x dim that may travel with every task
-FIRST_LISTS, MORE_LISTS = 4, 16  # lists of a query visited in the first and by the second round
+FIRST_LISTS = 6           # lists of a query visited before the others are judged
 _SLACK = 1e-6             # scores are rounded to six digits: equal ones may hide a nearer item
 
 
@@ -80,6 +80,7 @@ class IvfIndex:
         self.root = root.rstrip("/")
         rows = spark.read.parquet(f"{self.root}/centres").orderBy("list_id").collect()  # n_lists rows, bounded at build
         self.centres = np.array([r.centre for r in rows], dtype=np.float64)
+        self._listed: DataFrame | None = None  # the files of the items, listed once
 
     @classmethod
     def build(cls, items: DataFrame, root: str, id_col: str, vec_col: str, dim: int, n_lists: int = 100, seed: int = 7) -> IvfIndex:
@@ -124,7 +125,10 @@ class IvfIndex:
         """Adds vectors without refitting: only new files are written. The
         rebalance hint lets adaptive execution cut a large list into several files."""
         rows = materialize(self._assigned(items, id_col, vec_col), "ivf-assigned")
-        rows.hint("rebalance", "list_id").write.mode("append").partitionBy("list_id").parquet(f"{self.root}/items")
+        part = (F.col("list_id") % PARTS).alias("part")
+        dealt = rows.select("list_id", "item_id", "vec", "dist", part).hint("rebalance", "part")
+        dealt.sortWithinPartitions("part", "list_id").write.mode("append").partitionBy("part").parquet(f"{self.root}/items")
+        self._listed = None
         # after the items: a search never trusts a radius whose items it cannot see
         (rows.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("radius"))
          .coalesce(1).write.mode("append").parquet(f"{self.root}/bounds"))
@@ -136,9 +140,12 @@ class IvfIndex:
         return rows.groupBy("list_id").agg(F.sum("n").alias("n"), F.max("radius").alias("radius"))
 
     def items(self, list_ids: list[int]) -> DataFrame:
-        """The items of some lists; the other lists' folders are not read."""
-        schema = "item_id long, vec array<double>, dist double, list_id int"
-        return self.spark.read.schema(schema).parquet(f"{self.root}/items").where(F.col("list_id").isin(list_ids))
+        """The items of some lists; other folders and row groups are not read."""
+        if self._listed is None:
+            schema = "list_id int, item_id long, vec array<double>, dist double, part int"
+            self._listed = self.spark.read.schema(schema).parquet(f"{self.root}/items")
+        parts = sorted({c % PARTS for c in list_ids})
+        return self._listed.where(F.col("part").isin(parts) & F.col("list_id").isin(list_ids))
 
     def search(self, queries: DataFrame, query_id: str, query_vec: str, k: int) -> tuple[DataFrame, dict]:
         """(rows, visits): ``query_id, item_id, score, rank``, for each query the
@@ -154,7 +161,7 @@ class IvfIndex:
         best = self.spark.createDataFrame([], "query_id long, item_id long, score double")
         visits = {"read": 0, "all": asked.count() * len(bounds)}
         done = 0
-        for upto in (FIRST_LISTS, MORE_LISTS, len(bounds)):
+        for upto in (FIRST_LISTS, len(bounds)):
             upto = min(upto, len(bounds))
             if upto <= done:
                 continue

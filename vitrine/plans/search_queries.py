@@ -12,7 +12,7 @@ from vitrine.operators.ivf_index import IvfIndex
 from vitrine.operators.search import group_centroids, top_k_by_key, valid_dim
 from vitrine.operators.token_store import TokenStore
 from vitrine.session import checkpoint_dir
-from vitrine.sources.tables import read_table, table_stamp
+from vitrine.sources.tables import read_table, spread, table_stamp
 
 DIM = 64
 TOP_K = 10
@@ -59,7 +59,7 @@ def q_ivf_topk(spark, sf_dir):
 
 
 def _token_store(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return TokenStore(spark, _stored(spark, sf_dir, "documents", "token-store",
                                      lambda at: TokenStore(spark, at).append(d, "doc_id", "text")))
 

@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitrine.sources.fixtures import page_chain, with_fixtures
-from vitrine.streaming.page_walk import chain_heads, walk
+from vitrine.streaming.page_walk import walk_all
 
 
 def q_page_walk(spark, sf_dir):
-    """Every page reached from each chain head, with its depth."""
-    chain = page_chain(spark, sf_dir).select("url", "next_url")
-    return walk(chain, chain_heads(chain)).select("start", "url", "depth")
+    """Every page reached from each chain head, or from the smallest url of
+    a cycle without one, with its depth."""
+    return walk_all(page_chain(spark, sf_dir).select("url", "next_url")).select("start", "url", "depth")
 
 
 def q_page_walk_counts(spark, sf_dir):
     """T2 + A3: pages per walk (distinct URLs reached from each start)."""
-    chain = page_chain(spark, sf_dir).select("url", "next_url")
-    w = walk(chain, chain_heads(chain))
+    w = walk_all(page_chain(spark, sf_dir).select("url", "next_url"))
     return w.groupBy("start").agg(F.count(F.lit(1)).alias("pages"), F.max("depth").alias("max_depth"))
 
 
@@ -28,8 +27,13 @@ QUERIES = {
 
 _WALK = with_fixtures("page_chain") + """,
 edges AS (SELECT DISTINCT url, next_url FROM page_chain WHERE next_url IS NOT NULL AND next_url <> url),
+reach AS (WITH RECURSIVE r(a, b) AS (
+    SELECT url, next_url FROM edges UNION SELECT r.a, e.next_url FROM r JOIN edges e ON e.url = r.b) SELECT * FROM r),
+circle AS (SELECT a AS url, min(b) AS cycle FROM reach WHERE a IN (SELECT a FROM reach WHERE a = b) GROUP BY a),
 heads AS (SELECT DISTINCT url FROM page_chain
-          WHERE url NOT IN (SELECT next_url FROM page_chain WHERE next_url IS NOT NULL AND next_url <> url)),
+          WHERE url NOT IN (SELECT next_url FROM page_chain WHERE next_url IS NOT NULL AND next_url <> url)
+          UNION SELECT cycle FROM circle WHERE cycle NOT IN (
+            SELECT c.cycle FROM edges e JOIN circle c ON e.next_url = c.url WHERE e.url NOT IN (SELECT url FROM circle))),
 walk AS (SELECT start, url, min(depth) AS depth FROM (
   WITH RECURSIVE w(start, url, depth) AS (
     SELECT url, url, 0 FROM heads

@@ -96,11 +96,15 @@ def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(url, next_url)``: page ``i`` points at ``i + 1`` unless ``(i + 1) % 10 = 0``."""
+    """``(url, next_url)``: page ``i`` points at ``i + 1`` within its ten pages; the
+    tenth points nowhere, or back to the first (tens ``% 7 = 3``: a cycle that
+    nothing leads into) or to the sixth (tens ``% 7 = 5``: a cycle behind a chain)."""
     pg = read_table(spark, sf_dir, "pages").select("page_id", "url")
-    nxt = pg.select((F.col("page_id") - 1).alias("prev_id"), F.col("url").alias("next_url"))
-    return (pg.join(nxt, (F.col("page_id") == F.col("prev_id")) & ((F.col("page_id") + 1) % 10 != 0), "left")
-            .select("page_id", "url", "next_url"))
+    i = F.col("page_id")
+    tens = F.floor(i / 10) % 7
+    nxt = F.when((i + 1) % 10 != 0, i + 1).when(tens == 3, i - 9).when(tens == 5, i - 4)
+    to = pg.select(F.col("page_id").alias("next_id"), F.col("url").alias("next_url"))
+    return pg.withColumn("next_id", nxt).join(to, "next_id", "left").select("page_id", "url", "next_url")
 
 
 # DuckDB twins of the builders above, same rules.
@@ -149,7 +153,8 @@ SELECT l_partkey, CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "page_chain": """
 SELECT a.page_id, a.url, b.url AS next_url
-FROM pages a LEFT JOIN pages b ON b.page_id = a.page_id + 1 AND (a.page_id + 1) % 10 <> 0""",
+FROM pages a LEFT JOIN pages b ON b.page_id = CASE WHEN (a.page_id + 1) % 10 <> 0 THEN a.page_id + 1
+  WHEN (a.page_id // 10) % 7 = 3 THEN a.page_id - 9 WHEN (a.page_id // 10) % 7 = 5 THEN a.page_id - 4 END""",
 }
 
 

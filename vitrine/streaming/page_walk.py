@@ -1,18 +1,23 @@
-"""Follow next-page pointers from each start page.
-
-A frontier loop over DataFrames: each round joins the frontier to the
-pointer table on ``url``. Cycles end without a depth bound (Q15) and a
-self-link stops the walk: with one pointer per page a tortoise pointer
-detects the cycle (no visited set is carried); otherwise a ``left_anti`` join
-drops (start, url) pairs already visited. The driver only counts the new frontier each round; the
-number of rounds is the longest chain, not the data size. Lineage is cut every
-few rounds by writing the frontier and visited set to the shared checkpoint
-folder (``vitrine.session.materialize``).
+"""Follow next-page pointers from each start page, by pointer doubling.
+
+A pointer table with one next page per page is a function, and its 2**k-fold
+application comes from k self-joins: ``jumps[k]`` holds, for every page, the page
+2**k steps on (and the smallest url among the 2**k pages before it). Rounds go on
+until no page has a jump left, so their number is the logarithm of the longest
+chain. A walk's pages at depths 0..2**K-1 follow from the jumps, largest first:
+each join lets every page reached so far stay or jump.
+
+Cycles. When the number of pages that have a jump, the number of pages jumped to
+and the smallest urls all stay the same over a round, every page left leads into
+a cycle, the pages jumped to are exactly the pages on cycles, and each knows its
+cycle's smallest url. Cycle pages are then numbered from that url on by the same
+jumps, walks end where they enter a cycle, and are completed by the numbers. A cycle that no head
+leads into is started at its smallest url.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vitrine.session import checkpoint_dir, materialize
@@ -20,6 +25,11 @@ from vitrine.session import checkpoint_dir, materialize
 CHECKPOINT_EVERY = 4
 
 
+def _edges(chain: DataFrame) -> DataFrame:
+    """Pointers to another page; a self-link means "no next page"."""
+    return chain.where(F.col("next_url").isNotNull() & (F.col("next_url") != F.col("url"))).select("url", "next_url").distinct()
+
+
 def chain_heads(chain: DataFrame) -> DataFrame:
     """Pages no other page points at: the starts of the walks (a self-link
     means "no next page", so it does not make a page a target)."""
@@ -28,53 +38,129 @@ def chain_heads(chain: DataFrame) -> DataFrame:
     return chain.select("url").distinct().join(targets, "url", "left_anti")
 
 
+def _doubled(edges: DataFrame, max_pages: int | None = None) -> tuple[list[DataFrame], DataFrame | None]:
+    """(jumps, cycles): jumps[k] is ``url, jump, low``; ``cycles`` is ``url, cycle``
+    for the pages on cycles (named by their smallest url), None where there are none."""
+    jumps = [edges.select("url", F.col("next_url").alias("jump"), F.col("url").alias("low"))]
+    last = landed = None
+    while max_pages is None or 1 << len(jumps) - 1 < max_pages:
+        far = jumps[-1].select(F.col("url").alias("jump"), F.col("jump").alias("jump2"), F.col("low").alias("low2"))
+        step = jumps[-1].join(far, "jump").select("url", F.col("jump2").alias("jump"), F.least("low", "low2").alias("low"),
+                                                  (F.col("low2") < F.col("low")).alias("moved"))
+        seen = Observation()
+        step = materialize(step.observe(seen, F.count(F.lit(1)).alias("pages"), F.count(F.when(F.col("moved"), 1)).alias("moved")), "walk-jumps")
+        pages, moved = seen.get["pages"], seen.get["moved"]
+        if not pages:
+            break
+        jumps.append(step.drop("moved"))
+        if pages == last and not moved:
+            on = step.select(F.col("jump").alias("url")).distinct()
+            before, landed = landed, on.count()
+            if before == landed:
+                return jumps, step.join(on, "url", "left_semi").select("url", F.col("low").alias("cycle"))
+        last = pages
+    return jumps, None
+
+
+def _reached(jumps: list[DataFrame], starts: DataFrame, cycles: DataFrame | None = None) -> DataFrame:
+    """``start, url, depth``: every page that the jumps reach from ``starts``
+    (``url`` and ``size``). With cycles: where ``size`` is null, the pages before the first one
+    on a cycle; else the first ``size`` pages.
+
+    A depth below 2**K is a choice of jumps, so each join doubles the rows to
+    stay or jump; one chain of joins, cut now and then."""
+    found = starts.select(F.col("url").alias("start"), "url", F.lit(0).alias("depth"), "size")
+    for k in range(len(jumps) - 1, -1, -1):
+        step = jumps[k].select("url", "jump", F.lit(True).alias("go"))
+        on = F.lit(False)
+        if cycles is not None:
+            step = step.join(cycles.select(F.col("url").alias("jump"), F.lit(True).alias("circle")), "jump", "left")
+            on = F.coalesce("circle", F.lit(False))
+        both = found.withColumn("go", F.explode(F.array(F.lit(False), F.lit(True)))).join(step, ["url", "go"], "left")
+        far = F.col("depth") + (1 << k)
+        may = F.col("jump").isNotNull() & (F.when(F.col("size").isNull(), ~on).otherwise(far < F.col("size")))
+        found = both.where(~F.col("go") | may).select("start", F.when(F.col("go"), F.col("jump")).otherwise(F.col("url")).alias("url"),
+                                                      F.when(F.col("go"), far).otherwise(F.col("depth")).alias("depth"), "size")
+        if k and k % CHECKPOINT_EVERY == 0:
+            found = materialize(found, "walk-found")
+    return found
+
+
+def _functional(edges: DataFrame) -> bool:
+    return edges.groupBy("url").count().where(F.col("count") > 1).isEmpty()
+
+
+def walk_starts(chain: DataFrame) -> DataFrame:
+    """`chain_heads`, and the smallest url of every cycle that no other page
+    leads into: from these, every page of a table with one pointer per page is
+    reached. (With several pointers per page: the heads only.)"""
+    edges = materialize(_edges(chain), "walk-edges")
+    heads = chain_heads(chain)
+    if not _functional(edges):
+        return heads
+    cycles = _doubled(edges)[1]
+    return heads if cycles is None else heads.unionByName(_closed(edges, cycles))
+
+
+def _closed(edges: DataFrame, cycles: DataFrame) -> DataFrame:
+    """Smallest url of each cycle into which nothing leads from outside."""
+    outside = edges.join(cycles, "url", "left_anti").select(F.col("next_url").alias("url"))
+    entered = cycles.join(outside, "url", "left_semi").select("cycle")
+    return cycles.select("cycle").distinct().join(entered, "cycle", "left_anti").select(F.col("cycle").alias("url"))
+
+
 def walk(chain: DataFrame, starts: DataFrame, max_pages: int | None = None) -> DataFrame:
     """``(start, url, depth)`` for every page reached from each start; depth 0
     is the start itself; ``max_pages`` bounds the pages per walk like the
     reference's argument (None = until no new page).
 
     Next-page pointers are single-valued, so the pointer table is normally a
-    function url -> next_url: then each walk is a path and needs no visited
-    set (``_walk_path``). A table with several pointers per page falls back to
-    the breadth-first walk with an anti-join on visited pages."""
-    spark = chain.sparkSession
-    checkpoint_dir(spark)
-    edges = materialize(chain.where(F.col("next_url").isNotNull() & (F.col("next_url") != F.col("url")))
-                        .select("url", "next_url").distinct(), "walk-edges")   # joined every round
-    functional = edges.groupBy("url").count().where(F.col("count") > 1).isEmpty()
-    if functional:
-        return _walk_path(edges, starts, max_pages)
+    function url -> next_url and walks follow by doubling (``_walk_doubled``). A
+    table with several pointers per page falls back to the breadth-first walk
+    with an anti-join on visited pages."""
+    checkpoint_dir(chain.sparkSession)
+    edges = materialize(_edges(chain), "walk-edges")   # joined every round
+    if _functional(edges):
+        return _walk_doubled(edges, starts.select("url").distinct(), max_pages)
     return _walk_bfs(edges, starts, max_pages)
 
 
-def _walk_path(edges: DataFrame, starts: DataFrame, max_pages: int | None) -> DataFrame:
-    """Follow one pointer per round. A cycle is found without a visited set: a
-    second pointer (the tortoise) advances every other round, and a walk stops
-    when its head meets it; the few cycle pages emitted twice before that are
-    removed by the final ``min(depth)`` per (start, url)."""
-    step_edges = edges.select(F.col("url"), F.col("next_url"))
-    tort_edges = edges.select(F.col("url").alias("tort"), F.col("next_url").alias("tort_next"))
-    front = starts.select(F.col("url").alias("start"), "url", F.lit(0).alias("depth"), F.col("url").alias("tort"))
-    parts = [front.select("start", "url", "depth")]
-    depth = 0
-    while True:
-        depth += 1
-        if max_pages is not None and depth >= max_pages:
-            break
-        nxt = front.join(step_edges, "url").select("start", F.col("next_url").alias("url"),
-                                                   F.lit(depth).alias("depth"), "tort")
-        if depth % 2 == 0:
-            nxt = nxt.join(tort_edges, "tort").select("start", "url", "depth", F.col("tort_next").alias("tort"))
-        nxt = nxt.where(F.col("url") != F.col("tort"))           # head met the tortoise: cycle closed
-        nxt = materialize(nxt, "walk-front") if depth % CHECKPOINT_EVERY == 0 else nxt.cache()
-        if nxt.isEmpty():
-            break
-        parts.append(nxt.select("start", "url", "depth"))
-        front = nxt
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("start", "url").agg(F.min("depth").alias("depth"))
+def walk_all(chain: DataFrame) -> DataFrame:
+    """The walks from all `walk_starts`; a pure cycle is walked once."""
+    checkpoint_dir(chain.sparkSession)
+    edges = materialize(_edges(chain), "walk-edges")
+    if not _functional(edges):
+        return _walk_bfs(edges, chain_heads(chain), None)
+    return _walk_doubled(edges, chain_heads(chain), None, add_closed=True)
+
+
+def _walk_doubled(edges: DataFrame, starts: DataFrame, max_pages: int | None, add_closed: bool = False) -> DataFrame:
+    jumps, cycles = _doubled(edges, max_pages)
+    plain = starts.select("url", F.lit(None).cast("long").alias("size"))
+    if cycles is None:
+        found = _reached(jumps, plain).drop("size")
+        if max_pages is None:
+            return found
+        # the rounds may have ended before they saw a cycle: a page counts where it is first met
+        return found.where(F.col("depth") < max_pages).groupBy("start", "url").agg(F.min("depth").alias("depth"))
+    cycles = materialize(cycles, "walk-cycles")
+    if add_closed:
+        plain = plain.unionByName(_closed(edges, cycles).withColumn("size", F.lit(None).cast("long")))
+    # one walk: from the starts up to a cycle, and once around each cycle from its smallest url
+    around = cycles.groupBy("cycle").agg(F.count(F.lit(1)).alias("size")).select(F.col("cycle").alias("url"), "size")
+    both = materialize(_reached(jumps, plain.unionByName(around), cycles), "walk-found")
+    number = both.where("size is not null").select(F.col("start").alias("cycle"), "url", F.col("depth").alias("place"), "size")
+    found = both.where("size is null").select("start", "url", "depth")
+    # the page where a walk enters a cycle: its start, or the page after its last one off the cycles
+    at = number.select("url", "cycle", F.col("place").alias("at"), "size")
+    begun = found.where("depth = 0").join(at, "url").select("start", "cycle", "depth", "at", "size")
+    into = edges.join(at.withColumnRenamed("url", "next_url"), "next_url").join(cycles.select("url"), "url", "left_anti")
+    entered = found.join(into, "url").select("start", "cycle", (F.col("depth") + 1).alias("depth"), "at", "size").unionByName(begun)
+    ring = entered.join(number.select("cycle", F.col("url").alias("page"), "place"), "cycle").select(
+        "start", F.col("page").alias("url"), (F.col("depth") + F.pmod(F.col("place") - F.col("at"), F.col("size").cast("int"))).alias("depth"))
+    off = found.join(cycles.select("url"), "url", "left_anti").select("start", "url", "depth")
+    out = off.unionByName(ring)
+    return out if max_pages is None else out.where(F.col("depth") < max_pages)
 
 
 def _walk_bfs(edges: DataFrame, starts: DataFrame, max_pages: int | None) -> DataFrame:
