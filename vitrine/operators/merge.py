@@ -2,9 +2,10 @@
 uniqueness report (C4-C8, S6, J3-J5, O3).
 
 The merge is one full-outer join of the stored table and this run's rows on
-``id``; every output row carries an ``action`` so one plan yields both the
-next table version and the counters. Plain parquet tables refuse MERGE/DELETE,
-so the result is written as a new version (see ``vitrine.sources.catalog``).
+``id``; every output row carries an ``action`` so one plan yields the
+next state, the counters and what has to be written. Plain parquet tables refuse
+MERGE/DELETE, so changes are written beside the stored rows and merged on read
+(see ``vitrine.sources.catalog``).
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ def is_stale(last_seen_run: Column, current_run: Column | int) -> Column:
 
 
 def merge_catalog(stored: DataFrame, incoming: DataFrame, run: int, run_ts: str | None = None,
-                  expire: bool = True) -> DataFrame:
+                  expire: bool = True, marks: bool = False, buckets: int | None = None) -> DataFrame:
     """C6 + C4 + C5 + C7.
 
     ``stored``: catalog schema B rows. ``incoming``: formatted rows with
@@ -40,11 +41,16 @@ def merge_catalog(stored: DataFrame, incoming: DataFrame, run: int, run_ts: str
     fields), ``touch`` (unchanged, only ``last_seen_run`` moves: Q1), ``keep``
     (not seen, or failed this run, not stale), ``delete`` (not seen and stale;
     only when ``expire``, i.e. for a full run, never for a partial batch).
+
+    ``marks`` adds ``write``, what has to be stored of a row: ``row`` (it is new or
+    its fields changed), ``seen`` (only ``last_seen_run`` moved), ``gone``, or null.
+    ``buckets``: the stored side is dealt by id into so many buckets; the incoming
+    rows are dealt alike, so only they are exchanged.
     """
     ts = F.to_timestamp(F.lit(run_ts)) if run_ts else F.current_timestamp()
     s_cols = [c for c in CATALOG_COLUMNS if c in stored.columns]
     i_cols = [c for c in CATALOG_COLUMNS if c in incoming.columns]
-    incoming = _one_per_id(incoming)
+    incoming = _one_per_id(incoming.repartition(buckets, "id") if buckets else incoming)
     s = stored.select(*[F.col(c).alias(f"s_{c}") for c in s_cols])
     i = incoming.select(*[F.col(c).alias(f"i_{c}") for c in i_cols], F.col("reject_reason").alias("i_reject"))
     j = s.join(i, F.col("s_id") == F.col("i_id"), "full_outer")
@@ -101,7 +107,16 @@ def merge_catalog(stored: DataFrame, incoming: DataFrame, run: int, run_ts: str
         else:
             v = F.when(take_new, ic(c)).otherwise(sc(c))
         out.append(v.cast(_type_of(c)).alias(c))
-    return j.select(*out, "action")
+    if not marks:
+        return j.select(*out, "action")
+    # a vector that was missing may come with an unchanged row
+    filled = F.lit(False)
+    for c in ("image_embedding", "info_embedding"):
+        filled = filled | (sc(c).isNull() & ic(c).isNotNull())
+    write = (F.when(take_new | (F.col("action") == "touch") & filled, F.lit("row"))
+             .when(F.col("action") == "delete", F.lit("gone"))
+             .when(sighted & ~sc("last_seen_run").eqNullSafe(F.lit(run)), F.lit("seen")))
+    return j.select(*out, "action", write.alias("write"))
 
 
 def _one_per_id(incoming: DataFrame) -> DataFrame:
@@ -144,6 +159,13 @@ def delete_keys(catalog: DataFrame, keys: DataFrame) -> DataFrame:
     return catalog.join(k, ["source", "product_url"], "left_anti")
 
 
+def matched_keys(catalog: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows that `delete_keys` removes."""
+    k = keys.select("source", "product_url").where(
+        F.col("source").isNotNull() & F.col("product_url").isNotNull()).distinct()
+    return catalog.join(k, ["source", "product_url"], "left_semi")
+
+
 def deleted_count(catalog: DataFrame, keys: DataFrame) -> DataFrame:
     """S6 return value: number of catalog rows matched by the delete keys."""
     k = keys.select("source", "product_url").where(

@@ -18,7 +18,7 @@ from vitrine.operators.elements import elements, elements_once
 from vitrine.operators.embed import embed_column, embed_flagged, hashed_text_embedding
 from vitrine.operators.extract import listing_cards, product_records_p1, product_records_p2
 from vitrine.functions.urls import url_path
-from vitrine.operators.merge import merge_catalog, next_version
+from vitrine.operators.merge import merge_catalog
 from vitrine.operators.topk import top_n_per_group
 from vitrine.operators.records import format_products
 from vitrine.sources.catalog import CatalogTable, append_run_log, write_dead_letter
@@ -75,12 +75,13 @@ def catalog_run(spark: SparkSession, pages: DataFrame, table: CatalogTable, run:
     cols = {c: F.col(c) for c in cls.columns}
     cls = cls.withColumn("search_text", labelled_search_text(cols))
     embedded = _embed(cls, image_fn, text_fn, dim)
-    merged = merge_catalog(mine, embedded.drop("search_text"), run, run_ts).cache()
-    table.commit(next_version(merged), run, [source])    # other sources keep their folders
+    merged = merge_catalog(mine, embedded.drop("search_text"), run, run_ts, marks=True, buckets=table.buckets).cache()
+    table.commit_changes(merged, run, [source])    # only what changed is written
     # the counters are one row: computed now, so the cached merge can be released
     summary = run_summary(cls, run, merged.where(F.col("action") == "delete"))
     summary = spark.createDataFrame(summary.collect(), summary.schema)
     merged.unpersist()
+    merged = merged.drop("write")
     if dead_letter:
         write_dead_letter(cls.select(*inc.columns), dead_letter, run)
     if run_log:

@@ -1,40 +1,61 @@
-"""The catalog as a versioned parquet table, versioned per source.
-
-Plain parquet refuses MERGE and DELETE. Versions are therefore folders, kept
-per source: ``<root>/source=<s>/v=<n>/``. A run (or a stream micro-batch)
-merges and rewrites only the sources it touches; every other source keeps
-its current folder, so the cost of a run follows the data it changes, not the
-size of the catalog. A version folder counts only once its ``_SUCCESS``
-marker exists, and a run numbered ``n`` always merges into the newest folders
-*below* ``n``: a replayed run or micro-batch rewrites the same folders with
-the same content. The root must be a shared folder on a cluster.
+"""The catalog table: merge on read over bucketed delta files.
+
+    rows/src=<s>/v=<o>/k=row|seen/b=<k>/   bucketed parquet
+    _log/source=<s>/v=<n>[.full], c=<n>    what counts
+    _meta/buckets=<n>                      number of id buckets
+
+A run writes only what it changes: new, changed and removed products as wide
+rows (``k=row``; a removed one is an id marked ``gone``), products it merely saw
+again as ``(id, last_seen_run)`` (``k=seen``: the other columns are null and cost
+nothing). A read takes, for every id, the newest wide row and the newest sighting.
+
+Files are bucketed by a hash of the id, as an external bucketed table, so Spark
+knows their partitioning: newest-wins and the merge with a run's rows need no
+exchange of the stored side, only the run's rows are dealt to the same buckets. When
+a bucket of a source has collected ``COMPACT_AFTER`` deltas, its live rows are
+written once more in one piece, and reads of it start there; other buckets keep
+their files.
+
+A delta counts only once its entry in ``_log`` exists, and a run numbered ``n``
+always merges into the state below ``n``: a replayed run or micro-batch first
+removes what it had written, then writes the same again. The root must be a
+folder that driver and executors share; one writer of a table at a time.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from urllib.parse import quote, unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.operators.records import CATALOG_SCHEMA, accepted, pad_columns
 
-_VERSION = re.compile(r"^v=(\d+)$")
+_VERSION = re.compile(r"^v=(\d+)(\.full)?$")
+_COMPACT = re.compile(r"^c=(\d+)$")
 _SOURCE = re.compile(r"^source=(.*)$")
-MARK_OK = "_SUCCESS"
 RESERVED = "_batches"      # which version a stream's micro-batch writes
-MARK_EMPTY = "_EMPTY"      # a source whose rows were all removed
+BUCKETS = 8                # id buckets of a new table
+COMPACT_AFTER = 10         # deltas of a bucket that are folded into one piece
+_COLUMNS = [f.name for f in CATALOG_SCHEMA.fields]
 
 
 class CatalogTable:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        """Opens the table at ``root``; ``buckets`` counts only where there is none yet."""
         self.spark = spark
         self.root = root.rstrip("/")
         jvm = spark.sparkContext._jvm
         self._Path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._Path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        known = [int(n.split("=")[1]) for n in self._list(f"{self.root}/_meta") if n.startswith("buckets=")]
+        self.buckets = known[0] if known else buckets
+        if not known:
+            self._mkdirs(f"{self.root}/_meta/buckets={buckets}")
+        self._name = "vitrine_catalog_" + hashlib.md5(self.root.encode()).hexdigest()[:16]
 
     # ------------------------------------------------------------ layout
     def _list(self, path: str) -> list[str]:
@@ -43,33 +64,30 @@ class CatalogTable:
             return []
         return [st.getPath().getName() for st in self._fs.listStatus(p) if st.isDirectory()]
 
-    def _exists(self, path: str) -> bool:
-        return self._fs.exists(self._Path(path))
-
     @staticmethod
     def _must(done: bool, what: str) -> None:
         if not done:
             raise OSError(f"catalog: could not {what}")
 
-    def _touch(self, path: str) -> None:
-        self._fs.create(self._Path(path), True).close()
+    def _mkdirs(self, path: str) -> None:
+        self._must(self._fs.mkdirs(self._Path(path)), f"make {path}")
+
+    def _remove(self, path: str) -> None:
+        if self._fs.exists(self._Path(path)):
+            self._must(self._fs.delete(self._Path(path), True), f"remove {path}")
 
-    def _source_dir(self, source: str) -> str:
-        return f"{self.root}/source={quote(source, safe='')}"
+    def _log(self, source: str) -> str:
+        return f"{self.root}/_log/source={quote(source, safe='')}"
 
-    def version_dir(self, source: str, version: int) -> str:
-        return f"{self._source_dir(source)}/v={version:06d}"
+    def _data_dirs(self) -> dict[str, str]:
+        """source -> its folder under ``rows`` (as Spark escapes it)."""
+        return {unquote(n[len("src="):]): f"{self.root}/rows/{n}" for n in self._list(f"{self.root}/rows") if n.startswith("src=")}
 
     def _committed(self, source: str) -> list[int]:
-        out = []
-        for name in self._list(self._source_dir(source)):
-            m = _VERSION.match(name)
-            if m and self._exists(f"{self._source_dir(source)}/{name}/{MARK_OK}"):
-                out.append(int(m.group(1)))
-        return sorted(out)
+        return sorted(int(m.group(1)) for m in map(_VERSION.match, self._list(self._log(source))) if m)
 
     def sources(self) -> list[str]:
-        return sorted(unquote(m.group(1)) for m in (_SOURCE.match(n) for n in self._list(self.root)) if m)
+        return sorted(unquote(m.group(1)) for m in (_SOURCE.match(n) for n in self._list(f"{self.root}/_log")) if m)
 
     def versions(self) -> list[int]:
         """Every committed version number over all sources."""
@@ -106,65 +124,176 @@ class CatalogTable:
         if found:
             return found[0]
         version = self.next_free()
-        self._must(self._fs.mkdirs(self._Path(f"{place}/v={version:06d}")), f"reserve {place}")
+        self._mkdirs(f"{place}/v={version:06d}")
         return version
 
+    # ------------------------------------------------------------- state
+    # Files of version n carry v = 2n, its compaction v = 2n + 1.
+
+    def _entries(self, source: str, last: int) -> tuple[list[int], dict[int, int]]:
+        """(orders, start): the committed ``v`` of a source up to ``last``, and for
+        each bucket the ``v`` from which on its files count."""
+        orders, starts = [], []
+        for name in self._list(self._log(source)):
+            if m := _VERSION.match(name):
+                orders.append(2 * int(m.group(1)))
+                if m.group(2):
+                    starts.append((orders[-1], range(self.buckets)))
+            elif m := _COMPACT.match(name):
+                orders.append(2 * int(m.group(1)) + 1)
+                starts.append((orders[-1], [int(b[2:]) for b in self._list(f"{self._log(source)}/{name}") if b.startswith("b=")]))
+        start = dict.fromkeys(range(self.buckets), -1)
+        for order, buckets in sorted(starts, key=lambda x: x[0]):
+            if order <= last:
+                start.update(dict.fromkeys(buckets, order))
+        return sorted(o for o in orders if o <= last), start
+
+    def _counts(self, source: str, last: int, only: list[int] | None = None) -> Column | None:
+        """Partition predicate of a source's files that count; None: there are none."""
+        orders, start = self._entries(source, last)
+        groups: dict[int, list[int]] = {}
+        for b, o in start.items():
+            if only is None or b in only:
+                groups.setdefault(o, []).append(b)
+        out = None
+        for o, buckets in groups.items():
+            own = [x for x in orders if x >= o]
+            if own:
+                term = F.col("v").isin(own)
+                if len(buckets) < self.buckets:
+                    term = term & F.col("b").isin(buckets)
+                out = term if out is None else out | term
+        return None if out is None else (F.col("src") == source) & out
+
     # -------------------------------------------------------------- read
-    def _read(self, snap: dict[str, int]) -> DataFrame:
-        paths = [self.version_dir(s, v) for s, v in sorted(snap.items())
-                 if not self._exists(f"{self.version_dir(s, v)}/{MARK_EMPTY}")]
-        if not paths:
+    def _table(self) -> DataFrame:
+        """The files as a bucketed table of this session."""
+        if not self.spark.catalog.tableExists(self._name):
+            key = "spark.sql.hive.manageFilesourcePartitions"   # partitions are what the folder holds
+            before = self.spark.conf.get(key)
+            self.spark.conf.set(key, "false")
+            try:
+                columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in CATALOG_SCHEMA.fields)
+                self._mkdirs(f"{self.root}/rows")
+                place = f"{self.root}/rows".replace("'", "\\'")
+                self.spark.sql(f"CREATE TABLE {self._name} ({columns}, gone boolean, src string, v bigint, k string, b int) USING parquet "
+                               f"PARTITIONED BY (src, v, k, b) CLUSTERED BY (id) INTO {self.buckets} BUCKETS LOCATION '{place}'")
+            finally:
+                self.spark.conf.set(key, before)
+        return self.spark.table(self._name)
+
+    def _read(self, last: int | None, sources: list[str] | None = None, only: list[int] | None = None) -> DataFrame:
+        limit = 2 * max(self.versions(), default=0) + 1 if last is None else last
+        wanted = [c for c in (self._counts(s, limit, only) for s in (self.sources() if sources is None else sources)) if c is not None]
+        if not wanted:
             return self.spark.createDataFrame([], CATALOG_SCHEMA)
-        return self.spark.read.schema(CATALOG_SCHEMA).parquet(*paths)
+        self._table()
+        self.spark.catalog.refreshTable(self._name)   # another session may have written
+        where = wanted[0]
+        for c in wanted[1:]:
+            where = where | c
+        files = self._table().where(where)
+        row = F.struct(*[c for c in _COLUMNS], "gone", "v")
+        # one pass over both kinds, by the layout's own partitioning (no exchange)
+        newest = files.groupBy("id").agg(F.max_by(row, F.when(F.col("k") == "row", F.col("v"))).alias("r"),
+                                         F.max(F.when(F.col("k") == "seen", F.struct("v", "last_seen_run"))).alias("s"))
+        live = newest.where("r is not null and not coalesce(r.gone, false)")
+        last_seen = F.when(F.col("s.v") > F.col("r.v"), F.col("s.last_seen_run")).otherwise(F.col("r.last_seen_run"))
+        return live.select("id", *[last_seen.alias(c) if c == "last_seen_run" else F.col(f"r.{c}").alias(c) for c in _COLUMNS if c != "id"])
 
     def read(self, version: int | None = None) -> DataFrame:
         """The whole table as of ``version`` (default: latest)."""
-        return self._read(self.snapshot(None if version is None else version + 1))
+        return self._read(None if version is None else 2 * version + 1)
 
     def read_base(self, version: int, sources: list[str] | None = None) -> DataFrame:
-        """What run ``version`` merges into: the newest folders below it."""
-        return self._read(self.snapshot(version, sources))
+        """What run ``version`` merges into: the state below it."""
+        return self._read(2 * version - 1, sources)
 
     def scan_source(self, source: str, version: int | None = None) -> DataFrame:
         """S3: one source's rows with a non-empty url, one per url. Only that
         source's folder is read (pruning by layout)."""
         from vitrine.operators.dedupe import keep_last
 
-        snap = self.snapshot(None if version is None else version + 1, [source])
-        df = self._read(snap).where(F.coalesce(F.col("product_url"), F.lit("")) != "")
-        return keep_last(df, ["product_url"], ["updated_at", "id"])
+        df = self._read(None if version is None else 2 * version + 1, [source])
+        return keep_last(df.where(F.coalesce(F.col("product_url"), F.lit("")) != ""), ["product_url"], ["updated_at", "id"])
 
     # ------------------------------------------------------------- write
-    def commit(self, rows: DataFrame, version: int, sources: list[str]) -> int:
-        """Write ``rows`` as version ``version`` of each of ``sources``
-        (a source left without rows gets an empty marker version). Rows of any
-        other source, or of none, are an error: nothing is committed then."""
-        out = pad_columns(rows).select(*[F.col(f.name).cast(f.dataType) for f in CATALOG_SCHEMA.fields])
-        stage = f"{self.root}/_staging/v={version:06d}-{uuid.uuid4().hex[:8]}"
-        # writers per source follow the session, so one large source is not a few tasks; AQE merges small ones
-        writers = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        spread = F.pmod(F.xxhash64("id"), F.lit(writers))
-        (out.withColumn("_src", F.col("source")).repartition("_src", spread)
-         .write.mode("overwrite").partitionBy("_src").parquet(stage))
-        staged = {unquote(n[len("_src="):]): f"{stage}/{n}" for n in self._list(stage) if n.startswith("_src=")}
-        strange = sorted(set(staged) - set(sources))
+    def _append(self, rows: DataFrame, order: int) -> None:
+        """Writes ``rows`` (catalog columns, ``gone``, ``k``) as files of ``v = order``."""
+        self._table()
+        out = rows.select(*[F.col(f.name).cast(f.dataType) for f in CATALOG_SCHEMA.fields], F.col("gone").cast("boolean"),
+                          F.col("source").alias("src"), F.lit(order).cast("bigint").alias("v"), "k",
+                          F.pmod(F.hash("id"), F.lit(self.buckets)).alias("b"))
+        out.repartition(self.buckets, "id").write.mode("append").insertInto(self._name)
+
+    def _written(self, order: int) -> dict[str, str]:
+        """source -> folder of the files of ``v = order``."""
+        return {s: f"{d}/v={order}" for s, d in self._data_dirs().items() if self._fs.exists(self._Path(f"{d}/v={order}"))}
+
+    def _commit(self, rows: DataFrame, version: int, sources: list[str], mark: str) -> int:
+        for s in sources:                             # replay: what this version wrote before goes first
+            for name in (f"v={version:06d}", f"v={version:06d}.full", f"c={version:06d}"):
+                self._remove(f"{self._log(s)}/{name}")
+        for order in (2 * version, 2 * version + 1):
+            for s, path in self._written(order).items():
+                if s in sources or version not in self._committed(s):
+                    self._remove(path)
+        self._append(rows, 2 * version)
+        strange = {s: path for s, path in self._written(2 * version).items() if s not in sources and version not in self._committed(s)}
         if strange:
-            self._fs.delete(self._Path(stage), True)
-            raise ValueError(f"rows of sources that this commit does not name: {strange[:5]}")
+            for path in self._written(2 * version).values():
+                self._remove(path)
+            raise ValueError(f"rows of sources that this commit does not name: {sorted(strange)[:5]}")
+        for s in sources:
+            self._mkdirs(f"{self._log(s)}/v={version:06d}{mark}")
+        return version
+
+    def commit(self, rows: DataFrame, version: int, sources: list[str]) -> int:
+        """Write ``rows`` as the whole content of ``sources`` from version
+        ``version`` on (a source may be left without rows). Rows of any other
+        source, or of none, are an error: nothing is committed then."""
+        whole = pad_columns(rows).withColumns({"gone": F.lit(False), "k": F.lit("row")})
+        return self._commit(whole, version, sources, ".full")
+
+    def commit_changes(self, merged: DataFrame, version: int, sources: list[str]) -> int:
+        """Write what a run changed, from `merge_catalog` with marks:
+        ``write`` is ``row`` (the row as it is now), ``seen`` (only its last_seen_run moved)
+        , ``gone`` (removed) or null (nothing to write)."""
+        kind = F.col("write")
+        narrow = {"id", "source", "last_seen_run"}
+        rows = pad_columns(merged).where(kind.isNotNull()).select(
+            *[F.col(c) if c in narrow else F.when(kind == "row", F.col(c)).alias(c) for c in _COLUMNS],
+            (kind == "gone").alias("gone"), F.when(kind == "seen", "seen").otherwise("row").alias("k"))
+        self._commit(rows, version, sources, "")
         for s in sources:
-            target = self.version_dir(s, version)
-            if self._exists(target):                  # replay: same folder, same content
-                self._must(self._fs.delete(self._Path(target), True), f"replace {target}")
-            self._must(self._fs.mkdirs(self._Path(self._source_dir(s))), f"make the folder of {s}")
-            if s in staged:
-                self._must(self._fs.rename(self._Path(staged[s]), self._Path(target)), f"move rows to {target}")
-            else:
-                self._must(self._fs.mkdirs(self._Path(target)), f"make {target}")
-                self._touch(f"{target}/{MARK_EMPTY}")
-            self._touch(f"{target}/{MARK_OK}")
-        self._fs.delete(self._Path(stage), True)
+            self.compact(s, version)
         return version
 
+    def compact(self, source: str, version: int, after: int | None = None) -> list[int]:
+        """Folds the buckets of a source that hold ``after`` deltas or more into one
+        piece each, as of ``version``; returns them. Reads give the same rows."""
+        after = COMPACT_AFTER if after is None else after
+        orders, start = self._entries(source, 2 * version + 1)
+        later = [o for o in orders if o > min(start.values())]
+        folder = self._data_dirs().get(source)
+        if folder is None or len(later) < after:
+            return []
+        deltas = dict.fromkeys(range(self.buckets), 0)
+        for o in later:
+            held = {int(b[2:]) for k in ("row", "seen") for b in self._list(f"{folder}/v={o}/k={k}") if b.startswith("b=")}
+            for b in held:
+                deltas[b] += o > start[b]
+        due = [b for b, n in deltas.items() if n >= after]
+        if due:
+            order = 2 * version + 1
+            rows = self._read(2 * version, [source], due).withColumns({"gone": F.lit(False), "k": F.lit("row")})
+            self._append(rows, order)
+            place = f"{self.root}/_staging-{uuid.uuid4().hex[:8]}"
+            for b in due:
+                self._mkdirs(f"{place}/b={b}")
+            self._must(self._fs.rename(self._Path(place), self._Path(f"{self._log(source)}/c={version:06d}")), "commit a compaction")
+        return due
+
 
 def touched_sources(rows: DataFrame) -> list[str]:
     """Distinct sources of a run's rows: one per configured shop, tiny."""
@@ -172,35 +301,41 @@ def touched_sources(rows: DataFrame) -> list[str]:
 
 
 def upsert(table: CatalogTable, incoming: DataFrame, run: int, run_ts: str | None = None,
-           expire: bool = True, sources: list[str] | None = None) -> DataFrame:
+           expire: bool = True, sources: list[str] | None = None, exact_sources: bool = False) -> DataFrame:
     """Merge formatted rows into the sources they touch and commit
-    version ``run`` of those sources only. Returns the merged rows with action.
+    version ``run`` of those sources only; only changes are written. Returns the
+    merged rows with action.
 
     ``sources``: sources this run covers beside those of its rows (a site whose
     rows are all missing still gets a version). Every accepted row is stored,
-    whether its source is listed or not; rejected rows never are."""
+    whether its source is listed or not; rejected rows never are.
+    ``exact_sources``: the rows have no others, so they need not be looked for."""
     from pyspark import StorageLevel
 
-    from vitrine.operators.merge import merge_catalog, next_version
+    from vitrine.operators.merge import merge_catalog
 
-    rows = incoming.persist(StorageLevel.MEMORY_AND_DISK)   # read for its sources, then by the merge
-    srcs = sorted({*(sources or ()), *touched_sources(rows)})
-    merged = merge_catalog(table.read_base(run, srcs), rows, run, run_ts, expire)
-    table.commit(next_version(merged), run, srcs)
-    rows.unpersist()
-    return merged
+    if exact_sources:
+        rows, srcs = incoming, sorted(sources or ())
+    else:
+        rows = incoming.persist(StorageLevel.MEMORY_AND_DISK)   # read for its sources, then by the merge
+        srcs = sorted({*(sources or ()), *touched_sources(rows)})
+    merged = merge_catalog(table.read_base(run, srcs), rows, run, run_ts, expire, marks=True, buckets=table.buckets)
+    table.commit_changes(merged, run, srcs)
+    if not exact_sources:
+        rows.unpersist()
+    return merged.drop("write")
 
 
 def delete_products(table: CatalogTable, keys: DataFrame, version: int) -> int:
-    """Remove rows by ``(source, product_url)``; only the sources named in
-    ``keys`` get a new version. Returns the number of rows removed."""
-    from vitrine.operators.merge import delete_keys
+    """Remove rows by ``(source, product_url)``; only the removed ids are
+    written, as ``gone``. Returns the number of rows removed."""
+    from vitrine.operators.merge import matched_keys
 
     srcs = touched_sources(keys)
-    cur = table.read_base(version, srcs)
-    before = cur.count()
-    table.commit(delete_keys(cur, keys), version, srcs)
-    return before - table._read(table.snapshot(version + 1, srcs)).count()
+    doomed = matched_keys(table.read_base(version, srcs), keys)
+    removed = doomed.count()
+    table.commit_changes(doomed.withColumn("write", F.lit("gone")), version, srcs)
+    return removed
 
 
 def write_dead_letter(rows: DataFrame, root: str, run: int) -> None:

@@ -39,7 +39,7 @@ def stream_pages_into_catalog(spark: SparkSession, pages_dir: str, table: Catalo
     def merge_batch(df: DataFrame, batch_id: int) -> None:
         version = table.reserve(checkpoint, batch_id)
         upsert(table, batch_records(df, selectors, source, brand), version, run_ts, expire=False,
-               sources=[source])
+               sources=[source], exact_sources=True)
 
     q = (stream.writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
