@@ -96,3 +96,28 @@ def test_walk_rounds_are_logarithmic(spark, monkeypatch):
 
 def test_walk_of_no_pages(spark):
     assert walk_all(spark.createDataFrame([], "url string, next_url string")).count() == 0
+
+
+def test_unchanged_pages_are_not_parsed_again(spark, scratch, monkeypatch):
+    """The digests survive a restart; a repeated page only moves last_seen_run."""
+    from vitrine.streaming import incremental
+
+    parsed = []
+    keep = incremental.batch_records
+    monkeypatch.setattr(incremental, "batch_records", lambda pages, *a: parsed.append(sorted(r.page_id for r in pages.collect())) or keep(pages, *a))
+
+    def page(i, price, extra=""):
+        return (i, f"https://s/products/p-{i}", f"<h1 class='product-title'>Item {i}</h1><span class='price'>{price} EUR</span>{extra}"
+                f"<main><div class='product-gallery'><img src='https://cdn.example.com/files/a_long_name/Red_Knit_{i}.jpg'></div></main>")
+
+    table = CatalogTable(spark, f"{scratch}/catalog", buckets=2)
+    waves = [[page(1, 10), page(2, 20), page(3, 30)], [page(1, 10), page(2, 25), page(2, 25)], [page(2, 25), page(1, 10, "<!--x-->")],
+             [page(2, 20), page(3, 30)]]
+    for rows in waves:
+        spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1).write.mode("append").parquet(f"{scratch}/inbox")
+        stream_pages_into_catalog(spark, f"{scratch}/inbox", table, f"{scratch}/ckpt", {}, "s", "B", run_ts="2024-06-01 00:00:00")
+    assert parsed == [[1, 2, 3], [2], [1], [2]]
+    assert sorted((r.product_url[-1], r.price, r.last_seen_run) for r in table.read().collect()) == [
+        ("1", "10EUR", 3), ("2", "20EUR", 4), ("3", "30EUR", 4)]
+    assert sorted((r.version, r.kind, r.n) for r in table.history().collect()) == [
+        (1, "row", 3), (2, "row", 1), (2, "seen", 1), (3, "seen", 2), (4, "row", 1), (4, "seen", 1)]

@@ -217,6 +217,20 @@ class CatalogTable:
         df = self._read(None if version is None else 2 * version + 1, [source])
         return keep_last(df.where(F.coalesce(F.col("product_url"), F.lit("")) != ""), ["product_url"], ["updated_at", "id"])
 
+    def history(self) -> DataFrame:
+        """``source, version, kind, n``: how many wide rows (``row``), removals
+        (``gone``) and sightings (``seen``) every committed run wrote."""
+        done = [(s, 2 * v) for s in self.sources() for v in self._committed(s)]
+        if not done:
+            return self.spark.createDataFrame([], "source string, version int, kind string, n long")
+        self._table()
+        self.spark.catalog.refreshTable(self._name)
+        committed = self.spark.createDataFrame(done, "src string, v long")
+        kind = F.when(F.col("gone"), "gone").otherwise(F.col("k"))
+        counts = self._table().where("v % 2 = 0").groupBy("src", "v", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+        return counts.join(F.broadcast(committed), ["src", "v"]).select(
+            F.col("src").alias("source"), (F.col("v") / 2).cast("int").alias("version"), "kind", "n")
+
     # ------------------------------------------------------------- write
     def _append(self, rows: DataFrame, order: int) -> None:
         """Writes ``rows`` (catalog columns, ``gone``, ``k``) as files of ``v = order``."""
@@ -301,7 +315,8 @@ def touched_sources(rows: DataFrame) -> list[str]:
 
 
 def upsert(table: CatalogTable, incoming: DataFrame, run: int, run_ts: str | None = None,
-           expire: bool = True, sources: list[str] | None = None, exact_sources: bool = False) -> DataFrame:
+           expire: bool = True, sources: list[str] | None = None, exact_sources: bool = False,
+           sighted: DataFrame | None = None) -> DataFrame:
     """Merge formatted rows into the sources they touch and commit
     version ``run`` of those sources only; only changes are written. Returns the
     merged rows with action.
@@ -309,7 +324,9 @@ def upsert(table: CatalogTable, incoming: DataFrame, run: int, run_ts: str | Non
     ``sources``: sources this run covers beside those of its rows (a site whose
     rows are all missing still gets a version). Every accepted row is stored,
     whether its source is listed or not; rejected rows never are.
-    ``exact_sources``: the rows have no others, so they need not be looked for."""
+    ``exact_sources``: the rows have no others, so they need not be looked for.
+    ``sighted``: ``id, source`` of products, apart from those of ``incoming``, that
+    were seen without anything new; what is not in the table stays out."""
     from pyspark import StorageLevel
 
     from vitrine.operators.merge import merge_catalog
@@ -320,7 +337,11 @@ def upsert(table: CatalogTable, incoming: DataFrame, run: int, run_ts: str | Non
         rows = incoming.persist(StorageLevel.MEMORY_AND_DISK)   # read for its sources, then by the merge
         srcs = sorted({*(sources or ()), *touched_sources(rows)})
     merged = merge_catalog(table.read_base(run, srcs), rows, run, run_ts, expire, marks=True, buckets=table.buckets)
-    table.commit_changes(merged, run, srcs)
+    changes = merged
+    if sighted is not None:
+        marks = {"last_seen_run": F.lit(run), "write": F.lit("seen")}
+        changes = merged.unionByName(sighted.select("id", "source").withColumns(marks), allowMissingColumns=True)
+    table.commit_changes(changes, run, srcs)
     if not exact_sources:
         rows.unpersist()
     return merged.drop("write")

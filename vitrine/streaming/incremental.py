@@ -7,15 +7,26 @@ number again and rewrites the same folders with the same content (exactly-once
 result with an at-least-once sink); another stream, a new checkpoint or a
 catalog run gets later numbers, so none hides another's rows. Staleness is not
 applied per batch.
+
+Repeated pages stop early: the stream keeps, per url, a digest of the page as it
+was last delivered (state in the checkpoint, restored on restart). A page that is
+delivered again unchanged is neither parsed nor merged; it only marks its product
+as seen, a narrow row. (Its product is the one it has been merged into before, so
+an unchanged page counts as a sighting also where that content was once rejected.)
 """
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from vitrine.operators.dedupe import keep_first_accepted
 from vitrine.operators.extract import product_records_p2
+from vitrine.functions.urls import row_id
 from vitrine.operators.records import format_products
 from vitrine.sources.catalog import CatalogTable, upsert
 from vitrine.sources.tables import spread
@@ -29,17 +40,48 @@ def batch_records(pages: DataFrame, selectors: dict, source: str, brand: str) ->
     return keep_first_accepted(format_products(recs), ["id"], ["product_url"])
 
 
+def _against_last(key, frames, state):
+    """One url's pages of a batch: all of them with ``changed``, or, if they are
+    what the last batch with this url had, one row without html."""
+    import pandas as pd
+
+    rows = pd.concat(list(frames)).drop_duplicates().sort_values(["page_id", "digest"])
+    now = hashlib.sha256("".join(rows["digest"]).encode()).hexdigest()
+    same = state.exists and state.get[0] == now
+    if same:
+        rows = rows.head(1).assign(html=None)
+    else:
+        state.update((now,))
+    yield rows.assign(changed=not same)[["page_id", "url", "html", "changed"]]
+
+
+def with_changes(pages: DataFrame) -> DataFrame:
+    """A stream of pages -> ``page_id, url, html, changed`` (see the module)."""
+    keyed = pages.withColumn("digest", F.sha2(F.coalesce("html", F.lit("")), 256))
+    return keyed.groupBy("url").applyInPandasWithState(_against_last, f"{PAGE_SCHEMA}, changed boolean", "digest string", "append",
+                                                       GroupStateTimeout.NoTimeout)
+
+
 def stream_pages_into_catalog(spark: SparkSession, pages_dir: str, table: CatalogTable, checkpoint: str,
                               selectors: dict, source: str, brand: str, files_per_batch: int = 1,
-                              run_ts: str | None = None):
-    """Run the stream until the folder is drained (``availableNow``)."""
+                              run_ts: str | None = None, skip_unchanged: bool = True):
+    """Run the stream until the folder is drained (``availableNow``).
+    ``skip_unchanged=False`` parses and merges every delivered page."""
     stream = (spark.readStream.schema(PAGE_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
               .parquet(pages_dir))
+    if skip_unchanged:
+        stream = with_changes(stream)
 
     def merge_batch(df: DataFrame, batch_id: int) -> None:
         version = table.reserve(checkpoint, batch_id)
-        upsert(table, batch_records(df, selectors, source, brand), version, run_ts, expire=False,
-               sources=[source], exact_sources=True)
+        if not skip_unchanged:
+            upsert(table, batch_records(df, selectors, source, brand), version, run_ts, expire=False, sources=[source], exact_sources=True)
+            return
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)   # the state is asked once a batch
+        again = df.where("not changed").select(row_id(F.lit(source), F.col("url")).alias("id"))
+        upsert(table, batch_records(df.where("changed").drop("changed"), selectors, source, brand), version, run_ts, expire=False,
+               sources=[source], exact_sources=True, sighted=again.withColumn("source", F.lit(source)))
+        df.unpersist()
 
     q = (stream.writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
