@@ -352,3 +352,22 @@ def test_catalog_run_writes_rejects_and_log(spark, scratch):
     assert dead.count() == last.failed_count > 0 and dead.where("reject_reason is null").count() == 0
     log = {r.run: r for r in spark.read.parquet(scratch + "/log").collect()}
     assert log[1].new_count == last.unchanged_count and log[2].failed_count == last.failed_count
+
+
+def test_model_errors_reach_the_dead_letters(spark, scratch):
+    from vitrine.plans.jobs import catalog_run
+    from vitrine.sources.catalog import CatalogTable
+    from vitrine.sources.page_fixtures import product_pages
+
+    def model(items):
+        if any("_4_" in x for x in items):
+            raise RuntimeError("broken image")
+        return [[1.0] * 4 for _ in items]
+
+    table = CatalogTable(spark, scratch + "/t")
+    pages = product_pages(spark, "/root/testdata/sf0.001").where("page_id < 40 and page_id % 5 = 4")
+    catalog_run(spark, pages, table, 1, "2024-01-01 00:00:00", image_fn=model, dim=4, dead_letter=scratch + "/dead")
+    dead = {r.product_url: r.reject_reason for r in spark.read.json(f"{scratch}/dead/run=000001").collect()}
+    stored = {r.product_url: r.image_embedding for r in table.read().collect()}
+    assert set(dead.values()) == {"image_error: RuntimeError: broken image"}
+    assert {u for u, v in stored.items() if v is None} == set(dead) and len(stored) == 8 and len(dead) == 1

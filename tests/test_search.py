@@ -193,7 +193,7 @@ def test_embedding_stage_only_flagged_rows(spark):
 
     out = {r.u: r.v for r in embed_column(df.repartition(1), "u", "v", fake_model, 3, "flag").collect()}
     assert out["b"] is None and out[None] is None
-    assert out["boom"] is None and out["a"] is None    # one failing batch leaves nulls, the job goes on
+    assert out["boom"] is None and out["a"] == [1.0, 0.0, 0.0]    # the failing item alone has no vector
     ok = {r.u: r.v for r in embed_column(df.where("u = 'a'"), "u", "v", fake_model, 3, "flag").collect()}
     assert ok["a"] == [1.0, 0.0, 0.0]
 
@@ -230,3 +230,24 @@ def test_embed_flagged_keeps_unflagged_rows_away_from_the_model(spark):
     out = embed_flagged(df, "flag", "v", lambda d: embed_column(d, "u", "v", model, 1))
     got = {r.u: r.v for r in out.collect()}
     assert got == {"a": [1.0], "b": None, "c": None}
+
+
+def test_one_bad_item_costs_one_vector(spark):
+    from vitrine.operators.embed import embed_items
+
+    asked = []
+
+    def model(items):
+        asked.append(len(items))
+        if "bad" in items:
+            raise RuntimeError("no such image")
+        return [None if x == "none" else [1.0] * (2 if x == "short" else 3) for x in items]
+
+    rows = [("a",), ("bad",), ("b",), ("none",), ("short",), (" ",), (None,)]
+    out = {r.u: (r.v, r.e) for r in embed_column(spark.createDataFrame(rows, "u string").coalesce(1), "u", "v", model, 3, error_col="e").collect()}
+    assert out["a"] == out["b"] == ([1.0] * 3, None) and out["bad"] == (None, "RuntimeError: no such image")
+    assert out["none"][1] == "the model returned no vector" and out["short"][1] == "the model returned 2 values, not 3"
+    assert out[None] == out[" "] == (None, None)
+    got = embed_items(model, [f"x{i}" for i in range(63)] + ["bad"], 3)
+    assert sum(v is not None for v, _ in got) == 63 and len(asked) <= 2 * 6 + 1
+    assert embed_items(lambda items: [[1.0]] * 2, ["p"], 1) == [(None, "ValueError: the model returned 2 results for 1 items")]

@@ -157,8 +157,7 @@ def q_run_summary(spark, sf_dir):
 
 
 def q_limit_per_category(spark, sf_dir):
-    f = format_products(catalog_new(spark, sf_dir), keep=("ord",)).where(F.col("ord") == 1)
-    return top_n_per_group(f, ["category"], [F.col("product_url")], PER_CATEGORY).select(
+    return top_n_per_group(incoming(spark, sf_dir), ["category"], [F.col("product_url")], PER_CATEGORY).select(
         "category", "product_url", "rank")
 
 
@@ -329,10 +328,10 @@ SELECT CAST(count(*) FILTER (WHERE status = 'new') AS BIGINT) AS new_count,
        CAST((SELECT count(*) FROM stale) AS BIGINT) AS deleted_count,
        CAST({CURRENT_RUN} AS INTEGER) AS run
 FROM cls""",
-    "limit_per_category": _w("catalog_new") + f""", {_FMT}
+    "limit_per_category": _w("catalog_new") + f""", {_FMT}, {_INC}
 SELECT category, product_url, rank FROM (
   SELECT category, product_url, CAST(row_number() OVER (PARTITION BY category ORDER BY product_url) AS INTEGER) AS rank
-  FROM fmt WHERE ord = 1) WHERE rank <= {PER_CATEGORY}""",
+  FROM inc) WHERE rank <= {PER_CATEGORY}""",
     "test_mode_limit": _w("catalog_new") + f""", {_FMT}, {_INC}
 SELECT product_url FROM inc ORDER BY product_url LIMIT {TEST_MODE_LIMIT}""",
     "recent_events": """

@@ -44,7 +44,7 @@ def q_stream_catalog(spark, sf_dir):
     spec = load_spec(DEFAULT_SPEC_PATH)["shop"]
     table = CatalogTable(spark, f"{root}/catalog")
     stream_pages_into_catalog(spark, inbox, table, f"{root}/checkpoint", spec["selectors"], spec["source"],
-                              spec["brand"], files_per_batch=1, run_ts=RUN_TS)
+                              spec["brand"], files_per_batch=1, run_ts=RUN_TS, skip_unchanged=False)
     return table.read().select("id", "title", "price")
 
 

@@ -38,14 +38,15 @@ def _embed(rows: DataFrame, image_fn: Callable | None, text_fn: Callable | None,
     rows = rows.drop("image_embedding", "info_embedding")
     if image_fn is not None:
         rows = embed_flagged(rows, "embed_image", "image_embedding",
-                             lambda d: embed_column(d, "image_url", "image_embedding", image_fn, dim))
+                             lambda d: embed_column(d, "image_url", "image_embedding", image_fn, dim, error_col="image_error"))
     else:
-        rows = rows.withColumn("image_embedding", F.lit(None).cast("array<float>"))
+        rows = rows.withColumns({"image_embedding": F.lit(None).cast("array<float>"), "image_error": F.lit(None).cast("string")})
     if text_fn is not None:
-        stage = lambda d: embed_column(d, text_col, "info_embedding", text_fn, dim)
+        stage = lambda d: embed_column(d, text_col, "info_embedding", text_fn, dim, error_col="text_error")
     else:
         stage = lambda d: hashed_text_embedding(d, text_col, "info_embedding", dim)
-    return embed_flagged(rows, "embed_text", "info_embedding", stage)
+    rows = embed_flagged(rows, "embed_text", "info_embedding", stage)
+    return rows if text_fn is not None else rows.withColumn("text_error", F.lit(None).cast("string"))
 
 
 def catalog_run(spark: SparkSession, pages: DataFrame, table: CatalogTable, run: int, run_ts: str | None = None,
@@ -58,7 +59,8 @@ def catalog_run(spark: SparkSession, pages: DataFrame, table: CatalogTable, run:
     Returns ``(merged, summary)``. ``max_products`` is the test-mode limit
     (L3), applied to URLs before the costly extraction. ``dead_letter`` and
     ``run_log`` name folders for the run's rejected rows (S7) and its counters
-    (S8).
+    (S8). A row whose model failed is stored without that vector (a later run asks
+    again) and is listed among the rejected ones with the model's reason.
     """
     checkpoint_dir(spark)
     if max_products is not None:
@@ -74,8 +76,9 @@ def catalog_run(spark: SparkSession, pages: DataFrame, table: CatalogTable, run:
     cls = materialize(classify(inc, mine, retry_missing=True), "classified")
     cols = {c: F.col(c) for c in cls.columns}
     cls = cls.withColumn("search_text", labelled_search_text(cols))
-    embedded = _embed(cls, image_fn, text_fn, dim)
-    merged = merge_catalog(mine, embedded.drop("search_text"), run, run_ts, marks=True, buckets=table.buckets).cache()
+    # written once: the merge and the error list both read it, and the models run once
+    embedded = materialize(_embed(cls, image_fn, text_fn, dim), "embedded")
+    merged = merge_catalog(mine, embedded.drop("search_text", "image_error", "text_error"), run, run_ts, marks=True, buckets=table.buckets).cache()
     table.commit_changes(merged, run, [source])    # only what changed is written
     # the counters are one row: computed now, so the cached merge can be released
     summary = run_summary(cls, run, merged.where(F.col("action") == "delete"))
@@ -83,7 +86,9 @@ def catalog_run(spark: SparkSession, pages: DataFrame, table: CatalogTable, run:
     merged.unpersist()
     merged = merged.drop("write")
     if dead_letter:
-        write_dead_letter(cls.select(*inc.columns), dead_letter, run)
+        failures = [F.when(F.col(c).isNotNull(), F.concat(F.lit(c + ": "), F.col(c))) for c in ("image_error", "text_error")]
+        reason = F.coalesce("reject_reason", F.nullif(F.concat_ws("; ", *failures), F.lit("")))
+        write_dead_letter(embedded.withColumn("reject_reason", reason).select(*inc.columns), dead_letter, run)
     if run_log:
         append_run_log(summary, run_log)
     return merged, summary

@@ -11,6 +11,7 @@ _MODULES = [
     "vitrine.plans.search_queries",
     "vitrine.plans.stream_queries",
     "vitrine.plans.job_queries",
+    "vitrine.plans.branch_queries",
 ]
 
 

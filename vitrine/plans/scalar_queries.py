@@ -65,7 +65,7 @@ def q_part_type_category(spark, sf_dir):
 
 
 def q_url_parts(spark, sf_dir):
-    cn = catalog_new(spark, sf_dir).where(F.col("ord") == 1).select("source", "product_url")
+    cn = catalog_new(spark, sf_dir).select("source", "product_url").distinct()
     u = F.col("product_url")
     return cn.select(
         row_id(F.col("source"), u).alias("id"),
@@ -247,7 +247,7 @@ SELECT {S.row_id('source', 'product_url')} AS id, {_handle('product_url')} AS ha
   {_external_id('product_url')} AS external_id,
   CASE WHEN regexp_extract(product_url, '/products/([^/]*)', 1) <> ''
        THEN {S.initcap("replace(regexp_extract(product_url, '/products/([^/]*)', 1), '-', ' ')")} END AS slug_title
-FROM catalog_new WHERE ord = 1""",
+FROM (SELECT DISTINCT source, product_url FROM catalog_new)""",
     "page_url_parts": f"""
 SELECT page_id, {_handle('url')} AS handle, {_external_id('url')} AS external_id,
   regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1) || '/products/x' AS abs_link,
