@@ -5,6 +5,7 @@ import re
 import time
 
 import pyarrow.parquet as pq
+import pytest
 
 from vitrine.llm import main_text as M
 
@@ -102,3 +103,38 @@ def test_tree_learns_its_table():
     assert wrong == 0
     assert M.train_tree([(1, 0), (2, 1)], 3) == (0, 1.5, False, True)
     assert M.train_tree([(1, 1)], 3) is True
+
+
+PARAGRAPHS = [" ".join(f"{w}{i}" for i in range(45)) for w in ("river", "stone", "cloud")]
+REMARK = "Great read says one visitor who wrote this remark below the story and went on for a while " * 2
+
+
+def page_with(attributes, inside="article"):
+    story = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    return f"<html><body><{inside}><h1>A fine title</h1>{story}</{inside}><div {attributes}><p>{REMARK}</p></div></body></html>"
+
+
+@pytest.mark.parametrize("name", [
+    "reader-comments", "user-comments", "post-comments", "article-comments", "ad-slot", "left-sidebar", "sidebar-left", "blog-sidebar",
+    "sidebar__inner", "related-articles", "modal-content", "dropdown-menu", "page-footer", "comments", "cookie-notice", "advertisement"])
+@pytest.mark.parametrize("inside", ["article", "div"])
+def test_named_elements_beside_the_article(name, inside):
+    for attributes in (f'class="{name}"', f"id='{name}'", f'class="block {name} wide"'):
+        text, _, _ = M.main_text(page_with(attributes, inside), TREE)
+        assert "remark" not in text and all(p in text for p in PARAGRAPHS) and "A fine title" in text
+
+
+@pytest.mark.parametrize("attributes", ["hidden", 'hidden=""', 'style="color: red; display : none"', 'aria-hidden="true"', "style='visibility:hidden'"])
+def test_hidden_elements(attributes):
+    assert "remark" not in M.main_text(page_with(attributes), TREE)[0]
+
+
+@pytest.mark.parametrize("attributes", [
+    'aria-label="A hidden gem"', 'data-title="the hidden valley"', 'class="has-sidebar"', 'class="no-sidebar"', 'class="elementor-widget"',
+    'title="display: none"', 'aria-hidden="false"', 'class="content with-comments"', "hidden", 'class="left-sidebar"'])
+def test_wrappers_keep_their_article(attributes):
+    story = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    for tag in ("section", "div"):
+        page = f"<html><body><{tag} {attributes}><article><header class='entry-header'><h1>A fine title</h1></header>{story}</article></{tag}></body></html>"
+        text = M.main_text(page, TREE)[0]
+        assert all(p in text for p in PARAGRAPHS) and "A fine title" in text

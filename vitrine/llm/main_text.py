@@ -32,17 +32,22 @@ CLOSED_BY_SAME = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd
                   "th": {"td", "th"}}
 WHOLE = {"body", "html", "article", "main"}
 ASIDE = {"nav", "aside", "footer", "form", "dialog", "fieldset"}
-# A class, id or role names an aside if the whole token does: every part is a
-# name of HINTS or a neutral word, so has-sidebar and entry-header do not.
+# A class, id or role names an aside if the whole token does (every part is a
+# name or a neutral word), or if a name that is clear by itself stands at either end
+# of it (reader-comments, sidebar-left); has-sidebar and entry-header do not.
 _NAME = (r"(?:ads?|advert\w*|sponsor\w*|promo\w*|side-?bar|widgets?|menus?|nav\w*|breadcrumbs?|footer|masthead|header|cookies?"
          r"|consent|gdpr|banner|notices?|alert|pop-?up|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related"
          r"|recommend\w*|comments?|discussion|repl(?:y|ies)|disqus|search|pagination|pager|toolbar|skip|comment[-_]\w+)")
 _NEUTRAL = r"(?:site|main|top|bottom|primary|secondary|bar|box|area|block|buttons?|container|wrapper|form|items?|links?|lists?|posts|section)"
-HINTS = re.compile(rf"(?:{_NEUTRAL}[_-]+)*{_NAME}(?:[_-]+(?:{_NAME}|{_NEUTRAL}))*", re.I)
+_CLEAR = (r"(?:ads?|advert\w*|sponsor\w*|promo\w*|side-?bar|menus?|nav|navbar|navigation|breadcrumbs?|footer|cookies?|consent|gdpr|pop-?up"
+          r"|modal|newsletter|subscribe|related|recommend\w*|comments?|pagination|social|sharing|disqus)")
+HINTS = re.compile(rf"(?:{_NEUTRAL}[_-]+)*{_NAME}(?:[_-]+(?:{_NAME}|{_NEUTRAL}))*"
+                   rf"|(?!(?:has|no|not|with|without|is|hide)[_-]){_CLEAR}[_-]+[\w-]*|(?!(?:has|no|not|with|without|is|hide)[_-])[\w-]*[_-]{_CLEAR}", re.I)
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+>?)""")
 _HINTED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/>]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']++)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']*)))?""")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 @dataclass
@@ -59,25 +64,36 @@ class Block:
         return self.linked / self.words if self.words else 0.0
 
 
-def _is_aside(tag: str, attributes: str, in_article: bool) -> bool:
-    """By its tag, or because it is hidden."""
-    if tag in ASIDE or tag == "header" and not in_article:
-        return True
-    return len(attributes) >= 4 and tag not in WHOLE and _HIDDEN.search(attributes) is not None
+def _is_aside(tag: str, in_article: bool) -> bool:
+    """By its tag; a header inside an article is the article's own."""
+    return tag in ASIDE or tag == "header" and not in_article
+
+
+def _is_hidden(attributes: str) -> bool:
+    """By the attribute ``hidden``, by ``aria-hidden="true"``, or by its style; not
+    by words in the values of other attributes."""
+    low = attributes.lower()
+    if "hidden" not in low and "display" not in low:
+        return False
+    for name, *values in _ATTRIBUTE.findall(low):
+        value = "".join(values)
+        if name == "hidden" or name == "aria-hidden" and value.strip() == "true" or name == "style" and _UNSEEN.search(value):
+            return True
+    return False
 
 
 def _is_hinted(tag: str, attributes: str, in_article: bool) -> bool:
-    """By its names; a header inside an article is the article's own."""
+    """By its names, or because it is hidden."""
     if len(attributes) < 4 or tag in WHOLE:
         return False
-    return any(HINTS.fullmatch(token) and not (in_article and token.lower().endswith("header"))
+    return _is_hidden(attributes) or any(HINTS.fullmatch(token) and not (in_article and token.lower().endswith("header"))
                for found in _HINTED.findall(attributes) for token in "".join(found).split())
 
 
 def blocks(page: str | None) -> list[Block]:
     """Flat text blocks of a page in order; those without a word are left out.
 
-    A named element makes its blocks asides unless it is a wrapper: one that
+    A named or hidden element makes its blocks asides unless it is a wrapper: one that
     stands outside article and main and holds most of the words in them, or most
     of all words on a page without either.
     """
@@ -155,7 +171,7 @@ def blocks(page: str | None) -> list[Block]:
                 if _is_hinted(tag, attributes, article):
                     named.append((name, article))
                     name = len(named) - 1
-                stack.append((tag, aside or _is_aside(tag, attributes, article), article or tag in ("article", "main"), name))
+                stack.append((tag, aside or _is_aside(tag, article), article or tag in ("article", "main"), name))
     flush()
     if len(named) > 1:
         any_article = any(b.article for b in out)
