@@ -138,3 +138,15 @@ def test_host_size_does_not_change_verdicts(spark):
 
 def test_empty(spark):
     assert Q.judge(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("n_own", [1, 5, 7, 12])
+@pytest.mark.parametrize("shared", [("head", "foot"), ("head", "foot", "n1", "n2", "n3"), ("head",)])
+def test_pages_of_shared_header_and_footer_are_depleted(spark, n_own, shared):
+    lines = {name: " ".join(f"{name}{j}" for j in range(30)) for name in shared}
+    rows = []
+    for k in range(60):
+        own = " ".join(f"p{k}w{j}" for j in range(n_own))
+        rows.append((k, "\n".join([lines[shared[0]], own, *[lines[s] for s in shared[1:]]]), None, "h"))
+    out = Q.judge(docs(spark, rows)).collect()
+    assert not any(r.kept for r in out) and all(r.n_removed_words == 30 * len(shared) for r in out)

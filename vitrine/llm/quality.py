@@ -10,11 +10,12 @@ is rejected. What counts as distinct documents:
   ``MAX_FAMILY_SHARE`` repeat a family that is counted already is that text's
   own prose, not boilerplate, so a widely copied clean document is not depleted
   by its copies. The family comes from a document's own lines, those below
-  ``min_docs``, so pages of one long notice and a few words are no family: it is
-  named by the smallest hash of their 8-word windows. A document with fewer
-  than ``WINDOW`` own words is told by its other shared lines; where it has
-  none, it is a family of its own, and where every line is shared, the windows
-  of the whole text name it.
+  ``min_docs``, so pages of shared headers, notices and footers are no family: it
+  is named by the smallest hash of their 8-word windows. A document with fewer
+  than ``WINDOW`` own words is a family of its own, unless it shares
+  ``PROSE_LINES`` lines of ``WINDOW`` words or more, more than a page's frame has:
+  then it is a copy of that text, told by its other shared lines. Where every
+  line is shared, the windows of the whole text name the family.
 
 All counting is by aggregates with a map-side part, so a line, host or group of
 copies with a third of all rows is one row for each task before a shuffle. One
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import WS
+from vitrine.llm.common import WS, apart
 from vitrine.session import materialize
 
 WINDOW = 8
@@ -38,6 +39,7 @@ SYMBOLS = "#*$%&|<>"
 MIN_DOCS = 20            # a line in fewer distinct documents of a host stays
 MIN_HOST_SHARE = 0.0     # a share asked for on top would let a line pass as its host grows
 MAX_FAMILY_SHARE = 0.5
+PROSE_LINES = 6          # shared long lines that are a text; headers, notices and footers are fewer
 MIN_LEFT_SHARE = 0.5     # of the words, and MIN_WORDS of them, must be left
 
 _SPACES = "[ \\t\\n\\x0B\\f\\r]+"
@@ -113,11 +115,11 @@ def line_families(stats: DataFrame, shared: DataFrame) -> DataFrame:
         F.collect_set(F.when(~own, F.struct("h", "n", "m"))).alias("held"))
     few = F.col("own_words") * F.col("n_lines") < WINDOW * F.col("n_rows")
     long = F.array_sort(F.array_distinct(F.transform(F.filter("held", lambda x: x["n"] >= WINDOW), lambda x: x["m"])))
-    each = docs.withColumn("long", F.slice(long, 1, 2)).withColumn("few", few).select(
-        "host", "t", "family", "own_words", "own", "few", "long", F.explode("held").alias("l"))
+    prose = docs.withColumn("few", few).withColumn("long", long).withColumn("prose", F.size("long") >= PROSE_LINES)
+    each = prose.select("host", "t", "family", "own_words", "own", "few", "prose", F.slice("long", 1, 2).alias("long"), F.explode("held").alias("l"))
     other = F.get(F.filter("long", lambda m: m != F.col("l.m")), F.lit(0))
-    return each.select("host", F.col("l.h").alias("h"), F.when(F.col("own_words").isNull(), F.col("family"))
-                       .when(~F.col("few"), F.col("own")).otherwise(F.coalesce(other, F.col("t"))).alias("family"))
+    family = F.when(F.col("own_words").isNull(), F.col("family")).when(~F.col("few"), F.col("own")).when(F.col("prose"), other).otherwise(F.col("t"))
+    return each.select("host", F.col("l.h").alias("h"), family.alias("family"))
 
 
 def boilerplate_lines(stats: DataFrame, min_docs: int = MIN_DOCS, min_host_share: float = MIN_HOST_SHARE,
@@ -171,13 +173,14 @@ def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_co
           chars_col: str | None = "n_chars") -> DataFrame:
     """The kept rows of ``df``, all columns, without their boilerplate lines;
     ``chars_col``, where the table has it, is set to the new length."""
+    own_id, key, removed = apart(df, "_id", "_key", "_removed")
     kept = judge(df, id_col, text_col, host_col).filter("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("removed").alias("_removed")).dropDuplicates(["_id", "_key"])
+        F.col("doc_id").alias(own_id), F.col("text_key").alias(key), F.col("removed").alias(removed)).dropDuplicates([own_id, key])
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id")) & (F.sha2(text, 256) == F.col("_key"))
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(own_id)) & (F.sha2(text, 256) == F.col(key))
     rows = df.join(kept, same)
-    rest = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~has_word(x) | ~F.array_contains(F.col("_removed"), line_hash(x))), "\n")
-    new = rows.withColumn(text_col, F.when(F.size("_removed") > 0, rest).otherwise(text))
+    rest = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~has_word(x) | ~F.array_contains(F.col(removed), line_hash(x))), "\n")
+    new = rows.withColumn(text_col, F.when(F.size(removed) > 0, rest).otherwise(text))
     if chars_col and chars_col in df.columns:
         new = new.withColumn(chars_col, F.char_length(F.col(f"`{text_col}`")).cast("long"))
-    return new.select(*df.columns)
+    return new.select(*[F.col(f"`{c}`") for c in df.columns])
