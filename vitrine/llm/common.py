@@ -29,6 +29,18 @@ def keyed_text(df: DataFrame, id_col: str, text_col: str, *, empty_for_null: boo
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
 
 
+def apart(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores in front of those that ``df`` has a column of
+    (upper and lower case are the same to Spark)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import WS, keyed_text, shuffle_partitions
+from vitrine.llm.common import WS, apart, keyed_text, shuffle_partitions
 from vitrine.session import materialize
 
 FAN_IN = 8
@@ -117,9 +117,10 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
 def keep_first_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns; of rows that repeat
     an id and its text, one."""
+    keep_id, keep_digest, digest = apart(df, "_keep_id", "_keep_digest", "_digest")
     kept = deduplicate(df, id_col, text_col).filter("kept").select(
-        F.col("doc_id").alias("_keep_id"), F.col("digest").alias("_keep_digest")).distinct()
+        F.col("doc_id").alias(keep_id), F.col("digest").alias(keep_digest)).distinct()
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = df.withColumn("_digest", F.sha2(normalised(text), 256))
-    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_keep_id")) & (F.col("_digest") == F.col("_keep_digest"))
-    return rows.join(kept, same).dropDuplicates(["_keep_id", "_digest"]).select(*df.columns)
+    rows = df.withColumn(digest, F.sha2(normalised(text), 256))
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(keep_id)) & (F.col(digest) == F.col(keep_digest))
+    return rows.join(kept, same).dropDuplicates([keep_id, digest]).select(*[F.col(f"`{c}`") for c in df.columns])

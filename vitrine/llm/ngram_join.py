@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import keyed_text, slices
+from vitrine.llm.common import apart, keyed_text, slices
 from vitrine.session import materialize
 
 BAND = 1.25  # largest size over smallest size of a band
@@ -354,5 +354,6 @@ def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str =
     documents (smallest id). Rows without an id stay, they represent
     themselves; rows that repeat an id stay together."""
     found = components(df, id_col, text_col, n, percent)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")
+    name, = apart(df, "_gone")
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return df.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(name), "left_anti")

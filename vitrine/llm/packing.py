@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vitrine.llm.chunks import ChunkMemo, as_letters, pack, space_chunks
-from vitrine.llm.common import keyed_text, shuffle_partitions, slices
+from vitrine.llm.common import apart, keyed_text, shuffle_partitions, slices
 from vitrine.session import materialize
 
 # The byte-level split pattern of the tokenizer file, a fixed value.
@@ -158,7 +158,8 @@ def plan_runs(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
 def pack_documents(pieces: DataFrame, capacity: int) -> DataFrame:
     """``pieces`` plus ``sequence_id long`` and ``offset long``.
 
-    Needs ``doc_id, piece, length, ids_crc32``; further columns pass through.
+    Needs ``doc_id, piece, length, ids_crc32``; further columns pass through,
+    whatever their names (columns named as the two new ones are replaced).
     Every length must lie in 1..capacity. Pieces that are equal in all four
     (repeated rows) are told apart by their place only; null ids are ids like
     any other. An empty table gives an empty one. ``pieces`` is read twice:
@@ -166,24 +167,26 @@ def pack_documents(pieces: DataFrame, capacity: int) -> DataFrame:
     """
     spark = pieces.sparkSession
     buckets = shuffle_partitions(spark)
-    keyed = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
-    sizes = keyed.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    pieces = pieces.drop("sequence_id", "offset")
+    n_bucket, n_before, n_rank = apart(pieces, "_bucket", "_before", "_rank")
+    keyed = pieces.withColumn(n_bucket, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    sizes = keyed.groupBy("length", n_bucket).agg(F.count(F.lit(1)).alias("n"))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs, _ = plan_runs(counts, capacity)
     # both sides are few: at most capacity x buckets rows
-    before = sizes.withColumn("_before", F.sum("_n").over(
-        Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.select("length", "_bucket", F.coalesce("_before", F.lit(0)).alias("_before"))
-    local = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = (keyed.withColumn("_rank", local - 1).join(before, ["length", "_bucket"])
-              .withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_bucket", "_before"))
+    before = sizes.withColumn(n_before, F.sum("n").over(
+        Window.partitionBy("length").orderBy(n_bucket).rowsBetween(Window.unboundedPreceding, -1)))
+    before = before.select("length", n_bucket, F.coalesce(n_before, F.lit(0)).alias(n_before))
+    local = F.row_number().over(Window.partitionBy("length", n_bucket).orderBy("doc_id", "piece", "ids_crc32"))
+    ranked = (keyed.withColumn(n_rank, local - 1).join(before, ["length", n_bucket])
+              .withColumn(n_rank, F.col(n_rank) + F.col(n_before)).drop(n_bucket, n_before))
     # runs are sorted by (length, first rank): one key finds a piece's run
     span = int(runs[:, 1].max()) + 1 if len(runs) else 1
     span = max(span, max(counts.values(), default=0) + 1)
     keys = runs[:, 0] * span + runs[:, 1]
-    at = ranked.schema.names.index("length"), ranked.schema.names.index("_rank")
-    names = [c for c in ranked.columns if c != "_rank"] + ["sequence_id", "offset"]
-    fields = [f for f in ranked.schema.fields if f.name != "_rank"]
+    at = ranked.schema.names.index("length"), ranked.schema.names.index(n_rank)
+    fields = [f for f in ranked.schema.fields if f.name != n_rank]
+    names = [f"c{i}" for i in range(len(fields) + 2)]  # a column name with a dot cannot pass a Python step
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,9 +197,10 @@ def pack_documents(pieces: DataFrame, capacity: int) -> DataFrame:
                 [*kept, pa.array(run[:, 3] + rank - run[:, 1], pa.int64()), pa.array(run[:, 4], pa.int64())], names=names)
 
     from pyspark.sql import types as T
-    schema = T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    placed = ranked.mapInArrow(place, schema)
-    return placed.select(*pieces.columns, "sequence_id", "offset")
+    schema = T.StructType([T.StructField(n, t) for n, t in zip(names, [*(f.dataType for f in fields), T.LongType(), T.LongType()], strict=True)])
+    placed = ranked.toDF(*[f"c{i}" for i in range(len(ranked.columns))]).mapInArrow(place, schema).toDF(
+        *[f.name for f in fields], "sequence_id", "offset")
+    return placed.select(*[F.col(f"`{c}`") for c in pieces.columns], "sequence_id", "offset")
 
 
 def pack_texts(df: DataFrame, path: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id",
