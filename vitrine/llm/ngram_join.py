@@ -12,15 +12,19 @@ part with at most ``k2`` of them, where some n2-k2 second-level parts agree: so
 a part signs once for every subset of n2-k2 second-level parts (a sum of mixed
 element hashes), and linked sets share a signature.
 
-An empty subset would sign alike in unrelated sets. Bands therefore have
-``slack`` more parts than needed, so linked sets agree in slack+1 parts, and a
-set leaves its empty signatures out unless more than ``slack`` of its parts have
-any. Of two linked sets either both sign them, or one has at most slack such
-parts, and then one of the agreeing signatures is not empty: no link is lost.
-
-Pairs. Equal sets collapse first (all their signatures agree). Signatures of
-one set only are dropped by a count with a map-side part. In the others each
-set is tested against one hub, on whole texts, and verified links form classes;
+An empty subset would sign alike in unrelated sets, and so would the one or two
+shingles of a passage that many sets quote. Bands therefore have ``slack`` and
+``spare`` more parts than needed, so linked sets agree in slack+spare+1 parts.
+A set leaves its empty signatures out unless more than ``slack`` of its parts
+have any: of two linked sets either both sign them, or one has at most slack
+such parts, so spare+1 agreeing signatures are left in any case. Of those that
+it has in a band, each set then leaves out the ``spare`` most frequent ones
+(ties: larger signature). The rarest of the spare+1 that two linked sets share
+has spare others above it, so neither set leaves it out: no link is lost, while
+sets that share just a passage mostly have no signature left.
+
+Pairs. Equal sets collapse first (all their signatures agree). Signatures are
+dealt out once; those of one set only go. In the others each set is tested against one hub, on whole texts, and verified links form classes;
 pairs inside a class need no further test. What is left, pairs that share a
 signature and lie in different classes, is tested in rounds: a hash of
 (signature, set) makes about 4, then 8 times as many members hubs of a
@@ -38,7 +42,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.llm.common import apart, keyed_text, slices
@@ -113,21 +117,29 @@ def band_of(size: int) -> int:
 
 
 @cache
-def band_plan(band: int, percent: int) -> tuple[int, int, int, int, int]:
-    """(smallest size, n1, k2, n2, slack) of a band; n1 = 0 if its sets link
-    only when equal."""
+def band_plan(band: int, percent: int) -> tuple[int, int, int, int, int, int]:
+    """(smallest size, n1, k2, n2, slack, spare) of a band; n1 = 0 if its sets
+    link only when equal."""
     lo, hi = (max(1, int(np.ceil(BAND ** b - 1e-6))) for b in (band, band + 1))
     # sizes a, b < hi with 100*i >= percent*(a+b-i) differ in a+b-2i elements
     k = 2 * (hi - 1) * (100 - percent) // (100 + percent)
     if k <= 0:
-        return lo, 0, 0, 0, 0
+        return lo, 0, 0, 0, 0, 0
     if k <= 3:
-        return lo, 1, k, 2 * k + 1, 0
+        return lo, 1, k, 2 * k + 1, 0, 0
     if k < 30:
-        slack = 1 + -(-k // 100)
-        return lo, k // 2 + 1 + slack, 1, 3, slack
-    slack = 2 + -(-3 * k // 100)
-    return lo, k // 2 + 1 + slack, 1, 2, slack
+        slack, spare = 1 + -(-k // 100), 1
+        return lo, k // 2 + 1 + slack + spare, 1, 3, slack, spare
+    slack, spare = 2 + -(-3 * k // 100), 1 + k // 20
+    return lo, k // 2 + 1 + slack + spare, 1, 2, slack, spare
+
+
+BANDS = 128  # more than any text can reach (1.25 ** 128 shingles)
+
+
+def spare_of(band: Column, percent: int) -> Column:
+    """``spare`` of a band."""
+    return F.element_at(F.array(*[F.lit(band_plan(b, percent)[5]) for b in range(BANDS)]), (band + 1).cast("int"))
 
 
 @cache
@@ -136,7 +148,8 @@ def _tags(band: int, n1: int) -> np.ndarray:
 
 
 def signatures(sh: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of a shingle set (without repeats)."""
+    """Signatures of a shingle set (without repeats); the lowest seven bits
+    name the band."""
     size = len(sh)
     if not size:
         return np.zeros(0, dtype=np.uint64)
@@ -146,7 +159,7 @@ def signatures(sh: np.ndarray, percent: int) -> np.ndarray:
         bands.append(bands[-1] + 1)  # a partner in the next band is possible
     out = []
     for band in bands:
-        _, n1, k2, n2, slack = band_plan(band, percent)
+        _, n1, k2, n2, slack, _ = band_plan(band, percent)
         if not n1:
             continue
         part = (sh % np.uint64(n1 * n2)).astype(np.int64)  # hashes are mixed already
@@ -163,7 +176,7 @@ def signatures(sh: np.ndarray, percent: int) -> np.ndarray:
             full.append(filled[:, chosen[0]] if len(chosen) == 1 else filled[:, chosen].any(axis=1))
         sigs, full = np.array(sigs), np.array(full)
         leave_out = (~full.all(axis=0)).sum() <= slack
-        out.append(sigs[full] if leave_out else sigs.ravel())
+        out.append(((sigs[full] if leave_out else sigs.ravel()) & ~np.uint64(BANDS - 1)) | np.uint64(band))
     return np.unique(np.concatenate(out)) if out else np.zeros(0, dtype=np.uint64)
 
 
@@ -290,10 +303,13 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = keyed_text(df, id_col, text_col)
     rows = rows.withColumn("text_key", F.xxhash64("text"))
     sets = materialize(_sets(rows, n), "sets")
-    signed = materialize(_signed(rows, n, percent), "signed")
-    live = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig")
-    shared = materialize(signed.join(live, "sig").distinct(), "shared")
-    # copies apart, signatures of one set remain: their hub is the set itself
+    # one exchange serves the count and the join; a set that several tasks signed counts more often
+    dealt = _signed(rows, n, percent).repartition("sig")
+    counted = dealt.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("set_key").alias("lo"), F.max("set_key").alias("hi"))
+    live = materialize(dealt.join(counted.filter("lo < hi").select("sig", "n"), "sig").distinct(), "live")
+    band = F.col("sig").bitwiseAND(F.lit(BANDS - 1))
+    frequent = F.row_number().over(Window.partitionBy("set_key", band).orderBy(F.desc("n"), F.desc("sig")))
+    shared = materialize(live.withColumn("nth", frequent).filter(F.col("nth") > spare_of(band, percent)).select("sig", "set_key"), "shared")
     hubs = shared.groupBy("sig").agg(F.min("set_key").alias("hub"), F.max("set_key").alias("top"), F.count(F.lit(1)).alias("n"))
     part = F.pmod(F.xxhash64("sig", "set_key"), F.lit(1 << 30)) / F.lit(1 << 30) * F.col("n")
     turn = F.when(part < HUBS, 0).otherwise(1 + F.floor(F.log(part / HUBS) / np.log(GROWTH))).cast("int")
