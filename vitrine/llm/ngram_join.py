@@ -21,7 +21,8 @@ such parts, so spare+1 agreeing signatures are left in any case. Of those that
 it has in a band, each set then leaves out the ``spare`` most frequent ones
 (ties: larger signature). The rarest of the spare+1 that two linked sets share
 has spare others above it, so neither set leaves it out: no link is lost, while
-sets that share just a passage mostly have no signature left.
+sets that share just a passage mostly have no signature left. A pair must share
+spare+1 signatures before whole texts are compared.
 
 Pairs. Equal sets collapse first (all their signatures agree). Signatures are
 dealt out once; those of one set only go. In the others each set is tested against one hub, on whole texts, and verified links form classes;
@@ -233,6 +234,21 @@ def _signed(rows: DataFrame, n: int, percent: int) -> DataFrame:
     return rows.select("text").mapInArrow(run, "sig long, set_key long")
 
 
+def _close(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that share spare+1 signatures in some band, as all
+    linked sets do. A set's list is bounded by its own size and holds only
+    signatures that another set has too, so it is far shorter than the text."""
+    sides = {x: lists.select(F.col("set_key").alias(x), F.col("sigs").alias(f"sigs_{x}")) for x in ("a", "b")}
+    both = pairs.join(sides["b"], "b").join(sides["a"], "a").select("a", "b", F.array_intersect("sigs_a", "sigs_b").alias("common"))
+
+    def band(sig: Column) -> Column:
+        return sig.bitwiseAND(F.lit(BANDS - 1))
+
+    bands = F.array_distinct(F.transform("common", band))
+    enough = F.exists(bands, lambda x: F.size(F.filter("common", lambda sig: band(sig) == x)) > spare_of(x, percent))
+    return both.filter(enough).select("a", "b")
+
+
 CACHED_SETS = 2_000
 
 
@@ -310,6 +326,8 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     band = F.col("sig").bitwiseAND(F.lit(BANDS - 1))
     frequent = F.row_number().over(Window.partitionBy("set_key", band).orderBy(F.desc("n"), F.desc("sig")))
     shared = materialize(live.withColumn("nth", frequent).filter(F.col("nth") > spare_of(band, percent)).select("sig", "set_key"), "shared")
+    lists = materialize(live.join(shared.select("set_key").distinct(), "set_key").groupBy("set_key").agg(
+        F.collect_list("sig").alias("sigs")), "lists")
     hubs = shared.groupBy("sig").agg(F.min("set_key").alias("hub"), F.max("set_key").alias("top"), F.count(F.lit(1)).alias("n"))
     part = F.pmod(F.xxhash64("sig", "set_key"), F.lit(1 << 30)) / F.lit(1 << 30) * F.col("n")
     turn = F.when(part < HUBS, 0).otherwise(1 + F.floor(F.log(part / HUBS) / np.log(GROWTH))).cast("int")
@@ -323,7 +341,7 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = materialize(rows.join(reps, same).select("set_key", "text").dropDuplicates(["set_key"]), "texts")
 
     tested = materialize(members.filter("set_key <> hub").select(F.col("hub").alias("a"), F.col("set_key").alias("b")).distinct(), "pairs")
-    links = materialize(_verified(tested, texts, n, percent), "verified")
+    links = materialize(_verified(materialize(_close(tested, lists, percent), "close"), texts, n, percent), "verified")
     rest, turn_now, label = members.select("sig", "set_key", "turn"), 0, classes(links)
     while True:
         # members of signatures that hold two classes or more, and still have hubs to come
@@ -339,7 +357,7 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         pairs = (hub.join(other, "sig").filter("class_a <> class_b").filter((F.col("turn") > turn_now) | (F.col("a") < F.col("b")))
                  .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         fresh = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = materialize(_verified(fresh, texts, n, percent), "verified")
+        found = materialize(_verified(materialize(_close(fresh, lists, percent), "close"), texts, n, percent), "verified")
         if found.take(1):
             links = materialize(links.unionByName(found), "verified")
             label = classes(links)
