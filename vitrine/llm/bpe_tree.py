@@ -32,7 +32,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.chunks import ChunkMemo, space_chunks
+from vitrine.llm.chunks import ChunkMemo, pack, space_chunks
 from vitrine.llm.common import keyed_text, slices
 
 TEXT_LEAF = 8192   # characters
@@ -52,7 +52,7 @@ class TreeBpe:
         self.findall = regex.compile(pattern).findall
         self.finditer = regex.compile(pattern).finditer
         self.text_leaf, self.piece_leaf = max(2, text_leaf), max(2, piece_leaf)
-        self.memo = ChunkMemo(lambda chunks: [self._chunk(c) for c in chunks])
+        self.memo = ChunkMemo(lambda chunks: [pack(self._chunk(c)) for c in chunks])
 
     # -- one match of the pattern ------------------------------------------
     def _bytes(self, ids: list[int]) -> bytes:

@@ -13,15 +13,21 @@ from __future__ import annotations
 import re
 import sys
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 
 MEMO_LIMIT = 500_000
 MEMO_CHUNK = 64  # longer chunks are not kept
+SLICE_BYTES = 4 << 20  # of text that is encoded at a time; one longer text makes a slice of its own
 
 # white space other than space and line feed, and the mark used below
 _ODD = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"] + ["\x01"]
 _RUNS = ["  ", " \n", "\n ", "\n\n"]
 _ODD_SPACE = re.compile(r"[\x1c-\x1f\x85]")
+_OTHER_SPACE = re.compile("[" + "".join(c for c in _ODD[:-1] if c not in "\t\x0b\x0c\r") + "]")
 
 
 def pack(ids: Iterable[int]) -> bytes:
@@ -50,31 +56,124 @@ def as_letters(word: str) -> str:
 
 class ChunkMemo:
     """chunk -> packed ids. ``encode_many`` turns a list of unseen chunks into
-    a list of id lists. The memo is emptied at ``MEMO_LIMIT`` entries."""
+    the packed ids of each. The memo is emptied at ``MEMO_LIMIT`` entries."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]]):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]]):
         self.encode_many = encode_many
         self.ids: dict[str, bytes] = {}
 
-    def encode(self, texts: list[list[str]]) -> list[bytes]:
-        """Packed ids of each text, given as its chunks."""
+    def _learn(self, chunks: Iterable[str]) -> set[str]:
+        """Brings ``chunks`` into the memo; those that were not in it."""
         if len(self.ids) > MEMO_LIMIT:
             self.ids.clear()
         memo = self.ids
-        unseen = set().union(*texts).difference(memo)
+        unseen = set(chunks).difference(memo)
         # a full stop or comma after a letter is a match of its own
         ended = [c for c in unseen if c[-1:] in (".", ",") and c[-2:-1].isalpha()]
         todo = list(unseen.union((c[:-1] for c in ended), (".", ",")).difference(ended).difference(memo))
         if todo:
-            memo.update(zip(todo, map(pack, self.encode_many(todo)), strict=True))
+            memo.update(zip(todo, self.encode_many(todo), strict=True))
         for chunk in ended:
             memo[chunk] = memo[chunk[:-1]] + memo[chunk[-1]]
-        out = [b"".join(map(memo.__getitem__, chunks)) for chunks in texts]
+        return unseen
+
+    def _forget_long(self, unseen: set[str]) -> None:
         for chunk in unseen:
             if len(chunk) > MEMO_CHUNK:
-                del memo[chunk]
+                del self.ids[chunk]
+
+    def encode(self, texts: list[list[str]]) -> list[bytes]:
+        """Packed ids of each text, given as its chunks."""
+        unseen = self._learn(chain.from_iterable(texts))
+        out = [b"".join(map(self.ids.__getitem__, chunks)) for chunks in texts]
+        self._forget_long(unseen)
         return out
 
+    def encode_cut(self, texts: list[str], edges: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> list[bytes]:
+        """Packed ids of each text. ``edges`` marks the bytes of joined texts
+        that start a chunk; every text starts one as well. Chunks are counted
+        and looked up once per call, their ids gathered by index."""
+        raw = [t.encode("utf-8") for t in texts]
+        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        if not len(data):
+            return [b""] * len(texts)
+        ends = np.cumsum([len(x) for x in raw])
+        data, starts = edges(data, ends)
+        starts[0] = True
+        starts[ends[ends < len(data)]] = True
+        begin = np.append(np.flatnonzero(starts), len(data)).astype(np.int64)
+        cut = pa.LargeStringArray.from_buffers(len(begin) - 1, pa.py_buffer(begin), pa.py_buffer(data)).dictionary_encode()
+        chunks, index = cut.dictionary.to_pylist(), cut.indices
+        unseen = self._learn(chunks)
+        packed = pa.array([self.ids[c] for c in chunks], pa.large_binary())
+        self._forget_long(unseen)
+        _, after, flat = packed.take(index).buffers()
+        # bytes before each text: those before its first chunk
+        first = np.searchsorted(begin, np.concatenate([[0], ends]))
+        upto = np.frombuffer(after, dtype=np.int64)[first].tolist()
+        return [flat[a:b].to_pybytes() for a, b in zip(upto[:-1], upto[1:], strict=True)]
+
+
+def text_slices(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to about ``SLICE_BYTES`` of text in ``column``, one row
+    at least."""
+    for batch in batches:
+        size = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column)], dtype=np.int64)
+        turn = (np.cumsum(size) - size) // SLICE_BYTES
+        edge = [0, *(np.flatnonzero(turn[1:] != turn[:-1]) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _stops(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Full stops and commas between an ASCII letter and white space or the
+    end of a text: matches of their own."""
+    stop = (data == 46) | (data == 44)
+    stop[0] = False
+    stop[1:] &= _LETTER[data[:-1]]
+    last = np.zeros(len(data), dtype=bool)
+    last[ends[ends > 0] - 1] = True
+    after = np.append(_BLANK[data[1:]], True)
+    return stop & (after | last)
+
+
+def space_edges(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chunk starts for texts that `plain_spaces` holds for: spaces, line feeds
+    and what follows a line feed, final stops and commas."""
+    feed = data == 10
+    starts = (data == 32) | feed | _stops(data, ends)
+    starts[1:] |= feed[:-1]
+    return data, starts
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LOWER[_BLANK] = 32
+
+
+def word_edges(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chunk starts for tokenizers that drop white space and case: every word's
+    with the (now plain) spaces before it, final stops and commas. A-Z come as
+    a-z, so spellings of a word share a chunk."""
+    blank = _BLANK[data]
+    starts = _stops(data, ends)
+    starts |= blank
+    starts[1:] &= ~(blank[1:] & blank[:-1])
+    return _LOWER[data], starts
+
+
+def plain_spaces(text: str) -> bool:
+    """Whether the only white space of ``text`` is single spaces and line feeds
+    between other characters."""
+    return not (text[:1].isspace() or text[-1:].isspace() or any(x in text for x in _RUNS) or any(x in text for x in _ODD))
+
 
 def space_chunks(text: str, findall: Callable[[str], list[str]]) -> list[str]:
     """Chunks for the pattern family `` ?letters| ?digits| ?others|spaces``.
@@ -86,12 +185,11 @@ def space_chunks(text: str, findall: Callable[[str], list[str]]) -> list[str]:
     """
     if not text:
         return []
-    if text[0].isspace() or text[-1].isspace() or any(x in text for x in _RUNS) or any(x in text for x in _ODD):
+    if not plain_spaces(text):
         return findall(text)
     return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
 
 
-def word_chunks(text: str) -> list[str] | None:
-    """White-space separated words, for tokenizers that drop white space; None
-    where Python and the tokenizer may disagree on what white space is."""
-    return None if _ODD_SPACE.search(text) else text.split()
+def plain_words(text: str) -> bool:
+    """Whether all white space of ``text`` is ASCII and seen alike by all."""
+    return not (_ODD_SPACE if text.isascii() else _OTHER_SPACE).search(text)

@@ -19,6 +19,7 @@ spread over all buckets.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -28,36 +29,59 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vitrine.llm.chunks import ChunkMemo, as_letters, pack, space_chunks
-from vitrine.llm.common import apart, keyed_text, shuffle_partitions, slices
+from vitrine.llm.chunks import ChunkMemo, as_letters, pack, plain_spaces, space_edges, text_slices
+from vitrine.llm.common import apart, keyed_text, shuffle_partitions
 from vitrine.session import materialize
 
 # The byte-level split pattern of the tokenizer file, a fixed value.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 _MEMOS: dict[str, tuple] = {}
+RUN = 64  # unseen chunks that are encoded as one text
 
 
 def memo_for(path: str):
-    """(memo, chunker) of a byte-level tokenizer file, one per worker process."""
+    """(memo, matcher) of a byte-level tokenizer file, one per worker process."""
     if path not in _MEMOS:
         import regex
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the cores
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         findall = regex.compile(SPLIT).findall
 
-        tokenize = tokenizer.model.tokenize
+        letter = as_letters(" ")
+        vocabulary = tokenizer.get_vocab()
+        opens = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)  # ids that begin with a space
+        opens[[i for token, i in vocabulary.items() if token.startswith(letter)]] = True
+
+        def encode_many(chunks: list[str]) -> list[bytes]:
+            """A space before a non-space starts a match, so chunks that start
+            with their only white space are encoded in runs, and each begins at
+            an id that opens with a space."""
+            spaced = [c for c in chunks if c[:1] == " " and c.split() == [c[1:]]]
+            out: dict[str, bytes] = {}
+            runs = [spaced[i:i + RUN] for i in range(0, len(spaced), RUN)]
+            for run, found in zip(runs, tokenizer.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
+                packed = pack(found.ids)
+                at = (4 * np.flatnonzero(opens[np.frombuffer(packed, "<u4")])).tolist()
+                if len(at) == len(run):
+                    out.update(zip(run, (packed[i:j] for i, j in zip(at, [*at[1:], len(packed)], strict=True)), strict=True))
+            rest = [c for c in chunks if c not in out]
+            out.update(zip(rest, (pack(e.ids) for e in tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+            return [out[c] for c in chunks]
+
+        _MEMOS[path] = ChunkMemo(encode_many), findall
+    return _MEMOS[path]
 
-        def encode_many(chunks: list[str]) -> list[list[int]]:
-            # a word with or without its space is one match: straight to the model
-            word = [(c[1:] if c[:1] == " " else c).isalpha() for c in chunks]
-            rest = iter(tokenizer.encode_batch_fast([c for c, w in zip(chunks, word, strict=True) if not w],
-                                                    add_special_tokens=False))
-            return [[t.id for t in tokenize(as_letters(c))] if w else next(rest).ids for c, w in zip(chunks, word, strict=True)]
 
-        _MEMOS[path] = ChunkMemo(encode_many), lambda text: [c for c in space_chunks(text, findall) if c]
-    return _MEMOS[path]
+def encode_texts(path: str, texts: list[str]) -> list[bytes]:
+    """Packed ids of whole texts, by chunks where white space is plain."""
+    memo, findall = memo_for(path)
+    plain = [plain_spaces(t) for t in texts]
+    cut = iter(memo.encode_cut([t for t, p in zip(texts, plain, strict=True) if p], space_edges))
+    matched = iter(memo.encode([findall(t) for t, p in zip(texts, plain, strict=True) if not p]))
+    return [next(cut) if p else next(matched) for p in plain]
 
 
 def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -77,11 +101,10 @@ def cut_pieces(df: DataFrame, path: str, end_id: int, capacity: int, id_col: str
     id): ``doc_id, piece, start, length, ids_crc32`` and, on request, the
     packed ``ids``. No shuffle."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, chunker = memo_for(path)
         end = pack([end_id])
-        for part in slices(batches):
+        for part in text_slices(batches, 1):
             doc_ids, rows = part.column(0).to_pylist(), []
-            packed = memo.encode([chunker(t) for t in part.column(1).to_pylist()])
+            packed = encode_texts(path, part.column(1).to_pylist())
             for doc_id, ids in zip(doc_ids, packed, strict=True):
                 ids += end
                 for piece, (start, length) in enumerate(piece_bounds(len(ids) // 4, capacity)):

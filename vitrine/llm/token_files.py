@@ -18,6 +18,7 @@ and a running total over the shards gives each document its global start.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vitrine.llm.chunks import ChunkMemo, as_letters, pack, word_chunks
+from vitrine.llm.chunks import ChunkMemo, pack, plain_words, text_slices, word_edges
 from vitrine.llm.common import keyed_text, shuffle_partitions, slices
 
 MAGIC = b"S8B1"
@@ -45,6 +46,8 @@ _BITS = np.array([b for _, b in SELECTORS], dtype=np.uint64)
 
 def _widths(ids: np.ndarray) -> np.ndarray:
     """Bits that each id needs (0 needs 0)."""
+    if int(ids.max(initial=0)) < 1 << 53:  # exact as a double, whose exponent is the width
+        return np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
     width = np.zeros(len(ids), dtype=np.uint8)
     rest = ids.copy()
     for step in (32, 16, 8, 4, 2, 1):
@@ -67,7 +70,7 @@ def encode_record(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
     padded = np.zeros(blocks * block_ids, dtype=np.uint8)
     padded[:n] = _widths(ids)
     grid[:, :block_ids] = padded.reshape(blocks, block_ids)
-    choice = np.zeros((blocks, block_ids), dtype=np.int64)
+    choice = np.zeros((blocks, block_ids), dtype=np.uint8)
     reach = {1: grid}
     while 2 * max(reach) <= 60:  # reach[c][:, i]: the widest of the c ids from i
         c = max(reach)
@@ -154,29 +157,42 @@ def decode_record(data: bytes, block_ids: int = BLOCK_IDS) -> np.ndarray:
 
 
 _MEMOS: dict[str, tuple] = {}
+RUN = 64  # unseen words that are encoded as one text
 
 
 def memo_for(path: str):
     """(memo, tokenizer) of a tokenizer file that drops white space, one per
     worker process."""
     if path not in _MEMOS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the cores
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
-        tokenize = tokenizer.model.tokenize
-
-        def plain(word: str) -> str | None:
-            """The normalised word, if it surely is one match (no final sigma,
-            where Python's lower case depends on the neighbours)."""
-            low = word.lower()
-            return low if low.isalpha() and (low.isascii() or "\u03a3" not in word and is_normalized("NFC", low)
-                                             and is_normalized("NFC", word)) else None
-
-        def encode_many(words: list[str]) -> list[list[int]]:
-            low = [plain(w) for w in words]
-            rest = iter(tokenizer.encode_batch_fast([w for w, x in zip(words, low, strict=True) if x is None],
-                                                    add_special_tokens=False))
-            return [next(rest).ids if x is None else [t.id for t in tokenize(as_letters(x))] for x in low]
+        vocabulary = tokenizer.get_vocab()
+        ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)  # ids that end a match
+        ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+        def plain(word: str) -> bool:
+            """Whether the word surely is one match (no final sigma, where the
+            lower case depends on the neighbours)."""
+            return word.isalpha() and (word.isascii() or "\u03a3" not in word and is_normalized("NFC", word.lower())
+                                       and is_normalized("NFC", word))
+
+        def encode_many(chunks: list[str]) -> list[bytes]:
+            """Words of one match are encoded in runs, each up to an id that ends
+            a match; any other chunk by itself."""
+            stripped = [c.strip(" ") for c in chunks]
+            words = [w for w in set(stripped) if plain(w)]
+            out: dict[str, bytes] = {}
+            runs = [words[i:i + RUN] for i in range(0, len(words), RUN)]
+            for run, found in zip(runs, tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+                packed = pack(found.ids)
+                at = (4 * (np.flatnonzero(ends[np.frombuffer(packed, "<u4")]) + 1)).tolist()
+                if len(at) == len(run):
+                    out.update(zip(run, (packed[i:j] for i, j in zip([0, *at[:-1]], at, strict=True)), strict=True))
+            rest = list(set(stripped).difference(out))
+            out.update(zip(rest, (pack(e.ids) for e in tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+            return [out[w] for w in stripped]
 
         _MEMOS[path] = ChunkMemo(encode_many), tokenizer
     return _MEMOS[path]
@@ -185,10 +201,9 @@ def memo_for(path: str):
 def encode_texts(path: str, texts: list[str]) -> list[bytes]:
     """Packed ids of whole texts, word by word where words are safe to cut."""
     memo, tokenizer = memo_for(path)
-    words = [word_chunks(t) for t in texts]
-    packed = iter(memo.encode([w for w in words if w is not None]))
-    return [next(packed) if w is not None else pack(tokenizer.encode(t, add_special_tokens=False).ids)
-            for w, t in zip(words, texts, strict=True)]
+    plain = [plain_words(t) for t in texts]
+    cut = iter(memo.encode_cut([t for t, p in zip(texts, plain, strict=True) if p], word_edges))
+    return [next(cut) if p else pack(tokenizer.encode(t, add_special_tokens=False).ids) for t, p in zip(texts, plain, strict=True)]
 
 
 FILE = "shard int, record int, doc_ids array<long>, lengths array<long>, n_ids long, data binary"
@@ -222,7 +237,7 @@ def write_token_files(df: DataFrame, path: str, out: str, end_id: int = 2, id_co
             values = (open_shard, record, doc_ids, lengths, len(flat), encode_record(flat))
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=names)
 
-        for part in slices(batches):
+        for part in text_slices(batches, 2):
             packed = encode_texts(path, part.column(2).to_pylist())
             for own, doc_id, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), packed, strict=True):
                 if doc_ids and (own != open_shard or size >= RECORD_IDS):
