@@ -33,7 +33,7 @@ def best_cover(text):
                 on.setdefault(p - q, set()).add(q)
         run, last = set(), None
         for d in sorted(on):
-            run = run | on[d] if last is not None and d - last <= L.SLACK else set(on[d])
+            run = run | on[d] if last is not None and d - last <= max(2, (len(t) - 2) // 4) else set(on[d])
             last = d
             best[label] = max(best.get(label, 0), len(run) / (len(t) - L.K + 1))
     return {k: v for k, v in best.items() if v >= L.MIN_COVER}
@@ -67,3 +67,19 @@ def test_spans_and_empty(spark):
     span = L.spans(docs(spark, rows)).collect()
     assert [(r.doc_id, r.label, r.first_word, r.last_word, r.cover) for r in span] == [(1, "mit", 3, 7, 1.0)]
     assert L.scan(docs(spark, [])).count() == 0
+
+
+def test_edited_notices_are_labelled(spark):
+    """Three to six words inserted into the long MIT notice, or lost from it, at
+    any place; half a notice and its words out of order are none."""
+    notice = next(t for label, t in L.TEMPLATES if label == "mit" and len(t) > 100).split()
+    edits, n = [], 0
+    for size in range(3, 7):
+        for at in range(1, len(notice) - size):
+            edits.append((n, " ".join(["before"] * 9 + notice[:at] + [f"new{i}" for i in range(size)] + notice[at:] + ["after"] * 9)))
+            edits.append((n + 1, " ".join(notice[:at] + notice[at + size:])))
+            n += 2
+    other = [(-1, " ".join(notice[:len(notice) // 2])), (-2, " ".join(sorted(notice))), (-3, " ".join(notice[::-1]))]
+    got = {r.doc_id: r.labels for r in L.scan(docs(spark, edits + other)).collect()}
+    assert [i for i, _ in edits if got[i] != "mit"] == []
+    assert [got[i] for i, _ in other] == ["", "", ""]

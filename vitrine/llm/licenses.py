@@ -5,8 +5,9 @@ of the same k-gram in the license templates. A hit at document word p and
 template word t votes for the diagonal p - t: words of one copied passage share
 a diagonal. Votes are aggregated by diagonal, neighbouring diagonals (a word
 inserted or lost shifts the rest of a copy by one) are merged, and a merged span
-is verified by the share of the template's k-grams that it holds. A hit needs
-two independent hashes of the k-gram to agree.
+is verified by the share of the template's k-grams that it holds. How far apart
+neighbours may lie grows with the template: a quarter of its k-grams, ``SLACK``
+at least. A hit needs two independent hashes of the k-gram to agree.
 
 The template table is a constant of a few hundred rows, so it is broadcast. A
 document's votes are bounded by its own length times the templates.
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 from vitrine.llm.common import keyed_text, lower_az
 
 K = 3
-SLACK = 2          # diagonals that far apart still belong together
+SLACK = 2          # diagonals that far apart still belong together,
+GRAMS_A_STEP = 4   # and one more for each so many k-grams of a longer template
 MIN_COVER = 0.7    # of a template's k-grams, for its label
 
 # Label and wording of the notices that are looked for.
@@ -100,7 +102,8 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templat
     votes = (hits.withColumn("diagonal", F.col("pos") - F.col("t_pos")).groupBy(*doc, "diagonal")
              .agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.collect_set("t_pos").alias("t")))
     by_diagonal = Window.partitionBy(*doc).orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > SLACK, F.lit(False))
+    slack = F.greatest(F.lit(SLACK), (F.col("t_grams") / GRAMS_A_STEP).cast("int"))
+    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > slack, F.lit(False))
     merged = (votes.withColumn("apart", apart.cast("int")).withColumn("passage", F.sum("apart").over(by_diagonal))
               .groupBy(*doc, "passage").agg(F.min("lo").alias("first_word"), (F.max("hi") + (k - 1)).alias("last_word"),
                                             F.size(F.array_distinct(F.flatten(F.collect_list("t")))).alias("held")))
