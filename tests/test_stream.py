@@ -121,3 +121,30 @@ def test_unchanged_pages_are_not_parsed_again(spark, scratch, monkeypatch):
         ("1", "10EUR", 3), ("2", "20EUR", 4), ("3", "30EUR", 4)]
     assert sorted((r.version, r.kind, r.n) for r in table.history().collect()) == [
         (1, "row", 3), (2, "row", 1), (2, "seen", 1), (3, "seen", 2), (4, "row", 1), (4, "seen", 1)]
+
+
+def test_page_digests_are_joined_and_folded(spark, scratch, monkeypatch):
+    """A batch meets the last digest of each url by a join, over missing urls, several
+    pages of a url, replays and folded batches; no Python step runs per url."""
+    from vitrine.streaming import incremental
+
+    monkeypatch.setattr(incremental, "FOLD_AFTER", 2)
+    seen = incremental.SeenPages(spark, f"{scratch}/ckpt")
+    a, b, none = (1, "a", "x"), (2, "b", "y"), (None, None, "z")
+    waves = [
+        ([a, a, b, none], {a, b, none}, []),
+        ([a, none], set(), ["a", None]),
+        ([(7, "a", "x"), (2, "b", "w")], {(2, "b", "w")}, ["a"]),                  # the id of a page is no content
+        ([(1, "a", "x"), (8, "a", "x")], {(1, "a", "x"), (8, "a", "x")}, []),      # now two pages of one url
+        ([(8, "a", "x"), (1, "a", "x"), b, (3, "c", None)], {b, (3, "c", None)}, ["a"]),
+        ([b, (3, "c", ""), none], set(), ["b", "c", None]),
+    ]
+    for number, (rows, changed, again) in enumerate(waves):
+        for _ in range(2):                                                        # every batch twice, as after a failure
+            new, old = seen.batch(spark.createDataFrame(rows, incremental.PAGE_SCHEMA), number)
+            got = [tuple(r) for r in new.collect()]
+            assert sorted(got, key=repr) == sorted(changed, key=repr), number
+            assert sorted((r.url for r in old.collect()), key=repr) == sorted(again, key=repr), number
+            plan = new._jdf.queryExecution().toString()
+            assert "InPandas" not in plan and "WithState" not in plan
+    assert seen._numbers("c", 99) and len(seen._last(6)[1]) <= 3
