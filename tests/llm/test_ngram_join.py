@@ -113,3 +113,19 @@ def test_sets_that_quote_one_passage(spark):
     rows += [(1_000 + i, t) for i, t in enumerate(variants(rng, rows[7][1], 5, 6))]
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in J.components(docs(spark, rows), n=5, percent=80).collect()]
     assert sorted(got, key=repr) == brute(rows, 5, 80)
+
+
+def test_steps_leave_no_files_behind(spark):
+    """What only a later step reads goes once that step is written; the sets, links and classes stay."""
+    import os
+
+    from vitrine.session import checkpoint_dir
+
+    def names():
+        return {n for n in os.listdir(checkpoint_dir(spark)) if n.rsplit("-", 1)[0] in ("live", "shared", "lists", "members", "texts", "tested", "pairs", "close",
+                                                                                           "mixed", "found")}
+
+    before, rows = names(), fixture()[-40:]
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in J.components(docs(spark, rows)).collect()]
+    assert sorted(got, key=repr) == brute(rows)
+    assert names() == before

@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import apart, keyed_text, slices
+from vitrine.llm.common import apart, drop_written, keyed_text, release_finished, slices, written
 from vitrine.session import materialize
 
 BAND = 1.25  # largest size over smallest size of a band
@@ -311,57 +311,76 @@ def classes(links: DataFrame) -> DataFrame:
     return label
 
 
+def _live(rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """``sig, set_key, n`` of the signatures that two sets have; one exchange serves
+    the count and the join; a set that several tasks signed counts more often."""
+    dealt = _signed(rows, n, percent).repartition("sig")
+    counted = dealt.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("set_key").alias("lo"), F.max("set_key").alias("hi"))
+    return dealt.join(counted.filter("lo < hi").select("sig", "n"), "sig").distinct()
+
+
 def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4,
                  percent: int = 85) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sets, links, classes): ``doc_id, n_shingles, set_key`` of every row,
     verified links ``a, b`` between set keys that connect exactly the sets which
     links connect, and the class of every set that has a link."""
+    spark, made = df.sparkSession, {}
+
+    def keep(step: DataFrame, name: str) -> DataFrame:
+        """Written once; the step's shuffle files go, and so does what was kept under its name."""
+        again, path = written(step, name)
+        drop_written(spark, [made[name]] if name in made else [])
+        made[name] = path
+        release_finished(spark)
+        return again
+
     rows = keyed_text(df, id_col, text_col)
     rows = rows.withColumn("text_key", F.xxhash64("text"))
     sets = materialize(_sets(rows, n), "sets")
-    # one exchange serves the count and the join; a set that several tasks signed counts more often
-    dealt = _signed(rows, n, percent).repartition("sig")
-    counted = dealt.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("set_key").alias("lo"), F.max("set_key").alias("hi"))
-    live = materialize(dealt.join(counted.filter("lo < hi").select("sig", "n"), "sig").distinct(), "live")
+    live = keep(_live(rows, n, percent), "live")
     band = F.col("sig").bitwiseAND(F.lit(BANDS - 1))
     frequent = F.row_number().over(Window.partitionBy("set_key", band).orderBy(F.desc("n"), F.desc("sig")))
-    shared = materialize(live.withColumn("nth", frequent).filter(F.col("nth") > spare_of(band, percent)).select("sig", "set_key"), "shared")
-    lists = materialize(live.join(shared.select("set_key").distinct(), "set_key").groupBy("set_key").agg(
+    shared = keep(live.withColumn("nth", frequent).filter(F.col("nth") > spare_of(band, percent)).select("sig", "set_key"), "shared")
+    lists = keep(live.join(shared.select("set_key").distinct(), "set_key").groupBy("set_key").agg(
         F.collect_list("sig").alias("sigs")), "lists")
+    drop_written(spark, [made.pop("live")])
     hubs = shared.groupBy("sig").agg(F.min("set_key").alias("hub"), F.max("set_key").alias("top"), F.count(F.lit(1)).alias("n"))
     part = F.pmod(F.xxhash64("sig", "set_key"), F.lit(1 << 30)) / F.lit(1 << 30) * F.col("n")
     turn = F.when(part < HUBS, 0).otherwise(1 + F.floor(F.log(part / HUBS) / np.log(GROWTH))).cast("int")
-    members = materialize(shared.join(hubs.filter("hub < top"), "sig").select("sig", "set_key", "hub", turn.alias("turn")), "members")
+    members = keep(shared.join(hubs.filter("hub < top"), "sig").select("sig", "set_key", "hub", turn.alias("turn")), "members")
+    drop_written(spark, [made.pop("shared")])
     # the texts of sets that share a signature, once for all rounds
     involved = members.select("set_key").distinct()
     first = F.min(F.struct("doc_id", "text_key")).alias("first")
     reps = sets.join(involved, "set_key").groupBy("set_key").agg(first).select(
         "set_key", F.col("first.doc_id").alias("d"), F.col("first.text_key").alias("text_key"))
     same = rows["doc_id"].eqNullSafe(F.col("d")) & (rows["text_key"] == reps["text_key"])
-    texts = materialize(rows.join(reps, same).select("set_key", "text").dropDuplicates(["set_key"]), "texts")
+    texts = keep(rows.join(reps, same).select("set_key", "text").dropDuplicates(["set_key"]), "texts")
 
-    tested = materialize(members.filter("set_key <> hub").select(F.col("hub").alias("a"), F.col("set_key").alias("b")).distinct(), "pairs")
-    links = materialize(_verified(materialize(_close(tested, lists, percent), "close"), texts, n, percent), "verified")
+    tested = keep(members.filter("set_key <> hub").select(F.col("hub").alias("a"), F.col("set_key").alias("b")).distinct(), "tested")
+    links = materialize(_verified(keep(_close(tested, lists, percent), "close"), texts, n, percent), "verified")
+    release_finished(spark)
     rest, turn_now, label = members.select("sig", "set_key", "turn"), 0, classes(links)
     while True:
         # members of signatures that hold two classes or more, and still have hubs to come
         named = rest.join(label.select(F.col("node").alias("set_key"), "class"), "set_key", "left").withColumn("class", F.coalesce("class", "set_key"))
         mixed = named.groupBy("sig").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max("turn").alias("last")).filter(
             (F.col("lo") < F.col("hi")) & (F.col("last") >= turn_now)).select("sig")
-        named = materialize(named.join(mixed, "sig"), "mixed")
+        named = keep(named.join(mixed, "sig"), "mixed")
         rest = named.select("sig", "set_key", "turn")
         if not named.take(1):
+            drop_written(spark, made.values())
             return sets, links, label
         hub = named.filter(F.col("turn") == turn_now).select("sig", F.col("set_key").alias("a"), F.col("class").alias("class_a"))
         other = named.filter(F.col("turn") >= turn_now).select("sig", F.col("set_key").alias("b"), F.col("class").alias("class_b"), "turn")
         pairs = (hub.join(other, "sig").filter("class_a <> class_b").filter((F.col("turn") > turn_now) | (F.col("a") < F.col("b")))
                  .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        fresh = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = materialize(_verified(materialize(_close(fresh, lists, percent), "close"), texts, n, percent), "verified")
+        fresh = keep(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = keep(_verified(keep(_close(fresh, lists, percent), "close"), texts, n, percent), "found")
         if found.take(1):
             links = materialize(links.unionByName(found), "verified")
             label = classes(links)
-        tested = materialize(tested.unionByName(fresh), "tested")
+        tested = keep(tested.unionByName(fresh), "tested")
         turn_now += 1
 
 
