@@ -158,3 +158,27 @@ def test_unsupported_selector_is_rejected():
 
     with pytest.raises(ValueError):
         matches("div > a")
+
+
+def test_element_rows_keep_nested_values():
+    """The batches that the element job builds from flat lists hold what ``parse_page`` found."""
+    import pyarrow as pa
+
+    from vitrine.operators.elements import _element_batches, parse_page
+
+    htmls = ["<div id=a class='u v'><p>x<b title>y</b></p><script>s</script></div>", None, "", "bare", "<li>a<li>b<br/>"]
+    batch = pa.RecordBatch.from_pydict({"page_id": pa.array([0, None, 2, 3, 4], pa.int64()), "url": ["u", None, "v", "w", ""], "html": htmls})
+    got = pa.Table.from_batches(list(_element_batches([batch]))).to_pylist()
+    at = 0
+    for page_id, url, html in zip([0, None, 2, 3, 4], ["u", None, "v", "w", ""], htmls, strict=True):
+        elems, nodes = parse_page(html)
+        elems = elems or [(0, -1, 0, "#document", None, [], {}, 0, len(nodes), None, None, None, [])]
+        for k, e in enumerate(elems):
+            row, at = got[at], at + 1
+            assert (row["page_id"], row["url"]) == (page_id, url)
+            assert tuple(row[c] for c in ("idx", "parent_idx", "depth", "tag", "elem_id", "classes")) == e[:6]
+            assert dict(row["attrs"]) == e[6]
+            assert tuple(row[c] for c in ("t0", "t1", "p_t0", "p_t1", "raw_text")) == e[7:12]
+            assert [tuple(a.values()) for a in row["ancestors"]] == [tuple(a) for a in e[12]]
+            assert row["nodes"] == (None if k else [{"raw": r, "strip": st, "skip": sk} for r, st, sk in nodes])
+    assert at == len(got)

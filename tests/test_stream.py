@@ -7,7 +7,7 @@ from vitrine.sources.catalog import CatalogTable
 from vitrine.sources.page_fixtures import product_pages
 from vitrine.sources.sites import DEFAULT_SPEC_PATH, load_spec
 from vitrine.streaming.incremental import batch_records, stream_pages_into_catalog
-from vitrine.streaming import page_walk
+from vitrine.streaming import incremental, page_walk
 from vitrine.streaming.page_walk import chain_heads, walk, walk_all, walk_starts
 
 
@@ -29,6 +29,27 @@ def test_stream_equals_batch_and_replays(spark, scratch):
     assert sorted(table.read().select(*cols).collect()) == streamed
 
 
+def test_batch_with_many_splits_is_dealt_anew(spark, scratch, monkeypatch):
+    """A delivered file may have many splits of which few hold rows: pages are parsed in a fixed number of parts."""
+    seen = []
+    monkeypatch.setattr(incremental, "upsert", lambda table, rows, *_, **__: seen.append(rows))
+    monkeypatch.setattr(incremental, "batch_records",
+                        lambda pages, *_: [pages.rdd.getNumPartitions(), pages.rdd.glom().map(len).collect()])
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # one file of one row group, read in more splits than there are cores
+    spark.range(400).selectExpr("id as page_id", "concat('u', id) as url", "repeat(sha2(string(id), 256), 40) as html").coalesce(1).write.parquet(
+        f"{scratch}/inbox")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        stream_pages_into_catalog(spark, f"{scratch}/inbox", CatalogTable(spark, f"{scratch}/catalog"), f"{scratch}/ckpt",
+                                  {}, "s", "b", skip_unchanged=False)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    (n, sizes), = seen
+    assert n == parts and sum(sizes) == 400 and max(sizes) < 400
+
+
 def test_walk_stops_on_cycles_and_self_links(spark):
     chain = spark.createDataFrame(
         [("a", "b"), ("b", "c"), ("c", "a"), ("s", "s"), ("x", "y"), ("y", None)],

@@ -26,7 +26,6 @@ from vitrine.operators.extract import product_records_p2
 from vitrine.functions.urls import row_id
 from vitrine.operators.records import format_products
 from vitrine.sources.catalog import CatalogTable, upsert
-from vitrine.sources.tables import spread
 
 PAGE_SCHEMA = "page_id bigint, url string, html string"
 FOLD_AFTER = 10   # batches of digests that are folded into one piece
@@ -43,6 +42,12 @@ def _same_urls(url: str = "url") -> Column:
     return F.coalesce(F.concat(F.lit("u"), F.col(url)), F.lit("-"))
 
 
+def _parts(spark: SparkSession) -> int:
+    """In how many parts a batch's pages are parsed: a fixed number, for few megabytes of
+    pages are still many to parse, and the splits of one large file hold a row group or none."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 class SeenPages:
     """What every url last held, beside the stream's progress in its checkpoint.
 
@@ -103,9 +108,7 @@ class SeenPages:
         found = self.spark.read.schema(f"{self.SCHEMA}, changed boolean").parquet(place)
         if len(later) >= FOLD_AFTER:
             last.write.mode("overwrite").parquet(f"{self.root}/c={number - 1}")
-        # a fixed number of parts: few megabytes of pages are still many to parse
-        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism)
-        dealt = pages.select("page_id", "url", "html", _same_urls().alias("same")).repartition(parts, "same")
+        dealt = pages.select("page_id", "url", "html", _same_urls().alias("same")).repartition(_parts(self.spark), "same")
         changed = dealt.join(found.where("changed").select("same"), "same", "left_semi").dropDuplicates(["same", "page_id", "html"])
         return changed.select("page_id", "url", "html"), found.where("not changed").select("url")
 
@@ -122,7 +125,7 @@ def stream_pages_into_catalog(spark: SparkSession, pages_dir: str, table: Catalo
     def merge_batch(df: DataFrame, batch_id: int) -> None:
         version = table.reserve(checkpoint, batch_id)
         if not skip_unchanged:
-            upsert(table, batch_records(spread(df, "page_id"), selectors, source, brand), version, run_ts, expire=False, sources=[source],
+            upsert(table, batch_records(df.repartition(_parts(spark), "page_id"), selectors, source, brand), version, run_ts, expire=False, sources=[source],
                    exact_sources=True)
             return
         changed, unchanged = seen.batch(df, batch_id)
