@@ -129,3 +129,45 @@ def test_steps_leave_no_files_behind(spark):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in J.components(docs(spark, rows)).collect()]
     assert sorted(got, key=repr) == brute(rows)
     assert names() == before
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_sketches_pass_every_link(spark, percent):
+    rng = np.random.default_rng(8)
+    rows = []
+    for size in [1, 3, 8, 40, 120, 400, 900, 2500]:
+        for _ in range(6):
+            union = J._mix(rng.integers(0, 2 ** 63, size, dtype=np.uint64))
+            out = (size * (100 - percent)) // 100      # the fewest common elements that still link
+            cut = rng.permutation(size)[:out]
+            of_a = rng.random(out) < rng.random()
+            a, b = (np.unique(np.delete(union, cut[which])) for which in (of_a, ~of_a))
+            if len(a) and len(b):
+                assert J.linked(a, b, percent)
+                bands = {int(x) % J.BANDS for x in set(J.signatures(a, percent)) & set(J.signatures(b, percent))} or {0, J.BANDS - 1}
+                rows += [(band, len(a), len(b), J.sketch(a).tolist(), J.sketch(b).tolist()) for band in bands]
+    pairs = spark.createDataFrame(rows, "band int, n_a long, n_b long, whole_a array<long>, whole_b array<long>")
+    for x in "ab":
+        pairs = pairs.withColumn(f"bits_{x}", J._folded(J.F.col(f"whole_{x}"), J.F.col("band"), percent))
+    assert pairs.filter(~J._may_link(percent)).count() == 0 and {len(r.bits_a) for r in pairs.collect()} == {4, 8, 16}
+
+
+def test_pairs_of_edited_copies_that_cannot_link_are_not_made(spark, monkeypatch):
+    rng = random.Random(31)
+    base = " ".join(f"w{i}" for i in range(200))
+    rows = [(i, t) for i, t in enumerate(variants(rng, base, 60, 12))]
+    made, close = [], J._close
+    monkeypatch.setattr(J, "_close", lambda pairs, *a: (made.append(pairs.count()), close(pairs, *a))[1])
+    got = sorted((tuple(r) for r in J.components(docs(spark, rows)).collect()), key=repr)
+    assert got == brute(rows) and sum(made) < 60
+
+
+def test_sets_beyond_sketches_are_counted_on_signatures(spark, monkeypatch):
+    monkeypatch.setattr(J, "_beyond", lambda percent: 40)
+    rng = random.Random(32)
+    rows = []
+    for size in (30, 60, 300, 2600):
+        base = " ".join(f"s{size}w{i}" for i in range(size))
+        rows += [(len(rows) + i, t) for i, t in enumerate([base, *variants(rng, base, 3, max(1, size // 100)), *variants(rng, base, 3, size // 12)])]
+    got = sorted((tuple(r) for r in J.components(docs(spark, rows)).collect()), key=repr)
+    assert got == brute(rows)

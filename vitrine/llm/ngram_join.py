@@ -21,8 +21,15 @@ such parts, so spare+1 agreeing signatures are left in any case. Of those that
 it has in a band, each set then leaves out the ``spare`` most frequent ones
 (ties: larger signature). The rarest of the spare+1 that two linked sets share
 has spare others above it, so neither set leaves it out: no link is lost, while
-sets that share just a passage mostly have no signature left. A pair must share
-spare+1 signatures before whole texts are compared.
+sets that share just a passage mostly have no signature left.
+
+Sketches. A set's sketch is the parity of its hashes in ``64 * LONGS`` buckets: two
+sketches differ in no more bits than the sets in elements, so a pair with more
+differing bits than linked sets of these sizes can have is no link, whatever the
+sets hold. Signatures of a band carry the sketch, folded to the length the band's
+differences need, and the join on signatures makes only pairs that pass this test.
+Of sets too large for it (`_beyond`), a pair must share spare+1 signatures before
+whole texts are compared.
 
 Pairs. Equal sets collapse first (all their signatures agree). Signatures are
 dealt out once; those of one set only go. In the others each set is tested against one hub, on whole texts, and verified links form classes;
@@ -188,23 +195,65 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+LONGS = 16  # longs of a whole sketch; in a band it is folded to 4 or 8 of them while bits are this many times the differences:
+SPARSE = 3.2
+
+
+def differences(size: int, percent: int) -> int:
+    """Elements in which linked sets of at most ``size`` elements may differ."""
+    return 2 * size * (100 - percent) // (100 + percent)
+
+
+def sketch(sh: np.ndarray) -> np.ndarray:
+    """Parities of a set's hashes in ``64 * LONGS`` buckets, as longs."""
+    bucket = (sh >> np.uint64(64 - 10)).astype(np.int64)
+    return np.packbits((np.bincount(bucket, minlength=64 * LONGS) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _folded(whole: Column, band: Column, percent: int) -> Column:
+    """A sketch as short as its band's differences allow: parities of joined
+    buckets are the parities' sums."""
+    def half(bits: Column, n: int) -> Column:
+        return F.zip_with(F.slice(bits, 1, n // 2), F.slice(bits, n // 2 + 1, n // 2), lambda x, y: x.bitwiseXOR(y))
+
+    def last(longs: int) -> int:
+        """Last band whose differences are few enough for so many longs."""
+        return max((b for b in range(BANDS) if SPARSE * differences(int(np.ceil(BAND ** (b + 1))), percent) <= 64 * longs), default=-1)
+
+    return F.when(band <= last(4), half(half(whole, 16), 8)).when(band <= last(8), half(whole, 16)).otherwise(whole)
+
+
+def _beyond(percent: int) -> int:
+    """Size from which sets may differ in more elements than sketches tell apart."""
+    return next(x for x in range(1, 1 << 30, 16) if SPARSE * differences(x, percent) > 64 * LONGS)
+
+
+def _may_link(percent: int) -> Column:
+    """No linked pair (n_a, bits_a), (n_b, bits_b) fails: by sizes, and by the
+    elements that differ, of which there are at least as many as differing bits."""
+    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    alike = percent * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")
+    return alike & ((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+
+
 def set_key(sh: np.ndarray) -> int:
     """Signed 63-bit key of a set; equal for equal sets."""
     return int(xxhash.xxh3_64_intdigest(sh.tobytes()) >> 1)
 
 
 def _sets(rows: DataFrame, n: int) -> DataFrame:
-    """``doc_id, text_key, n_shingles, set_key`` (null without shingles)."""
+    """``doc_id, text_key, n_shingles, set_key, sketch`` (the last two null without shingles)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sets = [shingles(t, n) for t in part.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())],
-                names=["doc_id", "text_key", "n_shingles", "set_key"])
+                 pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()),
+                 pa.array([sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64()))],
+                names=["doc_id", "text_key", "n_shingles", "set_key", "sketch"])
 
     return rows.select("doc_id", "text_key", "text").mapInArrow(
-        run, "doc_id long, text_key long, n_shingles long, set_key long")
+        run, "doc_id long, text_key long, n_shingles long, set_key long, sketch array<long>")
 
 
 SEEN_LIMIT = 200_000
@@ -236,17 +285,19 @@ def _signed(rows: DataFrame, n: int, percent: int) -> DataFrame:
 
 def _close(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that share spare+1 signatures in some band, as all
-    linked sets do. A set's list is bounded by its own size and holds only
-    signatures that another set has too, so it is far shorter than the text."""
+    linked sets do, or of which a set has no list. A set's list is bounded by its own
+    size and holds only signatures that another set has too, so it is far shorter than
+    the text."""
     sides = {x: lists.select(F.col("set_key").alias(x), F.col("sigs").alias(f"sigs_{x}")) for x in ("a", "b")}
-    both = pairs.join(sides["b"], "b").join(sides["a"], "a").select("a", "b", F.array_intersect("sigs_a", "sigs_b").alias("common"))
+    both = pairs.join(sides["b"], "b", "left").join(sides["a"], "a", "left").select(
+        "a", "b", F.array_intersect("sigs_a", "sigs_b").alias("common"))
 
     def band(sig: Column) -> Column:
         return sig.bitwiseAND(F.lit(BANDS - 1))
 
     bands = F.array_distinct(F.transform("common", band))
     enough = F.exists(bands, lambda x: F.size(F.filter("common", lambda sig: band(sig) == x)) > spare_of(x, percent))
-    return both.filter(enough).select("a", "b")
+    return both.filter(F.col("common").isNull() | enough).select("a", "b")
 
 
 CACHED_SETS = 2_000
@@ -341,14 +392,20 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     band = F.col("sig").bitwiseAND(F.lit(BANDS - 1))
     frequent = F.row_number().over(Window.partitionBy("set_key", band).orderBy(F.desc("n"), F.desc("sig")))
     shared = keep(live.withColumn("nth", frequent).filter(F.col("nth") > spare_of(band, percent)).select("sig", "set_key"), "shared")
-    lists = keep(live.join(shared.select("set_key").distinct(), "set_key").groupBy("set_key").agg(
-        F.collect_list("sig").alias("sigs")), "lists")
-    drop_written(spark, [made.pop("live")])
     hubs = shared.groupBy("sig").agg(F.min("set_key").alias("hub"), F.max("set_key").alias("top"), F.count(F.lit(1)).alias("n"))
     part = F.pmod(F.xxhash64("sig", "set_key"), F.lit(1 << 30)) / F.lit(1 << 30) * F.col("n")
     turn = F.when(part < HUBS, 0).otherwise(1 + F.floor(F.log(part / HUBS) / np.log(GROWTH))).cast("int")
-    members = keep(shared.join(hubs.filter("hub < top"), "sig").select("sig", "set_key", "hub", turn.alias("turn")), "members")
+    grouped = keep(shared.join(hubs.filter("hub < top"), "sig").select("sig", "set_key", "hub", turn.alias("turn")), "grouped")
     drop_written(spark, [made.pop("shared")])
+    marks = sets.filter("set_key is not null").select("set_key", F.col("n_shingles").alias("n"), "sketch").join(
+        grouped.select("set_key").distinct(), "set_key").dropDuplicates(["set_key"])
+    marks = keep(marks, "marks")
+    large = marks.filter(F.col("n") >= _beyond(percent)).select("set_key")
+    lists = keep(live.join(large, "set_key").groupBy("set_key").agg(F.collect_list("sig").alias("sigs")), "lists")
+    drop_written(spark, [made.pop("live")])
+    members = keep(grouped.join(marks, "set_key").select("sig", "set_key", "hub", "turn", "n", _folded(F.col("sketch"), band, percent).alias("bits")),
+                   "members")
+    drop_written(spark, [made.pop("grouped"), made.pop("marks")])
     # the texts of sets that share a signature, once for all rounds
     involved = members.select("set_key").distinct()
     first = F.min(F.struct("doc_id", "text_key")).alias("first")
@@ -357,23 +414,29 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = rows["doc_id"].eqNullSafe(F.col("d")) & (rows["text_key"] == reps["text_key"])
     texts = keep(rows.join(reps, same).select("set_key", "text").dropDuplicates(["set_key"]), "texts")
 
-    tested = keep(members.filter("set_key <> hub").select(F.col("hub").alias("a"), F.col("set_key").alias("b")).distinct(), "tested")
+    def side(rows: DataFrame, x: str, *more: Column | str) -> DataFrame:
+        return rows.select("sig", F.col("set_key").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"), *more)
+
+    first_hub, others = (side(members.filter(which), x) for x, which in (("a", "set_key = hub"), ("b", "set_key <> hub")))
+    tested = keep(first_hub.join(others, "sig").filter(_may_link(percent)).select("a", "b").distinct(), "tested")
     links = materialize(_verified(keep(_close(tested, lists, percent), "close"), texts, n, percent), "verified")
     release_finished(spark)
-    rest, turn_now, label = members.select("sig", "set_key", "turn"), 0, classes(links)
+    kept = ("sig", "set_key", "turn", "n", "bits")
+    rest, turn_now, label = members.select(*kept), 0, classes(links)
     while True:
         # members of signatures that hold two classes or more, and still have hubs to come
         named = rest.join(label.select(F.col("node").alias("set_key"), "class"), "set_key", "left").withColumn("class", F.coalesce("class", "set_key"))
         mixed = named.groupBy("sig").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max("turn").alias("last")).filter(
             (F.col("lo") < F.col("hi")) & (F.col("last") >= turn_now)).select("sig")
         named = keep(named.join(mixed, "sig"), "mixed")
-        rest = named.select("sig", "set_key", "turn")
+        rest = named.select(*kept)
         if not named.take(1):
             drop_written(spark, made.values())
-            return sets, links, label
-        hub = named.filter(F.col("turn") == turn_now).select("sig", F.col("set_key").alias("a"), F.col("class").alias("class_a"))
-        other = named.filter(F.col("turn") >= turn_now).select("sig", F.col("set_key").alias("b"), F.col("class").alias("class_b"), "turn")
-        pairs = (hub.join(other, "sig").filter("class_a <> class_b").filter((F.col("turn") > turn_now) | (F.col("a") < F.col("b")))
+            return sets.drop("sketch"), links, label
+        hub = side(named.filter(F.col("turn") == turn_now), "a", F.col("class").alias("class_a"))
+        other = side(named.filter(F.col("turn") >= turn_now), "b", F.col("class").alias("class_b"), "turn")
+        once = (F.col("turn") > turn_now) | (F.col("a") < F.col("b"))
+        pairs = (hub.join(other, "sig").filter("class_a <> class_b").filter(once).filter(_may_link(percent))
                  .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         fresh = keep(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = keep(_verified(keep(_close(fresh, lists, percent), "close"), texts, n, percent), "found")
