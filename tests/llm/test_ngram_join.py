@@ -171,3 +171,40 @@ def test_sets_beyond_sketches_are_counted_on_signatures(spark, monkeypatch):
         rows += [(len(rows) + i, t) for i, t in enumerate([base, *variants(rng, base, 3, max(1, size // 100)), *variants(rng, base, 3, size // 12)])]
     got = sorted((tuple(r) for r in J.components(docs(spark, rows)).collect()), key=repr)
     assert got == brute(rows)
+
+
+def test_lists_of_large_sets_travel_for_few_pairs_at_a_time(spark, monkeypatch):
+    """Many large sets that share a passage make many pairs; no step sends lists for more than ``PAIRS`` of them a row."""
+    monkeypatch.setattr(J, "_beyond", lambda percent: 40)
+    monkeypatch.setattr(J, "PAIRS", 1)
+    monkeypatch.setattr(J, "_may_link", lambda percent: J.F.lit(True))
+    rng = random.Random(33)
+    rows = [(i, " ".join([f"p{j}" for j in range(60)] + [f"d{i}w{j}" for j in range(30)])) for i in range(40)]
+    rows += [(40 + i, t) for i, t in enumerate(variants(rng, rows[0][1], 3, 2))]
+    pairs, sent, close, keep = [], [], J._close, J.written
+
+    def counted(step, name):
+        if name.startswith("close"):
+            plan = step._jdf.queryExecution().optimizedPlan().toString()
+            sent.append(("pmod" in plan or "% " in plan, step.count()))
+        return keep(step, name)
+
+    monkeypatch.setattr(J, "_close", lambda p, *a: (pairs.append(p.count()), close(p, *a))[1])
+    monkeypatch.setattr(J, "written", counted)
+    got = sorted((tuple(r) for r in J.components(docs(spark, rows)).collect()), key=repr)
+    assert got == brute(rows)
+    assert max(pairs) > 2 * len(rows) and len(sent) >= sum(-(-n // len(rows)) for n in pairs)
+
+
+def test_signatures_with_the_same_short_form_lose_no_pair(spark):
+    percent, band = 80, 33
+    need, size = J.band_plan(band, percent)[5] + 1, J.band_plan(band, percent)[0]
+    alike = [(7 << 48) + (i << 7) + band for i in range(need)]        # one short form
+    sigs = {1: alike, 2: alike, 3: [x + (1 << 50) for x in alike[1:]] + alike[:1], 4: [(i << 48) + band for i in range(20, 20 + need)]}
+    live = spark.createDataFrame([(x, k) for k, own in sigs.items() for x in own], "sig long, set_key long")
+    large = spark.createDataFrame([(k,) for k in sigs], "set_key long")
+    lists = J._lists(live, large)
+    assert dict(lists.dtypes)["sigs"] == "array<smallint>"
+    pairs = spark.createDataFrame([(a, b, size, size) for a in sigs for b in sigs if a < b], "a long, b long, low long, high long")
+    got = {tuple(r) for r in J._close(pairs, lists, percent, 100, lambda step, name: step).collect()}
+    assert size >= J._beyond(percent) and (1, 2) in got and not {(1, 4), (2, 4), (3, 4)} & got

@@ -28,8 +28,9 @@ sketches differ in no more bits than the sets in elements, so a pair with more
 differing bits than linked sets of these sizes can have is no link, whatever the
 sets hold. Signatures of a band carry the sketch, folded to the length the band's
 differences need, and the join on signatures makes only pairs that pass this test.
-Of sets too large for it (`_beyond`), a pair must share spare+1 signatures before
-whole texts are compared.
+Of sets too large for it (`_beyond`), a pair must share spare+1 signatures in the
+larger one's band before whole texts are compared. The lists for this hold 16 bits of
+each signature and travel for a bounded number of pairs at a time.
 
 Pairs. Equal sets collapse first (all their signatures agree). Signatures are
 dealt out once; those of one set only go. In the others each set is tested against one hub, on whole texts, and verified links form classes;
@@ -43,9 +44,10 @@ that share a signature thus ends in one class or is tested.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Callable, Iterator
+from functools import cache, reduce
 from itertools import combinations
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -214,7 +216,7 @@ def _folded(whole: Column, band: Column, percent: int) -> Column:
     """A sketch as short as its band's differences allow: parities of joined
     buckets are the parities' sums."""
     def half(bits: Column, n: int) -> Column:
-        return F.zip_with(F.slice(bits, 1, n // 2), F.slice(bits, n // 2 + 1, n // 2), lambda x, y: x.bitwiseXOR(y))
+        return F.array(*[F.get(bits, F.lit(i)).bitwiseXOR(F.get(bits, F.lit(i + n // 2))) for i in range(n // 2)])
 
     def last(longs: int) -> int:
         """Last band whose differences are few enough for so many longs."""
@@ -231,7 +233,9 @@ def _beyond(percent: int) -> int:
 def _may_link(percent: int) -> Column:
     """No linked pair (n_a, bits_a), (n_b, bits_b) fails: by sizes, and by the
     elements that differ, of which there are at least as many as differing bits."""
-    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    # a sum of plain terms is compiled, functions over arrays are not; a shorter sketch has no later longs
+    differ = (F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(LONGS))
+    apart = reduce(add, (F.coalesce(x, F.lit(0)) for x in differ))
     alike = percent * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")
     return alike & ((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
 
@@ -283,21 +287,34 @@ def _signed(rows: DataFrame, n: int, percent: int) -> DataFrame:
     return rows.select("text").mapInArrow(run, "sig long, set_key long")
 
 
-def _close(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that share spare+1 signatures in some band, as all
-    linked sets do, or of which a set has no list. A set's list is bounded by its own
-    size and holds only signatures that another set has too, so it is far shorter than
-    the text."""
-    sides = {x: lists.select(F.col("set_key").alias(x), F.col("sigs").alias(f"sigs_{x}")) for x in ("a", "b")}
-    both = pairs.join(sides["b"], "b", "left").join(sides["a"], "a", "left").select(
-        "a", "b", F.array_intersect("sigs_a", "sigs_b").alias("common"))
+def _lists(live: DataFrame, large: DataFrame) -> DataFrame:
+    """``set_key, band, sigs, hidden`` of the large sets: 16 bits of each signature of
+    a band, and how many signatures another one with the same bits hides."""
+    found = live.join(large, "set_key").groupBy("set_key", F.col("sig").bitwiseAND(F.lit(BANDS - 1)).alias("band")).agg(
+        F.collect_set(F.shiftright("sig", 48).cast("smallint")).alias("sigs"), F.count(F.lit(1)).alias("n"))
+    return found.select("set_key", "band", "sigs", (F.col("n") - F.size("sigs")).cast("int").alias("hidden"))
 
-    def band(sig: Column) -> Column:
-        return sig.bitwiseAND(F.lit(BANDS - 1))
 
-    bands = F.array_distinct(F.transform("common", band))
-    enough = F.exists(bands, lambda x: F.size(F.filter("common", lambda sig: band(sig) == x)) > spare_of(x, percent))
-    return both.filter(F.col("common").isNull() | enough).select("a", "b")
+PAIRS = 2  # pairs of large sets, for each row of the input, that lists are sent for at a time
+
+
+def _close(pairs: DataFrame, lists: DataFrame, percent: int, rows: int, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The pairs (a, b) of (a, b, low, high), keys and sizes of their sets, that are small enough
+    for sketches, or share spare+1 signatures in the larger set's band, as all linked sets do.
+    Lists hold only signatures that another set has too. As a list goes out for each pair, pairs
+    are taken in parts of bounded size, so disk does not grow with all of them."""
+    large = pairs.filter(F.col("low") >= _beyond(percent)).withColumn(
+        "band", F.floor(F.log("high") / np.log(BAND) + F.lit(1e-9)))
+    sides = {x: lists.select(F.col("set_key").alias(x), "band", F.col("sigs").alias(f"sigs_{x}"), F.col("hidden").alias(f"hidden_{x}"))
+             for x in ("a", "b")}
+    # what is hidden in both lists may be alike
+    common = F.size(F.array_intersect("sigs_a", "sigs_b")) + F.least("hidden_a", "hidden_b")
+    out, parts = pairs.filter(F.col("low") < _beyond(percent)).select("a", "b"), -(-large.count() // max(1, PAIRS * rows))
+    for i in range(parts):
+        some = large.filter(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == i)
+        near = some.join(sides["b"], ["b", "band"]).join(sides["a"], ["a", "band"]).filter(common > spare_of(F.col("band"), percent))
+        out = out.unionByName(keep(near.select("a", "b"), f"close-{i}"))
+    return out
 
 
 CACHED_SETS = 2_000
@@ -401,7 +418,7 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         grouped.select("set_key").distinct(), "set_key").dropDuplicates(["set_key"])
     marks = keep(marks, "marks")
     large = marks.filter(F.col("n") >= _beyond(percent)).select("set_key")
-    lists = keep(live.join(large, "set_key").groupBy("set_key").agg(F.collect_list("sig").alias("sigs")), "lists")
+    lists = keep(_lists(live, large), "lists")
     drop_written(spark, [made.pop("live")])
     members = keep(grouped.join(marks, "set_key").select("sig", "set_key", "hub", "turn", "n", _folded(F.col("sketch"), band, percent).alias("bits")),
                    "members")
@@ -417,10 +434,12 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def side(rows: DataFrame, x: str, *more: Column | str) -> DataFrame:
         return rows.select("sig", F.col("set_key").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"), *more)
 
+    low, high = F.least("n_a", "n_b").alias("low"), F.greatest("n_a", "n_b").alias("high")
+    n_rows = sets.count()
     first_hub, others = (side(members.filter(which), x) for x, which in (("a", "set_key = hub"), ("b", "set_key <> hub")))
-    tested = keep(first_hub.join(others, "sig").filter(_may_link(percent)).select("a", "b").distinct(), "tested")
-    links = materialize(_verified(keep(_close(tested, lists, percent), "close"), texts, n, percent), "verified")
-    release_finished(spark)
+    fresh = keep(first_hub.join(others, "sig").filter(_may_link(percent)).select("a", "b", low, high).distinct(), "pairs")
+    links = materialize(_verified(_close(fresh, lists, percent, n_rows, keep), texts, n, percent), "verified")
+    tested = keep(fresh.select("a", "b"), "tested")
     kept = ("sig", "set_key", "turn", "n", "bits")
     rest, turn_now, label = members.select(*kept), 0, classes(links)
     while True:
@@ -437,13 +456,13 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         other = side(named.filter(F.col("turn") >= turn_now), "b", F.col("class").alias("class_b"), "turn")
         once = (F.col("turn") > turn_now) | (F.col("a") < F.col("b"))
         pairs = (hub.join(other, "sig").filter("class_a <> class_b").filter(once).filter(_may_link(percent))
-                 .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+                 .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), low, high).distinct())
         fresh = keep(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = keep(_verified(keep(_close(fresh, lists, percent), "close"), texts, n, percent), "found")
+        found = keep(_verified(_close(fresh, lists, percent, n_rows, keep), texts, n, percent), "found")
         if found.take(1):
             links = materialize(links.unionByName(found), "verified")
             label = classes(links)
-        tested = keep(tested.unionByName(fresh), "tested")
+        tested = keep(tested.unionByName(fresh.select("a", "b")), "tested")
         turn_now += 1
 
 
