@@ -10,6 +10,7 @@ from tests.llm.helpers import docs
 
 import __spark_entry__ as entry
 import corpus_pipeline as C
+from vitrine.llm import suffix_dedup
 
 
 def fixture():
@@ -69,3 +70,13 @@ def test_registered_and_run(spark):
 @pytest.mark.parametrize("stage", range(5))
 def test_empty(spark, stage):
     assert C.STAGES[stage][1](spark, docs(spark, []), "/nowhere").count() == 0
+
+
+def test_a_passage_of_many_documents_is_not_dealt_by_windows(spark, monkeypatch):
+    """The edges of a passage in 300 contexts are cut by second anchors, inside a task."""
+    monkeypatch.delattr(suffix_dedup, "_redealt")
+    rng = random.Random(5)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(150))
+    rows = [(k, "".join(rng.choice("ijklmnop ") for _ in range(70)) + passage + "".join(rng.choice("ijklmnop ") for _ in range(70))) for k in range(300)]
+    got = Counter((r.doc_id, r.text) for r in dict(C.STAGES)["suffix-array dedup"](spark, docs(spark, rows), "/nowhere").collect())
+    assert got == Counter((k[0], k[4].decode()) for k in test_suffix_dedup.brute(rows).elements())
